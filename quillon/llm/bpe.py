@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -23,9 +24,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from quillon.llm.common import small_batches
 
 #: Pre-tokens whose ids a worker remembers; the memory is cleared when full, so its size is bounded.
-MEMORY = 150_000
-#: Pre-tokens above this many characters aren't remembered.
-REMEMBERED = 64
+MEMORY = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -84,26 +83,31 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.tokens = tokens
         self.ranks = {t: n for n, t in enumerate(tokens)}
-        self.letters = byte_characters()
+        self.letters = dict(enumerate(byte_characters()))
         self.known: dict[str, bytes] = {}
 
-    def piece(self, text: str) -> bytes:
-        """The ids of one pre-token as little-endian int32; a pre-token that is a vocabulary entry is that entry."""
-        got = self.known.get(text)
-        if got is None:
-            data = text.encode()
-            whole = self.ranks.get(data)
-            ids = [whole] if whole is not None else self.model.encode("".join([self.letters[b] for b in data]))
-            got = np.asarray(ids, "<i4").tobytes()
-            if len(text) <= REMEMBERED:
-                if len(self.known) >= MEMORY:
-                    self.known.clear()
-                self.known[text] = got
-        return got
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pre-tokens in one call; a pre-token that is a vocabulary entry is that entry."""
+        fresh = []
+        for text in pieces:
+            whole = self.ranks.get(text.encode())
+            if whole is None:
+                fresh.append(text)
+            else:
+                self.known[text] = array("i", (whole,)).tobytes()
+        mapped = [x.encode().decode("latin-1").translate(self.letters) for x in fresh]
+        for text, ids in zip(fresh, self.model.encode(mapped, num_threads=1), strict=True):
+            self.known[text] = array("i", ids).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
-        piece, known = self.piece, self.known
-        return np.frombuffer(b"".join([known.get(x) or piece(x) for x in self.find(text or "")]), "<i4")
+        """The ids of a whole text as int32."""
+        pieces, known = self.find(text or ""), self.known
+        if missing := set(pieces).difference(known):
+            if len(known) + len(missing) > MEMORY:
+                known.clear()
+                missing = set(pieces)
+            self.learn(missing)
+        return np.frombuffer(b"".join([known[x] for x in pieces]), np.intc)
 
     def decode(self, ids: np.ndarray | None) -> bytes:
         tokens = self.tokens
