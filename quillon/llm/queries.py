@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, licences, mixing, quality, sharding
+from quillon.llm import bpe, html, licences, mixing, quality, sharding, warc
 from quillon.llm.common import table
 
 #: Bytes of a shard.
@@ -20,6 +20,14 @@ def op3_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
@@ -37,5 +45,5 @@ def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op2_extendible_sharding, op3_systematic_mixing, op7_licence_scan, op8_byte_bpe, op9_weak_supervision)}
-ORACLE = {"op2_extendible_sharding": sharding.shards_sql(SHARD_BYTES), "op3_systematic_mixing": mixing.PLAN_SQL}
+QUERIES = {f.__name__: f for f in (op2_extendible_sharding, op3_systematic_mixing, op4_html_main_text, op5_warc_round_trip, op7_licence_scan, op8_byte_bpe, op9_weak_supervision)}
+ORACLE = {"op2_extendible_sharding": sharding.shards_sql(SHARD_BYTES), "op3_systematic_mixing": mixing.PLAN_SQL, "op5_warc_round_trip": warc.ROUND_TRIP_SQL}
