@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, html, licences, mixing, quality, sharding, warc
+from quillon.llm import bpe, html, licences, mixing, quality, sharding, toxicity, warc
 from quillon.llm.common import table
 
 #: Bytes of a shard.
@@ -45,5 +45,12 @@ def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op2_extendible_sharding, op3_systematic_mixing, op4_html_main_text, op5_warc_round_trip, op7_licence_scan, op8_byte_bpe, op9_weak_supervision)}
+def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op2_extendible_sharding, op3_systematic_mixing, op4_html_main_text, op5_warc_round_trip, op7_licence_scan, op8_byte_bpe, op9_weak_supervision, op10_toxicity_grammar)}
 ORACLE = {"op2_extendible_sharding": sharding.shards_sql(SHARD_BYTES), "op3_systematic_mixing": mixing.PLAN_SQL, "op5_warc_round_trip": warc.ROUND_TRIP_SQL}
