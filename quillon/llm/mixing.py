@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import WORD, free_name, stored
 
 #: Slices of a (source, size class) cell; each is ranked by a task of its own.
-SLICES = 64
+SLICES = 16
 #: Steps of the random offset; a power of two keeps offset plus rank exact.
 STEPS = 1 << 20
 
@@ -36,10 +36,10 @@ def words(text: Column) -> Column:
 
 
 def size_class(size: Column) -> Column:
-    """Bit length and the next two bits: four classes to a doubling, from integers alone."""
+    """Bit length and the next four bits: sixteen classes to a doubling, from integers alone."""
     bits = F.length(F.bin(size)).cast("int")
-    below = F.greatest(bits - 3, F.lit(0))
-    return (bits * 4 + F.call_function("shiftright", size, below).cast("int") % 4).cast("int")
+    below = F.greatest(bits - 5, F.lit(0))
+    return (bits * 16 + F.call_function("shiftright", size, below).cast("int") % 16).cast("int")
 
 
 def unit(seed: int, source: Column) -> Column:
@@ -68,7 +68,7 @@ def shares(sizes: DataFrame, weights: Sequence[int], share: tuple[int, int], cap
         .withColumn("left", F.sum("source_size").over(all_rows) * share[0] - F.coalesce(F.sum("limit").over(before), F.lit(0)) * share[1])
         .withColumn("open", F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("level", F.col("left").cast("double") / (F.col("open") * share[1]))
-        .withColumn("fits", F.min(F.when(F.col("level") < F.col("ratio"), F.col("level"))).over(all_rows))
+        .withColumn("fits", F.first(F.when(F.col("level") < F.col("ratio"), F.col("level")), ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     )
     target = F.when(F.col("fits").isNull(), F.col("limit").cast("double")).otherwise(F.least(F.col("limit").cast("double"), F.col("fits") * F.col("weight")))
     return ranked.select("source", "source_size", target.alias("target"))
@@ -118,8 +118,8 @@ PLAN_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), classed AS (
-  SELECT *, length(bin(size)) * 4 + (size >> greatest(length(bin(size)) - 3, 0)) % 4 AS class,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) AS BIGINT) % 64 AS slice
+  SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 5, 0)) % 16 AS class,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) AS BIGINT) % 16 AS slice
   FROM rows
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, slice, size, doc_id NULLS LAST) AS rank FROM classed
@@ -134,7 +134,8 @@ WITH rows AS (
             / CAST((sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) * 2 AS DOUBLE) AS level
   FROM ratios WINDOW before AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), fitted AS (
-  SELECT *, min(CASE WHEN level < ratio THEN level END) OVER () AS fits FROM levels
+  SELECT *, first_value(CASE WHEN level < ratio THEN level END IGNORE NULLS)
+            OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fits FROM levels
 ), targets AS (
   SELECT source, source_size, CASE WHEN fits IS NULL THEN CAST(source_size * 2 AS DOUBLE) ELSE least(CAST(source_size * 2 AS DOUBLE), fits * weight) END AS target,
          CAST(CAST('0x' || substr(md5('7:' || coalesce('s' || source, 'null')), 1, 8) AS BIGINT) % 1048576 AS DOUBLE) / 1048576 AS off
