@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, html, licences, mixing, quality, sharding, toxicity, warc
+from quillon.llm import bpe, hamming, html, licences, mixing, neardup, quality, sharding, toxicity, warc
 from quillon.llm.common import table
 
 #: Bytes of a shard.
 SHARD_BYTES = 2 << 20
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hamming.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "distance")
+
+
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES).withColumnRenamed("key", "doc_id")
 
@@ -28,6 +33,11 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
+def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.components(table(spark, sf_dir, "documents"), neardup.Settings(shingle=3, percent=85))
+    return found.withColumnRenamed("key", "doc_id")
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
@@ -52,5 +62,5 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op2_extendible_sharding, op3_systematic_mixing, op4_html_main_text, op5_warc_round_trip, op7_licence_scan, op8_byte_bpe, op9_weak_supervision, op10_toxicity_grammar)}
-ORACLE = {"op2_extendible_sharding": sharding.shards_sql(SHARD_BYTES), "op3_systematic_mixing": mixing.PLAN_SQL, "op5_warc_round_trip": warc.ROUND_TRIP_SQL}
+QUERIES = {f.__name__: f for f in (op1_multi_index_hashing, op2_extendible_sharding, op3_systematic_mixing, op4_html_main_text, op5_warc_round_trip, op6_minhash_bayes, op7_licence_scan, op8_byte_bpe, op9_weak_supervision, op10_toxicity_grammar)}
+ORACLE = {"op1_multi_index_hashing": hamming.TOP_K_SQL, "op2_extendible_sharding": sharding.shards_sql(SHARD_BYTES), "op3_systematic_mixing": mixing.PLAN_SQL, "op5_warc_round_trip": warc.ROUND_TRIP_SQL}
