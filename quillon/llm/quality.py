@@ -87,11 +87,13 @@ def votes(measured: DataFrame) -> list[Column]:
 
 
 def _posterior(model: dict, vote: list[Column]) -> Column:
-    """Probability of a good document by its votes."""
-    odds = F.lit(math.log(model["share"] / (1 - model["share"])))
-    for v, (right, wrong) in zip(vote, model["rules"], strict=True):
-        odds = odds + F.when(v == 1, math.log(right / wrong)).when(v == -1, math.log((1 - right) / (1 - wrong))).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+    """Probability of a good document by its votes. The log odds of all votes stand in one array literal, so that each EM round runs the same compiled plan."""
+    odds = [x for right, wrong in model["rules"] for x in (math.log((1 - right) / (1 - wrong)), 0.0, math.log(right / wrong))]
+    worth = F.array(*[F.lit(x) for x in [math.log(model["share"] / (1 - model["share"])), *odds]])
+    total = F.get(worth, F.lit(0))
+    for k, v in enumerate(vote):
+        total = total + F.get(worth, v + (3 * k + 2))
+    return 1 / (1 + F.exp(-total))
 
 
 def fit(measured: DataFrame) -> dict:
@@ -112,7 +114,9 @@ def fit(measured: DataFrame) -> dict:
         # a pseudo-count of 1 at the start keeps rules that hardly vote near it
         rate = lambda x, y, start: ((x or 0.0) + start) / ((y or 0.0) + 1)
         rules = [(bounded(rate(row[f"a{k}"], row[f"b{k}"], RIGHT), RIGHT_IN), bounded(rate(row[f"c{k}"], row[f"d{k}"], WRONG), WRONG_IN)) for k in range(len(names))]
-        model = {"share": bounded(row["good"] / row["all"], SHARE_IN), "rules": rules}
+        before, model = model, {"share": bounded(row["good"] / row["all"], SHARE_IN), "rules": rules}
+        if max(abs(x - y) for m, n in zip(before["rules"], rules, strict=True) for x, y in zip(m, n, strict=True)) < 1e-4:
+            break
     return model
 
 
