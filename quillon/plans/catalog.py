@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import retrieval
+from quillon.plans import etl, retrieval
 
-PARTS = (retrieval,)
+PARTS = (retrieval, etl)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
