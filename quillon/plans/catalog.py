@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import etl, retrieval
+from quillon.plans import etl, retrieval, state
 
-PARTS = (retrieval, etl)
+PARTS = (retrieval, etl, state)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
