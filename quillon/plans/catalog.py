@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import etl, retrieval, state
+from quillon.plans import etl, retrieval, segments, state
 
-PARTS = (retrieval, etl, state)
+PARTS = (retrieval, etl, segments, state)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,44 @@
+from pyspark.sql import functions as F
+
+from quillon.functions import segments as G
+
+
+def packed(pieces, limit):
+    out = []
+    for p in pieces:
+        if out and len(out[-1]) + 1 + len(p) <= limit:
+            out[-1] += " " + p
+        else:
+            out.append(p)
+    return out
+
+
+def test_pack_equals_a_loop(spark):
+    words = [["a" * n for n in (3, 4, 90, 1, 1, 7, 30, 2)], [], ["x"]]
+    rows = spark.createDataFrame([(n, w) for n, w in enumerate(words)], "id INT, w ARRAY<STRING>")
+    got = {r["id"]: r["p"] for r in rows.select("id", G.pack(F.col("w"), 10).alias("p")).collect()}
+    assert got == {n: packed(w, 10) for n, w in enumerate(words)}
+
+
+def test_speech_chunks_lose_nothing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("text", G.speech_chunks(F.col("text")).alias("c")).collect()
+    for r in rows:
+        assert " ".join(r["c"]).split() == (r["text"] or "").split()
+        assert all(len(x) <= 720 or " " not in x for x in r["c"])
+
+
+def test_captions_keep_sentences_apart():
+    text = "Mức thuế tương ứng với doanh thu của từng ngành nghề kinh doanh theo quy định. Người nộp thuế tự kê khai."
+    got = G.caption_list(text, 80)
+    assert any(x.endswith("quy định.") for x in got) and got[-1] == "Người nộp thuế tự kê khai."
+    assert G.caption_list(None) == [] and G.caption_list("  ") == []
+
+
+def test_evidence_chunks_overlap():
+    lines = [f"line {n} " + "x" * 90 for n in range(220)]
+    got = G.evidence_list("\n".join(lines))
+    assert all(len(c) <= 3600 for c in got) and got[0].split("\n")[-4:] == got[1].split("\n")[:4]
+    assert {x for c in got for x in c.split("\n")} == set(lines)
+    long = G.evidence_list("y" * 8000)
+    assert max(map(len, long)) <= 3600 and len(long) == 3
