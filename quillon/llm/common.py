@@ -30,14 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small table through a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of a large table: Parquet in the shared folder, so later reads prune columns and survive lost executors."""
+    """Cut the lineage of a table: Parquet in the shared folder, so later reads prune columns and survive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/quillon-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -54,3 +48,8 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small table. A written table rather than ``checkpoint()``: a checkpointed frame keeps its plan's constraints, which grow exponentially in loops."""
+    return stored(df, "cut")

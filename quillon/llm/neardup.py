@@ -9,8 +9,8 @@
 4. Survivors are verified exactly on their full sets, the best pair of each node first; pairs inside a component that is
    connected by then add nothing and are skipped.
 5. Buckets whose nodes still lie in several components are compared in blocks: nodes outside the bucket's largest component
-   against all of its nodes, inside tasks, which emit only pairs that pass the test. So every pair of a bucket that could
-   still join two components is tested, and no group is expanded into its pairs.
+   against all of its nodes, inside tasks, by the test and then exactly; tasks emit verified links alone, one for a node and
+   a component. So every pair of a bucket that could still join two components is tested, and no group is expanded.
 
 Bands are as many as it takes to miss a pair at the threshold with probability ``miss`` at most.
 
@@ -167,10 +167,10 @@ def matches(settings: Settings):
 
 
 def buckets(classes: DataFrame, settings: Settings) -> DataFrame:
-    """``bucket, node`` for each band of each node."""
+    """``band, bucket, node`` for each band of each node."""
     width = 2 * settings.rows
     values = F.transform(F.sequence(F.lit(0), F.lit(settings.bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * width + 1, F.lit(width))))
-    return classes.select(F.explode(values).alias("bucket"), "node")
+    return classes.select(F.posexplode(values).alias("band", "bucket"), "node")
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
@@ -192,30 +192,31 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: Settings, key: st
     ids = wanted.select(F.col("first").alias("first_key")).distinct()
     rows = rows.join(ids, F.col("key").eqNullSafe(F.col("first_key")), "left_semi")
 
-    @pandas_udf("h1 bigint, h2 bigint, shingles binary")
-    def sets(column: pd.Series) -> pd.DataFrame:
-        own, out = Sketcher(settings), []
-        for text in column:
-            s = own.shingles(text)
-            out.append((*own.fingerprint(s), s.tobytes()))
-        return pd.DataFrame(out, columns=["h1", "h2", "shingles"])
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Sketcher(settings)
+        for batch in batches:
+            made = [own.shingles(x) for x in batch.text]
+            yield pd.DataFrame([(*own.fingerprint(s), s.tobytes()) for s in made], columns=["h1", "h2", "shingles"])
 
-    found = rows.select(sets("text").alias("s")).select("s.*")
+    found = rows.select("text").mapInPandas(sets, "h1 bigint, h2 bigint, shingles binary")
     return found.join(wanted.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "shingles").dropDuplicates(["node"])
 
 
+def similar_sets(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity; sizes that can't are told apart at once."""
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * shared >= percent * (len(s) + len(t) - shared)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     percent = settings.percent
 
     @pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            shared = len(np.intersect1d(s, t, assume_unique=True)) if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) else 0
-            out.append(100 * shared >= percent * (len(s) + len(t) - shared))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([similar_sets(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     own = sets.select("node", "shingles")
     return pairs.join(own.toDF("a", "xa"), "a").join(own.toDF("b", "xb"), "b").where(similar("xa", "xb")).select("a", "b")
@@ -232,10 +233,12 @@ def connected(edges: DataFrame) -> DataFrame:
         rank = lambda c, n=number: F.xxhash64(F.lit(n), F.col(c))
         hooks = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("to"))).alias("best"))
         hooks = hooks.select(F.col("a").alias("from"), F.when(F.struct(rank("a"), F.col("a")) < F.col("best"), F.col("a")).otherwise(F.col("best.to")).alias("to"))
+        # pointer jumping: each hook is followed three times more
+        first = cut(hooks)
+        hooks, onwards = first, first.select(F.col("from").alias("to"), F.col("to").alias("far"))
+        for _ in range(3):
+            hooks = hooks.join(onwards, "to", "left").select("from", F.coalesce("far", "to").alias("to"))
         hooks = cut(hooks)
-        # one step of pointer jumping shortens chains
-        jump = hooks.select(F.col("from").alias("to"), F.col("to").alias("far"))
-        hooks = cut(hooks.join(jump, "to", "left").select("from", F.coalesce("far", "to").alias("to")))
         labels = cut(labels.join(hooks.withColumnRenamed("from", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         left, right = hooks.toDF("a", "ra"), hooks.toDF("b", "rb")
         edges = edges.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where(F.col("a") != F.col("b"))
@@ -243,19 +246,33 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` with more edges: only the components that these join are worked on."""
+    more = connected(apart(edges, labels)).toDF("root", "onto")
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(labels, "node", "left_anti").withColumn("root", F.col("node"))
+    return cut(labels.union(ends).join(more, "root", "left").select("node", F.coalesce("onto", "root").alias("root")))
+
+
 def labelled(df: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
     """``df`` with the component ``name`` of ``column``; a node without edges is its own."""
     return df.join(labels.select(F.col("node").alias(column), F.col("root").alias("root_")), column, "left").withColumn(name, F.coalesce("root_", column)).drop("root_")
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components, as pairs of components ``a, b``."""
+    both = labelled(labelled(pairs.select("a", "b"), "a", labels, "ra"), "b", labels, "rb")
+    return both.where(F.col("ra") != F.col("rb")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
 #: Rows of a block's two sides.
-LEFT, RIGHT = 512, 4096
+LEFT, RIGHT = 512, 1024
 
 
-def block_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs across components that pass the Bayesian test, from buckets of three nodes and more that hold several components.
+def deal(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes of buckets of three and more that hold several components, dealt into blocks.
 
-    A pair may come from several bands; the caller keeps it once.
+    Nodes outside the bucket's largest component stand on the left of blocks, all nodes on the right: a bucket of n nodes,
+    k of them outside, makes about n * k / LEFT + k * n / RIGHT rows, and n rows where k is small.
     """
     rows = labelled(members, "node", labels, "part")
     parts = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -263,29 +280,36 @@ def block_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, setti
     mixed = mixed.where((F.col("parts") > 1) & (F.col("all") > 2)).select("bucket", "all", F.col("most.part").alias("main"), (F.col("all") - F.col("most.n")).alias("others"))
     rows = rows.join(mixed, "bucket")
     lefts, rights = F.ceil(F.col("others") / LEFT).cast("int"), F.ceil(F.col("all") / RIGHT).cast("int")
-    other = F.col("part") != F.col("main")
-    hashed = F.xxhash64("node")
-    as_right = rows.select("bucket", "node", "part", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("l"), F.pmod(hashed, rights).cast("int").alias("r"), F.lit(0).alias("side"))
-    as_left = rows.where(other).select("bucket", "node", "part", F.pmod(hashed, lefts).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("r"), F.lit(1).alias("side"))
-    dealt = as_right.unionByName(as_left).join(classes.select("node", "signature"), "node")
-    dealt = dealt.repartition("bucket", "l", "r").sortWithinPartitions("bucket", "l", "r", "side")
-    least = settings.least()
+    hashed, same = F.xxhash64("node"), ["bucket", "band", "node", "part"]
+    as_right = rows.select(*same, F.explode(F.sequence(F.lit(0), lefts - 1)).alias("l"), F.pmod(hashed, rights).cast("int").alias("r"), F.lit(0).alias("side"))
+    as_left = rows.where(F.col("part") != F.col("main")).select(*same, F.pmod(hashed, lefts).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("r"), F.lit(1).alias("side"))
+    return as_right.unionByName(as_left)
+
+
+def passing(block: pd.DataFrame, settings: Settings, least: list[tuple[int, int]]) -> Iterator[tuple[pd.Series, pd.DataFrame, np.ndarray]]:
+    """For each left row: the right rows of other components that pass the Bayesian test, and their matches. A pair is looked at in the first band that it agrees on."""
+    right, left = (block[block.side == s] for s in (0, 1))
+    if not len(right) or not len(left):
+        return
+    signs, parts, band = np.frombuffer(b"".join(right.signature), "<u2").reshape(len(right), -1), right.part.to_numpy(), int(left.band.iloc[0])
+    for own in left.itertuples(index=False):
+        mine = np.frombuffer(own.signature, "<u2")
+        alive = np.flatnonzero(parts != own.part)
+        got, before = np.zeros(len(signs), int), 0
+        for n, m in least:
+            got[alive] += (signs[alive, before:n] == mine[before:n]).sum(axis=1)
+            alive, before = alive[got[alive] >= m], n
+        if len(alive):
+            agree = (signs[alive] == mine).reshape(len(alive), settings.bands, settings.rows).all(axis=2)
+            alive = alive[agree.argmax(axis=1) == band]
+        if len(alive):
+            yield own, right.iloc[alive], got[alive]
 
-    def compare(block: pd.DataFrame) -> list[tuple[int, int]]:
-        sides = [block[block.side == s] for s in (0, 1)]
-        if not len(sides[0]) or not len(sides[1]):
-            return []
-        right, left = (np.frombuffer(b"".join(x.signature), "<u2").reshape(len(x), -1) for x in sides)
-        (nodes, roots), (own, kin) = ((x.node.to_numpy(), x.part.to_numpy()) for x in sides)
-        out = []
-        for k in range(len(own)):
-            alive = np.flatnonzero(roots != kin[k])
-            got, before = np.zeros(len(nodes), int), 0
-            for n, m in least:
-                got[alive] += (right[alive, before:n] == left[k, before:n]).sum(axis=1)
-                alive, before = alive[got[alive] >= m], n
-            out += [(min(own[k], nodes[x]), max(own[k], nodes[x])) for x in alive]
-        return out
+
+def by_blocks(dealt: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on each block's rows; blocks are shuffled together, sorted and streamed, one in memory at a time."""
+    dealt = dealt.repartition("bucket", "l", "r").sortWithinPartitions("bucket", "l", "r", "side")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -293,12 +317,44 @@ def block_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, setti
             held = batch if held is None else pd.concat([held, batch])
             ids = held.groupby(["bucket", "l", "r"], sort=False).ngroup().to_numpy()
             done, held = held[ids < ids[-1]], held[ids == ids[-1]]
-            pairs = [p for _, block in done.groupby(["bucket", "l", "r"], sort=False) for p in compare(block)]
-            yield pd.DataFrame(sorted(set(pairs)), columns=["a", "b"], dtype="int64")
+            out = sorted({x for _, block in done.groupby(["bucket", "l", "r"], sort=False) for x in work(block)})
+            yield pd.DataFrame(out, columns=names, dtype="int64")
         if held is not None:
-            yield pd.DataFrame(sorted(set(compare(held))), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(sorted(set(work(held))), columns=names, dtype="int64")
+
+    return dealt.mapInPandas(blocks, schema)
+
+
+def nodes_to_verify(members: DataFrame, labels: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """Nodes of mixed buckets that pass the test with a node of another component."""
+    least = settings.least()
+
+    def work(block: pd.DataFrame) -> set[tuple[int]]:
+        found = set()
+        for own, others, _ in passing(block, settings, least):
+            found |= {(own.node,), *((x,) for x in others.node)}
+        return found
+
+    return by_blocks(deal(members, labels).join(classes.select("node", "signature"), "node"), work, "node bigint").distinct()
+
+
+def block_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Verified links between components inside mixed buckets, the best pairs first; a node needs one link to a component."""
+    least, percent = settings.least(), settings.percent
+
+    def work(block: pd.DataFrame) -> set[tuple[int, int]]:
+        found = set()
+        for own, others, matched in passing(block, settings, least):
+            mine, joined = np.frombuffer(own.shingles, np.uint64), set()
+            nodes, parts, theirs = others.node.tolist(), others.part.tolist(), others.shingles.tolist()
+            for at in np.argsort(-matched, kind="stable").tolist():
+                if parts[at] not in joined and similar_sets(mine, np.frombuffer(theirs[at], np.uint64), percent):
+                    joined.add(parts[at])
+                    found.add((min(own.node, nodes[at]), max(own.node, nodes[at])))
+        return found
 
-    return dealt.select("bucket", "l", "r", "side", "node", "part", "signature").mapInPandas(blocks, "a bigint, b bigint").distinct()
+    rows = deal(members, labels).join(classes.select("node", "signature"), "node").join(sets.select("node", "shingles"), "node")
+    return by_blocks(rows, work, "a bigint, b bigint").distinct()
 
 
 def components(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,20 +370,15 @@ def components(docs: DataFrame, settings: Settings | None = None, key: str = "do
     nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     sets = stored(shingle_sets(docs, classes.join(nodes, "node"), settings, key, text), "sets")
     best = stars.groupBy("b").agg(F.max(F.struct("matched", "a")).alias("best")).select("best.a", "b")
-    edges = cut(verified(best, sets, settings))
-    labels = connected(edges)
-    apart = lambda pairs, labels: labelled(labelled(pairs, "a", labels, "ra"), "b", labels, "rb").where(F.col("ra") != F.col("rb")).select("a", "b")
-    rest = apart(stars.select("a", "b"), labels).join(best, ["a", "b"], "left_anti")
-    more = cut(verified(rest, sets, settings))
-    if not more.isEmpty():
-        edges = edges.union(more)
-        labels = connected(edges)
-    blocked = cut(block_pairs(members, labels, classes, settings).join(stars, ["a", "b"], "left_anti").join(stars.toDF("b", "a", "matched"), ["a", "b"], "left_anti"))
-    if not blocked.isEmpty():
-        also = blocked.select(F.col("a").alias("node")).union(blocked.select("b")).distinct().join(nodes, "node", "left_anti")
+    labels = connected(verified(best, sets, settings))
+    still = labelled(labelled(stars.select("a", "b"), "a", labels, "ra"), "b", labels, "rb").where(F.col("ra") != F.col("rb")).select("a", "b")
+    more = cut(verified(still.join(best, ["a", "b"], "left_anti"), sets, settings))
+    labels = extended(labels, more)
+    open_nodes = cut(nodes_to_verify(members, labels, classes, settings))
+    if not open_nodes.isEmpty():
+        also = open_nodes.join(nodes, "node", "left_anti")
         sets = sets.unionByName(stored(shingle_sets(docs, classes.join(also, "node"), settings, key, text), "sets"))
-        edges = edges.union(verified(blocked, sets, settings))
-        labels = connected(edges)
+        labels = extended(labels, cut(block_links(members.join(open_nodes, "node"), labels, classes, sets, settings)))
     rooted = labelled(classes.select("node", "h1", "h2", "first"), "node", labels, "root")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     rooted = rooted.join(least, "root").select("h1", "h2", F.lit(True).alias("found"), "component_id")
