@@ -3,7 +3,7 @@
 Rules vote for (1) or against (-1) a document, or abstain (0). Expectation-maximisation over the counts of vote patterns
 estimates how often each rule is for good and for bad documents, and the share of good ones; the posterior probability that a
 document is good replaces all-must-pass filtering. The counts cover every document. There are at most 3**rules patterns,
-whatever the corpus; each EM round is an aggregate over them that brings one row of sums to the driver.
+whatever the corpus; each EM round is an aggregate over them that brings three sums for each rule to the driver.
 
 Repeated 8-word windows are found inside a row: hashes of all windows are sorted with their positions, equal neighbours
 marked, and the words they cover counted, in n log n. No text leaves its row.
@@ -82,40 +82,37 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return found.select("key", "of_words.*", "of_lines.*", "word_chars", "n_symbols", "n_runs", "n_capitals", "n_shouts", "n_stops")
 
 
-def votes(measured: DataFrame) -> list[Column]:
-    return [F.when(F.expr(good), 1).when(F.expr(bad), -1).otherwise(0).cast("int").alias(f"vote_{name}") for name, (good, bad) in RULES.items()]
+def votes() -> Column:
+    """The votes of all rules, in their order, as array<int>."""
+    return F.array(*[F.when(F.expr(good), 1).when(F.expr(bad), -1).otherwise(0) for good, bad in RULES.values()])
 
 
-def _posterior(model: dict, vote: list[Column]) -> Column:
+def _posterior(model: dict, vote: str) -> Column:
     """Probability of a good document by its votes. The log odds of all votes stand in one array literal, so that each EM round runs the same compiled plan."""
     odds = [x for right, wrong in model["rules"] for x in (math.log((1 - right) / (1 - wrong)), 0.0, math.log(right / wrong))]
     worth = F.array(*[F.lit(x) for x in [math.log(model["share"] / (1 - model["share"])), *odds]])
-    total = F.get(worth, F.lit(0))
-    for k, v in enumerate(vote):
-        total = total + F.get(worth, v + (3 * k + 2))
-    return 1 / (1 + F.exp(-total))
+    places = F.transform(F.col(vote), lambda v, k: F.get(worth, 3 * k + v + 2))
+    return 1 / (1 + F.exp(-F.aggregate(places, F.get(worth, F.lit(0)), lambda total, x: total + x)))
 
 
 def fit(measured: DataFrame) -> dict:
     """The share of good documents and, for each rule, how often it votes for good and for bad documents when it votes."""
-    names = [f"vote_{n}" for n in RULES]
-    patterns = cut(measured.select(*votes(measured)).groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
-    model = {"share": SHARE, "rules": [(RIGHT, WRONG)] * len(names)}
+    patterns = cut(measured.select(votes().alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")))
+    model = {"share": SHARE, "rules": [(RIGHT, WRONG)] * len(RULES)}
     bounded = lambda x, inside: min(inside[1], max(inside[0], x))
+    # a pseudo-count of 1 at the start keeps rules that hardly vote near it
+    rate = lambda x, y, start: (x + start) / (x + y + 1)
     for _ in range(ROUNDS):
-        p = _posterior(model, [F.col(n) for n in names])
-        sums = [F.sum(F.col("n") * p).alias("good"), F.sum("n").alias("all")]
-        for k, name in enumerate(names):
-            v = F.col(name)
-            sums += [F.sum(F.when(v == 1, F.col("n") * p)).alias(f"a{k}"), F.sum(F.when(v != 0, F.col("n") * p)).alias(f"b{k}"), F.sum(F.when(v == 1, F.col("n") * (1 - p))).alias(f"c{k}"), F.sum(F.when(v != 0, F.col("n") * (1 - p))).alias(f"d{k}")]
-        row = patterns.agg(*sums).first()
-        if not row["all"]:
+        weighed = patterns.select("votes", (F.col("n") * _posterior(model, "votes")).alias("good"), "n")
+        each = weighed.select(F.posexplode("votes").alias("rule", "vote"), "good", (F.col("n") - F.col("good")).alias("bad"))
+        sums = {(r["rule"], r["vote"]): (r["good"], r["bad"]) for r in each.groupBy("rule", "vote").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()}
+        if not sums:
             break
-        # a pseudo-count of 1 at the start keeps rules that hardly vote near it
-        rate = lambda x, y, start: ((x or 0.0) + start) / ((y or 0.0) + 1)
-        rules = [(bounded(rate(row[f"a{k}"], row[f"b{k}"], RIGHT), RIGHT_IN), bounded(rate(row[f"c{k}"], row[f"d{k}"], WRONG), WRONG_IN)) for k in range(len(names))]
-        before, model = model, {"share": bounded(row["good"] / row["all"], SHARE_IN), "rules": rules}
-        if max(abs(x - y) for m, n in zip(before["rules"], rules, strict=True) for x, y in zip(m, n, strict=True)) < 1e-4:
+        at = lambda k, v: sums.get((k, v), (0.0, 0.0))  # noqa: B023, E731
+        rules = [tuple(bounded(rate(at(k, 1)[c], at(k, -1)[c], start), inside) for c, (start, inside) in enumerate([(RIGHT, RIGHT_IN), (WRONG, WRONG_IN)])) for k in range(len(RULES))]
+        good, bad = (sum(at(0, v)[c] for v in (-1, 0, 1)) for c in (0, 1))
+        before, model = model, {"share": bounded(good / (good + bad), SHARE_IN), "rules": rules}
+        if max(abs(x - y) for m, n in zip(before["rules"], rules, strict=True) for x, y in zip(m, n, strict=True)) < 1e-3:
             break
     return model
 
@@ -125,7 +122,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     measured = stored(measure(docs, key, text), "quality")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     model = fit(measured)
-    out = measured.withColumn("base_failed", failed).withColumn("p_good", _posterior(model, votes(measured)))
+    out = measured.withColumn("base_failed", failed).withColumn("votes", votes()).withColumn("p_good", _posterior(model, "votes"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
