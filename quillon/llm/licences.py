@@ -1,7 +1,7 @@
 """Licence scans by a positional rare-token index, from DataFrame and SQL functions alone.
 
 The index holds the words of licence templates with their positions. Document frequencies of all template words are
-counted over the whole corpus; of each template, the words with the highest IDF are looked up in each file. A word at
+counted over the whole corpus; of each template's key phrases, the words with the highest IDF are looked up in each file. A word at
 place ``p`` of a file and at place ``t`` of a template votes for the alignment ``p - t``; alignments on which the votes
 of a template agree are kept if they hold enough of its IDF weight and the template's mandatory key phrases stand in the
 file. Base phrases are matched at all places beside that.
@@ -82,10 +82,12 @@ def index(docs: DataFrame, text: str = "text") -> list[tuple[int, str, int, floa
     known = {r["word"]: r["idf"] for r in idf.collect()}
     most = max(known.values(), default=1.0) + 1.0
     out = []
-    for number, (_, template, _) in enumerate(TEMPLATES):
+    for number, (_, template, keys) in enumerate(TEMPLATES):
         words_here = template.split()
-        rare = sorted(set(words_here), key=lambda w: (-known.get(w, most), w))[:ANCHORS]
-        out += [(number, w, place, known.get(w, most)) for place, w in enumerate(words_here) if w in rare]
+        # notices are often quoted in part; what has to stand in a file are the key phrases, so their words are the ones to look up
+        inside_keys = {k + j for p in keys for k in range(len(words_here)) if words_here[k : k + len(p.split())] == p.split() for j in range(len(p.split()))}
+        rare = sorted({words_here[k] for k in inside_keys}, key=lambda w: (-known.get(w, most), w))[:ANCHORS]
+        out += [(number, words_here[k], k, known.get(words_here[k], most)) for k in sorted(inside_keys) if words_here[k] in rare]
     return out
 
 
