@@ -38,7 +38,8 @@ def search_hints(queries: DataFrame, query: str = "query") -> DataFrame:
     n = F.col("normalised")
     kind = F.coalesce(*[F.when(n.rlike(p), label) for p, label in TYPES])
     hit = [F.when(n.rlike(p), F.struct(F.regexp_extract(n, p, 1).alias("number"), _found(n, p, 2).alias("year"))) for p in NUMBERS]
-    rows = queries.withColumn("normalised", T.normalise_query(F.col(query))).withColumn("type", kind).withColumn("hit", F.coalesce(*hit))
+    # exploding a one-element array keeps the optimiser from copying the long normalisation into every expression below
+    rows = queries.withColumn("normalised", F.explode(F.array(T.normalise_query(F.col(query))))).withColumn("type", kind).withColumn("hit", F.coalesce(*hit))
     year_like = lambda c: c.rlike(r"^(?:19|20)\d{2}$")
     direct = F.when(~year_like(F.col("hit.number")), F.col("hit.number"))
     trailing = F.when(F.col("type").isNotNull(), _found(n, TRAILING, 1))
