@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -79,10 +82,6 @@ def next_in_sequence(rows: DataFrame, column: str) -> DataFrame:
 
 def shift_formula(formula: Column, rows: Column) -> Column:
     """Cell references moved by some rows; absolute rows stay. References are rewritten one by one, which SQL functions can't."""
-    import re
-
-    import pandas as pd
-
     cell = re.compile(r"(\$?[A-Z]{1,3})(\$?)(\d+)")
 
     @pandas_udf("string")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import etl, policies, retrieval, segments, state
+from quillon.plans import etl, layout, policies, retrieval, segments, state
 
-PARTS = (retrieval, etl, policies, segments, state)
+PARTS = (retrieval, etl, layout, policies, segments, state)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
