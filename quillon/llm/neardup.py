@@ -399,3 +399,29 @@ def keep_one(docs: DataFrame, settings: Settings | None = None, key: str = "doc_
     return single.unionByName(shared.select(*columns))
 
 
+
+
+def components_sql(settings: Settings) -> str:
+    """DuckDB's form over documents without repeated ids: exact sets, all pairs that share a shingle, reachability."""
+    k, percent = settings.shingle, settings.percent
+    joined = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: {joined})) END AS s FROM words
+), sizes AS (
+  SELECT doc_id, len(s) AS n FROM sets
+), shingles AS (
+  SELECT doc_id, unnest(s) AS g FROM sets
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * shared >= {percent} * (p.n + q.n - shared)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, e.y FROM reach r JOIN edges e ON e.x = r.other
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""

@@ -10,6 +10,8 @@ from quillon.llm.common import table
 
 #: Bytes of a shard.
 SHARD_BYTES = 2 << 20
+#: Near-duplicates of whole documents.
+NEAR = neardup.Settings(shingle=3, percent=85)
 
 
 def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.components(table(spark, sf_dir, "documents"), neardup.Settings(shingle=3, percent=85))
+    found = neardup.components(table(spark, sf_dir, "documents"), NEAR)
     return found.withColumnRenamed("key", "doc_id")
 
 
@@ -63,4 +65,4 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_multi_index_hashing, op2_extendible_sharding, op3_systematic_mixing, op4_html_main_text, op5_warc_round_trip, op6_minhash_bayes, op7_licence_scan, op8_byte_bpe, op9_weak_supervision, op10_toxicity_grammar)}
-ORACLE = {"op1_multi_index_hashing": hamming.TOP_K_SQL, "op2_extendible_sharding": sharding.shards_sql(SHARD_BYTES), "op3_systematic_mixing": mixing.PLAN_SQL, "op5_warc_round_trip": warc.ROUND_TRIP_SQL}
+ORACLE = {"op1_multi_index_hashing": hamming.TOP_K_SQL, "op2_extendible_sharding": sharding.shards_sql(SHARD_BYTES), "op3_systematic_mixing": mixing.PLAN_SQL, "op5_warc_round_trip": warc.ROUND_TRIP_SQL, "op6_minhash_bayes": neardup.components_sql(NEAR)}
