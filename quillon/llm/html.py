@@ -38,7 +38,11 @@ MARKS = set("""ad ads adbox adslot advert adverts advertisement advertising adse
     comment comments commentlist consent cookie cookies copyright discussion disqus footer form gdpr header login masthead menu modal nav navbar
     navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promoted promotion
     recommend recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored
-    subscribe subscription taboola toolbar topbar widget""".split())
+    responses snackbar subscribe subscription taboola toast toolbar topbar widget""".split())
+#: Compounds of menu words, such as mainnav or sidebarlinks.
+MENU = re.compile(r"(?:top|main|site|sub|side|foot|left|right|bottom|header|footer|global|primary|secondary|page)?(?:nav|navi|navbar|navigation|menu|sidebar)(?:links?|list|items?|bar|box)?")
+#: Words of wrappers around the whole page, whose other words say what they hold beside the text (page-with-sidebar).
+WRAPS = set("container content has layout main no page post wrapper wrap with without".split())
 #: Words of class and id that clear an element of such marks.
 CLEAR = set("article body content entry main post story text".split())
 
@@ -129,12 +133,23 @@ def ordered(root: Node) -> list[Node]:
 
 def prune(nodes: list[Node]) -> None:
     """Mark what isn't main text. A marked class or id doesn't cut off the elements that hold an article, main part or most of the text."""
-    holders: set[int] = set()
+    holders, seen = set(), set()
+    raw: dict[int, int] = {}
+    for node in reversed(nodes):
+        own = raw.get(id(node), 0) + sum(len(x.strip()) for x in node.below if isinstance(x, str))
+        raw[id(node)] = own
+        if node.above is not None:
+            raw[id(node.above)] = raw.get(id(node.above), 0) + own
+    most = raw[id(nodes[0])] / 2
     for node in nodes:
+        if node.tokens & WRAPS and raw[id(node)] > most:
+            holders.add(id(node))
         if node.name in ("article", "main") or node.role in ("article", "main"):
-            while node is not None and id(node) not in holders:
-                holders.add(id(node))
-                node = node.above
+            up = node
+            while up is not None and id(up) not in seen:
+                seen.add(id(up))
+                up = up.above
+    holders |= seen
     inside: set[int] = set()  # nodes within an article or main part
     for node in nodes:
         if node.above is not None and (id(node.above) in inside or node.above.name in ("article", "main")):
@@ -143,11 +158,12 @@ def prune(nodes: list[Node]) -> None:
             node.useless = True
         if node.useless:
             continue
-        if node.name in NEVER or node.role in ROLES or node.name == "header" and id(node) not in inside:
+        wraps = node.name == "form" and (id(node) in holders or raw[id(node)] > most)  # a form around the whole page
+        if node.name in NEVER and not wraps or node.role in ROLES or node.name == "header" and id(node) not in inside:
             node.useless = True
-        elif node.tokens & MARKS and node.name not in ("html", "body", "article", "main") and id(node) not in holders:
-            titles = id(node) in inside and node.tokens & MARKS <= {"header", "banner"}
-            node.useless = not titles and not (node.tokens & CLEAR and node.tokens & MARKS <= {"form", "search", "social", "widget"})
+        elif node.name not in ("html", "body", "article", "main") and id(node) not in holders and (marks := {x for x in node.tokens if x in MARKS or MENU.fullmatch(x)}):
+            titles = id(node) in inside and marks <= {"header", "banner"}
+            node.useless = not titles and not (node.tokens & CLEAR and marks <= {"form", "search", "social", "widget"})
 
 
 def weigh(nodes: list[Node]) -> None:
