@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import etl, guards, layout, policies, retrieval, segments, state
+from quillon.plans import etl, guards, layout, policies, retrieval, segments, selection, state
 
-PARTS = (retrieval, etl, guards, layout, policies, segments, state)
+PARTS = (retrieval, etl, guards, layout, policies, segments, selection, state)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
