@@ -51,6 +51,8 @@ TEMPLATES = [
 ]
 #: Words looked up for each template, and the share of their IDF weight that an alignment has to hold.
 ANCHORS, SHARE = 4, 0.6
+#: Least IDF of a looked-up word, as a share of the highest IDF in its key phrases.
+RARE = 0.5
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -87,6 +89,8 @@ def index(docs: DataFrame, text: str = "text") -> list[tuple[int, str, int, floa
         # notices are often quoted in part; what has to stand in a file are the key phrases, so their words are the ones to look up
         inside_keys = {k + j for p in keys for k in range(len(words_here)) if words_here[k : k + len(p.split())] == p.split() for j in range(len(p.split()))}
         rare = sorted({words_here[k] for k in inside_keys}, key=lambda w: (-known.get(w, most), w))[:ANCHORS]
+        # frequent words such as "by" would be looked up all over the corpus and tell nothing
+        rare = [w for w in rare if known.get(w, most) >= RARE * known.get(rare[0], most)]
         out += [(number, words_here[k], k, known.get(words_here[k], most)) for k in sorted(inside_keys) if words_here[k] in rare]
     return out
 
