@@ -164,36 +164,63 @@ def clarification(plans: DataFrame) -> DataFrame:
 
 
 ADMINISTRATION = r"\b(?:luat quan ly thue|quan ly thue|thu tuc thue|khai thue|hoan thue)\b"
-TAX_WORDS = r"\b(?:thue|hoa don|hai quan|le phi|quan ly thue)\b"
+TAX_WORDS = r"\b(?:thue|gtgt|tncn|tndn|gia tri gia tang|hoa don|hai quan|le phi|quan ly thue)\b"
+HOUSEHOLD = r"\b(?:ho kinh doanh|ca nhan kinh doanh)\b"
+BUSINESS = r"\b(?:doanh nghiep|cong ty|to chuc|nguoi nop thue)\b"
 #: Words that source relevance ignores.
 RELEVANCE_STOP = "thue van ban quy dinh hien hanh nguoi dung can phai duoc khong thi va cua cho nam".split()
+#: Labels whose pattern in a source differs from that in a question.
+IN_SOURCES = {
+    "thuế giá trị gia tăng": r"\b(?:gtgt|gia tri gia tang|thue vat)\b",
+    "thuế tài nguyên và môi trường": r"\b(?:thue tai nguyen|thue bao ve moi truong)\b",
+    "thuế suất, mức thuế và cách tính": r"\b(?:thue suat|muc thue|can cu tinh thue|cach tinh|so thue phai nop)\b",
+    "ngưỡng doanh thu, miễn thuế, không chịu thuế": r"\b(?:nguong doanh thu|mien thue|giam thue|khong chiu thue|khong phai nop)\b",
+    "khai thuế, hồ sơ và mẫu biểu": r"\b(?:khai thue|to khai|ho so|mau bieu|phu luc)\b",
+    "thời hạn khai, nộp và xử lý": r"\b(?:thoi han|han nop|cham nhat|thoi gian giai quyet)\b",
+    "khấu trừ thuế, chi phí được trừ": r"\b(?:khau tru|chi phi duoc tru|thue dau vao|giam tru)\b",
+    "xử phạt, tiền chậm nộp và cưỡng chế": r"\b(?:xu phat|tien cham nop|cham nop|cuong che|vi pham)\b",
+    "phân bổ nghĩa vụ thuế, khai tập trung": r"\b(?:phan bo|khai tap trung|dia phuong khac)\b",
+    "sửa đổi, bổ sung, thay thế và đối chiếu": r"\b(?:sua doi|bo sung|thay the|bai bo|diem moi)\b",
+}
+SOURCE_RULES = [(kind, n, label, IN_SOURCES.get(label, pattern)) for kind, n, label, pattern in RULES]
+#: Which of a question's intents a source has to share, first match.
+PRIMARY = [INTENTS[n][0] for n in (6, 7, 9, 4, 5, 8, 1, 0, 10, 11, 2, 3)]
+
+
+def labels_by_kind(texts: DataFrame, key: str, text: str, rules: list[tuple], prefix: str = "") -> DataFrame:
+    """All labels of each text by kind, as ``areas``, ``subjects``, ``intents``; empty arrays where none matches."""
+    hits = match_rules(texts.select(key, text), text, rule_table(texts.sparkSession, rules))
+    found = hits.groupBy(key).agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("label"))).alias(f"{prefix}{k}s") for k in CAPS])
+    empty = F.array().cast("array<string>")
+    return texts.join(found, key, "left").select(*texts.columns, *[F.coalesce(f"{prefix}{k}s", empty).alias(f"{prefix}{k}s") for k in CAPS])
 
 
 def source_relevance(queries: DataFrame, candidates: DataFrame, query: str = "query", candidate: str = "body") -> DataFrame:
-    """Relevance of each candidate for each query: matched areas, intents and subjects, an administration bridge and shared tokens; rejections below zero."""
-    spark = queries.sparkSession
-    plans = question_plans(queries, "qid", query)
-    body = candidates.select("cid", T.normalise_plain(F.col(candidate)).alias("body"))
-    of_body = match_rules(body, "body", rule_table(spark)).groupBy("cid").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("label"))).alias(f"c_{k}s") for k in CAPS])
-    body = body.join(of_body, "cid", "left")
-    empty = F.array().cast("array<string>")
-    shared = lambda k: F.size(F.array_intersect(f"{k}s", F.coalesce(F.col(f"c_{k}s"), empty)))
+    """Relevance of each candidate for each query: matched areas, intents and subjects, an administration bridge and shared tokens;
+    below zero for sources without a tax word, for another audience, without the question's primary intent, or off its area."""
+    asked = queries.select("qid", T.normalise_plain(F.col(query)).alias("normalised"))
+    asked = labels_by_kind(asked, "qid", "normalised", RULES).withColumn("asks", F.col("normalised").rlike(ASKS) & ~F.col("normalised").rlike(HAS_REFERENCE))
+    asked = asked.withColumn("primary", F.coalesce(*[F.when(F.array_contains("intents", x), x) for x in PRIMARY]))
+    held = labels_by_kind(candidates.select("cid", T.normalise_plain(F.col(candidate)).alias("body")), "cid", "body", SOURCE_RULES, "c_")
     tokens = F.array_distinct(F.filter(F.split("normalised", "[^a-z0-9]+"), lambda t: (F.length(t) > 2) & ~t.isin(RELEVANCE_STOP) & ~t.rlike(r"^20\d{2}$")))
-    pairs = body.crossJoin(F.broadcast(plans))  # the query set meets every candidate
-    pairs = pairs.withColumn("areas_", shared("area")).withColumn("intents_", shared("intent")).withColumn("subjects_", shared("subject")).withColumn("bridge", F.col("body").rlike(ADMINISTRATION))
+    pairs = held.crossJoin(F.broadcast(asked))  # the query set meets every candidate
+    for k in CAPS:
+        pairs = pairs.withColumn(f"n_{k}", F.size(F.array_intersect(f"{k}s", f"c_{k}s")))
+    body, bridge = F.col("body"), F.col("body").rlike(ADMINISTRATION)
     hits = F.size(F.array_intersect(tokens, F.split("body", "[^a-z0-9]+")))
-    points = F.col("areas_") * 3 + F.col("intents_") * 1.6 + F.col("subjects_") * 0.7 + F.when(F.col("bridge"), 1.4).otherwise(0.0) + F.least(F.lit(2.0), hits * 0.22)
+    points = F.col("n_area") * 3 + F.col("n_intent") * 1.6 + F.col("n_subject") * 0.7 + F.when(bridge, 1.4).otherwise(0.0) + F.least(F.lit(2.0), hits * 0.22)
     score = (
-        F.when(~F.col("asks") | F.col("cites"), 1.0)
-        .when((F.size("areas") > 0) & (F.col("areas_") == 0) & (F.col("intents_") == 0) & ~F.col("bridge"), -5.0)
-        .when(~F.col("body").rlike(TAX_WORDS) & (F.col("areas_") == 0), -4.0)
+        F.when(~F.col("asks"), 1.0)
+        .when(~body.rlike(TAX_WORDS) & (F.col("n_area") == 0) & ~bridge, -5.0)
+        .when(F.array_contains("subjects", SUBJECTS[1][0]) & body.rlike(HOUSEHOLD) & ~body.rlike(BUSINESS), -4.5)
+        .when(F.col("primary").isNotNull() & ~F.array_contains("c_intents", F.col("primary")), -3.5)
+        .when((F.size("areas") > 0) & (F.col("n_area") == 0) & (F.col("n_intent") == 0) & ~bridge, -4.0)
         .otherwise(points)
     )
     return pairs.select("qid", "cid", score.alias("relevance"))
 
 
 #: Intent patterns of lexical relevance.
-HOUSEHOLD = r"\b(?:ho kinh doanh|ca nhan kinh doanh)\b"
 ASKS_AMOUNT = r"\b(?:doanh thu|muc thue|thue suat|bao nhieu|co phai nop|phai nop thue|nop thue khong|mien thue|khong phai nop)\b"
 POLICY = r"\b(?:chinh sach thue|doi tuong chiu thue|khong chiu thue|thu nhap chiu thue|can cu tinh thue)\b"
 PROCEDURE = r"\b(?:ho so thu tuc|thu tuc quan ly thue|khai thue|mau bieu|dang ky thue)\b"

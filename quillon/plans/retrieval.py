@@ -137,6 +137,7 @@ def _types() -> str:
 
 _HIT = "CASE " + " ".join(f"WHEN regexp_matches(n, {_Q(p)}) THEN struct_pack(number := regexp_extract(n, {_Q(p)}, 1), year := {_found('n', p, 2)})" for p in R.NUMBERS) + " END"
 _RULES = "(SELECT * FROM (VALUES " + ", ".join(f"({_Q(k)}, {n}, {_Q(label)}, {_Q(p)})" for k, n, label, p in R.RULES) + ") r(kind, ordinal, label, pattern))"
+_SOURCE_RULES = "(SELECT * FROM (VALUES " + ", ".join(f"({_Q(k)}, {n}, {_Q(label)}, {_Q(p)})" for k, n, label, p in R.SOURCE_RULES) + ") r(kind, ordinal, label, pattern))"
 _PLANS = f"""
 base AS (SELECT qid, {D.normalise_plain('query')} AS normalised FROM {values('queries')}),
 hits AS (SELECT qid, kind, label, row_number() OVER (PARTITION BY qid, kind ORDER BY ordinal) AS nth FROM base JOIN {_RULES} r ON regexp_matches(normalised, pattern)),
@@ -225,13 +226,17 @@ SELECT qid, asks, cites, array_to_string(areas, '; ') AS areas, array_to_string(
     WHEN len(list_filter(string_split(normalised, ' '), lambda w: w <> '')) <= 5 AND len(areas) = 0 AND len(subjects) = 0 AND len(intents) = 0 THEN 'general' END AS clarify
 FROM plans""",
     "source_relevance": f"""
-WITH {_PLANS}, body AS (SELECT cid, {D.normalise_plain('body')} AS body FROM {_BODY}),
-marks AS (SELECT cid, kind, list(label) AS labels FROM body JOIN {_RULES} r ON regexp_matches(body, pattern) GROUP BY ALL),
-pairs AS (SELECT p.*, b.cid, b.body, {', '.join(f"len(list_intersect(p.{k}s, coalesce((SELECT labels FROM marks m WHERE m.cid = b.cid AND kind = '{k}'), []))) AS n_{k}" for k in R.CAPS)}, regexp_matches(body, {_Q(R.ADMINISTRATION)}) AS bridge,
-  list_distinct(list_filter(regexp_split_to_array(normalised, '[^a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({', '.join(map(_Q, R.RELEVANCE_STOP))}) AND NOT regexp_matches(t, '^20\\d{{2}}$'))) AS tokens FROM plans p, body b)
-SELECT qid, cid, round(CASE WHEN NOT asks OR cites THEN 1.0::DOUBLE WHEN len(areas) > 0 AND n_area = 0 AND n_intent = 0 AND NOT bridge THEN -5.0::DOUBLE
-  WHEN NOT regexp_matches(body, {_Q(R.TAX_WORDS)}) AND n_area = 0 THEN -4.0::DOUBLE
-  ELSE n_area * 3 + n_intent * 1.6::DOUBLE + n_subject * 0.7::DOUBLE + CASE WHEN bridge THEN 1.4::DOUBLE ELSE 0::DOUBLE END + least(2.0::DOUBLE, len(list_intersect(tokens, regexp_split_to_array(body, '[^a-z0-9]+'))) * 0.22::DOUBLE) END, 6) AS relevance FROM pairs""",
+WITH a AS (SELECT qid, {D.normalise_plain('query')} AS n FROM {values('queries')}), b AS (SELECT cid, {D.normalise_plain('body')} AS body FROM {_BODY}),
+ql AS (SELECT qid, kind, list(label) AS labels FROM a JOIN {_RULES} r ON regexp_matches(n, pattern) GROUP BY ALL), cl AS (SELECT cid, kind, list(label) AS labels FROM b JOIN {_SOURCE_RULES} r ON regexp_matches(body, pattern) GROUP BY ALL),
+q AS (SELECT qid, n, regexp_matches(n, {_Q(R.ASKS)}) AND NOT regexp_matches(n, {_Q(R.HAS_REFERENCE)}) AS asks, {', '.join(f"coalesce((SELECT labels FROM ql WHERE ql.qid = a.qid AND kind = '{k}'), []) AS {k}s" for k in R.CAPS)} FROM a),
+p AS (SELECT q.*, b.cid, b.body, {', '.join(f"coalesce((SELECT labels FROM cl WHERE cl.cid = b.cid AND kind = '{k}'), []) AS c_{k}s" for k in R.CAPS)}, regexp_matches(body, {_Q(R.ADMINISTRATION)}) AS bridge,
+  CASE {' '.join(f'WHEN list_contains(intents, {_Q(x)}) THEN {_Q(x)}' for x in R.PRIMARY)} END AS main,
+  list_distinct(list_filter(regexp_split_to_array(n, '[^a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({', '.join(map(_Q, R.RELEVANCE_STOP))}) AND NOT regexp_matches(t, '^20\\d{{2}}$'))) AS tokens FROM q, b),
+m AS (SELECT *, {', '.join(f"len(list_intersect({k}s, c_{k}s)) AS n_{k}" for k in R.CAPS)} FROM p)
+SELECT qid, cid, round(CASE WHEN NOT asks THEN 1.0::DOUBLE WHEN NOT regexp_matches(body, {_Q(R.TAX_WORDS)}) AND n_area = 0 AND NOT bridge THEN -5.0::DOUBLE
+  WHEN list_contains(subjects, {_Q(R.SUBJECTS[1][0])}) AND regexp_matches(body, {_Q(R.HOUSEHOLD)}) AND NOT regexp_matches(body, {_Q(R.BUSINESS)}) THEN -4.5::DOUBLE
+  WHEN main IS NOT NULL AND NOT list_contains(c_intents, main) THEN -3.5::DOUBLE WHEN len(areas) > 0 AND n_area = 0 AND n_intent = 0 AND NOT bridge THEN -4.0::DOUBLE
+  ELSE n_area * 3 + n_intent * 1.6::DOUBLE + n_subject * 0.7::DOUBLE + CASE WHEN bridge THEN 1.4::DOUBLE ELSE 0::DOUBLE END + least(2.0::DOUBLE, len(list_intersect(tokens, regexp_split_to_array(body, '[^a-z0-9]+'))) * 0.22::DOUBLE) END, 6) AS relevance FROM m""",
     "lexical_relevance": _lexical(values("queries"), _BODY) + " SELECT qid, cid, relevance FROM scored",
     "search_documents": _lexical(_ASKED, "(SELECT doc_id AS cid, text AS body FROM documents)") + " SELECT qid, cid AS doc_id, relevance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, cid) AS rank FROM scored) WHERE rank <= 10",
     "law_admission": f"""
