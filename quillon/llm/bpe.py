@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quillon.llm.common import small_batches
+from quillon.llm.common import free_name, small_batches
 
 #: Pre-tokens whose ids a worker remembers; the memory is cleared when full, so its size is bounded.
 MEMORY = 400_000
 #: Texts whose unknown pre-tokens are encoded in one call.
-TOGETHER = 64
+TOGETHER = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -176,13 +176,7 @@ class Tokenizer:
     def encode(self, text: Column) -> Column:
         """array<int> of the whole text's ids; of a null text, none."""
         codec = self._codec()
-
-        def apply(texts: pa.Array) -> pa.Array:
-            ids = codec().encode(texts.to_pylist())
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.intc)])))
-
-        return arrow_udf(apply, "array<int>")(text)
+        return arrow_udf(lambda texts: _lists(codec().encode(texts.to_pylist())), "array<int>")(text)
 
     def decode(self, ids: Column) -> Column:
         """The bytes that the ids stand for; of null, none."""
@@ -194,8 +188,24 @@ class Tokenizer:
 
         return arrow_udf(apply, "binary")(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids, decoded>: a text's ids and what these decode to, in one pass. (``decode(encode(x))`` beside ``encode(x)`` encodes twice, because Spark fuses chained Python functions.)"""
+        codec = self._codec()
+
+        def apply(texts: pa.Array) -> pa.Array:
+            ids = codec().encode(texts.to_pylist())
+            return pa.StructArray.from_arrays([_lists(ids), pa.array(codec().decode(ids), pa.binary())], ["ids", "decoded"])
+
+        return arrow_udf(apply, "struct<ids: array<int>, decoded: binary>")(text)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.intc)])))
+
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with the ids of each whole text and the bytes that the ids decode to."""
-    codec = Tokenizer(docs.sparkSession, path, pattern)
-    return docs.withColumn(ids, codec.encode(F.col(text))).withColumn(decoded, codec.decode(F.col(ids)))
+    both = free_name(docs, "coded")
+    coded = docs.withColumn(both, Tokenizer(docs.sparkSession, path, pattern).round_trip(F.col(text)))
+    return coded.withColumn(ids, F.col(both)["ids"]).withColumn(decoded, F.col(both)["decoded"]).drop(both)
