@@ -30,10 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_written: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has written, once no frame that reads them is needed any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    count = len(_written)
+    while _written:
+        path = hadoop(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of a table: Parquet in the shared folder, so later reads prune columns and survive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/quillon-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

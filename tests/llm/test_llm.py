@@ -366,3 +366,12 @@ def test_every_query_runs(spark, sf_dir):
     for name, query in queries.QUERIES.items():
         rows = query(spark, sf_dir)
         assert rows.count() > 0, name
+
+
+def test_intermediate_tables_can_be_discarded(spark):
+    from quillon.llm import common
+
+    kept = common.stored(spark.range(3).toDF("x"), "test")
+    assert kept.count() == 3 and common.discard(spark) > 0 and common.discard(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        kept.select("x").collect()
