@@ -75,14 +75,29 @@ SYNONYMS = ["streamer", "streaming", "youtuber", "tiktoker"]
 SYNONYM = "contentcreator"
 
 
+def once(expression: Column) -> Column:
+    """An expression that later columns use several times: exploding a one-element array keeps the optimiser from copying it into each of them."""
+    return F.explode(F.array(expression))
+
+
+def tokens_of(normalised: Column, stop: list[str] = STOP_WORDS) -> Column:
+    """Tokens of two letters and more of a normalised text that aren't stop words, in order, repeats kept."""
+    return F.filter(F.split(normalised, "[^a-z0-9]+"), lambda t: (F.length(t) > 1) & ~t.isin(stop))
+
+
+def distinct_tokens(tokens: Column) -> Column:
+    """Distinct tokens in order, synonyms collapsed."""
+    return F.array_distinct(F.transform(tokens, lambda t: F.when(t.isin(SYNONYMS), SYNONYM).otherwise(t)))
+
+
 def retrieval_tokens(text: Column, stop: list[str] = STOP_WORDS) -> Column:
-    """Tokens of two letters and more that aren't stop words, in order, repeats kept."""
-    return F.filter(F.split(normalise_query(text), "[^a-z0-9]+"), lambda t: (F.length(t) > 1) & ~t.isin(stop))
+    """Tokens of a raw text."""
+    return tokens_of(normalise_query(text), stop)
 
 
 def significant_tokens(text: Column, stop: list[str] = STOP_WORDS) -> Column:
-    """Distinct tokens in order, synonyms collapsed."""
-    return F.array_distinct(F.transform(retrieval_tokens(text, stop), lambda t: F.when(t.isin(SYNONYMS), SYNONYM).otherwise(t)))
+    """Distinct tokens of a raw text."""
+    return distinct_tokens(retrieval_tokens(text, stop))
 
 
 def number_key(text: Column) -> Column:

@@ -234,7 +234,8 @@ def lexical_relevance(queries: DataFrame, candidates: DataFrame, query: str = "q
     Candidates are normalised once; the (small, stated) query set is broadcast to them, so nothing is shuffled.
     """
     asked = queries.select("qid", T.normalise_query(F.col(query)).alias("q"), T.significant_tokens(F.col(query), stop).alias("q_tokens"))
-    held = candidates.select("cid", T.normalise_query(F.col(body)).alias("c"), T.significant_tokens(F.col(body), stop).alias("c_tokens"))
+    held = candidates.select("cid", T.once(T.normalise_query(F.col(body))).alias("c"))
+    held = held.select("cid", "c", T.once(T.distinct_tokens(T.tokens_of(F.col("c"), stop))).alias("c_tokens"))
     pairs = held.crossJoin(F.broadcast(asked)).withColumn("matched", F.size(F.array_intersect("q_tokens", "c_tokens"))).where(F.col("matched") > 0)
     q, c = F.col("q"), F.col("c")
     intent = (

@@ -21,8 +21,9 @@ def text_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    tokens, distinct = T.retrieval_tokens(F.col("text")), T.significant_tokens(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.once(T.tokens_of(T.normalise_query(F.col("text")))).alias("tokens"))
+    docs = docs.select("doc_id", "tokens", T.once(T.distinct_tokens(F.col("tokens"))).alias("distinct"))
+    tokens, distinct = F.col("tokens"), F.col("distinct")
     return docs.select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.size(distinct).cast("long").alias("n_distinct"), F.md5(F.array_join(F.array_sort(distinct), " ")).alias("tokens_md5"))
 
 
