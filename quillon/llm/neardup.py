@@ -17,7 +17,8 @@ Bands are as many as it takes to miss a pair at the threshold with probability `
 Null, empty and blank texts have an empty set, linked with nothing. Texts with fewer words than a shingle have their whole
 sequence as the one shingle. Very long texts are sketched whole. Repeated rows fall into one class. Ties between ids can't
 matter: a component's id is its smallest id. Null ids sort behind all others; a component of null ids alone has a null id.
-An empty table gives an empty result. Extra columns aren't carried by ``components``; ``keep_one`` keeps its input's columns.
+An empty table gives an empty result. Extra columns aren't carried by ``components``; ``keep_one`` keeps its input's columns
+and decides by row, not by id.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
@@ -388,17 +389,18 @@ def components(docs: DataFrame, settings: Settings | None = None, key: str = "do
 
 
 def keep_one(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, with the columns of ``docs``. Of rows that share the id that stays, one stays; all rows with empty sets stay."""
-    found = components(docs, settings, key, text)
-    named, many, row = free_name(docs, "key_"), free_name(docs, "n_"), free_name(docs, "row_")
-    stay = found.where(F.col("kept")).groupBy(F.col("key").alias(named)).agg(F.count(F.when(F.col("n_shingles") > 0, 1)).alias(many))
-    joined = docs.join(stay, docs[key].eqNullSafe(F.col(named)))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = joined.where(F.col(many) < 2).select(*columns)
-    shared = joined.where(F.col(many) > 1).withColumn(row, F.row_number().over(Window.partitionBy(named).orderBy(F.xxhash64(*columns)))).where(F.col(row) == 1)
-    return single.unionByName(shared.select(*columns))
-
+    """One row of each group of near-duplicates, with the columns of ``docs``; all rows with empty sets stay.
 
+    Groups are decided by row, so null and repeated ids lose no text. The row with the least id stays, null ids last; of rows
+    of a group that share it, the first by hash.
+    """
+    row, place = free_name(docs, "row_"), free_name(docs, "place_")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(*columns).alias("hash"), F.col(row).alias("row"))
+    found = components(rows.withColumn(place, order), settings, place, text)
+    stay = found.where(F.col("kept")).select(F.col("key.row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*columns)
 
 
 def components_sql(settings: Settings) -> str:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, free_name, stored
+from quillon.llm.common import cut, stored
 
 WINDOW = 8
 #: Votes for, votes against; a document that meets neither has the rule abstain. Shares are per word unless they say otherwise.
@@ -128,8 +128,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that are kept, with the columns of ``docs``. Rows that share a key go by the key's worst row."""
-    verdict = score(docs, key, text, threshold)
-    named = free_name(docs, "key_")
-    bad = verdict.where(~F.col("kept")).select(F.col("key").alias(named)).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(F.col(named)), "left_anti")
+    """The rows that are kept, with the columns of ``docs``. Each row goes by its own text, whatever its ``key``."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"), F.col(text).alias("text"))
+    return score(whole, "key", "text", threshold).where(F.col("kept")).select("key.*")

@@ -242,6 +242,14 @@ def test_components_of_nothing_nulls_and_repeats(spark):
     assert sorted(r["doc_id"] for r in neardup.keep_one(odd).collect()) == [0, 1]
 
 
+def test_keep_one_loses_no_text_under_null_and_repeated_ids(spark):
+    one, two, three, four, five = (" ".join(f"{c}{n}" for n in range(40)) for c in "abcde")
+    rows = [(None, one), (None, two), (None, two), (None, ""), (7, three), (7, four), (3, five), (7, f"{five} more"), (7, three), (None, f"{four} more")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = [(r["doc_id"], r["text"]) for r in neardup.keep_one(df).collect()]
+    assert Counter(got) == Counter([(None, one), (None, two), (None, ""), (7, three), (7, four), (3, five)])
+
+
 def test_connected_follows_long_paths(spark):
     edges = spark.createDataFrame([(n, n + 1) for n in range(60)] + [(100, 101), (5, 5)], "a BIGINT, b BIGINT")
     roots = {r["node"]: r["root"] for r in neardup.connected(edges).collect()}
@@ -305,6 +313,15 @@ def test_quality_of_nothing(spark):
     assert quality.score(df.limit(0)).count() == 0 and quality.keep_good(df).columns == df.columns
 
 
+def test_keep_good_judges_rows_not_ids(spark):
+    good = [f"This is text number {n}, and it goes on with several other words, as texts do. It ends here, after {n * 7} words or so." for n in range(4)]
+    rows = [(None, good[0], 1), (None, good[1], 1), (None, "too short", 1), (None, None, 1), (5, good[2], 1), (5, "", 1), (6, good[3], 1), (6, good[3], 1)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, n_words INT")
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(None, good[0]), (None, good[1]), (5, good[2]), (6, good[3]), (6, good[3])])
+
+
 # 10
 def test_grammar_scores_clauses():
     g = toxicity.Grammar()
