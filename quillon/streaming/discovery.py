@@ -12,8 +12,11 @@ from pyspark.sql.utils import AnalysisException
 
 
 def claims(stream: DataFrame, key: str, at: str, late: str = "10 minutes") -> DataFrame:
-    """Put-if-absent by key and hour; state is dropped behind the watermark."""
-    hours = stream.withWatermark(at, late).withColumn("hour", F.date_trunc("hour", at))
+    """Put-if-absent by key and hour, for rows up to ``late`` behind the latest one.
+
+    State of a claim expires a watermark's delay after its time, so the delay has to span the whole hour beside ``late``.
+    """
+    hours = stream.withWatermark(at, f"{late} 1 hour").withColumn("hour", F.date_trunc("hour", at))
     return hours.dropDuplicatesWithinWatermark([key, "hour"])
 
 

@@ -29,6 +29,14 @@ def test_claims_keep_the_first_of_each_hour(spark, tmp_path):
     assert got.count() == 3
 
 
+def test_claims_hold_for_the_whole_hour(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for rows in ([("a", at(5))], [("b", at(45))], [("b", at(46))], [("a", at(50))], [("a", at(3, 1))], [("c", at(58))], [("a", at(5, 3))], [("a", at(50, 3))]):
+        events(spark, path, rows)
+    got = run(S.claims(stream(spark, path), "key", "at"), tmp_path, "whole_hours")
+    assert sorted((r["key"], r["at"]) for r in got.collect()) == [("a", at(5)), ("a", at(3, 1)), ("a", at(5, 3)), ("b", at(45)), ("c", at(58))]
+
+
 def test_rate_limit_windows_start_at_the_first_event(spark, tmp_path):
     path = str(tmp_path / "in")
     events(spark, path, [("a", at(0)), ("a", at(0)), ("a", at(0)), ("b", at(0))])
