@@ -20,16 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a local one only where that is unset and all is in one process, as in tests."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return root
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared one; ``discard`` deletes it."""
+    path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 _written: list[str] = []
 
 
@@ -45,15 +54,17 @@ def discard(spark: SparkSession) -> int:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of a table: Parquet in the shared folder, so later reads prune columns and survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quillon-{name}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of long texts small, so that a Python worker's memory is bounded by ``rows`` texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Keep Arrow batches of long texts small, so that a Python worker's memory is bounded by ``rows`` texts and, but for a single longer text, by ``size`` bytes. Set for the session, where smaller values stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(name).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def free_name(df: DataFrame, name: str) -> str:
