@@ -1,24 +1,29 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the sign pattern of a vector, cut into segments of 16 bits. If two codes differ in at most ``m * a + j`` bits,
-one of the first ``j + 1`` of ``m`` segments differs in at most ``a`` bits, or one of the others in at most ``a - 1``. So a
-search that has looked up all values of the first ``j + 1`` segments within radius ``a`` and of the others within ``a - 1``
-has seen every code within distance ``m * a + j``. Radii grow, segment by segment, until the distance of the kth verified
-code is covered.
-
-Codes are dealt by hash into shards, queries into blocks; a task holds one shard's segment tables and searches it for one
-block. Before that, a sample shard gives each query a first bound, which lets all other shards stop early. Each task emits
-at most k codes for each query; these are merged by a window with map-side limits. The stated query set meets all rows in
-blocks; both sides of a block are bounded by parameters.
-
-Equal codes are one entry with its k + 1 smallest ids, so copies of one vector cost nothing more. Ties at the kth distance
-go to smaller ids. A row doesn't find itself; repeated rows with the same id are one row. Null vectors and null ids are
-neither queries nor answers. Vectors of other lengths than the first are padded or cut to ``bits``. Fewer than k other rows
-give fewer answers; an empty table gives an empty result. Extra columns aren't carried.
+A code is the sign pattern of a vector, cut into ``m`` segments of about log2(rows) bits, so that a segment's value is shared
+by few codes. Of two codes that differ in at most ``m * (a + 1) - 1`` bits, one segment differs in at most ``a`` bits. So a
+search that has looked up all values of all segments within radius ``a`` has seen every code within that distance. Radii grow
+until the distance of the kth verified code is covered.
+
+Each segment is an index, a table of (segment, value, code). In the round of radius ``a``, the queries that aren't covered yet
+ask for the values that differ in ``a`` bits from their own; a join on (segment, value) finds the codes. A pair of codes is met
+once, in the first segment of its least segment distance, which can be told from the two codes alone. The work grows with
+the values looked up and the codes found, not with queries times rows.
+
+Two kinds of queries are answered by a scan of all codes in blocks instead: those that need a radius at which looking up takes
+more values than there are codes, and those that ask for a value shared by more than ``HOT`` codes. Both sides of a block
+are bounded by parameters, and a block emits at most k + 1 rows for each query.
+
+Equal codes are one entry with its k + 1 smallest ids, and equal queries are searched once, so copies of one vector cost
+nothing more. Ties at the kth distance go to smaller ids. A row doesn't find itself; rows of one id are one row, with the
+least of their codes. Ids are integers or texts that stand for integers; other texts count as null. Null vectors and null ids are neither queries nor answers. Vectors of other lengths than
+``bits`` are padded or cut. Fewer than k other rows give fewer answers; an empty table gives an empty result. Extra columns
+aren't carried, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -28,130 +33,144 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import stored
 
-SEGMENT = 16
-#: Codes of a shard, queries of a block, codes of the sample shard that gives first bounds.
-SHARD, BLOCK, SAMPLE = 8192, 2048, 4096
+#: Bits of a segment.
+LEAST_WIDTH, MOST_WIDTH = 8, 32
+#: Codes with one value of a segment beyond which its queries are scanned instead.
+HOT = 4096
+#: Codes of a shard and queries of a block of the scan.
+SHARD, BLOCK = 16_384, 4_096
 
 
-def sign_code(vector: Column, bits: int) -> Column:
-    """The sign bits of a vector as an array of 16-bit integers; bit n of segment s is set if value 16 s + n is above 0."""
-    segments = []
-    for s in range(0, bits, SEGMENT):
-        parts = [F.when(F.get(vector, F.lit(s + n)) > 0, F.lit(1 << n)).otherwise(F.lit(0)) for n in range(min(SEGMENT, bits - s))]
+def segment_widths(bits: int, rows: int) -> list[int]:
+    """Bits of each segment: about log2(rows), dealt out evenly."""
+    width = min(MOST_WIDTH, max(LEAST_WIDTH, round(math.log2(max(2, rows)))))
+    m = max(1, bits // width, -(-bits // MOST_WIDTH))
+    return [bits // m + (n < bits % m) for n in range(m)]
+
+
+def sign_code(vector: Column, widths: list[int]) -> Column:
+    """The sign bits of a vector as an array of integers, one for each segment; bit n of a segment is set if its value n is above 0."""
+    segments, at = [], 0
+    for width in widths:
+        parts = [F.when(F.get(vector, F.lit(at + n)) > 0, F.lit(1 << n).cast("long")).otherwise(F.lit(0).cast("long")) for n in range(width)]
         total = parts[0]
         for p in parts[1:]:
             total = total + p
         segments.append(total)
+        at += width
     return F.array(*segments)
 
 
-def masks(width: int = SEGMENT) -> list[np.ndarray]:
-    """All flips of a segment by the number of flipped bits."""
-    return [np.array([sum(1 << b for b in c) for c in combinations(range(width), a)], np.int64) for a in range(width + 1)]
-
-
-class Shard:
-    """The segment tables of one shard of codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes.astype(np.uint16)
-        n, self.m = codes.shape
-        self.order = [np.argsort(codes[:, s], kind="stable") for s in range(self.m)]
-        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(codes[:, s], minlength=1 << SEGMENT))]) for s in range(self.m)]
-        self.seen = np.zeros(n, bool)
-        self.flips = masks()
-
-    def search(self, query: np.ndarray, k: int, bound: int) -> list[tuple[int, int]]:
-        """(distance, place) of the k nearest codes that are no further than ``bound``, with all ties of the kth."""
-        n = len(self.codes)
-        found, far = [], []
-        self.seen[:] = False
-        done = False
-        for a in range(SEGMENT + 1):
-            for j in range(self.m):
-                values = int(query[j]) ^ self.flips[a]
-                first = self.starts[j][values]
-                count = self.starts[j][values + 1] - first
-                total = int(count.sum())
-                if total:
-                    at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
-                    places = self.order[j][at]
-                    places = places[~self.seen[places]]
-                    self.seen[places] = True
-                    if len(places):
-                        d = np.bitwise_count(self.codes[places] ^ query.astype(np.uint16)).sum(axis=1)
-                        found.append(places)
-                        far.append(d)
-                covered = self.m * a + j
-                have = np.concatenate(far) if far else np.zeros(0, int)
-                kth = np.partition(have, k - 1)[k - 1] if len(have) >= k else None
-                # ties of the kth distance lie within it, so covering it covers them too
-                done = covered >= bound or kth is not None and covered >= kth or len(have) == n
-                if done:
-                    break
-            if done:
-                break
-        if not far:
-            return []
-        places, have = np.concatenate(found), np.concatenate(far)
-        limit = bound if len(have) < k else min(bound, int(np.partition(have, k - 1)[k - 1]))
-        keep = np.flatnonzero(have <= limit)
-        return [(int(have[x]), int(places[x])) for x in keep]
+def flips(width: int, radius: int) -> list[int]:
+    """All masks of a segment with ``radius`` bits set."""
+    return [sum(1 << b for b in c) for c in combinations(range(width), radius)]
 
 
 def distinct_codes(rows: DataFrame, k: int) -> DataFrame:
     """``code, ids`` with the k + 1 smallest ids of each code. Spark limits each map task's rows before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    few = rows.distinct().withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    few = rows.withColumn("rank", rank).where(F.col("rank") <= k + 1)
     return few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def _search(k: int):
-    schema = "query bigint, distance int, id bigint"
-
-    def apply(keys, codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(codes) and len(queries):
-            shard, ids = Shard(np.array(codes.code.tolist(), np.int64)), codes.ids.tolist()
-            for query, code, bound in zip(queries["query"], queries.code, queries.bound, strict=True):
-                hits = []
-                # one answer more than k: the query itself may be among them
-                for d, place in shard.search(np.array(code, np.int64), k + 1, int(bound)):
-                    hits += [(d, int(x)) for x in ids[place] if x != query]
-                out += [(query, d, x) for d, x in sorted(hits)[:k]]
-        return pd.DataFrame(out, columns=["query", "distance", "id"]).astype({"query": "int64", "distance": "int32", "id": "int64"})
-
-    return apply, schema
+def best(found: DataFrame, key: str, k: int) -> DataFrame:
+    """The k rows of each ``key`` with the least (distance, id), with their rank."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+def met(asks: DataFrame, index: DataFrame, widths: list[int], radius: int, parts: int) -> DataFrame:
+    """``asked, distance, id`` of the codes that have a segment at ``radius`` from the query's and none before it that is nearer."""
+    m = len(widths)
+    masks = F.array(*[F.array(*[F.lit(x).cast("long") for x in flips(w, radius)]) for w in widths])
+    probes = asks.select("asked", F.posexplode("asked").alias("segment", "own"))
+    probes = probes.select("asked", "segment", F.explode(F.transform(F.get(masks, F.col("segment")), lambda f: F.col("own").bitwiseXOR(f))).alias("value"))
+    # an explicit merge join: Spark estimates the exploded side by its rows before, and would broadcast it
+    pairs = probes.repartition(parts, "segment", "value").hint("merge").join(index.repartition(parts, "segment", "value"), ["segment", "value"])
+    far = [F.bit_count(F.get("asked", F.lit(s)).bitwiseXOR(F.get("code", F.lit(s)))) for s in range(m)]
+    first = F.lit(True)
+    for s in range(m):
+        first = first & F.when(F.col("segment") == s, F.lit(True)).when(F.col("segment") > s, far[s] > radius).otherwise(far[s] >= radius)
+    total = far[0]
+    for x in far[1:]:
+        total = total + x
+    return pairs.where(first).select("asked", total.cast("int").alias("distance"), F.explode("ids").alias("id"))
+
+
+def scanned(asks: DataFrame, codes: DataFrame, k: int, parts: int) -> DataFrame:
+    """``asked, distance, id`` of the k least in each shard of codes, for queries in blocks, by comparing all."""
+    shards, blocks = max(1, -(-codes.count() // SHARD)), max(1, -(-asks.count() // BLOCK))
+    many = max(1, min(shards * blocks, 4 * parts))
+    each = codes.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    to = asks.select("asked").withColumn("block", F.pmod(F.xxhash64("asked"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+    def search(keys, codes: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(codes) and len(asks):
+            table, ids = np.array(codes.code.tolist(), np.uint64), codes.ids.tolist()
+            for asked in asks.asked:
+                far = np.bitwise_count(table ^ np.array(asked, np.uint64)).sum(axis=1)
+                limit = np.partition(far, min(k, len(far)) - 1)[min(k, len(far)) - 1]
+                hits = sorted((int(far[x]), int(i)) for x in np.flatnonzero(far <= limit) for i in ids[x])[:k]
+                out += [(asked, d, i) for d, i in hits]
+        return pd.DataFrame(out, columns=["asked", "distance", "id"])
+
+    left, right = each.repartition(many, "shard", "block"), to.repartition(many, "shard", "block")
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "asked array<bigint>, distance int, id bigint")
+
+
+def nearest(asks: DataFrame, codes: DataFrame, widths: list[int], k: int) -> DataFrame:
+    """``asked, distance, id``: the k nearest ids of each distinct query code, its own among them."""
+    spark = asks.sparkSession
+    n, m, parts = codes.count(), len(widths), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index = stored(codes.select(F.posexplode("code").alias("segment", "value"), "code", "ids"), "hamming-index")
+    hot = stored(index.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("segment", "value"), "hamming-hot")
+    crowded = not hot.isEmpty()
+    answers, found, to_scan = [], None, []
+    for radius in range(max(widths) + 1):
+        values = sum(math.comb(w, radius) for w in widths)
+        if values > n:
+            break
+        if crowded:
+            # queries that would ask for a crowded value in this round are scanned
+            own = asks.select("asked", F.posexplode("asked").alias("segment", "own"))
+            masks = F.array(*[F.array(*[F.lit(x).cast("long") for x in flips(w, radius)]) for w in widths])
+            near = own.select("asked", "segment", F.explode(F.transform(F.get(masks, F.col("segment")), lambda f: F.col("own").bitwiseXOR(f))).alias("value"))
+            held = stored(near.join(hot, ["segment", "value"], "left_semi").select("asked").distinct(), "hamming-held")
+            to_scan.append(held)
+            asks = asks.join(held, "asked", "left_anti")
+        new = met(asks, index, widths, radius, parts)
+        found = stored(best(new if found is None else new.unionByName(found), "asked", k).drop("rank"), "hamming-found")
+        covered = m * (radius + 1) - 1
+        full = found.groupBy("asked").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= covered)).select("asked")
+        full = stored(full, "hamming-full")
+        answers.append(found.join(full, "asked", "left_semi"))
+        asks, found = stored(asks.join(full, "asked", "left_anti"), "hamming-asks"), found.join(full, "asked", "left_anti")
+        if asks.isEmpty():
+            break
+    left = asks
+    for held in to_scan:
+        left = left.unionByName(held)
+    left = stored(left, "hamming-left")
+    if not answers or not left.isEmpty():
+        answers.append(best(scanned(left, codes, k, parts), "asked", k).drop("rank"))
+    out = answers[0]
+    for more in answers[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def top_k(rows: DataFrame, queries: Column, k: int = 10, bits: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query, rank, id, distance``: for each row that ``queries`` selects, the k nearest other rows."""
     rows = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    rows = stored(rows.select(F.col(key).cast("long").alias("id"), sign_code(F.col(vector), bits).alias("code"), queries.alias("asks")), "codes")
+    widths = segment_widths(bits, rows.count())
+    rows = rows.select(F.expr(f"try_cast(`{key}` AS BIGINT)").alias("id"), sign_code(F.col(vector), widths).alias("code"), queries.alias("asks")).where(F.col("id").isNotNull())
+    rows = stored(rows.groupBy("id").agg(F.min("code").alias("code"), F.max("asks").alias("asks")), "codes")
     codes = stored(distinct_codes(rows.select("id", "code"), k), "distinct-codes")
-    asks = rows.where("asks").select(F.col("id").alias("query"), "code").dropDuplicates(["query"])
-    n, q = codes.count(), asks.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-q // BLOCK))
-    apply, schema = _search(k)
-
-    def meet(codes: DataFrame, asks: DataFrame, shards: int, blocks: int) -> DataFrame:
-        each = codes.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards).cast("long"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        to = asks.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        return each.groupBy("shard", "block").cogroup(to.groupBy("shard", "block")).applyInPandas(apply, schema)
-
-    # the kth distance in a sample of the codes bounds the kth distance among all
-    share = min(1.0, SAMPLE / max(1, n))
-    sample = codes.where(F.pmod(F.xxhash64(F.lit(1), "code"), F.lit(1_000_000)) < int(1_000_000 * share))
-    first = meet(sample, asks.withColumn("bound", F.lit(bits)), 1, blocks)
-    bounds = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
-    asks = asks.join(bounds, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(bits)))
-    found = meet(codes, stored(asks, "asks"), shards, blocks)
-    return nearest(found, k).select("query", "rank", "id", "distance")
+    asks = stored(rows.where("asks").select(F.col("id").alias("query"), F.col("code").alias("asked")), "asks")
+    found = nearest(asks.select("asked").distinct(), codes, widths, k + 1)
+    mine = asks.join(found, "asked").where(F.col("id") != F.col("query"))
+    return best(mine, "query", k).select("query", "rank", "id", "distance")
 
 
 #: DuckDB's form over embeddings of 64 values: every row whose id is divisible by 100 against all rows.
