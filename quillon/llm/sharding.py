@@ -13,7 +13,7 @@ gets overflow shards: its rows, equal in size, are dealt out by ordinal, as many
 limit is a shard by itself, marked ``oversized``.
 
 Null keys and texts hash as such and count 0 bytes. Empty tables give an empty result. Repeated rows are all placed. Extra
-columns stay with ``write_shards`` and aren't part of the assignment.
+columns stay with ``write_shards`` and aren't part of the assignment, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, stored
+from quillon.llm.common import cut, free_name, stored
 
 BITS, STEP = 48, 8
 
@@ -34,9 +34,10 @@ def row_hash(key: Column, text: Column) -> Column:
     return F.lpad(F.conv(F.substring(digest, 1, BITS // 4), 16, 2), BITS, "0")
 
 
-def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_bytes, shard, depth, shard_bytes, shard_rows, oversized`` for each row; ``shard`` is the hash prefix, with ``+n`` for overflow shards."""
-    rows = docs.select(F.col(key).alias("key"), row_hash(F.col(key), F.col(text)).alias("hash"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"))
+def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """``key, n_bytes, shard, depth, shard_bytes, shard_rows, oversized`` for each row; ``shard`` is the hash prefix, with ``+n`` for overflow shards. With ``row``, a column that names rows, its values come along as ``row``."""
+    also = ["row"] if row else []
+    rows = docs.select(F.col(key).alias("key"), row_hash(F.col(key), F.col(text)).alias("hash"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), *([F.col(row).alias("row")] if row else []))
     rows = stored(rows, "shard-rows")
     waiting, settled = rows, []
     for depth in range(0, BITS, STEP):
@@ -63,16 +64,16 @@ def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str =
         here = waiting.join(part.select(F.col("cell").alias(f"cell{n}"), F.col("to").alias(f"to{n}")), F.substring("hash", 1, cut_at) == F.col(f"cell{n}"), "left").drop(f"cell{n}")
         waiting = here
     to = F.coalesce(*[F.col(f"to{n}") for n in range(len(settled))])
-    placed = waiting.select("key", "hash", "n_bytes", to.alias("to")).select("key", "hash", "n_bytes", "to.*")
+    placed = waiting.select("key", *also, "hash", "n_bytes", to.alias("to")).select("key", *also, "hash", "n_bytes", "to.*")
     normal = placed.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
     full = placed.where((F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1))
     normal = normal.withColumn("oversized", F.col("n_bytes") > limit).drop("hash")
     if len(settled) * STEP < BITS:
         return normal
-    return normal.unionByName(overflow(full, limit))
+    return normal.unionByName(overflow(full, limit, also))
 
 
-def overflow(full: DataFrame, limit: int) -> DataFrame:
+def overflow(full: DataFrame, limit: int, also: list[str]) -> DataFrame:
     """Deal the rows of full-depth buckets out by ordinal. The ordinal is taken in two levels, within and over input partitions, so that no task gets a whole bucket."""
     full = cut(full.withColumn("part", F.spark_partition_id()))
     inside = Window.partitionBy("hash", "part").orderBy("key")
@@ -83,15 +84,25 @@ def overflow(full: DataFrame, limit: int) -> DataFrame:
     numbered = numbered.withColumn("nth", F.col("nth") + F.col("before") - 1).withColumn("page", F.floor(F.col("nth") / fit))
     in_page = F.least(fit, F.col("shard_rows") - F.col("page") * fit)
     return numbered.select(
-        "key", "n_bytes", F.concat("shard", F.lit("+"), F.col("page").cast("string")).alias("shard"), "depth",
+        "key", *also, "n_bytes", F.concat("shard", F.lit("+"), F.col("page").cast("string")).alias("shard"), "depth",
         (in_page * F.col("n_bytes")).alias("shard_bytes"), in_page.alias("shard_rows"), (F.col("n_bytes") > limit).alias("oversized"),
     )
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write the rows as Parquet, one folder for each shard. ``key`` must name rows."""
-    placed = docs.join(assigned.select(F.col("key").alias("key_of_shard"), "shard"), docs[key].eqNullSafe(F.col("key_of_shard"))).drop("key_of_shard")
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, limit: int, path: str, key: str = "doc_id", text: str = "text", folder: str = "shard") -> DataFrame:
+    """Write each row once as Parquet, one folder for each shard, and return the directory.
+
+    Rows are told apart by a row id of their own, so null and repeated keys are placed like others. An input column called like
+    ``folder`` would lose its values to the folder names, so it raises.
+    """
+    if folder.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {folder}; name another folder")
+    row = free_name(docs, "row_")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "shard-docs")
+    assigned = stored(assign_shards(rows, limit, key, text, row), "shard-places")
+    placed = rows.join(assigned.select(F.col("row").alias(row), F.col("shard").alias(folder)), row).drop(row)
+    placed.repartition(folder).write.partitionBy(folder).parquet(path)
+    return directory(assigned)
 
 
 def directory(assigned: DataFrame) -> DataFrame:
