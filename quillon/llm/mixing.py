@@ -6,13 +6,15 @@ integer boundary that its interval crosses. The order goes by size class, then b
 size, so that a walk through the order passes all sizes and the words taken come near the target.
 
 The prefix sums are exact integers (ranks), taken in two levels: the rank within a (source, size class, slice) cell, plus
-the rows of the cells before it. No task holds a whole source: a hot source is spread over size classes times slices. Only
-(key, source, size) are shuffled, never texts.
+the rows of the cells before it. No task holds a whole source: a hot source is spread over size classes times slices, whose
+number grows with the rows. Equal rows are one row with a count until the end, so that a row that is repeated very often isn't
+gathered anywhere. ``plan`` shuffles (key, source, size) and a hash, never texts; ``mix`` joins the copies to the rows.
 
 Null sources are one source of their own, last in order. Null and empty texts have size 0 and add nothing to targets or
-words. Repeated rows count each by itself. Ties in the order fall to the key. An empty table gives an empty result. A
-table without any word has targets of 0 and takes nothing. Extra columns are not carried through ``plan``; ``mix`` keeps
-exactly the columns of its input, each row as often as it is taken.
+words. Repeated rows count each by itself. Ties in the order fall to the key, then to the hash of the text. Null and repeated
+keys are as good as others. An empty table gives an empty result. A table without any word has targets of 0 and takes
+nothing. Extra columns are not carried through ``plan``, so their names can't clash; ``mix`` keeps exactly the columns of its
+input, each row as often as it is taken. Of rows that are equal in every column, it repeats one for all.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import WORD, free_name, stored
 
-#: Slices of a (source, size class) cell; each is ranked by a task of its own.
-SLICES = 16
+#: Least number of slices of a (source, size class) cell, and rows of the table for each slice more; a cell is ranked by a task.
+SLICES, ROWS_A_SLICE = 16, 1_000_000
 #: Steps of the random offset; a power of two keeps offset plus rank exact.
 STEPS = 1 << 20
 
@@ -74,55 +76,72 @@ def shares(sizes: DataFrame, weights: Sequence[int], share: tuple[int, int], cap
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), cap: int = 2, seed: int = 7) -> DataFrame:
-    """For each row: ``key, source, size, source_size, target, copies, taken``. ``share`` is the fraction of all words that the sources share."""
-    rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"))
-    rows = stored(rows, "mix-sizes")  # texts are read and counted once
-    rows = rows.withColumn("class", size_class(F.col("size"))).withColumn("slice", F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit(""))), 1, 4), 16, 10).cast("int") % SLICES)
+def _hash(key: Column, text: Column) -> Column:
+    """MD5 of a row's key and of its text's MD5."""
+    return F.md5(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("null")), F.coalesce(F.md5(text.cast("binary")), F.lit("null"))))
+
+
+def _copied(rows: DataFrame, order: list[Column], weights: Sequence[int], share: tuple[int, int], cap: int, seed: int) -> DataFrame:
+    """``rows`` (``source, size, hash, n`` and others, ``n`` equal rows each) with the sums of their sources, ``each`` (the expected copies), ``offset`` and ``end``, the rank of the last of the n."""
+    slices = max(SLICES, -(-(rows.agg(F.sum("n")).first()[0] or 0) // ROWS_A_SLICE))
+    rows = rows.withColumn("class", size_class(F.col("size"))).withColumn("slice", (F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") % slices).cast("int"))
     same = ["source", "class", "slice"]
-    cells = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("rows"))
+    cells = rows.groupBy(*same).agg(F.sum("n").alias("rows"))
     line = Window.partitionBy("source").orderBy("class", "slice")
     cells = cells.withColumn("first", F.sum("rows").over(line) - F.col("rows"))
-    cells = cells.join(shares(rows.select("source", "size"), weights, share, cap).withColumn("offset", unit(seed, F.col("source"))).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "rows")
-    inside = Window.partitionBy(*same).orderBy("size", F.col("key").asc_nulls_last())
-    ranked = rows.withColumn("rank", F.row_number().over(inside))
+    sizes = rows.select("source", (F.col("size") * F.col("n")).alias("size"))
+    cells = cells.join(shares(sizes, weights, share, cap).withColumn("offset", unit(seed, F.col("source"))).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "rows")
+    inside = Window.partitionBy(*same).orderBy("size", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("rank", F.sum("n").over(inside))
     cells = cells.select(F.col("source").alias("source_"), F.col("class").alias("class_"), F.col("slice").alias("slice_"), "first", "source_size", "target", "offset")
     on = F.col("source").eqNullSafe(F.col("source_")) & (F.col("class") == F.col("class_")) & (F.col("slice") == F.col("slice_"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    end = F.col("first") + F.col("rank")
-    copies = (F.floor(end * F.col("each") + F.col("offset")) - F.floor((end - 1) * F.col("each") + F.col("offset"))).cast("long")
-    out = ranked.join(cells, on).withColumn("each", each).withColumn("copies", copies)
-    return out.select("key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return ranked.join(cells, on).withColumn("each", each).withColumn("end", F.col("first") + F.col("rank"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The mixed rows themselves, each as often as it is taken, with the columns of ``docs``.
+def _crossed(begin: Column, end: Column) -> Column:
+    """Integer boundaries between two ranks."""
+    return (F.floor(end * F.col("each") + F.col("offset")) - F.floor(begin * F.col("each") + F.col("offset"))).cast("long")
 
-    ``key`` should name rows; of rows that share a key, each is taken as often as the key's rows are on average, rounded down,
-    with the remaining copies going to the first rows by hash.
-    """
-    many, nth, named = free_name(docs, "copies_"), free_name(docs, "nth_"), free_name(docs, "key_")
-    planned = plan(docs, key, **options).groupBy(F.col("key").alias(named)).agg(F.sum("copies").alias(many), F.count(F.lit(1)).alias(nth))
-    joined = docs.join(planned, docs[key].eqNullSafe(F.col(named)))
-    single = joined.where(F.col(nth) == 1)
-    shared = joined.where(F.col(nth) > 1)
+
+def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), cap: int = 2, seed: int = 7) -> DataFrame:
+    """For each row: ``key, source, size, source_size, target, copies, taken``. ``share`` is the fraction of all words that the sources share."""
+    rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), _hash(F.col(key), F.col(text)).alias("hash"))
+    rows = rows.groupBy("key", "source", "size", "hash").agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(rows, "mix-sizes")  # texts are read and counted once
+    copied = _copied(rows, [F.col("key").asc_nulls_last(), F.col("hash")], weights, share, cap, seed)
+    copied = copied.withColumn("end", F.explode(F.sequence(F.col("end") - F.col("n") + 1, F.col("end"))))
+    out = copied.withColumn("copies", _crossed(F.col("end") - 1, F.col("end")))
+    return out.select("key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), cap: int = 2, seed: int = 7) -> DataFrame:
+    """The mixed rows themselves, each as often as it is taken, with the columns of ``docs``."""
     row = free_name(docs, "row_")
-    shared = shared.withColumn(row, F.row_number().over(Window.partitionBy(named).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))))
-    shared = shared.withColumn(many, F.floor(F.col(many) / F.col(nth)) + (F.col(row) <= F.col(many) % F.col(nth)).cast("long")).drop(row)
-    taken = single.unionByName(shared).where(F.col(many) > 0)
-    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    whole = [F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)]
+    sizes = rows.select(F.col(row).alias("row"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), _hash(F.col(key), F.col(text)).alias("hash"), *[h.alias(f"whole{n}") for n, h in enumerate(whole)])
+    sizes = stored(sizes.groupBy("source", "size", "hash", "whole0", "whole1").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")), "mix-sizes")
+    copied = _copied(sizes, [F.col("hash"), F.col("whole0"), F.col("whole1")], weights, share, cap, seed)
+    taken = copied.select(F.col("row").alias(row), _crossed(F.col("end") - F.col("n"), F.col("end")).alias("copies")).where(F.col("copies") > 0)
+    nth = free_name(docs, "nth_")
+    taken = taken.select(row, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(nth))
+    return rows.join(taken, row).select(*columns)
 
 
 #: DuckDB's form of ``plan`` over documents, from the same integers.
 PLAN_SQL = r"""
 WITH rows AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || coalesce(md5(text), 'null')) AS hash
+  FROM documents
 ), classed AS (
   SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 5, 0)) % 16 AS class,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) AS BIGINT) % 16 AS slice
+         CAST('0x' || substr(hash, 1, 8) AS BIGINT) % (SELECT greatest(16, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) FROM rows) AS slice
   FROM rows
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, slice, size, doc_id NULLS LAST) AS rank FROM classed
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, slice, size, doc_id NULLS LAST, hash) AS rank FROM classed
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source
 ), weighed AS (
