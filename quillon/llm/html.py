@@ -7,7 +7,8 @@ own link density, is kept, with siblings that score well; an enclosing ``article
 
 Null and empty pages have an empty text. Pages are parsed whole, however long or deep (no recursion). Truncated pages and
 unclosed tags are parsed as far as they go. Pages without a scored paragraph fall back to what is left of the body.
-Repeated rows are extracted each by itself; an empty table gives an empty result; extra columns pass through.
+Of containers with equal points the first counts. Repeated rows are extracted each by itself; an empty table gives an empty
+result; extra columns pass through, but for one named like the output, which is replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from quillon.llm.common import small_batches
 TAG = re.compile(r"<!--(?s:.*?)(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = set("script style textarea title noscript iframe xmp noembed noframes template svg".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BETWEEN = {"pre", "blockquote", "table", "ul", "ol", "dl", "p", "figure", "math"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What an opening tag closes if it is open, and the element that shields it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody"}, {"table"})}
@@ -213,15 +215,21 @@ def chosen(root: Node, nodes: list[Node]) -> list[Node]:
     if best.above is None or best.name in ("body", "main"):
         return [best]
     keep, least = [], max(2.0, 0.2 * best.points * (1 - density(best)))
-    for x in best.above.below:
+    kept_at = []
+    for at, x in enumerate(best.above.below):
         if x is best:
-            keep.append(x)
+            kept_at.append(at)
         elif isinstance(x, Node) and not x.useless and x.letters and density(x) < 0.25:
             strong = x.points * (1 - density(x)) >= least
             titled = best.name != "article" and x.name in HEADINGS
             prose = best.name != "article" and x.name == "p" and (x.letters > 80 or not x.linked)
             if strong or titled or prose:
-                keep.append(x)
+                kept_at.append(at)
+    # between kept siblings, blocks that score nothing by themselves (code, quotations, tables, lists) belong to the text
+    for at in range(kept_at[0], kept_at[-1] + 1):
+        x = best.above.below[at]
+        if at in kept_at or isinstance(x, Node) and x.name in BETWEEN and not x.useless and density(x) < 0.25:
+            keep.append(x)
     return keep
 
 
