@@ -8,7 +8,7 @@ record on both sides.
 
 Null payloads are empty. Payloads shorter than ``least`` bytes are always responses. Of equal payloads, all rows with the
 smallest page id are responses (repeated rows); a row without a page id revisits if another row has one, else it is a
-response. Null URLs have no WARC-Target-URI. Extra columns aren't archived. An empty table gives no archive and an empty
+response. Null URLs have no WARC-Target-URI. Extra columns aren't archived, so their names can't clash. An empty table gives no archive and an empty
 result. A damaged record is returned with its ``problem``, and the reader goes on behind it if its member can be passed.
 """
 
@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, shared_dir, small_batches
+from quillon.llm.common import cut, shared_folder, small_batches, stored
 
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of an archive after which a task starts another, and of one read.
 ARCHIVE, CHUNK = 64 << 20, 1 << 16
+#: Parts that the rows of one payload are dealt over.
+SALTS = 32
 MANIFEST = "path string, records bigint, bytes bigint"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, problem string"
 
@@ -42,7 +44,12 @@ def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     seen = rows.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    joined = rows.join(seen.select("digest", "first"), "digest", "left")
+    # one page may be repeated very often: its rows are dealt over salts, to each of which the digest's first row is copied.
+    # Written, so that Spark knows the size: small ones are broadcast and payloads stay where they are.
+    salts = seen.select(F.col("digest").alias("digest_"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
+    salts = stored(salts, "warc-firsts")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(salts, (F.col("digest") == F.col("digest_")) & (F.col("salt") == F.col("salt_")), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "digest", refers.alias("refers_to"))
 
@@ -215,8 +222,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True, rows: int = 500) -
 
 def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     """Write all pages as archives into the shared folder and read them back."""
-    folder = f"{shared_dir(pages.sparkSession)}/quillon-warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(plan_records(pages, least), folder), payloads=False)
+    return read_archives(write_archives(plan_records(pages, least), shared_folder(pages.sparkSession, "warc")), payloads=False)
 
 
 #: DuckDB's form of what comes back, over pages without repeated rows.
