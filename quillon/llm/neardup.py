@@ -171,7 +171,7 @@ def buckets(classes: DataFrame, settings: Settings) -> DataFrame:
     """``band, bucket, node`` for each band of each node."""
     width = 2 * settings.rows
     values = F.transform(F.sequence(F.lit(0), F.lit(settings.bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * width + 1, F.lit(width))))
-    return classes.select(F.posexplode(values).alias("band", "bucket"), "node")
+    return classes.select(F.posexplode(values).alias("band", "bucket"), "node", "size")
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
@@ -265,22 +265,25 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.col("ra") != F.col("rb")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
-#: Rows of a block's two sides.
-LEFT, RIGHT = 512, 1024
+#: Rows of a block's two sides, and bytes of sets on each side.
+LEFT, RIGHT, BYTES = 512, 1024, 16 << 20
 
 
-def deal(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes of buckets of three and more that hold several components, dealt into blocks.
+def deal(members: DataFrame, labels: DataFrame, least: int, with_sets: bool) -> DataFrame:
+    """Nodes of buckets of ``least`` and more that hold several components, dealt into blocks.
 
     Nodes outside the bucket's largest component stand on the left of blocks, all nodes on the right: a bucket of n nodes,
-    k of them outside, makes about n * k / LEFT + k * n / RIGHT rows, and n rows where k is small.
+    k of them outside, makes about n * k / LEFT + k * n / RIGHT rows, and n rows where k is small. ``with_sets`` also bounds a
+    block's sides by the bytes of their shingle sets.
     """
-    rows = labelled(members, "node", labels, "part")
-    parts = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part")).alias("most"))
-    mixed = mixed.where((F.col("parts") > 1) & (F.col("all") > 2)).select("bucket", "all", F.col("most.part").alias("main"), (F.col("all") - F.col("most.n")).alias("others"))
+    rows = labelled(members, "node", labels, "part").withColumn("bytes", F.col("size") * 8 if with_sets else F.lit(0).cast("long"))
+    parts = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+    mixed = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.sum("b").alias("all_bytes"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part", "b")).alias("most"))
+    mixed = mixed.where((F.col("parts") > 1) & (F.col("all") >= least))
+    mixed = mixed.select("bucket", "all", "all_bytes", F.col("most.part").alias("main"), (F.col("all") - F.col("most.n")).alias("others"), (F.col("all_bytes") - F.col("most.b")).alias("others_bytes"))
     rows = rows.join(mixed, "bucket")
-    lefts, rights = F.ceil(F.col("others") / LEFT).cast("int"), F.ceil(F.col("all") / RIGHT).cast("int")
+    lefts = F.ceil(F.greatest(F.col("others") / LEFT, F.col("others_bytes") / BYTES)).cast("int")
+    rights = F.ceil(F.greatest(F.col("all") / RIGHT, F.col("all_bytes") / BYTES)).cast("int")
     hashed, same = F.xxhash64("node"), ["bucket", "band", "node", "part"]
     as_right = rows.select(*same, F.explode(F.sequence(F.lit(0), lefts - 1)).alias("l"), F.pmod(hashed, rights).cast("int").alias("r"), F.lit(0).alias("side"))
     as_left = rows.where(F.col("part") != F.col("main")).select(*same, F.pmod(hashed, lefts).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("r"), F.lit(1).alias("side"))
@@ -336,7 +339,8 @@ def nodes_to_verify(members: DataFrame, labels: DataFrame, classes: DataFrame, s
             found |= {(own.node,), *((x,) for x in others.node)}
         return found
 
-    return by_blocks(deal(members, labels).join(classes.select("node", "signature"), "node"), work, "node bigint").distinct()
+    # the pair of a bucket of two is a star pair
+    return by_blocks(deal(members, labels, 3, False).join(classes.select("node", "signature"), "node"), work, "node bigint").distinct()
 
 
 def block_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -354,7 +358,8 @@ def block_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets:
                     found.add((min(own.node, nodes[at]), max(own.node, nodes[at])))
         return found
 
-    rows = deal(members, labels).join(classes.select("node", "signature"), "node").join(sets.select("node", "shingles"), "node")
+    # two open nodes may be all that is left of a larger bucket
+    rows = deal(members, labels, 2, True).join(classes.select("node", "signature"), "node").join(sets.select("node", "shingles"), "node")
     return by_blocks(rows, work, "a bigint, b bigint").distinct()
 
 
@@ -362,7 +367,7 @@ def components(docs: DataFrame, settings: Settings | None = None, key: str = "do
     """``key, n_shingles, component_id, kept`` for each row."""
     settings = settings or Settings()
     sketched = stored(sketch(docs, settings, key, text), "sketches")
-    classes = sketched.where(F.col("n_shingles") > 0).groupBy("h1", "h2").agg(F.min("key").alias("first"), F.first("signature").alias("signature"))
+    classes = sketched.where(F.col("n_shingles") > 0).groupBy("h1", "h2").agg(F.min("key").alias("first"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = buckets(classes, settings)
     test = matches(settings)
