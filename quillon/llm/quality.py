@@ -8,6 +8,8 @@ whatever the corpus; each EM round is an aggregate over them that brings three s
 Repeated 8-word windows are found inside a row: hashes of all windows are sorted with their positions, equal neighbours
 marked, and the words they cover counted, in n log n. No text leaves its row.
 
+The rates are free: a weak Beta prior (``PRIOR`` pseudo-votes) stands behind each, and no bound.
+
 Null and empty texts have no words: all counts 0, base_failed. Very long texts are handled whole. Repeated rows and ties
 count each by itself. An empty table gives an empty result. Extra columns aren't carried by ``measure``; ``keep_good``
 keeps exactly its input's columns.
@@ -39,11 +41,11 @@ RULES = {
 }
 #: Start of the EM: the share of good documents, and how often a voting rule is for a good and for a bad one. Bad documents
 #: mostly break a few rules and pass the others, so a vote against says much and one in favour little.
-SHARE, RIGHT, WRONG, ROUNDS = 0.8, 0.995, 0.9, 25
-#: Bounds of the two rates and of the share. There are several kinds of bad documents: one that breaks a rule may pass every
-#: other, so a vote in favour is never worth more than a factor of two, and no rule may come out as wrong about good documents.
-#: With a share of at least a half, a document that no rule votes against is never rejected.
-RIGHT_IN, WRONG_IN, SHARE_IN = (0.98, 0.999), (0.5, 0.95), (0.5, 0.99)
+SHARE, RIGHT, WRONG, ROUNDS = 0.8, 0.995, 0.9, 100
+#: Pseudo-votes behind each start value: a weak Beta prior, which decides only where rules hardly ever vote.
+PRIOR = 20.0
+#: The EM ends when no rate moves by more than this.
+SETTLED = 1e-4
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -96,24 +98,35 @@ def _posterior(model: dict, vote: str) -> Column:
     return 1 / (1 + F.exp(-F.aggregate(places, F.get(worth, F.lit(0)), lambda total, x: total + x)))
 
 
+def rates(sums: dict[tuple[int, int], tuple[float, float]], rules: int) -> dict:
+    """The M step from the posterior weights of good and bad documents by (rule, vote), under the Beta prior.
+
+    A rule that would be for bad documents more often than for good ones tells nothing: its two rates are pooled, which is
+    the likeliest choice under the condition that a vote in favour never counts against a document.
+    """
+    at = lambda k, v: sums.get((k, v), (0.0, 0.0))
+    out = []
+    for k in range(rules):
+        (up, up_bad), (down, down_bad) = at(k, 1), at(k, -1)
+        right = (up + PRIOR * RIGHT, up + down + PRIOR)
+        wrong = (up_bad + PRIOR * WRONG, up_bad + down_bad + PRIOR)
+        pooled = (right[0] + wrong[0]) / (right[1] + wrong[1])
+        pair = (right[0] / right[1], wrong[0] / wrong[1])
+        out.append(pair if pair[0] >= pair[1] else (pooled, pooled))
+    good, bad = (sum(at(0, v)[c] for v in (-1, 0, 1)) for c in (0, 1))
+    return {"share": (good + PRIOR * SHARE) / (good + bad + PRIOR), "rules": out}
+
+
 def fit(measured: DataFrame) -> dict:
     """The share of good documents and, for each rule, how often it votes for good and for bad documents when it votes."""
     patterns = cut(measured.select(votes().alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")))
     model = {"share": SHARE, "rules": [(RIGHT, WRONG)] * len(RULES)}
-    bounded = lambda x, inside: min(inside[1], max(inside[0], x))
-    # a pseudo-count of 1 at the start keeps rules that hardly vote near it
-    rate = lambda x, y, start: (x + start) / (x + y + 1)
     for _ in range(ROUNDS):
         weighed = patterns.select("votes", (F.col("n") * _posterior(model, "votes")).alias("good"), "n")
         each = weighed.select(F.posexplode("votes").alias("rule", "vote"), "good", (F.col("n") - F.col("good")).alias("bad"))
         sums = {(r["rule"], r["vote"]): (r["good"], r["bad"]) for r in each.groupBy("rule", "vote").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()}
-        if not sums:
-            break
-        at = lambda k, v: sums.get((k, v), (0.0, 0.0))  # noqa: B023, E731
-        rules = [tuple(bounded(rate(at(k, 1)[c], at(k, -1)[c], start), inside) for c, (start, inside) in enumerate([(RIGHT, RIGHT_IN), (WRONG, WRONG_IN)])) for k in range(len(RULES))]
-        good, bad = (sum(at(0, v)[c] for v in (-1, 0, 1)) for c in (0, 1))
-        before, model = model, {"share": bounded(good / (good + bad), SHARE_IN), "rules": rules}
-        if max(abs(x - y) for m, n in zip(before["rules"], rules, strict=True) for x, y in zip(m, n, strict=True)) < 1e-3:
+        before, model = model, rates(sums, len(RULES))
+        if max(abs(x - y) for m, n in zip(before["rules"], model["rules"], strict=True) for x, y in zip(m, n, strict=True)) < SETTLED:
             break
     return model
 
