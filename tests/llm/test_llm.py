@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -52,13 +53,31 @@ def test_top_k_equals_brute_force(spark):
     assert hamming.top_k(df.where("vec_id < 3"), F.lit(True), 7).count() == 6
 
 
-def test_search_radius_is_exact_for_other_widths():
-    rng = np.random.default_rng(5)
-    codes = rng.integers(0, 1 << 16, size=(3000, 2))
-    shard = hamming.Shard(codes)
-    for q in codes[:20]:
-        far = np.sort(np.bitwise_count((codes ^ q).astype(np.uint16)).sum(axis=1))
-        assert sorted(d for d, _ in shard.search(q, 5, 32))[:5] == far[:5].tolist()
+@pytest.mark.parametrize(("n", "bits", "k"), [(3000, 32, 5), (1500, 100, 3), (900, 64, 1)])
+def test_top_k_is_exact_for_other_widths(spark, monkeypatch, n, bits, k):
+    rng = np.random.default_rng(bits)
+    vectors = rng.normal(size=(n, bits))
+    vectors[: n // 3, : bits // 2] = vectors[0, : bits // 2]  # a third shares its first segments: crowded values
+    monkeypatch.setattr(hamming, "HOT", 200)
+    df = spark.createDataFrame([(x, v.tolist()) for x, v in enumerate(vectors)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = {(r["query"], r["rank"]): (r["id"], r["distance"]) for r in hamming.top_k(df, F.col("vec_id") % 100 == 0, k, bits).collect()}
+    codes = vectors > 0
+    for q in range(0, n, 100):
+        want = sorted((int((codes[q] != codes[x]).sum()), x) for x in range(n) if x != q)[:k]
+        assert [got[q, r + 1] for r in range(k)] == [(x, d) for d, x in want]
+
+
+def test_segments_look_up_every_value_once():
+    assert hamming.segment_widths(64, 10**9) == [32, 32] and hamming.segment_widths(64, 50_000) == [16] * 4 and sum(hamming.segment_widths(100, 1000)) == 100
+    seen = [x for radius in range(9) for x in hamming.flips(8, radius)]
+    assert sorted(seen) == list(range(256))
+
+
+def test_top_k_of_repeated_ids_and_texts(spark):
+    rows = [("1", [1.0, 1.0]), ("1", [-1.0, -1.0]), ("2", [1.0, -1.0]), ("x", [1.0, 1.0]), ("3", [-1.0, -1.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id STRING, embedding ARRAY<DOUBLE>")
+    got = [(r["query"], r["rank"], r["id"], r["distance"]) for r in hamming.top_k(df, F.col("vec_id") == "1", 5, 2).collect()]
+    assert sorted(got) == [(1, 1, 3, 0), (1, 2, 2, 1)]
 
 
 # 2
@@ -86,6 +105,19 @@ def test_repeated_rows_overflow(spark):
     assert sharding.assign_shards(df.limit(0), 20).count() == 0
 
 
+def test_shards_are_written_once_for_each_row(spark, tmp_path):
+    df = docs_of(spark, [*ODD, "same"]).unionByName(docs_of(spark, [*ODD, "same"]))
+    df = df.unionByName(df.withColumn("doc_id", F.lit(None).cast("bigint")))
+    listed = sharding.write_shards(df, 2000, f"{tmp_path}/s")
+    back = spark.read.option("basePath", f"{tmp_path}/s").parquet(f"{tmp_path}/s")
+    assert back.count() == df.count() == listed.agg(F.sum("shard_rows")).first()[0]
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+    assert sorted(map(key, back.collect())) == sorted(map(key, df.collect()))
+    assert {r["shard_bytes"] <= 2000 or r["shard_rows"] == 1 for r in listed.collect()} == {True}
+    with pytest.raises(ValueError, match="shard"):
+        sharding.write_shards(df.withColumn("shard", F.lit(1)), 2000, f"{tmp_path}/t")
+
+
 # 3
 def test_mix_meets_targets(spark):
     rng = np.random.default_rng(1)
@@ -136,6 +168,15 @@ def test_mix_of_nothing_and_of_repeated_keys(spark):
     assert mixing.mix(same).count() == mixing.plan(same).agg(F.sum("copies")).first()[0]
 
 
+def test_mix_of_one_row_repeated_very_often(spark):
+    df = docs_of(spark, ["a b c d"]).crossJoin(spark.range(900).select(F.lit(1).alias("of"))).unionByName(docs_of(spark, [f"w{n} x y" for n in range(300)]).withColumn("of", F.lit(2)).withColumn("doc_id", F.when(F.col("doc_id") > 9, F.col("doc_id"))))
+    rows = mixing.plan(df).collect()
+    assert len(rows) == 1200 and all(0 <= r["copies"] <= 2 for r in rows)
+    assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 8
+    mixed = mixing.mix(df)
+    assert mixed.count() == sum(r["copies"] for r in rows) and mixed.columns == df.columns
+
+
 # 4
 PAGE = """<html><head><title>t</title><style>x</style></head><body><div class="site-header"><a href=/>Home</a></div><ul id="nav"><li><a>Menu</a></ul>
 <div id="cookie-notice">We use cookies, a lot, really.</div><div class="content"><h1>A &amp; B</h1><p>First paragraph, with commas, and enough length to score&nbsp;well.</p>
@@ -151,6 +192,23 @@ def test_main_text():
     assert html.main_text("<article><p>a<p>b</article><nav>n</nav>") == "a\nb"
 
 
+def test_main_text_keeps_what_stands_between_kept_blocks():
+    long = "A paragraph, with some commas, that goes on for long enough to be scored as the text of a page."
+    page = f"<body><div class=menu><a href=/>Home</a></div><div>{f'<p>{long}' * 6}</div><pre>code = 1</pre><ul><li>first<li>second</ul><div>{f'<p>{long}' * 3}</div><ul><li><a href=/>next</a></ul></body>"
+    assert html.main_text(page) == "\n".join([*[long] * 6, "code = 1", "first", "second", *[long] * 3])
+    assert html.main_text(f"<article><p>{long}<p>As <math><mi>x</mi> = <mn>1</mn></math> shows.</article>") == f"{long}\nAs x = 1 shows."
+
+
+def test_extract_odd_pages(spark):
+    long = "<p>" + " ".join(["Words, and words."] * 30_000) + "</p>"
+    rows = [(1, None, "old"), (2, "", "old"), (3, PAGE, "old"), (3, PAGE, "old"), (None, long, None), (4, "<nav>only a menu</nav>", "")]
+    df = spark.createDataFrame(rows, "page_id BIGINT, html STRING, text STRING")
+    got = html.extract(df)
+    assert got.columns == df.columns
+    texts = {(r["page_id"], r["text"]) for r in got.collect()}
+    assert texts == {(1, ""), (2, ""), (3, html.main_text(PAGE)), (None, " ".join(["Words, and words."] * 30_000)), (4, "")} and html.extract(df.limit(0)).count() == 0
+
+
 def test_pages_equal_their_article(spark, sf_dir):
     rows = html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
     for r in rows:
@@ -250,6 +308,27 @@ def test_keep_one_loses_no_text_under_null_and_repeated_ids(spark):
     assert Counter(got) == Counter([(None, one), (None, two), (None, ""), (7, three), (7, four), (3, five)])
 
 
+def test_the_last_two_open_nodes_of_a_larger_bucket_are_compared(spark):
+    """A bucket of three, of which two nodes are still open, yields their link; so does each block when sets are too large for one."""
+    settings = neardup.Settings(5, 80)
+    words = [f"w{n}" for n in range(300)]
+    near = [*words[:290], *(f"z{n}" for n in range(10))]
+    own = neardup.Sketcher(settings)
+    sets = [own.shingles(" ".join(x)) for x in (words, near, words[::-1])]
+    classes = spark.createDataFrame([(n, bytearray(own.signature(s)), len(s)) for n, s in enumerate(sets)], "node BIGINT, signature BINARY, size BIGINT")
+    shingles = spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in enumerate(sets)], "node BIGINT, shingles BINARY")
+    left, right = (np.frombuffer(own.signature(s), "<u2").reshape(settings.bands, settings.rows) for s in sets[:2])
+    band = int((left == right).all(axis=1).argmax())
+    members = spark.createDataFrame([(band, 77, n, len(s)) for n, s in enumerate(sets)], "band INT, bucket BIGINT, node BIGINT, size BIGINT")
+    none = spark.createDataFrame([], "node BIGINT, root BIGINT")
+    opened = neardup.nodes_to_verify(members, none, classes, settings)
+    assert sorted(r[0] for r in opened.collect()) == [0, 1]
+    links = neardup.block_links(members.join(opened, "node"), none, classes, shingles, settings)
+    assert [(r["a"], r["b"]) for r in links.collect()] == [(0, 1)]
+    blocks = neardup.deal(members.withColumn("size", F.lit(8 << 20).cast("bigint")), none, 2, True).select("l", "r").distinct().count()
+    assert blocks > 4
+
+
 def test_connected_follows_long_paths(spark):
     edges = spark.createDataFrame([(n, n + 1) for n in range(60)] + [(100, 101), (5, 5)], "a BIGINT, b BIGINT")
     roots = {r["node"]: r["root"] for r in neardup.connected(edges).collect()}
@@ -257,20 +336,55 @@ def test_connected_follows_long_paths(spark):
 
 
 # 7
-def test_licences(spark, small):
-    texts = [*ODD, "Released under the MIT License.", "GNU General Public License, version 3", "cc by-nc 4.0 CC BY 4.0", "the MIT. licence of Apache", "Permission is hereby granted, free of charge, to any person obtaining a copy"]
+LICENCE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_licences(texts):
+    """Every template at every alignment of every text, word by word."""
+    found = [LICENCE_WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    seen = Counter(w for ws in found for w in set(ws))
+    idf = lambda w: math.log(1 + (len(texts) + 1) / (seen[w] + 1))
+    for ws in found:
+        base = [(k, label) for k in range(len(ws)) for p, label in licences.BASE.items() if ws[k : k + len(p.split())] == p.split()]
+        labels, best = {x for _, x in base}, 0.5 if base else 0.0
+        for label, text, keys in licences.TEMPLATES:
+            own = text.split()
+            weight, least = sum(map(idf, own)), licences.SHARE_LONG if len(own) > licences.LONG else licences.SHARE_SHORT
+            spans = [range(k, k + len(p.split())) for p in keys for k in range(len(own)) if own[k : k + len(p.split())] == p.split()]
+            for at in range(-len(own), len(ws)):
+                same = [0 <= at + k < len(ws) and ws[at + k] == w for k, w in enumerate(own)]
+                share = sum(idf(w) for w, x in zip(own, same, strict=True) if x) / weight
+                if share >= least - 1e-9 and any(all(same[k] for k in span) for span in spans):
+                    labels, best = labels | {label}, max(best, share)
+        yield len(ws), base, sorted(labels), best
+
+
+QUOTED = ["Released under the MIT License.", "GNU General Public License, version 3", "cc by-nc 4.0 CC BY 4.0", "the MIT. licence of Apache", "Permission is hereby granted, free of charge, to any person obtaining a copy",
+          "bsd license is not what we use", "Released under the BSD License", "// This program is free software: you can redistribute it and/or modify it", "Permission to use, copy, modify, and/or distribute this software for any purpose",
+          "Redistributions of source code must retain the above copyright notice, this list of conditions", "license public general gnu", "modify it and or redistribute can you software free is program this under the license", "subject to the terms of the Mozilla Public License",
+          "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. " * 40, "Licensed under CC BY-SA 4.0 and under CC BY-NC 4.0", "words " * 6000 + "released under the apache license version 2.0 " + "words " * 6000]
+
+
+def test_licences_equal_brute_force(spark, small):
+    texts = [*ODD, *QUOTED, *[r["text"] for r in small.collect()]]
     df = docs_of(spark, texts)
     got = {r["key"]: r for r in licences.scan(df).collect()}
-    for n, t in enumerate(texts):
-        words, found = licences.plain(t)
-        assert (got[n]["n_words"], got[n]["n_base"]) == (words, len(found))
-        assert (got[n]["first_word"], got[n]["last_word"]) == ((found[0][0], found[-1][0]) if found else (None, None))
-        assert got[n]["base_labels"] == ",".join(sorted({x for _, x in found})) and 0 <= got[n]["score"] <= 1
-        assert set(filter(None, got[n]["base_labels"].split(","))) <= set(got[n]["labels"].split(","))
-    assert "cc-by-nc" in got[len(ODD) + 2]["labels"] and got[len(ODD) + 4]["labels"] == "mit" and got[len(ODD) + 3]["labels"] == ""
+    for n, (words, base, labels, score) in enumerate(brute_licences(texts)):
+        assert (got[n]["n_words"], got[n]["n_base"]) == (words, len(base))
+        assert (got[n]["first_word"], got[n]["last_word"]) == ((base[0][0], base[-1][0]) if base else (None, None))
+        assert got[n]["base_labels"] == ",".join(sorted({x for _, x in base}))
+        assert got[n]["labels"] == ",".join(labels) and got[n]["score"] == pytest.approx(score), texts[n][:80]
+    label = lambda n: got[len(ODD) + n]["labels"]
+    assert [label(n) for n in (3, 5, 6, 7, 8, 9, 10, 11, 12)] == ["", "", "bsd", "gpl", "isc", "bsd", "", "", "mpl"]
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_licence_rows_with_null_and_repeated_ids(spark):
+    df = docs_of(spark, ["Released under the BSD license"] * 3 + [None]).withColumn("doc_id", F.when(F.col("doc_id") > 1, F.col("doc_id") * 0))
+    rows = licences.scan(df).collect()
+    assert sorted((r["key"] is None, r["labels"]) for r in rows) == [(False, ""), (False, "bsd"), (True, "bsd"), (True, "bsd")]
+
+
 # 8
 def test_tokens_equal_tiktoken(spark, small):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -308,6 +422,47 @@ def test_quality_agrees_with_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def numpy_em(patterns, counts):
+    """EM over two classes of documents and rules that vote or abstain, with the module's start and prior, as arrays."""
+    up, down, n = patterns == 1, patterns == -1, np.array(counts, float)
+    share, right, wrong = quality.SHARE, np.full(up.shape[1], quality.RIGHT), np.full(up.shape[1], quality.WRONG)
+    prior = quality.PRIOR
+    for _ in range(quality.ROUNDS):
+        odds = np.log(share / (1 - share)) + up @ np.log(right / wrong) + down @ np.log((1 - right) / (1 - wrong))
+        good = n / (1 + np.exp(-odds))
+        bad = n - good
+        a, a_all = good @ up + prior * quality.RIGHT, good @ (up | down) + prior
+        b, b_all = bad @ up + prior * quality.WRONG, bad @ (up | down) + prior
+        pooled = (a + b) / (a_all + b_all)
+        worse = a / a_all < b / b_all
+        then = right, wrong
+        right, wrong = np.where(worse, pooled, a / a_all), np.where(worse, pooled, b / b_all)
+        share = (good.sum() + prior * quality.SHARE) / (n.sum() + prior)
+        if max(abs(right - then[0]).max(), abs(wrong - then[1]).max()) < quality.SETTLED:
+            break
+    return share, right, wrong
+
+
+def test_em_equals_numpy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    measured = quality.measure(docs)
+    rows = measured.select(quality.votes().alias("v")).groupBy("v").count().collect()
+    share, right, wrong = numpy_em(np.array([r["v"] for r in rows]), [r["count"] for r in rows])
+    model = quality.fit(measured)
+    assert model["share"] == pytest.approx(share, abs=1e-6)
+    assert np.array(model["rules"]) == pytest.approx(np.stack([right, wrong], axis=1), abs=1e-6)
+    free = [x for pair in model["rules"] for x in pair]
+    assert len({round(x, 4) for x in free}) > 8 and model["rules"] != [(quality.RIGHT, quality.WRONG)] * len(quality.RULES)
+    # what score says is what the numpy rates say of each row
+    odds = {tuple(r["v"]): None for r in rows}
+    for v in odds:
+        x = np.array(v)
+        odds[v] = 1 / (1 + math.exp(-(math.log(share / (1 - share)) + float(np.where(x == 1, np.log(right / wrong), np.where(x == -1, np.log((1 - right) / (1 - wrong)), 0)).sum()))))
+    for r in quality.score(docs).collect():
+        p = odds[tuple(r["votes"])]
+        assert r["p_good"] == pytest.approx(p, abs=1e-5) and r["kept"] == (not r["base_failed"] and p >= 0.5)
+
+
 def test_quality_of_nothing(spark):
     df = docs_of(spark, ODD)
     assert quality.score(df.limit(0)).count() == 0 and quality.keep_good(df).columns == df.columns
@@ -323,17 +478,72 @@ def test_keep_good_judges_rows_not_ids(spark):
 
 
 # 10
+def brute_clauses(g, text):
+    """The grammar by looking around each insult and threat, without automata."""
+    tokens = toxicity.TOKEN.findall(text.lower())
+    known = [g.words.get(t) or g.longest(t) or ("o", 0.0) for t in tokens]
+    found = Counter()
+    for n, (symbol, weight) in enumerate(known):
+        if symbol not in ("I", "T"):
+            continue
+        begin = max((k + 1 for k in range(n) if known[k][0] == "B"), default=0)
+        end = min((k for k in range(n, len(tokens)) if known[k][0] == "B"), default=len(tokens))
+        clause = [k for k, _ in known[begin:n]]
+        negated = "N" in [k for k, _ in known[max(begin, n - toxicity.REACH) : n]]
+        quoted = said = False
+        for k in clause:
+            if k == "Q":
+                quoted, said = not quoted, False
+            said |= k == "R" and not quoted
+        at = "Y" in [k for k, _ in known[max(begin, n - toxicity.REACH) : n]] + [k for k, _ in known[n + 1 : min(end, n + 1 + toxicity.REACH)]]
+        found[symbol + "n" * negated + "r" * (quoted or said) + "a" * at] += weight * (toxicity.AIMED if at else 1)
+    return [found[k] for k in toxicity.KINDS]
+
+
+def test_grammar_equals_brute_force():
+    g = toxicity.Grammar({"I": {"blorp": 3.0}, "T": {"zap": 1.0}}, {"snee": 2.5, "sneezy": 4.0}, {"hardly": "N", "neighbours": "Y"})
+    rng = np.random.default_rng(4)
+    pool = [*"idiot kill blorp zap sneezywort sneer you they not never hardly said wrote neighbours plain word text".split(), ".", "\n", '"', ",", "a b c d e"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(pool, rng.integers(0, 25)))
+        assert g.clauses(text).tolist() == pytest.approx(brute_clauses(g, text)), text
+
+
 def test_grammar_scores_clauses():
     g = toxicity.Grammar()
     of = lambda t: dict(zip(toxicity.KINDS, g.clauses(t).tolist(), strict=True))
     assert of("you are an idiot")["Ia"] > 0 and of("what a stupid plan")["I"] > 0
     assert of("you are not an idiot")["Ina"] > 0 and of("he said you are an idiot")["Ira"] > 0
-    assert of('they called him "a moron" there')["Ira"] > 0 and of("I will kill you")["T"] > 0
+    assert of('they called him "a moron" there')["Ira"] > 0 and of("I will kill you")["Ta"] > 0 and of("kill the process")["T"] > 0
     assert sum(of("not this. idiot").values()) == of("not this. idiot")["I"]
-    assert not sum(of("").values()) and not sum(of("a plain text").values())
+    assert not sum(of("").values()) and not sum(of("a plain text").values()) and not sum(of("die Frau und die Welt").values())
     m = toxicity.Model(g, toxicity.start_coefficients())
     value = lambda t: float(1 / (1 + np.exp(-(toxicity.features(g.clauses(t)[None]) @ m.coefficients)[0])))
     assert value("you idiot") > value("he said you idiot") > value("a plain text") and value("you idiot") > value("not an idiot")
+    assert value("I will kill you") > value("kill the process") > value("a plain text")
+
+
+def test_coefficients_never_turn_the_grammar_around():
+    """Labels that go against the grammar bring weights down to 0, never below."""
+    rng = np.random.default_rng(2)
+    sums = rng.integers(0, 3, (400, len(toxicity.KINDS))).astype(float)
+    for y in ((sums[:, :8].sum(axis=1) < 4).astype(float), rng.integers(0, 2, 400).astype(float), (sums.sum(axis=1) > 16).astype(float)):
+        w = toxicity.logistic(toxicity.features(sums), y)
+        assert (w[:-1] >= 0).all() and np.isfinite(w).all()
+        one = lambda k: float((toxicity.features(np.eye(len(toxicity.KINDS))[[toxicity.KIND_AT[k]]]) @ w)[0])  # noqa: B023, E731
+        for letter in "IT":
+            assert one(letter) >= one(letter + "n") and one(letter + "a") >= one(letter) and one(letter + "a") >= one(letter + "ra")
+
+
+def test_threats_targets_and_negations_are_learned(spark):
+    rng = np.random.default_rng(9)
+    fill = lambda: " ".join(f"w{x}" for x in rng.integers(0, 400, 12))
+    middles = [("some blorp here", 1)] * 3 + [("surely nix blorp then", 0)] + [("we shall zap you", 1)] * 2 + [("to zap the cable", 0)] * 2 + [("nothing at all", 0)] * 4
+    rows = [(f"{fill()} {middle}. {fill()}. some here we shall you surely then to the cable nix of that", toxic) for middle, toxic in middles * 80]
+    learned, _, scopes = toxicity.learn(spark.createDataFrame(rows, "text STRING, toxic INT"))
+    assert list(learned["I"]) == ["blorp"] and "zap" in learned["T"] and scopes["nix"] == "N"
+    g = toxicity.Grammar(learned, {}, scopes)
+    assert g.clauses("nix blorp")[toxicity.KIND_AT["In"]] > 0 and g.clauses("zap you")[toxicity.KIND_AT["Ta"]] > 0
 
 
 def test_toxicity_held_out(spark):
@@ -342,7 +552,7 @@ def test_toxicity_held_out(spark):
     model = toxicity.fit(docs, labels)
     rows = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).select(model.score(F.col("text")).alias("s"), "toxic").collect()
     bad, good = ([r["s"] >= 0.7 for r in rows if r["toxic"] == t] for t in (1, 0))
-    assert sum(bad) >= 0.75 * len(bad) and sum(good) <= 0.01 * len(good)
+    assert sum(bad) > 0.83 * len(bad) and sum(good) <= 0.0017 * len(good)
 
 
 def test_toxicity_edges(spark):
@@ -351,6 +561,8 @@ def test_toxicity_edges(spark):
     model = toxicity.fit(df, labels)
     scores = [r[0] for r in df.select(model.score(F.col("text"))).collect()]
     assert len(scores) == len(ODD) + 1 and all(0 <= s <= 1 for s in scores) and max(scores) == scores[-1]
+    clash = labels.unionByName(labels.withColumn("toxic", F.lit(1)))
+    assert [r[0] for r in df.select(toxicity.fit(df, clash).score(F.col("text"))).collect()] == [r[0] for r in df.select(toxicity.fit(df, clash).score(F.col("text"))).collect()]
     kept = toxicity.drop_toxic(df, labels)
     assert kept.columns == df.columns and toxicity.drop_toxic(df.limit(0), labels.limit(0)).count() == 0
 
