@@ -5,8 +5,8 @@ normaliser is the identity. sentencepiece then merges, in each pre-token, the ad
 which is what a byte-level BPE does. Decoding is the inverse mapping from ids to bytes.
 
 Nulls and empty texts: no ids (an empty array), decoded to an empty string of bytes. Very long texts: encoded whole,
-pre-token by pre-token. Ties and repeated rows: every row is encoded by itself. Extra columns pass through; clashing
-output names are the caller's to choose. Empty tables: an empty result.
+pre-token by pre-token. Ties and repeated rows: every row is encoded by itself. Extra columns pass through; input
+columns named like the outputs are replaced, and the caller can choose other names. Empty tables: an empty result.
 """
 
 from __future__ import annotations
