@@ -1,29 +1,27 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the sign pattern of a vector, cut into ``m`` segments of about log2(rows) bits, so that a segment's value is shared
-by few codes. Of two codes that differ in at most ``m * (a + 1) - 1`` bits, one segment differs in at most ``a`` bits. So a
-search that has looked up all values of all segments within radius ``a`` has seen every code within that distance. Radii grow
-until the distance of the kth verified code is covered.
-
-Each segment is an index, a table of (segment, value, code). In the round of radius ``a``, the queries that aren't covered yet
-ask for the values that differ in ``a`` bits from their own; a join on (segment, value) finds the codes. A pair of codes is met
-once, in the first segment of its least segment distance, which can be told from the two codes alone. The work grows with
-the values looked up and the codes found, not with queries times rows.
-
-Two kinds of queries are answered by a scan of all codes in blocks instead: those that need a radius at which looking up takes
-more values than there are codes, and those that ask for a value shared by more than ``HOT`` codes. Both sides of a block
-are bounded by parameters, and a block emits at most k + 1 rows for each query.
+A code is the sign pattern of a vector, cut into ``m`` segments of at most 16 bits. If two codes differ in at most
+``m * a + j`` bits, one of the first ``j + 1`` segments differs in at most ``a`` bits, or one of the others in at most
+``a - 1``. So a search that has looked up all values of the first ``j + 1`` segments within radius ``a`` and of the others
+within ``a - 1`` has seen every code within distance ``m * a + j``. Radii grow, segment by segment, until the distance of the
+kth verified code is covered. A pair of codes is met once, in the first segment of its least segment distance, which can be
+told from the two codes alone.
+
+Codes are dealt by hash into shards, queries into blocks; a task holds one shard's segment tables and searches them for one
+block, many queries at a time. Of a large table, a sample is searched first: its kth distances bound the radii of all other
+shards. A task emits at most k + 1 rows for each query. The stated query set meets all rows in blocks; both sides of a block
+are bounded by parameters, and no pairs leave a task. (A join on (segment, value) over all codes instead makes rows that grow
+with the square of the table, because a segment of 16 bits has the same number of values at every size.)
 
 Equal codes are one entry with its k + 1 smallest ids, and equal queries are searched once, so copies of one vector cost
 nothing more. Ties at the kth distance go to smaller ids. A row doesn't find itself; rows of one id are one row, with the
-least of their codes. Ids are integers or texts that stand for integers; other texts count as null. Null vectors and null ids are neither queries nor answers. Vectors of other lengths than
-``bits`` are padded or cut. Fewer than k other rows give fewer answers; an empty table gives an empty result. Extra columns
-aren't carried, so their names can't clash.
+least of their codes. Ids are integers or texts that stand for integers; other texts count as null. Null vectors and null ids
+are neither queries nor answers. Vectors of other lengths than ``bits`` are padded or cut. Fewer than k other rows give fewer
+answers; an empty table gives an empty result. Extra columns aren't carried, so their names can't clash.
 """
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -33,18 +31,17 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import stored
 
-#: Bits of a segment.
-LEAST_WIDTH, MOST_WIDTH = 8, 32
-#: Codes with one value of a segment beyond which its queries are scanned instead.
-HOT = 4096
-#: Codes of a shard and queries of a block of the scan.
-SHARD, BLOCK = 16_384, 4_096
+#: Most bits of a segment.
+WIDTH = 16
+#: Codes of a shard, at most and at least, and queries of a block.
+SHARD, LEAST_SHARD, BLOCK = 65_536, 2_048, 16_384
+#: Queries that are searched together, and codes of the sample that gives first bounds.
+TOGETHER, SAMPLE = 128, 131_072
 
 
-def segment_widths(bits: int, rows: int) -> list[int]:
-    """Bits of each segment: about log2(rows), dealt out evenly."""
-    width = min(MOST_WIDTH, max(LEAST_WIDTH, round(math.log2(max(2, rows)))))
-    m = max(1, bits // width, -(-bits // MOST_WIDTH))
+def segment_widths(bits: int) -> list[int]:
+    """Bits of each segment, dealt out evenly."""
+    m = -(-bits // WIDTH)
     return [bits // m + (n < bits % m) for n in range(m)]
 
 
@@ -61,9 +58,56 @@ def sign_code(vector: Column, widths: list[int]) -> Column:
     return F.array(*segments)
 
 
-def flips(width: int, radius: int) -> list[int]:
+def flips(width: int, radius: int) -> np.ndarray:
     """All masks of a segment with ``radius`` bits set."""
-    return [sum(1 << b for b in c) for c in combinations(range(width), radius)]
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], np.int64)
+
+
+class Shard:
+    """The segment tables of one shard of codes, given as one integer for each segment."""
+
+    def __init__(self, codes: np.ndarray, widths: list[int]):
+        self.codes, self.widths = codes.astype(np.uint64), widths
+        self.order = [np.argsort(codes[:, s], kind="stable") for s in range(len(widths))]
+        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(codes[:, s], minlength=1 << w))]) for s, w in enumerate(widths)]
+
+    def look_up(self, asked: np.ndarray, segment: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, code, distance) of the pairs whose least segment distance is ``radius``, first in ``segment``."""
+        values = asked[:, segment, None].astype(np.int64) ^ flips(self.widths[segment], radius)[None]
+        first = self.starts[segment][values]
+        count = self.starts[segment][values + 1] - first
+        first, many = first.ravel(), count.ravel()
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+        who, code = np.repeat(np.arange(len(asked)), count.sum(axis=1)), self.order[segment][at]
+        far = np.bitwise_count(self.codes[code] ^ asked[who]).astype(np.int64)
+        new = (far[:, :segment] > radius).all(axis=1) & (far[:, segment:] >= radius).all(axis=1)
+        return who[new], code[new], far[new].sum(axis=1)
+
+    def search(self, asked: np.ndarray, k: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, code, distance) of each query's k nearest codes that are no further than its bound, with all ties of the kth."""
+        asked, m = asked.astype(np.uint64), len(self.widths)
+        active, limit = np.arange(len(asked)), bounds.astype(np.int64).copy()
+        found = [np.zeros(0, np.int64)] * 3
+        for radius in range(max(self.widths) + 1):
+            for segment in range(m):
+                if radius <= self.widths[segment] and len(active):
+                    who, code, far = self.look_up(asked[active], segment, radius)
+                    who = active[who]
+                    keep = far <= limit[who]
+                    who, code, far = (np.concatenate([x, y[keep]]) for x, y in zip(found, (who, code, far), strict=True))
+                    order = np.lexsort((far, who))
+                    who, code, far = who[order], code[order], far[order]
+                    # the kth of each query that has k bounds what is still worth finding
+                    begin = np.searchsorted(who, np.arange(len(asked)))
+                    has = np.flatnonzero(np.bincount(who, minlength=len(asked)) >= k)
+                    limit[has] = far[begin[has] + k - 1]
+                    keep = far <= limit[who]
+                    found = [who[keep], code[keep], far[keep]]
+                # ties of the kth distance lie within it, so covering it covers them too
+                active = active[limit[active] > m * radius + segment]
+            if not len(active):
+                break
+        return tuple(found)
 
 
 def distinct_codes(rows: DataFrame, k: int) -> DataFrame:
@@ -79,96 +123,49 @@ def best(found: DataFrame, key: str, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def met(asks: DataFrame, index: DataFrame, widths: list[int], radius: int, parts: int) -> DataFrame:
-    """``asked, distance, id`` of the codes that have a segment at ``radius`` from the query's and none before it that is nearer."""
-    m = len(widths)
-    masks = F.array(*[F.array(*[F.lit(x).cast("long") for x in flips(w, radius)]) for w in widths])
-    probes = asks.select("asked", F.posexplode("asked").alias("segment", "own"))
-    probes = probes.select("asked", "segment", F.explode(F.transform(F.get(masks, F.col("segment")), lambda f: F.col("own").bitwiseXOR(f))).alias("value"))
-    # an explicit merge join: Spark estimates the exploded side by its rows before, and would broadcast it
-    pairs = probes.repartition(parts, "segment", "value").hint("merge").join(index.repartition(parts, "segment", "value"), ["segment", "value"])
-    far = [F.bit_count(F.get("asked", F.lit(s)).bitwiseXOR(F.get("code", F.lit(s)))) for s in range(m)]
-    first = F.lit(True)
-    for s in range(m):
-        first = first & F.when(F.col("segment") == s, F.lit(True)).when(F.col("segment") > s, far[s] > radius).otherwise(far[s] >= radius)
-    total = far[0]
-    for x in far[1:]:
-        total = total + x
-    return pairs.where(first).select("asked", total.cast("int").alias("distance"), F.explode("ids").alias("id"))
-
-
-def scanned(asks: DataFrame, codes: DataFrame, k: int, parts: int) -> DataFrame:
-    """``asked, distance, id`` of the k least in each shard of codes, for queries in blocks, by comparing all."""
-    shards, blocks = max(1, -(-codes.count() // SHARD)), max(1, -(-asks.count() // BLOCK))
-    many = max(1, min(shards * blocks, 4 * parts))
+def searched(asks: DataFrame, codes: DataFrame, widths: list[int], k: int) -> DataFrame:
+    """``asked, distance, id`` of the k least in each shard of codes, for queries (``asked, bound``) in blocks."""
+    n, q, cores = codes.count(), asks.count(), codes.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-n // SHARD), min(n // LEAST_SHARD, 2 * cores))
+    blocks = max(1, -(-q // BLOCK))
     each = codes.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    to = asks.select("asked").withColumn("block", F.pmod(F.xxhash64("asked"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    to = asks.withColumn("block", F.pmod(F.xxhash64("asked"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(keys, codes: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(codes) and len(asks):
-            table, ids = np.array(codes.code.tolist(), np.uint64), codes.ids.tolist()
-            for asked in asks.asked:
-                far = np.bitwise_count(table ^ np.array(asked, np.uint64)).sum(axis=1)
-                limit = np.partition(far, min(k, len(far)) - 1)[min(k, len(far)) - 1]
-                hits = sorted((int(far[x]), int(i)) for x in np.flatnonzero(far <= limit) for i in ids[x])[:k]
-                out += [(asked, d, i) for d, i in hits]
+            shard, ids = Shard(np.array(codes.code.tolist(), np.int64), widths), codes.ids.tolist()
+            for at in range(0, len(asks), TOGETHER):
+                part = asks.iloc[at : at + TOGETHER]
+                hits: list[list[tuple[int, int]]] = [[] for _ in range(len(part))]
+                for who, code, far in zip(*(x.tolist() for x in shard.search(np.array(part.asked.tolist(), np.int64), k, part.bound.to_numpy())), strict=True):
+                    hits[who] += [(far, int(x)) for x in ids[code]]
+                out += [(asked, d, x) for asked, own in zip(part.asked, hits, strict=True) for d, x in sorted(own)[:k]]
         return pd.DataFrame(out, columns=["asked", "distance", "id"])
 
+    # dealt explicitly: blocks are few bytes but much work, so Spark would put them together by their size
+    many = min(shards * blocks, 2000)
     left, right = each.repartition(many, "shard", "block"), to.repartition(many, "shard", "block")
     return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "asked array<bigint>, distance int, id bigint")
 
 
-def nearest(asks: DataFrame, codes: DataFrame, widths: list[int], k: int) -> DataFrame:
-    """``asked, distance, id``: the k nearest ids of each distinct query code, its own among them."""
-    spark = asks.sparkSession
-    n, m, parts = codes.count(), len(widths), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    index = stored(codes.select(F.posexplode("code").alias("segment", "value"), "code", "ids"), "hamming-index")
-    hot = stored(index.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("segment", "value"), "hamming-hot")
-    crowded = not hot.isEmpty()
-    answers, found, to_scan = [], None, []
-    for radius in range(max(widths) + 1):
-        values = sum(math.comb(w, radius) for w in widths)
-        if values > n:
-            break
-        if crowded:
-            # queries that would ask for a crowded value in this round are scanned
-            own = asks.select("asked", F.posexplode("asked").alias("segment", "own"))
-            masks = F.array(*[F.array(*[F.lit(x).cast("long") for x in flips(w, radius)]) for w in widths])
-            near = own.select("asked", "segment", F.explode(F.transform(F.get(masks, F.col("segment")), lambda f: F.col("own").bitwiseXOR(f))).alias("value"))
-            held = stored(near.join(hot, ["segment", "value"], "left_semi").select("asked").distinct(), "hamming-held")
-            to_scan.append(held)
-            asks = asks.join(held, "asked", "left_anti")
-        new = met(asks, index, widths, radius, parts)
-        found = stored(best(new if found is None else new.unionByName(found), "asked", k).drop("rank"), "hamming-found")
-        covered = m * (radius + 1) - 1
-        full = found.groupBy("asked").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= covered)).select("asked")
-        full = stored(full, "hamming-full")
-        answers.append(found.join(full, "asked", "left_semi"))
-        asks, found = stored(asks.join(full, "asked", "left_anti"), "hamming-asks"), found.join(full, "asked", "left_anti")
-        if asks.isEmpty():
-            break
-    left = asks
-    for held in to_scan:
-        left = left.unionByName(held)
-    left = stored(left, "hamming-left")
-    if not answers or not left.isEmpty():
-        answers.append(best(scanned(left, codes, k, parts), "asked", k).drop("rank"))
-    out = answers[0]
-    for more in answers[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 def top_k(rows: DataFrame, queries: Column, k: int = 10, bits: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query, rank, id, distance``: for each row that ``queries`` selects, the k nearest other rows."""
+    widths = segment_widths(bits)
     rows = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    widths = segment_widths(bits, rows.count())
     rows = rows.select(F.expr(f"try_cast(`{key}` AS BIGINT)").alias("id"), sign_code(F.col(vector), widths).alias("code"), queries.alias("asks")).where(F.col("id").isNotNull())
     rows = stored(rows.groupBy("id").agg(F.min("code").alias("code"), F.max("asks").alias("asks")), "codes")
+    # the query itself is found too, so one more is searched for
     codes = stored(distinct_codes(rows.select("id", "code"), k), "distinct-codes")
     asks = stored(rows.where("asks").select(F.col("id").alias("query"), F.col("code").alias("asked")), "asks")
-    found = nearest(asks.select("asked").distinct(), codes, widths, k + 1)
+    wanted = asks.select("asked").distinct().withColumn("bound", F.lit(bits))
+    n = codes.count()
+    if n > 2 * SAMPLE:
+        sample = codes.where(F.pmod(F.xxhash64(F.lit(1), "code"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / n))
+        first = best(searched(wanted, sample, widths, k + 1), "asked", k + 1)
+        bounds = first.groupBy("asked").agg(F.when(F.count(F.lit(1)) > k, F.max("distance")).alias("near"))
+        wanted = stored(wanted.join(bounds, "asked", "left").select("asked", F.coalesce("near", "bound").alias("bound")), "asks")
+    found = best(searched(wanted, codes, widths, k + 1), "asked", k + 1).drop("rank")
     mine = asks.join(found, "asked").where(F.col("id") != F.col("query"))
     return best(mine, "query", k).select("query", "rank", "id", "distance")
 
