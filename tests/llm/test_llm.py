@@ -57,8 +57,9 @@ def test_top_k_equals_brute_force(spark):
 def test_top_k_is_exact_for_other_widths(spark, monkeypatch, n, bits, k):
     rng = np.random.default_rng(bits)
     vectors = rng.normal(size=(n, bits))
-    vectors[: n // 3, : bits // 2] = vectors[0, : bits // 2]  # a third shares its first segments: crowded values
-    monkeypatch.setattr(hamming, "HOT", 200)
+    vectors[: n // 3, : bits // 2] = vectors[0, : bits // 2]  # a third shares its first segments
+    for name, value in (("SHARD", 700), ("LEAST_SHARD", 300), ("BLOCK", 8), ("SAMPLE", 600), ("TOGETHER", 3)):
+        monkeypatch.setattr(hamming, name, value)
     df = spark.createDataFrame([(x, v.tolist()) for x, v in enumerate(vectors)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
     got = {(r["query"], r["rank"]): (r["id"], r["distance"]) for r in hamming.top_k(df, F.col("vec_id") % 100 == 0, k, bits).collect()}
     codes = vectors > 0
@@ -67,10 +68,23 @@ def test_top_k_is_exact_for_other_widths(spark, monkeypatch, n, bits, k):
         assert [got[q, r + 1] for r in range(k)] == [(x, d) for d, x in want]
 
 
-def test_segments_look_up_every_value_once():
-    assert hamming.segment_widths(64, 10**9) == [32, 32] and hamming.segment_widths(64, 50_000) == [16] * 4 and sum(hamming.segment_widths(100, 1000)) == 100
-    seen = [x for radius in range(9) for x in hamming.flips(8, radius)]
-    assert sorted(seen) == list(range(256))
+def test_pairs_are_met_once_and_radii_stop_when_the_kth_is_covered():
+    widths = hamming.segment_widths(44)
+    assert widths == [15, 15, 14]
+    rng = np.random.default_rng(5)
+    codes = np.stack([rng.integers(0, 1 << w, 2000) for w in widths], axis=1)
+    shard = hamming.Shard(codes, widths)
+    far = np.bitwise_count((codes[:9, None] ^ codes[None]).astype(np.uint64)).sum(axis=2)
+    met = Counter(p for radius in range(16) for s, w in enumerate(widths) if radius <= w for p in zip(*(x.tolist() for x in shard.look_up(codes[:9].astype(np.uint64), s, radius)[:2])))
+    assert len(met) == 9 * 2000 and set(met.values()) == {1}
+    looked = []
+    monkey = shard.look_up
+    shard.look_up = lambda asked, s, radius: looked.append(radius) or monkey(asked, s, radius)
+    who, code, distance = shard.search(codes[:9], 5, np.full(9, 44))
+    for q in range(9):
+        limit = np.sort(far[q])[4]
+        assert sorted(zip(distance[who == q].tolist(), code[who == q].tolist())) == sorted((int(far[q, x]), int(x)) for x in np.flatnonzero(far[q] <= limit))
+    assert max(looked) <= max(np.sort(far, axis=1)[:, 4]) // 3 + 1
 
 
 def test_top_k_of_repeated_ids_and_texts(spark):
