@@ -15,36 +15,44 @@ NEAR = neardup.Settings(shingle=3, percent=85)
 
 
 def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other vectors of every row whose id is divisible by 100. Nulls, ties, repeats and empty tables: see ``hamming``."""
     found = hamming.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
     return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "distance")
 
 
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document. Null keys and texts count 0 bytes; repeated rows and empty tables: see ``sharding``."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES).withColumnRenamed("key", "doc_id")
 
 
 def op3_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document. Null sources, empty texts, ties and repeated rows: see ``mixing``."""
     return mixing.plan(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null and empty pages have an empty one, see ``html``."""
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from archives. Null payloads, repeated pages and empty tables: see ``warc``."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
 def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document. Empty sets, repeated rows and null ids: see ``neardup``."""
     found = neardup.components(table(spark, sf_dir, "documents"), NEAR)
     return found.withColumnRenamed("key", "doc_id")
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases, licence labels and score of every document; null and empty texts have none, see ``licences``."""
     return licences.scan(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to; null texts have none, see ``bpe``."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,11 +61,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and verdict of every document; null and empty texts fail, see ``quality``."""
     scored = quality.score(table(spark, sf_dir, "documents"))
     return scored.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
 def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by a model of the labelled rows that aren't held out; null and empty texts score low, see ``toxicity``."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("text")).alias("score"))
