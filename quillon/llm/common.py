@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of code points that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,6 +69,15 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -
             spark.conf.set(name, str(most))
 
 
+def file_row(df: DataFrame) -> Column | None:
+    """What names each row of a table as it was read from files: the file's hash and the place in it. None for other tables; not for tables that repeat rows of files, by a join or a generator."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet, so that helper columns never clash with the caller's."""
     taken = {c.lower() for c in df.columns}

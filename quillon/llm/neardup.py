@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
@@ -393,14 +393,14 @@ def components(docs: DataFrame, settings: Settings | None = None, key: str = "do
     return out.select("key", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text", row_of: Column | None = None) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``docs``; all rows with empty sets stay.
 
     Groups are decided by row, so null and repeated ids lose no text. The row with the least id stays, null ids last; of rows
-    of a group that share it, the first by hash.
+    of a group that share it, the first by hash. ``row_of`` has to name rows; without it they are written once with a name.
     """
     row, place = free_name(docs, "row_"), free_name(docs, "place_")
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows") if row_of is None else docs.withColumn(row, row_of)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(*columns).alias("hash"), F.col(row).alias("row"))
     found = components(rows.withColumn(place, order), settings, place, text)

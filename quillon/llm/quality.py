@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, stored
+from quillon.llm.common import cut, free_name, stored
 
 WINDOW = 8
 #: Votes for, votes against; a document that meets neither has the rule abstain. Shares are per word unless they say otherwise.
@@ -140,7 +140,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
-def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that are kept, with the columns of ``docs``. Each row goes by its own text, whatever its ``key``."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"), F.col(text).alias("text"))
-    return score(whole, "key", "text", threshold).where(F.col("kept")).select("key.*")
+def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5, row: Column | None = None) -> DataFrame:
+    """The rows that are kept, with the columns of ``docs``. Each row goes by its own text, whatever its ``key``.
+
+    With ``row``, which has to name rows, they are filtered by a join; without, they are written once with their counts.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if row is None:
+        whole = docs.select(F.struct(*columns).alias("key"), F.col(text).alias("text"))
+        return score(whole, "key", "text", threshold).where(F.col("kept")).select("key.*")
+    name = free_name(docs, "row_")
+    rows = docs.withColumn(name, row)
+    kept = score(rows, name, text, threshold).where(F.col("kept")).select(F.col("key").alias(name))
+    return rows.join(kept, name, "left_semi").select(*columns)
