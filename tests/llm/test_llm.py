@@ -605,6 +605,18 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
     assert docs.count() > 0
 
 
+def test_rows_named_by_files_go_like_written_ones(spark, sf_dir, tmp_path):
+    from quillon.llm.common import file_row
+
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own.unionByName(own.limit(40)).unionByName(own.limit(20).withColumn("doc_id", F.lit(None).cast("bigint"))).repartition(3).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert file_row(docs) is not None and file_row(spark.range(3)) is None
+    assert texts(quality.keep_good(docs, row=file_row(docs))) == texts(quality.keep_good(docs))
+    assert texts(neardup.keep_one(docs, row_of=file_row(docs))) == texts(neardup.keep_one(docs))
+
+
 def test_every_query_runs(spark, sf_dir):
     for name, query in queries.QUERIES.items():
         rows = query(spark, sf_dir)
