@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, mixing, neardup, quality, toxicity
-from quillon.llm.common import stored, table
+from quillon.llm.common import file_row, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row goes by its own text, whatever its id. Null and empty texts have too few words and go; an empty table stays empty.
     """
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, row=file_row(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Groups are of rows, so null and repeated ids lose no text; texts without words are in no group and stay. The least id of a
     group stays, of equal ids the first by hash. An empty table stays empty.
     """
-    return neardup.keep_one(docs, neardup.Settings(shingle=5, percent=80))
+    return neardup.keep_one(docs, neardup.Settings(shingle=5, percent=80), row_of=file_row(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
