@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
 
 from quillon.functions import text as T
 
@@ -37,56 +34,73 @@ def speech_chunks(text: Column, target: int = 480, most: int = 720) -> Column:
     return pack(parts, target)
 
 
-def caption_list(text: str | None, most: int = 116, tolerance: int = 28, tail: int = 34) -> list[str]:
-    """Captions of one text: a caption never crosses a sentence, and a sentence's last caption isn't a scrap."""
-    clean = re.sub(r"\s+([,.;:!?])", r"\1", " ".join((text or "").split()))
-    out: list[str] = []
-    for sentence in re.split(r"(?<=[.!?])\s+", clean):
-        lines: list[list[str]] = []
-        for word in sentence.split():
-            if lines and len(" ".join([*lines[-1], word])) <= most:
-                lines[-1].append(word)
-            else:
-                lines.append([word])
-        if len(lines) > 1:
-            last, before = lines[-1], lines[-2]
-            while (len(last) < 3 or len(" ".join(last)) < tail) and len(before) > 3 and len(" ".join([before[-1], *last])) <= most + tolerance:
-                last.insert(0, before.pop())
-        out += [" ".join(x) for x in lines]
-    return out
-
-
-def evidence_list(text: str | None, most: int = 3600, overlap_lines: int = 4, overlap: int = 500) -> list[str]:
-    """Chunks of whole lines up to ``most`` characters that overlap by some lines; longer lines are cut with an overlap first."""
-    text = (text or "").strip()
-    if len(text) <= most:
-        return [text] if text else []
-    lines: list[str] = []
-    for line in (x.strip() for x in re.split(r"\n+", text)):
-        at = 0
-        while line[at : at + most]:
-            lines.append(line[at : at + most])
-            if at + most >= len(line):
-                break
-            at += most - overlap
-    out, start = [], 0
-    while start < len(lines):
-        end, size = start, 0
-        while end < len(lines) and (end == start or size + len(lines[end]) + 1 <= most):
-            size += len(lines[end]) + (end > start)
-            end += 1
-        out.append("\n".join(lines[start:end]))
-        if end >= len(lines):
-            break
-        start = max(start + 1, end - overlap_lines)
-    return out
-
-
-@pandas_udf(ArrayType(StringType()))
-def captions(texts: pd.Series) -> pd.Series:
-    return texts.map(caption_list)
-
-
-@pandas_udf(ArrayType(StringType()))
-def evidence_chunks(texts: pd.Series) -> pd.Series:
-    return texts.map(evidence_list)
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def captions(text: Column, most: int = 116, tolerance: int = 28, tail: int = 34) -> Column:
+    """Captions of up to ``most`` characters that never cross a sentence.
+
+    A sentence's last caption is a scrap if it has fewer than three words or ``tail`` characters. It gets as few words as make it
+    whole from the caption before, which keeps three at least; with them it may be ``tolerance`` longer than the others.
+    """
+    clean = F.regexp_replace(T.squeeze(F.coalesce(text, F.lit(""))), r"\s+([,.;:!?])", "$1")
+
+    def balanced(lines: Column) -> Column:
+        n = F.size(lines)
+        before, last = _words(F.get(lines, n - 2)), _words(F.get(lines, n - 1))
+        spare = F.greatest(F.lit(0), F.size(before) - 3)
+        moved = lambda m: F.concat(F.slice(before, F.size(before) - m + 1, m), last)
+        long = lambda m: F.length(F.array_join(moved(m), " "))
+        done = lambda m: ~((F.size(last) + m < 3) | (long(m) < tail)) | (m >= spare) | (long(m + 1) > most + tolerance)
+        least = F.array_min(F.filter(F.sequence(F.lit(0), spare), done))
+        ends = F.array(F.array_join(F.slice(before, F.lit(1), F.size(before) - least), " "), F.array_join(moved(least), " "))
+        return F.when(n > 1, F.concat(F.slice(lines, F.lit(1), n - 2), ends)).otherwise(lines)
+
+    each = F.filter(F.split(clean, r"(?<=[.!?])\s+"), lambda s: s != "")
+    return F.flatten(F.transform(each, lambda s: balanced(pack(_words(s), most))))
+
+
+def evidence_chunks(text: Column, most: int = 3600, overlap_lines: int = 4, overlap: int = 500) -> Column:
+    """Chunks of whole lines up to ``most`` characters; each begins with the last lines of the one before. Longer lines are first cut with an overlap.
+
+    Lengths are summed once, so that a chunk is a pair of places; a fold over the lines finds the places where chunks end.
+    """
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    step = most - overlap
+
+    def pieces(line: Column) -> Column:
+        more = F.greatest(F.lit(0), F.ceil((F.length(line) - most) / step)).cast("int")
+        return F.transform(F.sequence(F.lit(0), more), lambda k: F.substring(line, k * step + 1, F.lit(most)))
+
+    lines = F.filter(F.transform(F.split(whole, r"\n+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return _windows(F.flatten(F.transform(lines, pieces)), most, overlap_lines)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for the row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(lines: Column, most: int, overlap_lines: int) -> Column:
+    def over(lines: Column) -> Column:
+        sums = F.aggregate(lines, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
+        return _let(sums, lambda sums: cut(lines, sums))
+
+    def cut(lines: Column, sums: Column) -> Column:
+        fits = lambda a, b: F.get(sums, b + 1) - F.get(sums, a) - 1 <= most
+        start = F.struct(F.lit(0).alias("from"), F.array().cast("array<struct<a:int,b:int>>").alias("done"))
+
+        def place(state: Column, at: Column) -> Column:
+            # the chunk ends in front of line ``at``; those after it begin a few lines earlier, as late as it takes for the line to fit
+            least = F.greatest(state["from"] + 1, at - overlap_lines)
+            onward = F.array_min(F.filter(F.sequence(least, at), lambda x: fits(x, at) | (x == at)))
+            between = F.transform(F.filter(F.sequence(least, at), lambda x: x < onward), lambda x: F.struct(x.alias("a"), at.alias("b")))
+            ended = F.struct(onward.alias("from"), F.concat(state["done"], F.array(F.struct(state["from"].alias("a"), at.alias("b"))), between).alias("done"))
+            return F.when(fits(state["from"], at) | (state["from"] == at), state).otherwise(ended)
+
+        places = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda n: n < F.size(lines))
+        all_ = F.aggregate(places, start, place, lambda s: F.concat(s["done"], F.array(F.struct(s["from"].alias("a"), F.size(lines).alias("b")))))
+        return F.transform(all_, lambda c: F.array_join(F.slice(lines, c["a"] + 1, c["b"] - c["a"]), "\n"))
+
+    return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(_let(lines, over))

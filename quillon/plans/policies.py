@@ -133,7 +133,7 @@ SELECT q.qid, coalesce(string_agg(CAST(v AS VARCHAR), ',' ORDER BY nth), '') AS
 WITH a AS (SELECT qid, {D.normalise_plain('query')} AS q FROM {values('queries')}), b AS (SELECT cid, {D.normalise_plain("concat_ws(' ', title, snippet)")} AS c FROM {values('candidates')}),
 m AS (SELECT qid, cid, q, c, regexp_matches(q, '\\b(?:sua doi|bo sung|thay the|bai bo|het hieu luc|doi chieu|diem moi|van ban nao bai bo)\\b') AS amends FROM a, b)
 SELECT qid, cid, (regexp_matches(c, '\\b(?:bai bo toan bo|bai bo thong tu|bai bo quyet dinh|quy dinh viec bai bo|het hieu luc toan bo)\\b') AND NOT amends)
-  OR (regexp_matches(c, '\\b86\\s*/\\s*2024\\s*/\\s*tt-btc\\b') AND NOT regexp_matches(q, '\\b(?:2024|2025|86\\s*/\\s*2024)\\b') AND NOT amends)
+  OR (regexp_matches(c, '\\b86\\s*/\\s*2024\\s*/\\s*tt-btc\\b') AND NOT regexp_matches(q, '\\b(?:2024|2025|86\\s*/\\s*2024|thong tu\\s+(?:so\\s+)?86)\\b') AND NOT amends)
   OR (regexp_matches(q, '\\b(?:doanh nghiep|cong ty|to chuc|hop tac xa)\\b') AND regexp_matches(c, '\\b(?:ho kinh doanh|ca nhan kinh doanh)\\b') AND NOT regexp_matches(c, '\\b(?:doanh nghiep|cong ty|to chuc|nguoi nop thue)\\b')) AS out FROM m""",
     "guarded_answers": f"""
 SELECT qid, aid, CASE WHEN regexp_matches(q, '\\b(?:co can|co phai|co duoc|co .* khong|phai khong|duoc khong)\\b') AND NOT (regexp_matches(h, '^(?:co|khong|co the|khong nhat thiet|chua the ket luan|chua du can cu)\\b') OR regexp_matches(h, '\\bket luan\\s*(?:co|khong|chua the ket luan)\\b')) THEN 0.45::DOUBLE ELSE 0.8::DOUBLE END AS confidence
