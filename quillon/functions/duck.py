@@ -60,7 +60,7 @@ def storage_key(x: str) -> str:
 
 
 def canonical_number(x: str) -> str:
-    return f"replace(replace(upper(regexp_replace(regexp_extract({x}, {quote(T.FULL_NUMBER[4:])}, 0, 'i'), '\\s+', '', 'g')), 'ND-CP', 'NĐ-CP'), 'QD-', 'QĐ-')"
+    return f"replace(replace(upper(regexp_replace(regexp_extract({x}, {quote(T.FULL_NUMBER[5:])}, 0, 'i'), '\\s+', '', 'g')), 'ND-CP', 'NĐ-CP'), 'QD-', 'QĐ-')"
 
 
 def tidy(x: str) -> str:

@@ -113,8 +113,8 @@ def storage_key(text: Column) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(number_key(text), "[^a-z0-9]+", "-"), "^-|-$", ""), F.lit(120))
 
 
-#: A full document number; the left boundary is ASCII, as all digits are.
-FULL_NUMBER = r"(?i)\b\d{1,4}\s*/\s*20\d{2}\s*/\s*(?:NĐ-CP|ND-CP|TT-[A-ZĐ0-9-]+|NQ-[A-ZĐ0-9-]+|QĐ-[A-ZĐ0-9-]+|QD-[A-Z0-9-]+|QH\d*|UBTVQH\d*)"
+#: Fixed value: a full document number in capitals or small letters (``u`` folds Đ too); the left boundary is ASCII, as all digits are.
+FULL_NUMBER = r"(?iu)\b\d{1,4}\s*/\s*20\d{2}\s*/\s*(?:NĐ-CP|ND-CP|TT-[A-ZĐ0-9-]+|NQ-[A-ZĐ0-9-]+|QĐ-[A-ZĐ0-9-]+|QD-[A-Z0-9-]+|QH\d*|UBTVQH\d*)"
 
 
 def canonical_number(text: Column) -> Column:

@@ -115,7 +115,7 @@ def page_selection(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 #: Article headings; white space after the number crosses the line end, as it does in the published behaviour.
-ARTICLE = r"(?im)^\s*Điều\s+(\d+[a-zA-Z]?)\s*[.:]?\s*([^\n]*)$"
+ARTICLE = r"(?imu)^\s*Điều\s+(\d+[a-zA-Z]?)\s*[.:]?\s*([^\n]*)$"
 SENTINEL = "\x01"
 
 
@@ -162,7 +162,8 @@ def best_draft(drafts: DataFrame, tie: float = 0.015) -> DataFrame:
 
 def coverage(docs: DataFrame, key: str, text: str, categories: dict[str, str]) -> DataFrame:
     """Categories that a text shows, those whose evidence is missing, and the covered share; one pass, no join."""
-    folded = T.fold(F.col(text))
+    docs = docs.select(key, T.once(T.fold(F.col(text))).alias("folded"))
+    folded = F.col("folded")
     shown = F.array_compact(F.array(*[F.when(folded.rlike(p), F.lit(name)) for name, p in categories.items()]))
     rows = docs.select(key, shown.alias("shown"), F.split(folded, r"[.\n]").alias("sentences"))
     long_ = F.filter("sentences", lambda s: F.length(F.trim(s)) >= 35)

@@ -16,9 +16,11 @@ TYPES = [
     (r"\b(?:luat)\b", "Luật"),
 ]
 TYPE_OF_WORD = {"nghi dinh": "Nghị định", "nd": "Nghị định", "thong tu": "Thông tư", "tt": "Thông tư", "nghi quyet": "Nghị quyết", "nq": "Nghị quyết", "quyet dinh": "Quyết định", "qd": "Quyết định", "luat": "Luật"}
+#: Fixed value: suffixes of document numbers.
 SUFFIX = r"(?:nd-cp|tt-[a-z0-9-]+|nq-[a-z0-9-]+|qd-[a-z0-9-]+|qh\d*|ubtvqh\d*)"
+#: Fixed value: words of questions.
 QUESTION = r"\b(?:bao nhieu|muc thue|thue suat|dong thue|nop thue|khai thue|khai ky nao|dung mau|the nao|duoc khong|co phai|phai khong|tai sao|can lam gi|van ban nao|bao gio|han nop|thoi han|doi tuong nao|thuoc dien|cach tinh|tinh nhu the nao|mien thue|giam thue|hoan thue|khau tru|quyet toan|hoa don|ho kinh doanh|doanh thu|chi phi duoc tru|thu nhap chiu thue)\b"
-#: Patterns of a number and an optional year, in order of precedence.
+#: Patterns of a number and an optional year, in order of precedence.
 NUMBERS = [
     rf"\b(\d{{1,4}})\s*[/-]\s*(20\d{{2}})\s*[/-]\s*{SUFFIX}\b",
     r"\b(?:nd|tt|nq|qd)\s*(\d{1,4})\s*[/-]\s*(20\d{2})\b",
@@ -26,6 +28,7 @@ NUMBERS = [
     r"\b(?:nghi dinh|thong tu|nghi quyet|quyet dinh|luat|nd|tt|nq|qd)\s+(?:so\s+)?(\d{1,4})(?:\s+(?:nam\s+)?(20\d{2}))?\b",
 ]
 TRAILING = rf"\b(\d{{1,4}})(?:\s*[/-]\s*(20\d{{2}}))?(?:\s*[/-]\s*{SUFFIX})?\s*$"
+#: Fixed value: phrases of prompt injection.
 INJECTION = r"\b(?:ignore|bo qua|system prompt|developer message|tiet lo prompt|lam theo lenh|khong can can cu)\b"
 
 
@@ -53,7 +56,9 @@ def search_hints(queries: DataFrame, query: str = "query") -> DataFrame:
     return rows.drop("hit", "trailing")
 
 
+#: Fixed value: mentions of documents.
 MENTION = r"\b(nghi dinh|thong tu|nghi quyet|quyet dinh|luat|nd|tt|nq|qd)\s*(\d{1,4})(?:\s*[/-]?\s*(20\d{2}))?"
+#: Fixed value: anchored references.
 REFERENCE = r"\b(nghi dinh|thong tu|nghi quyet|quyet dinh|luat|nd|tt|nq|qd)\s*(?:so\s*)?(\d{1,4})\s*[/-]\s*(20\d{2})(?:\s*[/-]\s*([a-z0-9-]+))?"
 
 
@@ -122,7 +127,9 @@ INTENTS = [
 ]
 RULES = [(group, n, label, pattern) for group, table in (("area", AREAS), ("subject", SUBJECTS), ("intent", INTENTS)) for n, (label, pattern) in enumerate(table)]
 CAPS = {"area": 3, "subject": 3, "intent": 4}
+#: Fixed value: words of questions on tax.
 ASKS = r"\b(?:bao nhieu|the nao|duoc khong|co phai|phai khong|tai sao|can lam gi|bao gio|han nop|thoi han|mau nao|cach tinh|ap dung|xu ly|phan tich|giai thich|doi chieu|huong dan|khai thue|nop thue|hoan thue|khau tru|quyet toan|hoa don|doanh thu|thue suat|chi phi duoc tru|mien thue|giam thue|khong chiu thue|dang ky thue|ma so thue|xu phat|cham nop|phan bo|khai tap trung)\b"
+#: Fixed value: references in a question.
 HAS_REFERENCE = r"\b(?:nghi dinh|thong tu|nghi quyet|quyet dinh|luat|nd|tt|nq|qd)\s*(?:so\s*)?\d{1,4}\s*[/-]\s*20\d{2}(?:\s*[/-]\s*[a-z0-9-]+)?\b"
 
 
@@ -169,22 +176,61 @@ HOUSEHOLD = r"\b(?:ho kinh doanh|ca nhan kinh doanh)\b"
 BUSINESS = r"\b(?:doanh nghiep|cong ty|to chuc|nguoi nop thue)\b"
 #: Words that source relevance ignores.
 RELEVANCE_STOP = "thue van ban quy dinh hien hanh nguoi dung can phai duoc khong thi va cua cho nam".split()
-#: Labels whose pattern in a source differs from that in a question.
-IN_SOURCES = {
-    "thuế giá trị gia tăng": r"\b(?:gtgt|gia tri gia tang|thue vat)\b",
-    "thuế tài nguyên và môi trường": r"\b(?:thue tai nguyen|thue bao ve moi truong)\b",
-    "thuế suất, mức thuế và cách tính": r"\b(?:thue suat|muc thue|can cu tinh thue|cach tinh|so thue phai nop)\b",
-    "ngưỡng doanh thu, miễn thuế, không chịu thuế": r"\b(?:nguong doanh thu|mien thue|giam thue|khong chiu thue|khong phai nop)\b",
-    "khai thuế, hồ sơ và mẫu biểu": r"\b(?:khai thue|to khai|ho so|mau bieu|phu luc)\b",
-    "thời hạn khai, nộp và xử lý": r"\b(?:thoi han|han nop|cham nhat|thoi gian giai quyet)\b",
-    "khấu trừ thuế, chi phí được trừ": r"\b(?:khau tru|chi phi duoc tru|thue dau vao|giam tru)\b",
-    "xử phạt, tiền chậm nộp và cưỡng chế": r"\b(?:xu phat|tien cham nop|cham nop|cuong che|vi pham)\b",
-    "phân bổ nghĩa vụ thuế, khai tập trung": r"\b(?:phan bo|khai tap trung|dia phuong khac)\b",
-    "sửa đổi, bổ sung, thay thế và đối chiếu": r"\b(?:sua doi|bo sung|thay the|bai bo|diem moi)\b",
-}
-SOURCE_RULES = [(kind, n, label, IN_SOURCES.get(label, pattern)) for kind, n, label, pattern in RULES]
+#: Areas by their patterns in sources.
+SOURCE_AREAS = [
+    ("thuế giá trị gia tăng", r"\b(?:gtgt|gia tri gia tang|thue vat)\b"),
+    ("thuế thu nhập cá nhân", r"\b(?:tncn|thu nhap ca nhan)\b"),
+    ("thuế thu nhập doanh nghiệp", r"\b(?:tndn|thu nhap doanh nghiep)\b"),
+    ("hóa đơn điện tử", r"\b(?:hoa don|may tinh tien)\b"),
+    ("quản lý thuế", r"\b(?:quan ly thue|khai thue|nop thue|dang ky thue|ma so thue)\b"),
+    ("lệ phí môn bài", r"\b(?:le phi mon bai|thue mon bai|mon bai)\b"),
+    ("thuế nhà thầu", r"\b(?:thue nha thau|nha thau nuoc ngoai|fct)\b"),
+    ("thuế tiêu thụ đặc biệt", r"\b(?:tieu thu dac biet|ttdb)\b"),
+    ("thuế xuất nhập khẩu", r"\b(?:xuat khau|nhap khau|hai quan)\b"),
+    ("thuế tài nguyên và môi trường", r"\b(?:thue tai nguyen|thue bao ve moi truong)\b"),
+    ("thuế, tiền sử dụng đất", r"\b(?:su dung dat|tien thue dat|thue dat|dat phi nong nghiep)\b"),
+]
+#: Subjects by their patterns in sources.
+SOURCE_SUBJECTS = [
+    ("hộ kinh doanh, cá nhân kinh doanh", r"\b(?:ho kinh doanh|ca nhan kinh doanh)\b"),
+    ("doanh nghiệp, tổ chức", r"\b(?:doanh nghiep|cong ty|to chuc|hop tac xa)\b"),
+    ("tổ chức trả thu nhập", r"\b(?:to chuc tra thu nhap|don vi tra thu nhap|nguoi su dung lao dong)\b"),
+    ("cá nhân, người lao động", r"\b(?:ca nhan|nguoi lao dong|tien luong|tien cong)\b"),
+    ("nhà thầu nước ngoài", r"\b(?:nha thau nuoc ngoai|nha cung cap nuoc ngoai)\b"),
+    ("hoạt động thương mại điện tử", r"\b(?:thuong mai dien tu|san thuong mai dien tu|ban hang online|livestream|content creator|youtuber|tiktoker)\b"),
+    ("đơn vị phụ thuộc, địa điểm kinh doanh", r"\b(?:don vi phu thuoc|chi nhanh|dia diem kinh doanh)\b"),
+]
+#: Intents by their patterns in sources.
+SOURCE_INTENTS = [
+    ("thuế suất, mức thuế và cách tính", r"\b(?:thue suat|muc thue|can cu tinh thue|cach tinh|so thue phai nop)\b"),
+    ("ngưỡng doanh thu, miễn thuế, không chịu thuế", r"\b(?:nguong doanh thu|mien thue|giam thue|khong chiu thue|khong phai nop)\b"),
+    ("khai thuế, hồ sơ và mẫu biểu", r"\b(?:khai thue|to khai|ho so|mau bieu|phu luc)\b"),
+    ("thời hạn khai, nộp và xử lý", r"\b(?:thoi han|han nop|cham nhat|thoi gian giai quyet)\b"),
+    ("hóa đơn và chứng từ", r"\b(?:hoa don|chung tu|may tinh tien)\b"),
+    ("khấu trừ thuế, chi phí được trừ", r"\b(?:khau tru|chi phi duoc tru|thue dau vao|giam tru)\b"),
+    ("hoàn thuế", r"\b(?:hoan thue|hoan gtgt)\b"),
+    ("quyết toán thuế", r"\b(?:quyet toan|uy quyen quyet toan)\b"),
+    ("đăng ký thuế và mã số thuế", r"\b(?:dang ky thue|ma so thue|cham dut hieu luc ma so thue)\b"),
+    ("xử phạt, tiền chậm nộp và cưỡng chế", r"\b(?:xu phat|tien cham nop|cham nop|cuong che|vi pham)\b"),
+    ("phân bổ nghĩa vụ thuế, khai tập trung", r"\b(?:phan bo|khai tap trung|dia phuong khac)\b"),
+    ("sửa đổi, bổ sung, thay thế và đối chiếu", r"\b(?:sua doi|bo sung|thay the|bai bo|diem moi)\b"),
+]
+SOURCE_RULES = [(group, n, label, pattern) for group, table in (("area", SOURCE_AREAS), ("subject", SOURCE_SUBJECTS), ("intent", SOURCE_INTENTS)) for n, (label, pattern) in enumerate(table)]
 #: Which of a question's intents a source has to share, first match.
-PRIMARY = [INTENTS[n][0] for n in (6, 7, 9, 4, 5, 8, 1, 0, 10, 11, 2, 3)]
+PRIMARY = [
+    "hoàn thuế",
+    "quyết toán thuế",
+    "xử phạt, tiền chậm nộp và cưỡng chế",
+    "hóa đơn và chứng từ",
+    "khấu trừ thuế, chi phí được trừ",
+    "đăng ký thuế và mã số thuế",
+    "ngưỡng doanh thu, miễn thuế, không chịu thuế",
+    "thuế suất, mức thuế và cách tính",
+    "phân bổ nghĩa vụ thuế, khai tập trung",
+    "sửa đổi, bổ sung, thay thế và đối chiếu",
+    "khai thuế, hồ sơ và mẫu biểu",
+    "thời hạn khai, nộp và xử lý",
+]
 
 
 def labels_by_kind(texts: DataFrame, key: str, text: str, rules: list[tuple], prefix: str = "") -> DataFrame:
@@ -255,6 +301,7 @@ def top_candidates(scored: DataFrame, k: int, score: str = "relevance") -> DataF
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Fixed value: words of relations, of the past and of the future.
 RELATION = r"\b(?:con hieu luc|het hieu luc|hieu luc den|hieu luc tu|sua doi|bo sung|thay the|bai bo|van ban nao thay|quan he phap ly)\b"
 PAST = r"\b(?:tai thoi diem|vao thoi diem|trong giai doan|truoc ngay|truoc khi|truoc day|quy dinh cu|lich su|da ap dung|luc do|khi do|hoi nam|vao nam|trong nam)\b"
 FUTURE = r"\b(?:sap toi|tuong lai|khi co hieu luc|sau ngay|ke tu ngay|ap dung tu)\b"

@@ -10,6 +10,14 @@ from quillon.operators.etl import jaccard, token_set
 
 #: Terms of questions whose answers need a second source.
 HIGH_RISK = r"\b(?:dieu kien|ap dung|hien hanh|con hieu luc|het hieu luc|mien|khong chiu|khong phai nop|bao nhieu|muc phat|thoi han|han nop|thue suat|nguong)\b"
+#: Intents that make a question high-risk whatever its words.
+HIGH_RISK_INTENTS = [
+    "thuế suất, mức thuế và cách tính",
+    "ngưỡng doanh thu, miễn thuế, không chịu thuế",
+    "thời hạn khai, nộp và xử lý",
+    "xử phạt, tiền chậm nộp và cưỡng chế",
+    "sửa đổi, bổ sung, thay thế và đối chiếu",
+]
 TYPE_WORDS = r"\b(?:nghi dinh|thong tu|nghi quyet|quyet dinh|luat|nd-cp|tt-btc|nd|tt|nq|qd)\b"
 
 
@@ -43,15 +51,23 @@ def backward_jumps(rows: DataFrame, group: str, order: str, number: Column) -> D
     return numbered.where(F.col("number") < F.col("before")).select(group, order, "before", "number")
 
 
-def greedy_distinct(items: Column, similar: float, cap: int) -> Column:
-    """Items in order, without those that are too like one kept before; a fold within the row."""
-    start = F.array().cast("array<string>")
+def high_risk(plans: DataFrame) -> Column:
+    """Questions without a cited document that have a high-risk intent or term; ``plans`` as from ``question_plans``."""
+    return F.col("asks") & ~F.col("cites") & (F.arrays_overlap("intents", F.array(*map(F.lit, HIGH_RISK_INTENTS))) | F.col("normalised").rlike(HIGH_RISK))
 
-    def step(kept: Column, item: Column) -> Column:
-        close = F.exists(kept, lambda k: jaccard(token_set(k, 3), token_set(item, 3)) > similar)
-        return F.when(close | (F.size(kept) >= cap), kept).otherwise(F.concat(kept, F.array(item)))
 
-    return F.aggregate(items, start, step)
+def greedy_distinct(items: Column, similar: float, cap: int | None = None) -> Column:
+    """Items in order, without those that are too like one kept before, at most ``cap``; a fold within the row over token sets made once."""
+    pairs = F.transform(items, lambda x: F.struct(x.alias("item"), token_set(x, 3).alias("tokens")))
+    start = F.filter(pairs, lambda x: F.lit(False))
+
+    def step(kept: Column, now: Column) -> Column:
+        drop = F.exists(kept, lambda k: jaccard(k["tokens"], now["tokens"]) > similar)
+        if cap is not None:
+            drop = drop | (F.size(kept) >= cap)
+        return F.when(drop, kept).otherwise(F.concat(kept, F.array(now)))
+
+    return F.transform(F.aggregate(pairs, start, step), lambda x: x["item"])
 
 
 def recent_repeats(lines: DataFrame, group: str, order: str, text: str, back: int = 4) -> DataFrame:

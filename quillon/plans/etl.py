@@ -26,7 +26,8 @@ def portal_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extraction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("method", F.element_at(F.array(*map(F.lit, ["ocr", "docx", "doc", "pdf_text", "html", "ocr_required", "plain"])), (F.col("doc_id") % 7 + 1).cast("int")))
-    return docs.select("doc_id", "method", F.round(E.extraction_score(F.col("text"), F.col("method"), MARKERS), 6).alias("score"), F.round(E.readability_score(T.tidy(F.col("text")), MARKERS, ACCENTS, SUSPICIOUS), 6).alias("readability"))
+    docs = docs.select("doc_id", "method", "text", T.once(T.tidy(F.col("text"))).alias("clean"))
+    return docs.select("doc_id", "method", F.round(E.extraction_score(F.col("text"), F.col("method"), MARKERS), 6).alias("score"), F.round(E.readability_score(F.col("clean"), MARKERS, ACCENTS, SUSPICIOUS), 6).alias("readability"))
 
 
 def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +128,7 @@ def _date(p: str, y: int, m: int, d: int, options: str = "") -> str:
     return f"strftime(TRY_CAST({g(y)} || '-' || lpad({g(m)}, 2, '0') || '-' || lpad({g(d)}, 2, '0') AS DATE), '%Y-%m-%d')"
 
 
-_ART = E.ARTICLE[5:]
+_ART = E.ARTICLE[6:]
 _SIG = lambda text, signals: "len(list_filter([" + ", ".join(map(_Q, signals)) + f"], lambda s: contains({text}, s)))"
 
 ORACLE = {

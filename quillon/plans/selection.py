@@ -29,8 +29,8 @@ def hint_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def high_risk_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = T.normalise_plain(F.col("query"))
-    return frame(spark, "queries").select("qid", (n.rlike(R.ASKS) & ~n.rlike(R.HAS_REFERENCE) & n.rlike(C.HIGH_RISK)).alias("risky"))
+    plans = R.question_plans(frame(spark, "queries"))
+    return plans.select("qid", C.high_risk(plans).alias("risky"))
 
 
 def backward_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +39,9 @@ def backward_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first lines of each document that aren't alike, at most five."""
+    """The lines of each document that aren't like one before."""
     lines = F.filter(F.transform(F.split(T.tidy(F.col("text")), "\n"), F.trim), lambda x: F.length(x) >= 12)
-    return table(spark, sf_dir, "documents").select("doc_id", C.greedy_distinct(lines, 0.72, 5).alias("kept")).select("doc_id", F.size("kept").alias("n"), F.md5(F.array_join("kept", "|")).alias("kept_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.greedy_distinct(lines, 0.72).alias("kept")).select("doc_id", F.size("kept").alias("n"), F.md5(F.array_join("kept", "|")).alias("kept_md5"))
 
 
 def recent_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,8 @@ def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (search_variants, hint_matches, high_risk_questions, backward_jumps, distinct_lines, recent_repeats, grounded_turns, most_complete, text_choice, newest_first)}
 
 _REST = f"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(normalised, {_Q(chr(92) + 'b' + chr(92) + 'd{1,4}' + chr(92) + 's*[/-]' + chr(92) + 's*20' + chr(92) + 'd{2}' + chr(92) + 's*[/-]' + chr(92) + 's*' + R.SUFFIX + chr(92) + 'b')}, ' ', 'g'), {_Q(C.TYPE_WORDS)}, ' ', 'g'), '\\s+'), lambda w: w <> '' AND w NOT IN ('so', 'nam') AND NOT coalesce(w = number, false) AND NOT coalesce(w = year, false))"
+_INTENTS = ", ".join(f"CASE WHEN regexp_matches(n, {_Q(p)}) THEN {_Q(label)} END" for label, p in R.INTENTS)
+_RISKY = ", ".join(map(_Q, C.HIGH_RISK_INTENTS))
 ORACLE = {
     "search_variants": f"""
 WITH h AS ({KNOWN['query_hints']}), q AS (SELECT h.*, {D.squeeze('query')} AS clean, array_to_string({_REST}, ' ') AS rest, concat_ws('/', number, CASE WHEN number IS NOT NULL THEN year END) AS id FROM h JOIN {values('queries')} USING (qid)),
@@ -88,7 +90,7 @@ SELECT qid, string_agg(u, ' | ' ORDER BY nth) AS variants FROM (SELECT *, row_nu
     "hint_matches": f"""
 WITH h AS ({KNOWN['query_hints']}), c AS (SELECT cid, {D.normalise_plain("concat_ws(' ', document_number, title)", 'a-z0-9/_.-')} AS t FROM {values('candidates')})
 SELECT qid, cid FROM h JOIN c ON regexp_matches(t, '(?:^|[^0-9])' || number || '(?:[^0-9]|$)') AND (year IS NULL OR contains(t, year)) WHERE number IS NOT NULL""",
-    "high_risk_questions": f"SELECT qid, regexp_matches(n, {_Q(R.ASKS)}) AND NOT regexp_matches(n, {_Q(R.HAS_REFERENCE)}) AND regexp_matches(n, {_Q(C.HIGH_RISK)}) AS risky FROM (SELECT qid, {D.normalise_plain('query')} AS n FROM {values('queries')})",
+    "high_risk_questions": f"SELECT qid, regexp_matches(n, {_Q(R.ASKS)}) AND NOT regexp_matches(n, {_Q(R.HAS_REFERENCE)}) AND (regexp_matches(n, {_Q(C.HIGH_RISK)}) OR len(list_filter(list_filter([{_INTENTS}], lambda x: x IS NOT NULL)[1:4], lambda x: x IN ({_RISKY}))) > 0) AS risky FROM (SELECT qid, {D.normalise_plain('query')} AS n FROM {values('queries')})",
     "backward_jumps": "SELECT o_custkey, o_orderkey, before, number FROM (SELECT o_custkey, o_orderkey, o_totalprice AS number, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders WHERE o_totalprice IS NOT NULL) WHERE number < before",
     "recent_repeats": f"""
 WITH a AS (SELECT doc_id, string_split({D.tidy('text')}, chr(10)) AS l FROM documents), b AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM a), c AS (SELECT doc_id, pos, {D.normalise_plain('line', 'a-z0-9')} AS key FROM b),

@@ -25,11 +25,20 @@ def format_of(name: Column, mime: Column) -> Column:
 
 
 def delimited(spark: SparkSession, path: str, separator: str = ",", rows: int = 50_000, columns: int = 500) -> DataFrame:
-    """Cells ``file, row, col, value`` of delimited files; the caps on rows and columns of a file are part of the format's contract."""
-    lines = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
-    numbered = lines.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("at"))).where(F.col("row") <= rows)
-    cells = F.slice(F.split("value", re.escape(separator), -1), 1, columns)
-    return numbered.select("file", "row", F.posexplode(cells).alias("col", "value"))
+    """Cells ``file, row, col, value, truncated`` of delimited files, quotes and quoted line ends respected.
+
+    Every row has as many cells as the file's widest, empty ones where its line is shorter. The caps on rows and columns of a
+    file are part of the format's contract; ``truncated`` says whether they cut the file.
+    """
+    schema = ", ".join(f"c{n} STRING" for n in range(columns + 1))  # one more column shows that there are more
+    read = spark.read.schema(schema).options(sep=separator, multiLine=True, quote='"', escape='"', emptyValue="", mode="PERMISSIVE").csv(path)
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.array(*read.columns).alias("cells"))
+    # a file with quoted line ends isn't split, so its rows are numbered without a gap
+    width = F.array_max(F.transform("cells", lambda c, n: F.when(c.isNotNull(), n + 1)))
+    files = lines.groupBy("file").agg(F.min("at").alias("first"), F.least(F.lit(columns), F.coalesce(F.max(width), F.lit(0))).alias("width"), (F.count(F.lit(1)) > rows).alias("long"), F.max(F.get("cells", F.lit(columns)).isNotNull()).alias("wide"))
+    numbered = lines.join(files, "file").withColumn("row", (F.col("at") - F.col("first") + 1).cast("int")).where(F.col("row") <= rows)
+    cells = numbered.select("file", "row", F.posexplode(F.slice("cells", F.lit(1), F.col("width"))).alias("col", "value"), (F.col("long") | F.col("wide")).alias("truncated"))
+    return cells.withColumn("value", F.coalesce("value", F.lit("")))
 
 
 def gazette_attachments(payloads: DataFrame, number: str, payload: str) -> DataFrame:

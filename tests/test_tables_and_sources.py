@@ -26,6 +26,11 @@ def test_delimited_files_become_cells(spark, tmp_path):
     got = sorted((r["row"], r["col"], r["value"]) for r in S.delimited(spark, f"file://{tmp_path}/a.csv").collect())
     assert got == [(1, 0, "x"), (1, 1, "y"), (2, 0, "1"), (2, 1, "")]
     assert S.delimited(spark, f"file://{tmp_path}/a.csv", rows=1, columns=1).count() == 1
+    assert [r["truncated"] for r in S.delimited(spark, f"file://{tmp_path}/a.csv", rows=1, columns=1).collect()] == [True]
+    (tmp_path / "b.csv").write_text('a,"b, c",d\n"two\nlines","say ""so""",\n')
+    quoted = S.delimited(spark, f"file://{tmp_path}/b.csv").collect()
+    assert sorted((r["row"], r["col"], r["value"]) for r in quoted) == [(1, 0, "a"), (1, 1, "b, c"), (1, 2, "d"), (2, 0, "two\nlines"), (2, 1, 'say "so"'), (2, 2, "")]
+    assert not any(r["truncated"] for r in quoted)
 
 
 def test_formats(spark):
