@@ -45,7 +45,7 @@ def scheduled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matching_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The market segment, as a sheet whose headers are its customers' nations, that shares most with the suppliers' nations."""
     nation = table(spark, sf_dir, "nation")
-    sheets = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).where("c_acctbal > 9000").select(F.col("c_mktsegment").alias("sheet"), F.col("n_name").alias("header"))
+    sheets = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("sheet"), F.col("n_name").alias("header"))
     target = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("header"))
     return G.best_match(sheets, target)
 
@@ -70,7 +70,7 @@ SELECT name, CASE WHEN NOT (contains(content_type, 'pdf') OR ends_with(lower(nam
   WHEN status = 'processing' THEN coalesce(epoch(TIMESTAMP '2026-07-20 12:00:00') - {_at('updated_at')} >= 270, true)
   WHEN status = 'ocr_partial' OR (status = 'failed' AND regexp_matches(coalesce(error, ''), '429|quota|rate limit|resource exhausted|too many requests|timeout|fetch failed|network', 'i')) THEN true ELSE coalesce(method = 'pdf_ocr' AND done < pages, false) END AS run FROM {_files}""",
     "matching_sheet": f"""
-WITH w AS (SELECT DISTINCT {D.header_key('n_name')} AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey), s AS (SELECT DISTINCT c_mktsegment AS sheet, {D.header_key('n_name')} AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000),
+WITH w AS (SELECT DISTINCT {D.header_key('n_name')} AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey), s AS (SELECT DISTINCT c_mktsegment AS sheet, {D.header_key('n_name')} AS name FROM customer JOIN nation ON c_nationkey = n_nationkey),
 m AS (SELECT sheet, count(*) AS shared FROM s JOIN w USING (name) GROUP BY sheet)
 SELECT sheet, shared FROM m WHERE shared >= greatest(2, ceil(least((SELECT count(*) FROM w), 8) * 0.4)) ORDER BY shared DESC, sheet LIMIT 1""",
 }
