@@ -91,11 +91,20 @@ def drop_repeated_edges(pages: DataFrame, doc: str, page: str, text: str, edge:
     return pages.select(doc, page).join(texts, [doc, page], "left").select(doc, page, F.coalesce("text", F.lit("")).alias("text"))
 
 
-def ranges(rows: DataFrame, group: str, number: str) -> DataFrame:
-    """Gaps and islands: the runs of consecutive numbers of each group."""
-    rows = rows.select(group, number).distinct()
-    island = F.col(number) - F.row_number().over(Window.partitionBy(group).orderBy(number))
-    return rows.withColumn("island", island).groupBy(group, "island").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("island")
+def ranges(rows: DataFrame, group: str, number: str, width: int = 65_536) -> DataFrame:
+    """Gaps and islands: the runs of consecutive numbers of each group.
+
+    Runs are found within spans of ``width`` numbers, so that a group with most of the rows is spread over tasks; only runs that
+    touch an end of their span, two a span at most, are then put together across spans."""
+    at = F.col(number)
+    rows = rows.select(group, number).where(at.isNotNull()).distinct().withColumn("span", F.floor(at / width))
+    island = at - F.row_number().over(Window.partitionBy(group, "span").orderBy(number))
+    runs = rows.withColumn("island", island).groupBy(group, "span", "island").agg(F.min(number).alias("first"), F.max(number).alias("last"))
+    edge = (F.col("first") == F.col("span") * width) | (F.col("last") == F.col("span") * width + (width - 1))
+    line = Window.partitionBy(group).orderBy("first")
+    joined = runs.where(edge).withColumn("opens", F.coalesce((F.lag("last").over(line) + 1 != F.col("first")).cast("int"), F.lit(1)))
+    joined = joined.withColumn("run", F.sum("opens").over(line)).groupBy(group, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.where(~edge).select(group, "first", "last").unionByName(joined.select(group, "first", "last"))
 
 
 def batches(rows: DataFrame, group: str, number: str, size: int) -> DataFrame:

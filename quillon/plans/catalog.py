@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import etl, guards, layout, merging, policies, retrieval, segments, selection, state
+from quillon.plans import etl, guards, layout, merging, policies, publishing, retrieval, segments, selection, state
 
-PARTS = (retrieval, etl, guards, layout, policies, segments, selection, state, merging)
+PARTS = (retrieval, etl, guards, layout, policies, segments, selection, state, merging, publishing)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

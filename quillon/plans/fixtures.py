@@ -63,6 +63,39 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         ("1/2026", 1, 2, None, "2026-01-01", None), ("1/2026", 2, 5, "Tiêu đề đầy đủ", None, "2026-02-01"), ("1/2026", 3, 5, "Tiêu đề khác", "2026-01-02", None), ("2/2026", 1, 1, "Chỉ có tên", None, None),
     ]),
     "upload_chunks": ("file STRING, idx INT, bytes BIGINT, size BIGINT, total INT", [("a", 0, 10, 25, 3), ("a", 1, 10, 25, 3), ("a", 2, 5, 25, 3), ("b", 0, 10, 20, 2), ("c", 0, 10, 20, 2), ("c", 1, 9, 20, 2)]),
+    "transcripts": ("tid INT, text STRING", [
+        (1, "[TABLE]\nSTT | Nội dung\n[/TABLE]\n☑ Đồng ý ,đã ký"), (2, "```text\nKẾT QUẢ OCR:\n--- TRANG 2/5 ---\nĐiều 1. Phạm vi\n[không có nội dung]\n[KHÔNG ĐỌC RÕ] _______ hết."),
+        (3, "ô 1\x07ô 2\x07\nhàng\x0btiếp\x07"), (4, ""), (5, None), (6, "a\r\nb\u00a0c ; d"),
+    ]),
+    "text_drafts": ("case_id INT, head STRING, filler INT, expected STRING, issued STRING, method STRING, quality DOUBLE, total_pages INT", [
+        (1, "Số: 89/2026/TT-BTC\nHà Nội, ngày 05 tháng 6 năm 2026\nĐiều 1. Phạm vi\nĐiều 2. Đối tượng\n", 80, "89/2026/TT-BTC", "2026-06-05", "ocr", 0.7, 2),
+        (2, "English 中文 Trang chủ Chính phủ Lai Châu Điện Biên", 1, "90/2026/TT-BTC", "2026-06-05", "html", 0.5, 0),
+        (3, "Số: 15/2026/NĐ-CP ngày 1/2/2026\nĐiều 3. Một\nđiều 2. Hai\n[không đọc rõ] [không đọc rõ] [Không đọc rõ]\n", 80, "15/2026/nđ-cp", "2026-02-01", "docx", 0.6, 3),
+        (4, "NGHỊ ĐỊNH quy định", 400, None, None, "html", 0.54, None), (5, "THÔNG TƯ quy định", 400, "", "06/2026", "ocr", 0.67, 0), (6, None, 0, None, None, None, None, None),
+    ]),
+    "draft_pages": ("case_id INT, page INT, chars INT, score DOUBLE, similarity DOUBLE", [
+        (1, 1, 100, 0.9, 0.95), (1, 2, 40, 0.8, 0.0), (3, 1, 100, 0.7, 0.71), (3, 2, 39, 0.61, 0.9), (3, 9, 100, 0.9, 0.9), (5, 1, 100, None, None),
+    ]),
+    "clauses": ("doc INT, text STRING", [
+        (1, "Chương I\nQUY ĐỊNH CHUNG\n1.\nPhạm vi điều chỉnh\na)\n2. Người nộp thuế\nđ) điểm đ\ntiếp theo\n\nđoạn văn\nchương ii"), (2, "-\nmột gạch\r\n\r\n  \nMục 2\tTên"), (3, ""), (4, None),
+    ]),
+    "updates": ("target STRING, source STRING, kind STRING, issued STRING, score DOUBLE", [
+        ("A", "a1", "amendment", "2026-01-01", 3.0), ("A", "a2", "replacement", "2026-01-01", 1.0), ("A", "a3", "repeal", "2025-01-01", 9.0), ("B", "b1", "repeal", None, 1.0), ("B", "b2", "repeal", None, 2.0), ("C", "c1", "other", "2026-01-01", 1.0),
+    ]),
+    "warned": ("wid INT, found STRING, checked STRING", [(1, "a|b", "b|c"), (2, "", ""), (3, "f|e|d|c", "b|a|f"), (4, "a||a", "z")]),
+    "scenes": ("scene INT, ids STRING", [(1, "p2|p1|gone"), (2, "p3"), (3, "")]),
+    "scene_claims": ("point STRING, claim STRING", [("p1", "một"), ("p2", "hai"), ("p3", "ba")]),
+    "invoice_sheets": ("sid INT, headers STRING, cells STRING", [
+        (1, "STT|MST người bán|Ký hiệu hóa đơn|Số hóa đơn|Ngày lập", "1|0101|1C26TAA|00012|01/02/2026"), (2, "Số|Ngày hóa đơn|Tiền", "12|1.2.2026|5"), (3, "Số hóa đơn|Tiền", "12|5"), (4, "Mã số thuế người bán|Số|Ký hiệu", "||K"), (5, "Số|Ký hiệu|MST bán", "7|K"),
+    ]),
+    "lookup_states": ("number STRING, state STRING, accepted BOOLEAN, revision_number STRING, gaps STRING", [
+        ("1/2026/TT-BTC", "ready", True, "1/2026/tt-btc", "3"), ("2/2026/TT-BTC", "processing", False, None, ""), ("3/2026/TT-BTC", "needs_review", None, None, "4,5,6,9,11,12,4"),
+        ("4/2026/TT-BTC", "failed", True, "5/2026/TT-BTC", "1,3,5,7,9,11,13,15,17"), ("6/2026/TT-BTC", None, False, None, "1"),
+    ]),
+    "video_rows": ("rid INT, accepted BOOLEAN, published STRING, issued STRING, eligible BOOLEAN, chars INT, capable BOOLEAN", [
+        (1, True, "2026-08-02", "2026-08-01", True, 1500, True), (2, False, "2026-08-02", "2026-08-01", True, 1500, True), (3, True, "bad", "2026-08-01", True, 1500, True), (4, True, "2026-08-02", None, True, 1500, True),
+        (5, True, "2026-08-02", "2026-08-01", False, 1500, True), (6, True, "2026-08-02", "2026-08-01", True, 1499, True), (7, True, "2026-08-02", "2026-08-01", True, 1500, False), (8, True, "2026-07-31", "2026-08-01", True, 1500, True),
+    ]),
 }
 
 _DUCK = {"INT": "INTEGER", "STRING": "VARCHAR"}

@@ -79,3 +79,43 @@ def test_selections_relations_and_updates(rows):
 def test_best_draft_prefers_consensus_within_the_tie(rows):
     got = rows("best_drafts", "page")
     assert (got[1]["pass"], got[2]["pass"], got[3]["pass"]) == ("consensus", "structure", "literal")
+
+
+def test_validated_texts(rows):
+    got = {n: r["warnings"] for n, r in rows("validated_texts", "case_id").items()}
+    assert got[1] == "" and got[2] == "short,shell,number,date,structure,quality" and got[3] == "pages,page_score,unreadable,disagreement,order"
+    assert got[4] == "" and got[5].startswith("structure,quality") and got[6] == "short,structure"
+
+
+def test_legal_blocks(spark, sf_dir):
+    got = {(r["doc"], r["first_line"]): (r["kind"], r["text"]) for r in catalog.queries()["clause_blocks"](spark, sf_dir).collect()}
+    assert got[1, 0] == ("heading", "Chương I QUY ĐỊNH CHUNG") and got[1, 2] == ("clause", "1. Phạm vi điều chỉnh")
+    assert got[1, 4] == ("point", "a) 2. Người nộp thuế") and got[1, 6] == ("point", "đ) điểm đ tiếp theo") and got[1, 9] == ("paragraph", "đoạn văn") and got[1, 10] == ("paragraph", "chương ii")
+    assert got[2, 0] == ("point", "- một gạch") and got[2, 4] == ("heading", "Mục 2 Tên") and len(got) == 8
+
+
+def test_spoken_texts(rows):
+    got = rows("spoken_texts", "tid")
+    assert got[1]["speech"] == "STT, Nội dung ô đã đánh dấu Đồng ý, đã ký" and got[6]["control"] == "a\nb c ; d"
+    assert got[2]["wrapper"] == "Điều 1. Phạm vi\n\n[KHÔNG ĐỌC RÕ] _______ hết." and got[5]["speech"] is None
+
+
+def test_answers_and_keys(rows):
+    got = rows("state_answers", "number")
+    assert got["1/2026/TT-BTC"]["answer"] == "ready" and got["1/2026/TT-BTC"]["confidence"] == 0.99 and "6/2026/TT-BTC" not in got
+    assert got["3/2026/TT-BTC"]["missing"] == "4–6, 9, 11–12" and got["4/2026/TT-BTC"]["missing"] == "1, 3, 5, 7, 9, 11, 13, 15, …"
+    keys = {n: r["key"] for n, r in rows("header_invoice_keys", "sid").items()}
+    assert keys == {1: "0101|1c26taa|00012|01 02 2026", 2: "||12|1 2 2026", 3: None, 4: None, 5: "|k|7|"}
+
+
+def test_latest_updates(rows):
+    got = rows("latest_updates", "target")
+    assert got["A"]["source"] == "a2" and got["B"]["source"] == "b2" and "C" not in got
+
+
+def test_ranges_across_spans(spark):
+    from quillon.operators import etl
+
+    numbers = [0, 1, 2, 3, 4, 7, 8, 9, 12, 15, 16, 17, -1, -2, -6]
+    got = etl.ranges(spark.createDataFrame([("g", n) for n in numbers] + [("g", 3), ("g", None), (None, 5)], "g STRING, n INT"), "g", "n", 4).collect()
+    assert sorted((r["first"], r["last"]) for r in got if r["g"]) == [(-6, -6), (-2, 4), (7, 9), (12, 12), (15, 17)] and [(r["first"], r["last"]) for r in got if r["g"] is None] == [(5, 5)]
