@@ -96,6 +96,34 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         (1, True, "2026-08-02", "2026-08-01", True, 1500, True), (2, False, "2026-08-02", "2026-08-01", True, 1500, True), (3, True, "bad", "2026-08-01", True, 1500, True), (4, True, "2026-08-02", None, True, 1500, True),
         (5, True, "2026-08-02", "2026-08-01", False, 1500, True), (6, True, "2026-08-02", "2026-08-01", True, 1499, True), (7, True, "2026-08-02", "2026-08-01", True, 1500, False), (8, True, "2026-07-31", "2026-08-01", True, 1500, True),
     ]),
+    "references": ("rid INT, text STRING", [
+        (1, "a &amp;lt; b &#272;i&#x1ec1;u &QUOT;x&quot; &nbsp;|"), (2, "&unknown; &#0; &#xD800; &#1114112; &#128512;"), (3, ""), (4, None), (5, "&amp;#39; &#38;lt; &apos"),
+    ]),
+    "listing_pages": ("page INT, hint STRING, html STRING", [
+        (1, "89/2026/TT-BTC", "<div>Danh sách</div><a class='t' href='/?pageid=27160&amp;docid=1'>Thông tư 89/2026/TT-BTC</a> về hóa đơn điện tử, ngày 30/06/2026" + "<p>.</p>" * 400
+            + "<a href=\"?docid=2\">Quy định về cây trồng</a> 77/2026/NĐ-CP nông nghiệp" + "<p>-</p>" * 400 + "<a href=\"https://evil.example/?docid=3\">90/2026/NĐ-CP thuế</a>" + "<i> </i>" * 400
+            + "<a href='//chinhphu.vn/x?docId=4'><b>Luật</b> s&#7917;a đổi</a> 12 / 2026 / QH15 quản lý thuế" + "<p>.</p>" * 400 + "<a href='/?pageid=27160&amp;docid=1'>Thông tư 89/2026/tt-btc</a> hóa đơn" + "<u></u>" * 400
+            + "<a href='chi-tiet?docid=6'> </a> phí 15/2026/QĐ-TTg"),
+        (2, "12", "không có liên kết"), (3, "nông nghiệp", "<a href='?docid=9'>Nghị quyết 5/2026/NQ-CP về thuế nông nghiệp</a><script>77/2026/NĐ-CP</script>"), (4, None, "<a href='?docid=8'>Nghị định về phí</a> 6/2026/NĐ-CP"), (5, "x", None),
+    ]),
+    "gazette_rows": ("gid INT, number STRING, hint STRING, base DOUBLE", [
+        (1, "89/2026/TT-BTC", "89/2026/tt-btc", 0.3), (2, "89/2026/TT-BTC", "89/2026", 0.3), (3, "70/2025/NĐ-CP", "89/2026", 0.3), (4, "70/2025/NĐ-CP", "70", 7.5), (5, "70/2025/NĐ-CP", "89/2026", None), (6, "70/2025/NĐ-CP", "89/2026", -2.0),
+    ]),
+    "method_texts": ("did INT, number STRING, method STRING, text STRING", [
+        (1, "A", "ocr", "dài dài dài"), (2, "A", "html", "ngắn"), (3, "A", "html", "dài hơn"), (4, "B", "khác", "x"), (5, "B", "ocr", "y"), (6, "C", "pdf_text", "z"), (7, "C", "docx", "z"), (8, "C", "docx", "t"),
+    ]),
+    "markdown_texts": ("mid INT, text STRING", [
+        (1, "**Điều 3. Giải thích từ ngữ** Trong Nghị định này\r\n\r\n\r\n\r\n## __Chương I__\nĐiều\n 4. Phạm vi"), (2, "# Tiêu đề **đậm** và __nghiêng__\n** hở"), (3, "MỤC \n\n II: Tên\t mục"), (4, ""), (5, None), (6, "**điều 12** **Điều 13**\n  dòng   cuối  **"),
+    ]),
+    "transcript_runs": ("tid INT, head STRING, filler INT, score DOUBLE, total_pages INT, finish STRING", [
+        (1, "TRANG 1\nChương I\nMục 2\n", 200, 0.9, 1, "STOP"), (2, "TRANG 1\n--- PAGE 2 / 9 ---\nTrang 2\nĐiều 1\n", 10, 0.5, 9, "max_tokens"),
+        (3, "Chương I, Mục 1, Khoản 2 " + "[không đọc rõ]" * 5, 400, 0.68, 4, "STOP"), (4, "Điều 1\nĐiều 2\n", 300, 0.7, 2, "STOP"), (5, "TRANG 0\nTRANG 1\nTRANG 2\nTRANG 3\nChương I\n Mục 2", 200, 0.7, 4, "STOP"),
+    ]),
+    "article_pages": ("page INT, number STRING, html STRING", [
+        (1, "89/2026/TT-BTC", "<nav>89/2026/TT-BTC</nav><script>{\"articleBody\" : \"Thông tư 89/2026/TT-BTC\\nĐiều 1. \\\"Phạm vi\\\"\\\\\\nĐiều 2. Đối tượng\\nTừ khóa: thuế\"}</script><article><p>BỘ TÀI CHÍNH</p><p>Số: 89 / 2026 / TT-BTC</p><p>Điều 1. Phạm vi</p></article>"),
+        (2, "70/2025/NĐ-CP", "<header>70/2025/NĐ-CP Điều 9</header><p>một</p><p>hai</p><p>ba</p><p>Nghị định 70/2025/nđ-cp</p><p>Chương I</p><p>1. Khoản</p><p>Góp ý, hiến kế 5</p>"),
+        (3, "1/2026/TT-BTC", "<p>không có số hiệu</p>"), (4, None, "<p>1/2026/TT-BTC</p>"), (5, "5/2026/NQ-CP", "<div class='article-content x'>5/2026/NQ-CP<br>Điều 1</div><section id='news-content'>5/2026/NQ-CP<br>Điều 1<br>Điều 2</section>"), (6, "1/2026/TT-BTC", None),
+    ]),
 }
 
 _DUCK = {"INT": "INTEGER", "STRING": "VARCHAR"}
