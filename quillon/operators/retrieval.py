@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators.pairs import with_queries
 
 #: Document types by the first matching pattern.
 TYPES = [
@@ -249,7 +250,7 @@ def source_relevance(queries: DataFrame, candidates: DataFrame, query: str = "qu
     asked = asked.withColumn("primary", F.coalesce(*[F.when(F.array_contains("intents", x), x) for x in PRIMARY]))
     held = labels_by_kind(candidates.select("cid", T.normalise_plain(F.col(candidate)).alias("body")), "cid", "body", SOURCE_RULES, "c_")
     tokens = F.array_distinct(F.filter(F.split("normalised", "[^a-z0-9]+"), lambda t: (F.length(t) > 2) & ~t.isin(RELEVANCE_STOP) & ~t.rlike(r"^20\d{2}$")))
-    pairs = held.crossJoin(F.broadcast(asked))  # the query set meets every candidate
+    pairs = with_queries(held, asked, queries.count())
     for k in CAPS:
         pairs = pairs.withColumn(f"n_{k}", F.size(F.array_intersect(f"{k}s", f"c_{k}s")))
     body, bridge = F.col("body"), F.col("body").rlike(ADMINISTRATION)
@@ -277,12 +278,12 @@ INVOICE = r"\b(?:hoa don|may tinh tien)\b"
 def lexical_relevance(queries: DataFrame, candidates: DataFrame, query: str = "query", body: str = "body", stop: list[str] = T.STOP_WORDS) -> DataFrame:
     """Token coverage, phrase and intent boosts in [0, 3.5] of every candidate for each query; 0 without a shared token.
 
-    Candidates are normalised once; the (small, stated) query set is broadcast to them, so nothing is shuffled.
+    Candidates are normalised once; the stated query set is broadcast to them up to a checked size, so nothing is shuffled, and meets them in blocks beyond it.
     """
     asked = queries.select("qid", T.normalise_query(F.col(query)).alias("q"), T.significant_tokens(F.col(query), stop).alias("q_tokens"))
     held = candidates.select("cid", T.once(T.normalise_query(F.col(body))).alias("c"))
     held = held.select("cid", "c", T.once(T.distinct_tokens(T.tokens_of(F.col("c"), stop))).alias("c_tokens"))
-    pairs = held.crossJoin(F.broadcast(asked)).withColumn("matched", F.size(F.array_intersect("q_tokens", "c_tokens"))).where(F.col("matched") > 0)
+    pairs = with_queries(held, asked, queries.count()).withColumn("matched", F.size(F.array_intersect("q_tokens", "c_tokens"))).where(F.col("matched") > 0)
     q, c = F.col("q"), F.col("c")
     intent = (
         F.when(q.rlike(HOUSEHOLD), F.when(c.rlike(HOUSEHOLD), 0.9).otherwise(-0.25)).otherwise(0.0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators.pairs import with_queries
 from quillon.operators.etl import jaccard, token_set
 
 #: Terms of questions whose answers need a second source.
@@ -38,7 +39,7 @@ def variants(hints: DataFrame, query: str, cap: int = 6) -> DataFrame:
 
 def hint_matches(hints: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates that carry a hint's number, as a whole number, and its year. The hints are the stated query set."""
-    rows = candidates.crossJoin(F.broadcast(hints.where("number IS NOT NULL").select("qid", "number", "year")))
+    rows = with_queries(candidates, hints.where("number IS NOT NULL").select("qid", "number", "year"), hints.count())
     text = T.normalise_plain(F.concat_ws(" ", "document_number", "title"), "a-z0-9/_.-")
     whole = F.rlike(text, F.concat(F.lit(r"(?:^|[^0-9])"), "number", F.lit(r"(?:[^0-9]|$)")))
     return rows.where(whole & (F.col("year").isNull() | F.contains(text, F.col("year")))).select("qid", "cid")

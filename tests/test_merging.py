@@ -27,3 +27,14 @@ def test_precedence_and_retries(spark):
     again = spark.createDataFrame([(2, "B"), (4, "D")], "page INT, text STRING")
     assert sorted(r["page"] for r in M.missing_pages(pages, again, ["page"]).collect()) == [1, 3]
     assert sorted((r["page"], r["text"]) for r in M.merge_pages(pages, again, ["page"], "text").collect()) == [(1, "a"), (2, "B"), (3, "c"), (4, "D")]
+
+
+def test_query_blocks_equal_the_broadcast(spark):
+    from quillon.operators.pairs import with_queries
+
+    rows = spark.range(50).selectExpr("IF(id = 0, NULL, id) AS cid", "id % 3 AS x")
+    asked = spark.range(23).selectExpr("IF(id = 1, NULL, id) AS qid", "id AS y")
+    pairs = lambda df: sorted((r["x"], r["y"], repr(r["cid"]), repr(r["qid"])) for r in df.collect())
+    dealt = with_queries(rows, asked, 23, block=5, slices=3)
+    assert dealt.columns == ["cid", "x", "qid", "y"] and pairs(dealt) == pairs(with_queries(rows, asked, 23)) and dealt.count() == 50 * 23
+    assert with_queries(rows, asked.limit(0), 0).count() == 0
