@@ -48,17 +48,19 @@ def captions(text: Column, most: int = 116, tolerance: int = 28, tail: int = 34)
 
     def balanced(lines: Column) -> Column:
         n = F.size(lines)
-        before, last = _words(F.get(lines, n - 2)), _words(F.get(lines, n - 1))
+        ends = F.struct(_words(F.get(lines, n - 2)).alias("before"), _words(F.get(lines, n - 1)).alias("last"))
+        return F.when(n > 1, F.concat(F.slice(lines, F.lit(1), n - 2), _let(ends, lambda e: tail_of(e["before"], e["last"])))).otherwise(lines)
+
+    def tail_of(before: Column, last: Column) -> Column:
         spare = F.greatest(F.lit(0), F.size(before) - 3)
         moved = lambda m: F.concat(F.slice(before, F.size(before) - m + 1, m), last)
         long = lambda m: F.length(F.array_join(moved(m), " "))
         done = lambda m: ~((F.size(last) + m < 3) | (long(m) < tail)) | (m >= spare) | (long(m + 1) > most + tolerance)
         least = F.array_min(F.filter(F.sequence(F.lit(0), spare), done))
-        ends = F.array(F.array_join(F.slice(before, F.lit(1), F.size(before) - least), " "), F.array_join(moved(least), " "))
-        return F.when(n > 1, F.concat(F.slice(lines, F.lit(1), n - 2), ends)).otherwise(lines)
+        return _let(least, lambda m: F.array(F.array_join(F.slice(before, F.lit(1), F.size(before) - m), " "), F.array_join(moved(m), " ")))
 
     each = F.filter(F.split(clean, r"(?<=[.!?])\s+"), lambda s: s != "")
-    return F.flatten(F.transform(each, lambda s: balanced(pack(_words(s), most))))
+    return F.flatten(F.transform(each, lambda s: _let(pack(_words(s), most), balanced)))
 
 
 def evidence_chunks(text: Column, most: int = 3600, overlap_lines: int = 4, overlap: int = 500) -> Column:
