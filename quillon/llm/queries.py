@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, hamming, html, licences, mixing, neardup, quality, sharding, toxicity, warc
+from quillon.llm import bpe, hamming, html, licences, mixing, neardup, packing, quality, sharding, toxicity, warc
 from quillon.llm.common import table
 
 #: Bytes of a shard.
@@ -74,5 +74,13 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_multi_index_hashing, op2_extendible_sharding, op3_systematic_mixing, op4_html_main_text, op5_warc_round_trip, op6_minhash_bayes, op7_licence_scan, op8_byte_bpe, op9_weak_supervision, op10_toxicity_grammar)}
+def op13_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of 1,024 tokens; null and empty texts are an end id, see ``packing``."""
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packed.withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_multi_index_hashing, op2_extendible_sharding, op3_systematic_mixing, op4_html_main_text, op5_warc_round_trip, op6_minhash_bayes, op7_licence_scan, op8_byte_bpe, op9_weak_supervision, op10_toxicity_grammar, op13_first_fit_packing)}
 ORACLE = {"op1_multi_index_hashing": hamming.TOP_K_SQL, "op2_extendible_sharding": sharding.shards_sql(SHARD_BYTES), "op3_systematic_mixing": mixing.PLAN_SQL, "op5_warc_round_trip": warc.ROUND_TRIP_SQL, "op6_minhash_bayes": neardup.components_sql(NEAR)}
