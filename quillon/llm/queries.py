@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, conversations, hamming, html, licences, mixing, neardup, packing, quality, sharding, toxicity, warc
+from quillon.llm import bpe, conversations, divergence, hamming, html, licences, mixing, neardup, packing, quality, sharding, toxicity, warc
 from quillon.llm.common import table
 
 #: Bytes of a shard.
@@ -74,6 +74,11 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and terms of every source of every language; nulls, groups without terms, ties and empty tables: see ``divergence``."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest repair and digest of every damaged conversation; nulls, ties, repeats and empty tables: see ``conversations``."""
     return conversations.repair(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
@@ -87,5 +92,5 @@ def op13_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_multi_index_hashing, op2_extendible_sharding, op3_systematic_mixing, op4_html_main_text, op5_warc_round_trip, op6_minhash_bayes, op7_licence_scan, op8_byte_bpe, op9_weak_supervision, op10_toxicity_grammar, op12_conversation_repair, op13_first_fit_packing)}
-ORACLE = {"op1_multi_index_hashing": hamming.TOP_K_SQL, "op2_extendible_sharding": sharding.shards_sql(SHARD_BYTES), "op3_systematic_mixing": mixing.PLAN_SQL, "op5_warc_round_trip": warc.ROUND_TRIP_SQL, "op6_minhash_bayes": neardup.components_sql(NEAR)}
+QUERIES = {f.__name__: f for f in (op1_multi_index_hashing, op2_extendible_sharding, op3_systematic_mixing, op4_html_main_text, op5_warc_round_trip, op6_minhash_bayes, op7_licence_scan, op8_byte_bpe, op9_weak_supervision, op10_toxicity_grammar, op11_source_divergence, op12_conversation_repair, op13_first_fit_packing)}
+ORACLE = {"op1_multi_index_hashing": hamming.TOP_K_SQL, "op2_extendible_sharding": sharding.shards_sql(SHARD_BYTES), "op3_systematic_mixing": mixing.PLAN_SQL, "op5_warc_round_trip": warc.ROUND_TRIP_SQL, "op6_minhash_bayes": neardup.components_sql(NEAR), "op11_source_divergence": divergence.AUDIT_SQL}
