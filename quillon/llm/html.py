@@ -1,9 +1,12 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree; menus, page headers and footers, side bars, notices, adverts, forms, comments and code are cut off.
+A page becomes a tree; menus, page headers and footers, side bars, notices, adverts, forms, comments and code are cut off. What a
+block is called counts only if its whole class or id is made of such words; headings and paragraphs are never judged by it, and
+words that texts use as well (discussion, related, comment) need a second sign: links, form controls, writers and dates.
 Each paragraph passes points for its length and commas to its ancestors, all to the parent, half to the grandparent, less
 further up, discounted by the share of its text that stands in links. The container with the most points, discounted by its
-own link density, is kept, with siblings that score well; an enclosing ``article`` or ``main`` element counts as container.
+own link density, is kept, with siblings that score well or are parts of the same divided text, here and further up; an
+enclosing ``article`` or ``main`` element counts as container.
 
 Null and empty pages have an empty text. Pages are parsed whole, however long or deep (no recursion). Truncated pages and
 unclosed tags are parsed as far as they go. Pages without a scored paragraph fall back to what is left of the body.
@@ -35,30 +38,54 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 #: Elements that never hold main text.
 NEVER = set("aside audio button canvas dialog footer form head iframe input label menu nav noscript object script select style svg template textarea title video".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words of class and id that mark what isn't main text.
-MARKS = set("""ad ads adbox adslot advert adverts advertisement advertising adsense aside banner breadcrumb breadcrumbs byads
-    comment comments commentlist consent cookie cookies copyright discussion disqus footer form gdpr header login masthead menu modal nav navbar
-    navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promoted promotion
-    recommend recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored
-    responses snackbar subscribe subscription taboola toast toolbar topbar widget""".split())
+#: Whole classes and ids that mark what isn't main text, wherever a block has them.
+PLAIN = set("""ad ads adbox adslot advert adverts advertisement advertising adsense breadcrumb breadcrumbs byads comments commentlist consent
+    cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter outbrain overlay pager pagination popup promo share sharing
+    sidebar signup snackbar sponsor sponsored subscribe taboola toast toolbar topbar""".split())
+#: Those that also name parts of texts: in a text, a block with one goes if there is another sign.
+VAGUE = set("""aside banner comment copyright discussion form header login modal notice notices notification promoted promotion recommend recommended
+    related replies reply respond responses search social subscription widget""".split())
+#: Words that stand beside marks in compounds, such as site-header or comment-list-2.
+FILLER = set("""and area bar block bottom box btn button buttons col column container content desktop entry global group inner inline item items left
+    line link links list main mobile outer page panel post primary right row secondary section site slot small the thread top unit wide wrap wrapper""".split())
 #: Compounds of menu words, such as mainnav or sidebarlinks.
 MENU = re.compile(r"(?:top|main|site|sub|side|foot|left|right|bottom|header|footer|global|primary|secondary|page)?(?:nav|navi|navbar|navigation|menu|sidebar)(?:links?|list|items?|bar|box)?")
 #: Words of wrappers around the whole page, whose other words say what they hold beside the text (page-with-sidebar).
 WRAPS = set("container content has layout main no page post wrapper wrap with without".split())
-#: Words of class and id that clear an element of such marks.
-CLEAR = set("article body content entry main post story text".split())
+#: Elements that are text by themselves: headings, paragraphs and the like aren't judged by what they are called.
+TEXT = HEADINGS | set("p blockquote pre table tbody tr td th figure figcaption em strong b i span a code li dt dd body html".split())
+#: Who wrote a contribution of readers, and when.
+WRITER, WHEN = set("author avatar by byline commenter name nick nickname poster user username vcard".split()), set("ago date datetime posted time timestamp when".split())
+
+
+def marks(names: list[str]) -> tuple[bool, bool]:
+    """Whether a class or id marks a block for certain, or perhaps. All words of a compound must be marks or fillers."""
+    sure = vague = False
+    for name in names:
+        parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if x]
+        own = [x for x in parts if x in PLAIN or x in VAGUE or MENU.fullmatch(x)]
+        if own and all(x in own or x in FILLER for x in parts):
+            certain = any(x in PLAIN or MENU.fullmatch(x) for x in own)
+            sure, vague = sure or certain, vague or not certain
+    return sure, vague
 
 
 class Node:
-    __slots__ = ("above", "below", "letters", "linked", "name", "points", "role", "tokens", "useless")
+    __slots__ = ("above", "below", "doubtful", "kind", "letters", "linked", "name", "points", "role", "sure", "tokens", "useless", "vague")
 
     def __init__(self, name: str, above: Node | None, text: str = ""):
         self.name, self.above, self.below = name, above, []
-        self.points, self.letters, self.linked, self.useless = 0.0, 0, 0, False
-        self.tokens, self.role = set(), ""
+        self.points, self.letters, self.linked, self.useless, self.doubtful = 0.0, 0, 0, False, False
+        self.tokens, self.role, self.kind, self.sure, self.vague = set(), "", "", False, False
         if text:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
-            self.tokens = {x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get("class", "") + " " + found.get("id", "")).lower()) if x}
+            self.kind = found.get("class", "")
+            names = self.kind.split() + found.get("id", "").split()
+            self.tokens = {x for x in re.split(r"[^a-z0-9]+", " ".join(names).lower()) if x}
+            if name not in TEXT:
+                self.sure, self.vague = marks(names)
+            elif name in ("p", "li", "table", "span", "figure"):
+                self.sure = marks(self.kind.split())[0]
             self.role = found.get("role", "").lower()
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
             self.useless = bool(hidden)
@@ -134,20 +161,26 @@ def ordered(root: Node) -> list[Node]:
 
 
 def prune(nodes: list[Node]) -> None:
-    """Mark what isn't main text. A marked class or id doesn't cut off the elements that hold an article, main part or most of the text."""
+    """Mark what isn't main text. A class or id doesn't cut off the elements that hold an article, main part or most of the text; a vague one only with another sign."""
     holders, seen = set(), set()
-    raw: dict[int, int] = {}
+    raw, linked, parts = {}, {}, {}  # letters, letters in links, and the form controls and writers below a node
     for node in reversed(nodes):
         own = raw.get(id(node), 0) + sum(len(x.strip()) for x in node.below if isinstance(x, str))
         raw[id(node)] = own
+        inside = linked[id(node)] = own if node.name == "a" else linked.get(id(node), 0)
+        signs = parts.get(id(node), (0, 0, 0))
+        signs = (signs[0] + (node.name in ("input", "textarea", "select", "button", "form")), signs[1] + bool(node.tokens & WRITER), signs[2] + (node.name == "time" or bool(node.tokens & WHEN)))
+        parts[id(node)] = signs
         if node.above is not None:
-            raw[id(node.above)] = raw.get(id(node.above), 0) + own
+            up = id(node.above)
+            raw[up], linked[up] = raw.get(up, 0) + own, linked.get(up, 0) + inside
+            parts[up] = tuple(x + y for x, y in zip(parts.get(up, (0, 0, 0)), signs))
     most = raw[id(nodes[0])] / 2
     for node in nodes:
         if node.tokens & WRAPS and raw[id(node)] > most:
             holders.add(id(node))
         if node.name in ("article", "main") or node.role in ("article", "main"):
-            up = node
+            up = node.above
             while up is not None and id(up) not in seen:
                 seen.add(id(up))
                 up = up.above
@@ -156,16 +189,31 @@ def prune(nodes: list[Node]) -> None:
     for node in nodes:
         if node.above is not None and (id(node.above) in inside or node.above.name in ("article", "main")):
             inside.add(id(node))
-        if node.above is not None and node.above.useless:
-            node.useless = True
+        if node.above is not None:
+            node.useless = node.useless or node.above.useless
+            node.doubtful = node.above.doubtful
         if node.useless:
             continue
         wraps = node.name == "form" and (id(node) in holders or raw[id(node)] > most)  # a form around the whole page
         if node.name in NEVER and not wraps or node.role in ROLES or node.name == "header" and id(node) not in inside:
             node.useless = True
-        elif node.name not in ("html", "body", "article", "main") and id(node) not in holders and (marks := {x for x in node.tokens if x in MARKS or MENU.fullmatch(x)}):
-            titles = id(node) in inside and marks <= {"header", "banner"}
-            node.useless = not titles and not (node.tokens & CLEAR and marks <= {"form", "search", "social", "widget"})
+            continue
+        outer = (node.name in ("article", "main") or node.role in ("article", "main")) and id(node) not in inside
+        if (not node.sure and not node.vague) or id(node) in holders or outer and raw[id(node)] > most:
+            continue
+        letters, controls, writers, times = raw[id(node)], *parts[id(node)]
+        told = linked[id(node)] > 0.4 * letters or controls > 0 or min(writers, times) > 0 or max(writers, times) > 1
+        told = told or "copyright" in node.tokens and letters < 300 or alike(node) or not letters
+        node.useless = node.sure and not outer or told
+        node.doubtful = node.doubtful or node.vague
+
+
+def alike(node: Node) -> bool:
+    """Whether most of what a block holds are marked blocks, as a list of comments does."""
+    below = [x for x in node.below if isinstance(x, Node) and x.name not in HEADINGS]
+    while len(below) == 1 and below[0].name in ("ul", "ol", "div", "section") and not below[0].vague:
+        below = [x for x in below[0].below if isinstance(x, Node)]
+    return sum(x.vague or x.sure or (x.name == "li" and any(marks(x.kind.split()))) for x in below) > max(0, len(below) / 2 - 0.5)
 
 
 def weigh(nodes: list[Node]) -> None:
@@ -200,9 +248,41 @@ def density(node: Node) -> float:
     return node.linked / node.letters if node.letters else 0.0
 
 
+def prose(node: Node) -> bool:
+    """Whether a block looks like a part of a text: paragraphs that have points, few links, and some length or a heading."""
+    if node.useless or node.doubtful or not node.letters or density(node) >= 0.25:
+        return False
+    return node.points > 0 and (node.letters > 80 or any(x.name in HEADINGS for x in node.below if isinstance(x, Node)))
+
+
+def siblings(node: Node, least: float, first: bool) -> list[Node | str]:
+    """What stays of the children of ``node``'s parent: the node, siblings that score well, and parts of the same divided text."""
+    below, kept = node.above.below, []
+    for at, x in enumerate(below):
+        if x is node:
+            kept.append(at)
+        elif isinstance(x, Node) and not x.useless and not x.doubtful and x.letters and density(x) < 0.25:
+            strong = x.points * (1 - density(x)) >= least
+            part = x.name == node.name and x.kind == node.kind and x.name in ("div", "section") and (x.kind != "" or prose(x))
+            if node.name == "article":
+                fits = strong or x.name == "article" and part
+            else:
+                fits = strong or part or first and (x.name in HEADINGS or x.name == "p" and (x.letters > 80 or not x.linked) or x.name in ("div", "section") and prose(x))
+            if fits:
+                kept.append(at)
+    # between kept siblings, blocks that score nothing by themselves (code, quotations, tables, lists, headings) belong to the text
+    out = []
+    for at in range(kept[0], kept[-1] + 1):
+        x = below[at]
+        if at in kept or isinstance(x, Node) and (x.name in BETWEEN or x.name in HEADINGS) and not x.useless and not x.doubtful and density(x) < 0.25:
+            out.append(x)
+    return out
+
+
 def chosen(root: Node, nodes: list[Node]) -> list[Node]:
     """The best container and the siblings to keep, in page order."""
-    best = max((n for n in nodes if not n.useless and n.points > 0), key=lambda n: n.points * (1 - density(n)), default=None)
+    scored = [n for n in nodes if not n.useless and n.points > 0]
+    best = max([n for n in scored if not n.doubtful] or scored, key=lambda n: n.points * (1 - density(n)), default=None)
     if best is None:
         for name in ("article", "main", "body"):
             if found := next((n for n in nodes if n.name == name and not n.useless), None):
@@ -214,23 +294,15 @@ def chosen(root: Node, nodes: list[Node]) -> list[Node]:
     best = node or best
     if best.above is None or best.name in ("body", "main"):
         return [best]
-    keep, least = [], max(2.0, 0.2 * best.points * (1 - density(best)))
-    kept_at = []
-    for at, x in enumerate(best.above.below):
-        if x is best:
-            kept_at.append(at)
-        elif isinstance(x, Node) and not x.useless and x.letters and density(x) < 0.25:
-            strong = x.points * (1 - density(x)) >= least
-            titled = best.name != "article" and x.name in HEADINGS
-            prose = best.name != "article" and x.name == "p" and (x.letters > 80 or not x.linked)
-            if strong or titled or prose:
-                kept_at.append(at)
-    # between kept siblings, blocks that score nothing by themselves (code, quotations, tables, lists) belong to the text
-    for at in range(kept_at[0], kept_at[-1] + 1):
-        x = best.above.below[at]
-        if at in kept_at or isinstance(x, Node) and x.name in BETWEEN and not x.useless and density(x) < 0.25:
-            keep.append(x)
-    return keep
+    least = max(2.0, 0.2 * best.points * (1 - density(best)))
+    kept = siblings(best, least, True)
+    # a text that is divided further up goes on in the siblings of what holds it
+    while best.name != "article" and best.above.name not in ("body", "html", "article", "main") and best.above.above is not None:
+        best = best.above
+        more = siblings(best, least, False)
+        at = next(n for n, x in enumerate(more) if x is best)
+        kept = more[:at] + kept + more[at + 1 :]
+    return kept
 
 
 def blocks(tops: list[Node]) -> list[str]:
