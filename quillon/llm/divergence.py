@@ -21,15 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import LOWER, UPPER, small_batches, stored
 
 #: Distinct (language, source, term) entries that a task holds before it passes them on.
-ENTRIES = 200_000
+ENTRIES = 300_000
 #: Cells of a chunk's vectors, and pairs of sources of a task.
-CELLS, PAIRS = 1 << 20, 1 << 20
+CELLS, PAIRS = 1 << 16, 1 << 20
 #: Parts of the scale, whose product it is.
 SCALE = (10_000, 100_000)
 
@@ -38,21 +38,20 @@ _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences of each term and the documents that hold it; a row without a term for each group."""
+    """``lang, source, term, n, docs``: occurrences of each term and the documents that hold it, summed over parts of the documents: a group and term may come several times."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
         inside: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        seen: set[tuple[str, str]] = set()
+        names = ["lang", "source", "term", "n", "docs"]
 
-        def passed() -> pa.RecordBatch:
-            rows = [(*group, term, n, inside[group][term]) for group, terms in counts.items() for term, n in terms.items()]
-            rows += [(*group, None, 0, 0) for group in seen]
-            for held in (counts, inside, seen):
-                held.clear()
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "term", "n", "docs"])
+        def passed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), terms in counts.items():
+                docs, n = inside[lang, source], len(terms)
+                columns = [pa.repeat(pa.scalar(lang), n), pa.repeat(pa.scalar(source), n), pa.array(terms.keys(), pa.binary()), pa.array(terms.values(), pa.int64()), pa.array(map(docs.__getitem__, terms), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+            counts.clear()
+            inside.clear()
 
         held = 0
         for batch in batches:
@@ -64,18 +63,18 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
                 own.update(terms)
                 held += len(own)
                 inside[group].update(set(terms))
-                seen.add(group)
                 if held > ENTRIES:
-                    yield passed()
+                    yield from passed()
                     held = 0
-        if seen:
-            yield passed()
+        yield from passed()
 
     small_batches(docs.sparkSession)
-    filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))]
-    rows = docs.select(*filled, F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    parts = rows.mapInArrow(apply, "lang STRING, source STRING, term BINARY, n BIGINT, docs BIGINT")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    rows = docs.select(_filled(lang, "lang"), _filled(source, "source"), _filled(text, "text").cast("binary").alias("text"))
+    return rows.mapInArrow(apply, "lang STRING, source STRING, term BINARY, n BIGINT, docs BIGINT")
+
+
+def _filled(column: str, name: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias(name)
 
 
 def share(counts: np.ndarray, total: np.ndarray | int, kept: int) -> np.ndarray:
@@ -128,11 +127,12 @@ def _chunk(groups: pa.Table, counts: pa.Table, top: int) -> pa.Table:
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = 3, top: int = 200) -> DataFrame:
     """``lang, source, part, item, value, rank``: part ``pair`` compares a source with each other one of its language, part ``term`` has its ``top`` terms above the language's share."""
-    counts = stored(term_counts(docs, text, lang, source), "term-counts")
-    terms = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term")
-    kept = stored(counts.join(terms, ["lang", "term"]).select("lang", "term", "source", "n"), "kept-terms")
+    # one shuffle by term: the sums of each source, and the documents of all sources beside them
+    counts = term_counts(docs, text, lang, source).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    spread = counts.withColumn("docs", F.sum("docs").over(Window.partitionBy("lang", "term")))
+    kept = stored(spread.where(F.col("docs") >= least_docs).select("lang", "term", "source", "n"), "kept-terms")
     vocabulary = kept.groupBy("lang", "term").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("one").alias("kept"))
-    groups = counts.where("term IS NULL").select("lang", "source").distinct()
+    groups = docs.select(_filled(lang, "lang"), _filled(source, "source")).distinct()
     groups = groups.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").na.fill(0, ["total"])
     groups = stored(groups.join(vocabulary, "lang", "left").na.fill(0, ["kept"]), "audit-groups")
 
