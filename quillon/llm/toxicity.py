@@ -10,7 +10,10 @@ All lexical classes are learned from labelled rows beside their seeds, by log-li
 number of candidates: insults are words and word beginnings that tell the label by themselves; threats are words that tell it
 where a target follows; negations and targets are words that lower or raise the share of label 1 in front of an insult, both
 against the rows that have the same word elsewhere. A logistic model over the clause weights gives the score. Its weights can't be negative, and an asserted or aimed
-clause never weighs less than the same clause negated, reported or aimed at nobody.
+clause never weighs less than the same clause negated, reported or aimed at nobody. What labels say little about follows the
+insults: a seed word without labels weighs as much as the median of the learned seeds, and an asserted threat that is aimed at somebody starts out as an
+asserted, aimed insult does. Scope words must stand in front of insults more often than among clean rows, which keeps out
+function words.
 
 The model is fitted on a bounded sample of labelled rows (``max_rows``); scoring sees every whole text. Labels, language,
 source and ids are never inputs of a score.
@@ -58,6 +61,10 @@ BEGINNINGS = (4, 5, 6)
 REACH = 4
 #: Least share of label 1 among the documents of a learned insult or threat.
 TELLING = 0.7
+#: How much more often a learned target or negation stands in front of insults than in clean rows.
+LIFT = 2.0
+#: Words whose symbols a worker remembers; the memory is cleared when full.
+MEMORY = 200_000
 
 
 class Transducer:
@@ -145,15 +152,23 @@ class Grammar:
         self.words |= {w: (symbol, 0.0) for w, symbol in (scopes or {}).items() if w not in self.words}
         self.words |= dict.fromkeys(ENDS, ("B", 0.0)) | dict.fromkeys(QUOTES, ("Q", 0.0))
         self.beginnings = beginnings or {}
-        self.heads = {w[: BEGINNINGS[0]] for w in self.beginnings}
+        # seed words that labels say nothing about weigh as much as the median of those that they tell about
+        insults = (learned or {}).get("I", {})
+        if told := [insults[w] for w in SEEDS["I"].split() if w in insults]:
+            self.words |= {w: (k, float(np.median(told))) for k in "IT" for w in SEEDS[k].split() if w not in (learned or {}).get(k, {})}
+        self.known: dict[str, tuple[str, float] | None] = {}
         self.ahead, self.back = forwards(), table_of(aimed(), REACH + 1)
 
     def symbols(self, text: str) -> list[tuple[int, tuple[str, float]]]:
         """Places, symbols and weights of the words that the lexicon knows."""
-        tokens = TOKEN.findall(text.lower())
-        words, heads, head = self.words, self.heads, BEGINNINGS[0]
-        found = [(n, words.get(t) or self.longest(t)) for n, t in enumerate(tokens) if t in words or t[:head] in heads]
-        return [hit for hit in found if hit[1]]
+        tokens, known = TOKEN.findall(text.lower()), self.known
+        fresh = set(tokens).difference(known)
+        if len(known) + len(fresh) > MEMORY:
+            known.clear()
+            fresh = set(tokens)
+        for token in fresh:
+            known[token] = self.words.get(token) or self.longest(token)
+        return [(n, known[t]) for n, t in enumerate(tokens) if known[t]]
 
     def longest(self, token: str) -> tuple[str, float] | None:
         """The longest learned beginning of a word, if there is one."""
@@ -189,9 +204,9 @@ PARTS = [[k[0] == letter and (not plain or not set(k) & set("nr")) and (not at o
 
 
 def features(sums: np.ndarray) -> np.ndarray:
-    """Of clause weights by kind: logarithms of the sums over PARTS, whether anything is asserted, and 1. As the parts lie inside each other, weights that aren't negative order the kinds."""
+    """Of clause weights by kind: logarithms of the sums over PARTS, whether an insult or an aimed threat is asserted, and 1. As the parts lie inside each other, weights that aren't negative order the kinds."""
     parts = sums @ np.array(PARTS, float).T
-    asserted = (parts[:, [2, 6]].sum(axis=1, keepdims=True) > 0).astype(float)
+    asserted = (parts[:, [2, 7]].sum(axis=1, keepdims=True) > 0).astype(float)
     return np.concatenate([np.log1p(parts), asserted, np.ones((len(sums), 1))], axis=1)
 
 
@@ -200,9 +215,21 @@ def start_coefficients() -> np.ndarray:
     return np.array([0.2, 0.2, 0.8, 0.2, 0.1, 0.3, 0.2, 0.8, 1.5, -3.0])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 0.1) -> np.ndarray:
-    """Newton's method, projected on coefficients of 0 and more (but for the last, the intercept), with a ridge towards ``start_coefficients``."""
-    centre = start_coefficients()
+def like_insults(w: np.ndarray) -> np.ndarray:
+    """Where coefficients start from once insults have been fitted: an asserted, aimed threat counts like an asserted, aimed insult."""
+    out = start_coefficients()
+    out[7] = max(0.0, w[:4].sum() - out[4:7].sum())
+    return out
+
+
+def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients from the labels; those of threats first start from what insults have shown."""
+    return logistic(x, y, centre=like_insults(logistic(x, y)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 0.1, centre: np.ndarray | None = None) -> np.ndarray:
+    """Newton's method, projected on coefficients of 0 and more (but for the last, the intercept), with a ridge towards ``centre``."""
+    centre = start_coefficients() if centre is None else centre
     least = np.append(np.zeros(len(centre) - 1), -np.inf)
     w = centre.copy()
 
@@ -276,6 +303,19 @@ def _before(place: Column) -> Column:
     return F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda n: place(F.get("words", n))), lambda n: F.slice("words", F.greatest(F.lit(1), n - REACH + 1), F.least(n, F.lit(REACH)))))
 
 
+def scopes_of(sample: DataFrame, found: dict[str, float], there: Column) -> list[str]:
+    """The words that make up LIFT times as much of the places ``there`` as of the words of clean rows."""
+    if not found:
+        return []
+    named = lambda words: F.filter(words, lambda w: w.isin(sorted(found)))
+    clean = F.when(F.col("toxic") == 0, F.col("words")).otherwise(F.array().cast("array<string>"))
+    each = sample.select(there.alias("there"), clean.alias("clean"))
+    all_ = each.agg(F.sum(F.size("there")).alias("there"), F.sum(F.size("clean")).alias("clean")).first()
+    marked = F.concat(F.transform(named(F.col("there")), lambda w: F.struct(w.alias("term"), F.lit(1).alias("there"))), F.transform(named(F.col("clean")), lambda w: F.struct(w.alias("term"), F.lit(0).alias("there"))))
+    counts = each.select(F.explode(marked).alias("t")).select("t.*").groupBy("term").agg(F.sum("there").alias("n"), F.sum(1 - F.col("there")).alias("n0"))
+    return [r["term"] for r in counts.collect() if r["n"] * max(1, all_["clean"]) >= LIFT * max(1, r["n0"]) * all_["there"]]
+
+
 def learn(sample: DataFrame) -> tuple[dict[str, dict[str, float]], dict[str, float], dict[str, str]]:
     """Insults and threats, beginnings of insults, targets and negations from ``text, toxic`` rows."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -293,6 +333,7 @@ def learn(sample: DataFrame) -> tuple[dict[str, dict[str, float]], dict[str, flo
     # (whole words alone: beginnings are weaker evidence, so places beside them differ by language)
     is_insult = lambda w: w.isin(sorted({*insults, *seeds["I"]}))
     more, less = telling_there(sample.where(F.exists("words", is_insult)), _before(is_insult))
+    more, less = (scopes_of(sample, found, _before(is_insult)) for found in (more, less))
     fresh = lambda found: [w for w in found if w not in known and w not in insults and w not in threats and not begins(w)]
     return {"I": insults, "T": threats}, starts, dict.fromkeys(fresh(less), "N") | dict.fromkeys(fresh(more), "Y")
 
@@ -337,7 +378,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not got:
         return Model(grammar, start_coefficients())
     x = features(np.array([r["sums"] for r in got], dtype=float))
-    return Model(grammar, logistic(x, np.array([float(r["toxic"]) for r in got])))
+    return Model(grammar, fitted(x, np.array([float(r["toxic"]) for r in got])))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
