@@ -192,8 +192,9 @@ def header_key(text: Column) -> Column:
     return normalise_plain(F.coalesce(text, F.lit("")), "a-z0-9")
 
 
-def compact_excerpt(text: Column, limit: int) -> Column:
-    """At most ``limit`` characters, cut behind the last sentence end if that keeps more than half."""
+def compact_excerpt(text: Column, limit: int, least: int | None = None) -> Column:
+    """At most ``limit`` characters, cut behind the last sentence end if that keeps more than ``least`` (half)."""
+    least = limit // 2 if least is None else least
     clean = squeeze(text)
     head = F.left(clean, F.lit(limit))
     stop = F.length(F.regexp_extract(head, r"(?s)^(.*[.;])[\s]", 1))

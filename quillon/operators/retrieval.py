@@ -171,6 +171,7 @@ def clarification(plans: DataFrame) -> DataFrame:
     return plans.withColumn("clarify", need)
 
 
+#: Words of administration, of taxes, of households and of businesses.
 ADMINISTRATION = r"\b(?:luat quan ly thue|quan ly thue|thu tuc thue|khai thue|hoan thue)\b"
 TAX_WORDS = r"\b(?:thue|gtgt|tncn|tndn|gia tri gia tang|hoa don|hai quan|le phi|quan ly thue)\b"
 HOUSEHOLD = r"\b(?:ho kinh doanh|ca nhan kinh doanh)\b"
@@ -275,25 +276,46 @@ ASKS_PROCEDURE = r"\b(?:ho so|thu tuc|khai thue|mau nao|dung mau|dang ky|han nop
 INVOICE = r"\b(?:hoa don|may tinh tien)\b"
 
 
+#: What relevance asks of a candidate's text, as bits of a number.
+FLAGS = {"household": HOUSEHOLD, "policy": POLICY, "procedure": PROCEDURE, "invoice": INVOICE}
+
+
+def flags_of(normalised: Column) -> Column:
+    """Which of ``FLAGS`` a normalised text has."""
+    return sum((F.when(normalised.rlike(p), 1 << n).otherwise(0) for n, p in enumerate(FLAGS.values())), F.lit(0)).cast("int")
+
+
+def relevance_score(q: Column, n_tokens: Column, matched: Column, phrase: Column, flags: Column) -> Column:
+    """Token coverage, phrase and intent boosts in [0, 3.5], from a normalised query, the shared tokens, and the candidate's flags."""
+    has = {name: flags.bitwiseAND(F.lit(1 << n)) != 0 for n, name in enumerate(FLAGS)}
+    intent = (
+        F.when(q.rlike(HOUSEHOLD), F.when(has["household"], 0.9).otherwise(-0.25)).otherwise(0.0)
+        + F.when(q.rlike(ASKS_AMOUNT), F.when(has["policy"], 1.2).otherwise(0.0) - F.when(has["procedure"], 0.45).otherwise(0.0)).otherwise(0.0)
+        + F.when(q.rlike(ASKS_PROCEDURE) & has["procedure"], 1.15).otherwise(0.0)
+        + F.when(q.rlike(INVOICE) & has["invoice"], 1.05).otherwise(0.0)
+    )
+    score = matched / n_tokens + F.when(phrase, 0.25).otherwise(0.0) + F.least(F.lit(0.12), matched * 0.02) + intent
+    return F.greatest(F.lit(0.0), F.least(F.lit(3.5), score))
+
+
 def lexical_relevance(queries: DataFrame, candidates: DataFrame, query: str = "query", body: str = "body", stop: list[str] = T.STOP_WORDS) -> DataFrame:
     """Token coverage, phrase and intent boosts in [0, 3.5] of every candidate for each query; 0 without a shared token.
 
-    Candidates are normalised once; the stated query set is broadcast to them up to a checked size, so nothing is shuffled, and meets them in blocks beyond it.
+    For small sets of candidates. Candidates are normalised once and meet the query set, which is broadcast up to a checked size. Over a
+    collection, ``operators.index`` finds the same scores without pairs that share nothing.
     """
     asked = queries.select("qid", T.normalise_query(F.col(query)).alias("q"), T.significant_tokens(F.col(query), stop).alias("q_tokens"))
     held = candidates.select("cid", T.once(T.normalise_query(F.col(body))).alias("c"))
     held = held.select("cid", "c", T.once(T.distinct_tokens(T.tokens_of(F.col("c"), stop))).alias("c_tokens"))
-    pairs = with_queries(held, asked, queries.count()).withColumn("matched", F.size(F.array_intersect("q_tokens", "c_tokens"))).where(F.col("matched") > 0)
+    pairs = with_queries(held, asked, queries.count())
+    return scored_pairs(pairs).select("qid", "cid", "relevance")
+
+
+def scored_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs (``q, q_tokens, c, c_tokens``) that share a token, with their ``relevance``."""
+    pairs = pairs.withColumn("matched", F.size(F.array_intersect("q_tokens", "c_tokens"))).where(F.col("matched") > 0)
     q, c = F.col("q"), F.col("c")
-    intent = (
-        F.when(q.rlike(HOUSEHOLD), F.when(c.rlike(HOUSEHOLD), 0.9).otherwise(-0.25)).otherwise(0.0)
-        + F.when(q.rlike(ASKS_AMOUNT), F.when(c.rlike(POLICY), 1.2).otherwise(0.0) - F.when(c.rlike(PROCEDURE), 0.45).otherwise(0.0)).otherwise(0.0)
-        + F.when(q.rlike(ASKS_PROCEDURE) & c.rlike(PROCEDURE), 1.15).otherwise(0.0)
-        + F.when(q.rlike(INVOICE) & c.rlike(INVOICE), 1.05).otherwise(0.0)
-    )
-    phrase = F.when((F.length(q) > 3) & c.contains(q), 0.25).otherwise(0.0)
-    score = F.col("matched") / F.size("q_tokens") + phrase + F.least(F.lit(0.12), F.col("matched") * 0.02) + intent
-    return pairs.select("qid", "cid", F.greatest(F.lit(0.0), F.least(F.lit(3.5), score)).alias("relevance"))
+    return pairs.withColumn("relevance", relevance_score(q, F.size("q_tokens"), F.col("matched"), (F.length(q) > 3) & c.contains(q), flags_of(c)))
 
 
 def top_candidates(scored: DataFrame, k: int, score: str = "relevance") -> DataFrame:

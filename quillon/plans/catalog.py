@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import etl, guards, layout, listings, merging, policies, publishing, retrieval, segments, selection, state
+from quillon.plans import etl, guards, layout, listings, merging, policies, publishing, retrieval, search, segments, selection, state
 
-PARTS = (retrieval, etl, guards, layout, policies, segments, selection, state, merging, publishing, listings)
+PARTS = (retrieval, search, etl, guards, layout, policies, segments, selection, state, merging, publishing, listings)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

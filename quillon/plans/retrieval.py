@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import duck as D
 from quillon.functions import text as T
+from quillon.operators import index as I
 from quillon.operators import retrieval as R
 from quillon.plans.fixtures import frame, values
+from quillon.sources.shared import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,11 +87,11 @@ ASKED = [(1, "the and attion to thanedble"), (2, "eauouon enpaeux leaux"), (3, "
 
 
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten most relevant documents for each query, over all documents: the flagship."""
+    """The ten most relevant documents for each query, over all documents: the flagship. They are indexed first, and no pair is made that shares no token."""
     asked = spark.createDataFrame(ASKED, "qid INT, query STRING")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), F.col("text").alias("body"))
-    scored = R.lexical_relevance(asked, docs).withColumn("relevance", F.round("relevance", 6))
-    return R.top_candidates(scored, 10).select("qid", F.col("cid").alias("doc_id"), "relevance", "rank")
+    found = I.search(I.build(docs, shared_folder(spark, "index")), asked, 10)
+    return found.select("qid", F.col("cid").alias("doc_id"), F.round("relevance", 6).alias("relevance"), "rank")
 
 
 def law_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
