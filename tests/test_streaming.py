@@ -46,6 +46,27 @@ def test_rate_limit_windows_start_at_the_first_event(spark, tmp_path):
     assert [(k, p, ok) for k, _, p, ok in rows] == [("a", 1, True), ("a", 2, True), ("a", 3, False), ("a", 1, True), ("a", 2, True), ("b", 1, True)]
 
 
+def test_rate_limit_state_goes_with_the_watermark(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for minute in (0, 1, 30, 50):
+        events(spark, path, [("a" if minute < 30 else f"k{minute}", at(minute))])
+    limited = S.rate_limits(stream(spark, path), "key", "at", 60, 1, "1 minute")
+    q = limited.writeStream.format("memory").queryName("going").outputMode("append").option("checkpointLocation", str(tmp_path / "going")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r["key"], r["place"], r["allowed"]) for r in spark.table("going").collect()} == {("a", 1, True), ("k30", 1, True), ("k50", 1, True)}
+    kept = spark.read.format("statestore").option("stateVarName", "window").load(str(tmp_path / "going")).count()
+    assert kept == 1
+
+
+def test_first_seen_index_forgets_and_keeps_two_versions(spark, tmp_path):
+    index = S.FirstSeen(str(tmp_path / "index"), "key", "at", keep_days=1)
+    days = [dt.datetime(2024, 1, d) for d in (1, 2, 4, 5)]
+    for number, day in enumerate(days):
+        index(spark.createDataFrame([(f"k{number}", day), ("a", day)], "key STRING, at TIMESTAMP"), number)
+    assert {r["key"] for r in index.index(spark, 3).collect()} == {"a", "k2", "k3"}
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["version=2", "version=3"]
+
+
 def test_first_seen_index_and_dispatch_survive_a_repeated_batch(spark, tmp_path):
     one = spark.createDataFrame([("a", at(1)), ("b", at(2))], "key STRING, at TIMESTAMP")
     two = spark.createDataFrame([("a", at(9)), ("c", at(9))], "key STRING, at TIMESTAMP")
