@@ -18,9 +18,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
+    sound_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sound_unions(spark: SparkSession) -> None:
+    """Spark 4.1 takes a union of frames that are partitioned alike for partitioned itself, though adaptive execution may have coalesced each of them by itself; rows of a key then come in several groups. Off for the session, before a plan is made."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a local one only where that is unset and all is in one process, as in tests."""
     context = spark.sparkContext
@@ -56,6 +62,7 @@ def discard(spark: SparkSession) -> int:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of a table: Parquet in the shared folder, so later reads prune columns and survive lost executors."""
+    sound_unions(df.sparkSession)
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
