@@ -66,7 +66,7 @@ def neighbour_similarity(rows: DataFrame, group: str, order: str, text: str) ->
 
 def page_lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """Trimmed non-blank lines with their place, and the place from the end."""
-    lines = F.filter(F.transform(F.split(T.tidy(F.col(text)), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(T.tidy(F.col(text)), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = pages.select(doc, page, lines.alias("lines")).withColumn("n", F.size("lines"))
     return rows.select(doc, page, "n", F.posexplode("lines").alias("at", "line"))
 
@@ -188,7 +188,7 @@ def _matcher(pattern: str):
 
 def artifact_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Lines of certification, scanners, decoration and edge page numbers dropped; counts and flags of what went."""
-    lines = F.transform(F.split(T.tidy(F.col(text)), "\n"), F.trim)
+    lines = F.transform(F.split(T.tidy(F.col(text)), "\n"), lambda x: F.trim(x))
     rows = docs.select(key, lines.alias("lines")).withColumn("n", F.size("lines")).select(key, "n", F.posexplode("lines").alias("at", "line"))
     line, edge = F.col("line"), (F.col("at") <= 2) | (F.col("at") >= F.col("n") - 3)
     flag = (

@@ -99,7 +99,7 @@ def notification_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph counts and a digest of the ordered paragraphs of every document."""
-    parts = F.filter(F.transform(F.split(T.tidy(F.col("text")), "\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(T.tidy(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("n"), F.coalesce(F.array_max(F.transform(parts, F.length)), F.lit(0)).cast("long").alias("longest"), F.md5(F.array_join(parts, "|")).alias("parts_md5"))
 
 

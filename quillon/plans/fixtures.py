@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.functions.session import sound_unions
+
 #: name: (columns with types, rows)
 TABLES: dict[str, tuple[str, list[tuple]]] = {
     "queries": ("qid INT, query STRING", [
@@ -130,6 +132,7 @@ _DUCK = {"INT": "INTEGER", "STRING": "VARCHAR"}
 
 
 def frame(spark: SparkSession, name: str) -> DataFrame:
+    sound_unions(spark)
     columns, rows = TABLES[name]
     return spark.createDataFrame(rows, columns)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import duck as D
 from quillon.functions import text as T
+from quillon.functions.session import sound_unions
 from quillon.operators import index as I
 from quillon.operators import retrieval as R
 from quillon.plans.fixtures import frame, values
@@ -14,6 +15,7 @@ from quillon.sources.shared import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sound_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

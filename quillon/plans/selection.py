@@ -40,7 +40,7 @@ def backward_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document that aren't like one before."""
-    lines = F.filter(F.transform(F.split(T.tidy(F.col("text")), "\n"), F.trim), lambda x: F.length(x) >= 12)
+    lines = F.filter(F.transform(F.split(T.tidy(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 12)
     return table(spark, sf_dir, "documents").select("doc_id", C.greedy_distinct(lines, 0.72).alias("kept")).select("doc_id", F.size("kept").alias("n"), F.md5(F.array_join("kept", "|")).alias("kept_md5"))
 
 
