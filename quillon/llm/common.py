@@ -96,6 +96,7 @@ def free_name(df: DataFrame, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small table. A written table rather than ``checkpoint()``: a checkpointed frame keeps its plan's constraints, which grow exponentially in loops.
 
-    At most one file for each core, so that the many rounds of a loop don't leave a file for each shuffle partition.
+    At most one file for each core, so that the many rounds of a loop don't leave a file for each shuffle partition. The rows are dealt
+    out for that: merging partitions in place would hold the sorters of all of them in one task.
     """
-    return stored(df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism)), "cut")
+    return stored(df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism)), "cut")
