@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import duck as D
 from quillon.functions import text as T
 from quillon.operators import etl as E
-from quillon.plans.fixtures import frame, values
+from quillon.plans.fixtures import derived, derived_values, frame, values
 from quillon.plans.retrieval import table
 
 _Q = D.quote
@@ -50,23 +50,23 @@ def turn_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.page_selection(frame(spark, "selections"), "sid", "pages")
+    return E.page_selection(derived(spark, sf_dir, "selections"), "sid", "pages")
 
 
 def article_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.articles(frame(spark, "provisions"), "doc", "text")
+    return E.articles(derived(spark, sf_dir, "provisions"), "doc", "text")
 
 
 def official_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, "dates").select("did", E.official_date(F.col("text")).alias("day"))
+    return derived(spark, sf_dir, "dates").select("did", E.official_date(F.col("text")).alias("day"))
 
 
 def merged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.best_metadata(frame(spark, "metadata"))
+    return E.best_metadata(derived(spark, sf_dir, "metadata"))
 
 
 def best_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.best_draft(frame(spark, "drafts"))
+    return E.best_draft(derived(spark, sf_dir, "drafts"))
 
 
 def category_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def evidence_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notification_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.classify_notifications(frame(spark, "published")).select("revision", "reason", "eligible", "freshness")
+    return E.classify_notifications(derived(spark, sf_dir, "published")).select("revision", "reason", "eligible", "freshness")
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,17 +151,17 @@ SELECT conv_id, turn, length(coalesce(t, ''))::INTEGER AS n_chars, md5(coalesce(
     "labelled_ranges": 'SELECT toxic, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT toxic, doc_id, doc_id - row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS island FROM (SELECT DISTINCT toxic, doc_id FROM labels)) GROUP BY toxic, island',
     "turn_batches": "SELECT conv_id, CAST(floor((r - 1) / 3) AS BIGINT) AS batch, count(*) AS n, min(turn) AS first, max(turn) AS last FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY conv_id, batch",
     "page_selections": f"""
-WITH a AS (SELECT sid, unnest(regexp_split_to_array(regexp_replace(pages, '\\s*[-–—]\\s*', '-', 'g'), '[,;\\s]+')) AS p FROM {values('selections')}),
+WITH a AS (SELECT sid, unnest(regexp_split_to_array(regexp_replace(pages, '\\s*[-–—]\\s*', '-', 'g'), '[,;\\s]+')) AS p FROM {derived_values('selections')}),
 b AS (SELECT sid, regexp_extract(p, '^(\\d{{1,4}})', 1)::INTEGER AS x, regexp_extract(p, '(\\d{{1,4}})$', 1)::INTEGER AS y FROM a WHERE regexp_matches(p, '^\\d{{1,4}}(-\\d{{1,4}})?$'))
 SELECT sid, array_to_string(list_sort(list_distinct(list(p))), ',') AS pages FROM (SELECT sid, unnest(range(least(x, y), greatest(x, y) + 1)) AS p FROM b) WHERE p >= 1 GROUP BY sid""",
     "article_parts": f"""
-WITH a AS (SELECT doc, string_split(regexp_replace({D.tidy('text')}, {_Q('(?im)' + _ART)}, chr(1) || '\\1' || chr(2) || '\\2' || chr(1), 'g'), chr(1)) AS p FROM {values('provisions')}),
+WITH a AS (SELECT doc, string_split(regexp_replace({D.tidy('text')}, {_Q('(?im)' + _ART)}, chr(1) || '\\1' || chr(2) || '\\2' || chr(1), 'g'), chr(1)) AS p FROM {derived_values('provisions')}),
 b AS (SELECT doc, len(p) AS n, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS pos FROM a), c AS (SELECT *, lead(part) OVER (PARTITION BY doc ORDER BY pos) AS nxt FROM b)
 SELECT doc, 'article' AS kind, split_part(part, chr(2), 1) AS article, nullif(trim(split_part(part, chr(2), 2)), '') AS heading, {D.tidy('nxt')} AS body, CAST((pos + 1) / 2 * 100 AS INTEGER) AS order_index FROM c WHERE pos % 2 = 1
 UNION ALL SELECT doc, CASE WHEN n = 1 THEN 'other' ELSE 'preamble' END, NULL, NULL, {D.tidy('part')}, 0 FROM c WHERE pos = 0 AND {D.tidy('part')} <> ''""",
-    "official_dates": f"SELECT did, coalesce({_date(chr(92) + 'b(20' + chr(92) + 'd{2})-(' + chr(92) + 'd{1,2})-(' + chr(92) + 'd{1,2})' + chr(92) + 'b', 1, 2, 3)}, {_date(chr(92) + 'b(' + chr(92) + 'd{1,2})[/.-](' + chr(92) + 'd{1,2})[/.-](20' + chr(92) + 'd{2})' + chr(92) + 'b', 3, 2, 1)}, {_date(chr(92) + 'bng[àÀ]y' + chr(92) + 's+(' + chr(92) + 'd{1,2})' + chr(92) + 's+th[áÁ]ng' + chr(92) + 's+(' + chr(92) + 'd{1,2})' + chr(92) + 's+n[ăĂ]m' + chr(92) + 's+(20' + chr(92) + 'd{2})' + chr(92) + 'b', 3, 2, 1, 'i')}) AS day FROM {values('dates')}",
-    "merged_metadata": f"SELECT number, {', '.join(f'arg_max({c}, authority * 1000 - ord) FILTER (WHERE {c} IS NOT NULL) AS {c}' for c in ('title', 'issued', 'effective'))} FROM {values('metadata')} GROUP BY number",
-    "best_drafts": f"""SELECT page, pass, score FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (pass <> 'consensus')::INTEGER, length(text) DESC, pass) AS nth FROM (SELECT *, max(score) OVER (PARTITION BY page) AS best FROM {values('drafts')}) WHERE best - score <= 0.015::DOUBLE + 1e-12) WHERE nth = 1""",
+    "official_dates": f"SELECT did, coalesce({_date(chr(92) + 'b(20' + chr(92) + 'd{2})-(' + chr(92) + 'd{1,2})-(' + chr(92) + 'd{1,2})' + chr(92) + 'b', 1, 2, 3)}, {_date(chr(92) + 'b(' + chr(92) + 'd{1,2})[/.-](' + chr(92) + 'd{1,2})[/.-](20' + chr(92) + 'd{2})' + chr(92) + 'b', 3, 2, 1)}, {_date(chr(92) + 'bng[àÀ]y' + chr(92) + 's+(' + chr(92) + 'd{1,2})' + chr(92) + 's+th[áÁ]ng' + chr(92) + 's+(' + chr(92) + 'd{1,2})' + chr(92) + 's+n[ăĂ]m' + chr(92) + 's+(20' + chr(92) + 'd{2})' + chr(92) + 'b', 3, 2, 1, 'i')}) AS day FROM {derived_values('dates')}",
+    "merged_metadata": f"SELECT number, {', '.join(f'arg_max({c}, authority * 1000 - ord) FILTER (WHERE {c} IS NOT NULL) AS {c}' for c in ('title', 'issued', 'effective'))} FROM {derived_values('metadata')} GROUP BY number",
+    "best_drafts": f"""SELECT page, pass, score FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (pass <> 'consensus')::INTEGER, length(text) DESC, pass) AS nth FROM (SELECT *, max(score) OVER (PARTITION BY page) AS best FROM {derived_values('drafts')}) WHERE best - score <= 0.015::DOUBLE + 1e-12) WHERE nth = 1""",
     "category_coverage": f"""
 WITH a AS (SELECT doc_id, {D.fold('text')} AS f FROM documents),
 b AS (SELECT doc_id, f, list_filter(regexp_split_to_array(f, '[.\\n]'), lambda s: length(trim(s)) >= 35) AS l FROM a),
@@ -181,7 +181,7 @@ SELECT conv_id, total, CAST(len(covered) AS INTEGER) AS n_covered, array_to_stri
     "completed_prefix": "SELECT conv_id, count(*) FILTER (WHERE r - 1 = turn) AS prefix FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE length(text) >= 60)) GROUP BY conv_id",
     "evidence_neighbours": "SELECT conv_id, turn, hit FROM (SELECT *, hit OR coalesce(lag(hit) OVER w, false) OR coalesce(lead(hit) OVER w, false) AS near FROM (SELECT conv_id, turn, contains(text, 'that') AS hit FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE near",
     "notification_classes": f"""
-WITH a AS (SELECT *, {D.normalise_plain('title', 'a-z0-9')} AS t, {D.normalise_plain("coalesce(body, '')", 'a-z0-9')} AS b, {D.normalise_plain("coalesce(kind, '')", 'a-z0-9')} AS k FROM {values('published')}),
+WITH a AS (SELECT *, {D.normalise_plain('title', 'a-z0-9')} AS t, {D.normalise_plain("coalesce(body, '')", 'a-z0-9')} AS b, {D.normalise_plain("coalesce(kind, '')", 'a-z0-9')} AS k FROM {derived_values('published')}),
 c AS (SELECT *, CASE WHEN {_SIG('t', E.EXCLUDED)} > 0 THEN 'excluded_topic' WHEN {_SIG('t', E.TITLE_SIGNALS)} > 0 OR regexp_matches(t, '(?:^|\\s)thue(?:\\s|$)') THEN 'tax_title'
   WHEN regexp_matches(k || ' ' || t, 'luat|nghi dinh|thong tu|nghi quyet|quyet dinh|van ban') AND {_SIG('b', E.CONTENT_SIGNALS)} >= 2 THEN 'tax_content' ELSE 'insufficient_tax_evidence' END AS reason FROM a)
 SELECT revision, reason, reason IN ('tax_title', 'tax_content') AS eligible, CASE WHEN epoch(CAST(published AS TIMESTAMPTZ)) - epoch(CAST(issued || 'T00:00:00Z' AS TIMESTAMPTZ)) <= 259200 THEN 'fresh_document' ELSE 'backfilled_full_text' END AS freshness FROM c""",

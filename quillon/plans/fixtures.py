@@ -1,8 +1,13 @@
-"""Small inline tables that stand for inputs the driver's tables don't have; as Spark frames and as DuckDB VALUES."""
+"""Cases of inputs that the given tables don't have, and tables made of them: each row of a given table takes a case, or all cases, its key and its text.
+
+``frame`` and ``values`` without a source give the cases by themselves: parameters of queries, and what tests compare with. ``derived`` and
+``derived_values`` deal them to a given table, so that the work of a query grows with it; the row with key 0 has the cases as they stand.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.functions.session import sound_unions
 
@@ -128,18 +133,97 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     ]),
 }
 
+#: Given tables that cases are dealt to: the key of a row and its text, for Spark and DuckDB.
+SOURCES = {
+    "documents": ("doc_id", "text"), "turns": ("conv_id * 10 + turn", "text"), "pages": ("page_id", "html"), "orders": ("o_orderkey", "o_orderpriority"),
+}
+FILES = {"turns": "conversations"}
+
+#: Of each table of cases: the given table, whether a row takes all cases or one of them, and what becomes of columns.
+#: ``key``: keys of rows apart by 1,000; ``tag``: names with the row's key; ``text``: the row's text behind; ``number``: the leading number moved;
+#: ``score``: moved by the row's key; ``list``: one more element.
+DERIVED: dict[str, tuple[str, bool, dict[str, str]]] = {
+    "queries": ("turns", False, {"qid": "key", "query": "text"}),
+    "candidates": ("documents", False, {"cid": "key", "snippet": "text", "url": "tag", "document_number": "number"}),
+    "grounded": ("documents", True, {"gid": "key", "url": "tag", "document_number": "number"}),
+    "statuses": ("documents", True, {"doc": "key"}), "answers": ("turns", False, {"aid": "key", "answer": "text", "evidence": "text"}),
+    "states": ("documents", False, {"number": "tag"}), "dates": ("turns", False, {"did": "key", "text": "text"}), "deltas": ("orders", False, {"rid": "key"}),
+    "invoices": ("orders", False, {"rid": "key", "seller": "text"}), "provisions": ("documents", False, {"doc": "key", "text": "text"}),
+    "published": ("documents", False, {"revision": "tag", "body": "text"}), "selections": ("documents", False, {"sid": "key", "pages": "list"}),
+    "drafts": ("documents", True, {"page": "key", "text": "text"}), "metadata": ("documents", True, {"number": "tag"}), "upload_chunks": ("documents", True, {"file": "tag"}),
+    "transcripts": ("documents", False, {"tid": "key", "text": "text"}), "text_drafts": ("documents", True, {"case_id": "key", "head": "text"}), "draft_pages": ("documents", True, {"case_id": "key"}),
+    "clauses": ("documents", False, {"doc": "key", "text": "text"}), "updates": ("documents", True, {"target": "tag", "source": "tag", "score": "score"}), "warned": ("documents", False, {"wid": "key"}),
+    "scenes": ("documents", False, {"scene": "key"}), "invoice_sheets": ("orders", False, {"sid": "key", "cells": "text"}),
+    "lookup_states": ("documents", False, {"number": "tag", "revision_number": "tag"}), "video_rows": ("documents", False, {"rid": "key"}), "references": ("turns", False, {"rid": "key", "text": "text"}),
+    "listing_pages": ("pages", False, {"page": "key", "html": "text"}), "gazette_rows": ("documents", False, {"gid": "key", "base": "score"}),
+    "method_texts": ("documents", True, {"did": "key", "number": "tag", "text": "text"}), "markdown_texts": ("documents", False, {"mid": "key", "text": "text"}),
+    "transcript_runs": ("documents", False, {"tid": "key", "head": "text"}), "article_pages": ("pages", False, {"page": "key", "html": "text"}),
+}
+
 _DUCK = {"INT": "INTEGER", "STRING": "VARCHAR"}
 
 
+def derived(spark: SparkSession, sf_dir: str, name: str, whole: bool | None = None) -> DataFrame:
+    """Cases dealt to the rows of a given table, all to each if ``whole``; the cases are a small table of parameters, joined by their number."""
+    source, every_case, changes = DERIVED[name]
+    whole = every_case if whole is None else whole
+    columns, cases = TABLES[name]
+    key, text = SOURCES[source]
+    n, kinds = len(cases), dict(c.split() for c in columns.split(", "))
+    held = F.broadcast(spark.createDataFrame([(i, *row) for i, row in enumerate(cases)], "_case INT, " + columns))
+    rows = table(spark, sf_dir, FILES.get(source, source)).select(F.expr(key).cast("long").alias("_key"), F.col(text).alias("_text")).where("_key IS NOT NULL")
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    numbers = every if whole else F.when(F.col("_key") == 0, every).otherwise(F.array(F.pmod("_key", F.lit(n)).cast("int")))
+    rows = rows.withColumn("_case", F.explode(numbers)).join(held, "_case")
+    k = F.col("_key")
+
+    def changed(column: str) -> Column:
+        c = F.col(column)
+        return {
+            None: lambda: c, "key": lambda: (c + k * 1000).cast("long"), "tag": lambda: F.when(k == 0, c).otherwise(F.concat(c, F.lit("~"), k.cast("string"))),
+            "text": lambda: F.when((k == 0) | c.isNull(), c).otherwise(F.concat(c, F.lit(" "), F.coalesce("_text", F.lit("")))), "score": lambda: c + (k % 5).cast("double"),
+            "number": lambda: F.when(c.isNotNull(), F.concat((F.regexp_extract(c, r"^(\d+)", 1).cast("long") + k % 800).cast("string"), F.regexp_replace(c, r"^\d+", ""))),
+            "list": lambda: F.when(k == 0, c).otherwise(F.concat(c, F.lit(", "), (1 + k % 50).cast("string"))),
+        }[changes.get(column)]().alias(column)
+
+    return rows.select(*[changed(c) for c in kinds])
+
+
+def derived_values(name: str, whole: bool | None = None) -> str:
+    """A DuckDB subquery with the rows of ``derived``."""
+    source, every_case, changes = DERIVED[name]
+    whole = every_case if whole is None else whole
+    columns, cases = TABLES[name]
+    key, text = SOURCES[source]
+    dealt = "" if whole else f" WHERE k = 0 OR k % {len(cases)} = i"
+
+    def changed(c: str) -> str:
+        return {
+            None: c, "key": f"CAST({c} + k * 1000 AS BIGINT)", "tag": f"CASE WHEN k = 0 THEN {c} ELSE {c} || '~' || k END", "text": f"CASE WHEN k = 0 OR {c} IS NULL THEN {c} ELSE {c} || ' ' || coalesce(t, '') END",
+            "score": f"{c} + CAST(k % 5 AS DOUBLE)", "number": f"(CAST(regexp_extract({c}, '^(\\d+)', 1) AS BIGINT) + k % 800) || regexp_replace({c}, '^\\d+', '')", "list": f"CASE WHEN k = 0 THEN {c} ELSE {c} || ', ' || (1 + k % 50) END",
+        }[changes.get(c)] + f" AS {c}"
+
+    return f"(SELECT {', '.join(changed(c.split()[0]) for c in columns.split(', '))} FROM (SELECT CAST({key} AS BIGINT) AS k, {text} AS t FROM {FILES.get(source, source)} WHERE {key} IS NOT NULL) d, {values(name, True)} c{dealt})"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables."""
+    sound_unions(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def frame(spark: SparkSession, name: str) -> DataFrame:
+    """The cases by themselves."""
     sound_unions(spark)
     columns, rows = TABLES[name]
     return spark.createDataFrame(rows, columns)
 
 
-def values(name: str) -> str:
-    """A DuckDB subquery with the same rows."""
+def values(name: str, numbered: bool = False) -> str:
+    """A DuckDB subquery with the cases, and their numbers as ``i``."""
     columns, rows = TABLES[name]
+    if numbered:
+        columns, rows = "i INT, " + columns, [(i, *r) for i, r in enumerate(rows)]
     named = [c.split() for c in columns.split(", ")]
 
     def literal(x) -> str:

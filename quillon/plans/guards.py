@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import duck as D
 from quillon.operators import guards as G
 from quillon.operators import retrieval as R
-from quillon.plans.fixtures import frame, values
+from quillon.plans.fixtures import derived, derived_values, frame, values
 from quillon.plans.retrieval import _PLANS, table
 
 _Q = D.quote
@@ -21,7 +21,7 @@ _FILES = "name STRING, content_type STRING, status STRING, method STRING, done I
 
 
 def enriched_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = frame(spark, "queries")
+    asked = derived(spark, sf_dir, "queries")
     plans = R.question_plans(asked).join(asked, "qid")
     return plans.select("qid", G.enriched(plans, "query", "21/07/2026").alias("question"))
 
@@ -29,12 +29,12 @@ def enriched_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guarded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of the status fixture with every combination of flags."""
     flags = spark.sql("SELECT s AS shell, c AS conflict, v AS verified, r AS relevance FROM VALUES (true), (false) s(s), VALUES (true), (false) c(c), VALUES (true), (false) v(v), VALUES (1.0D), (2.0D) r(r)")
-    rows = frame(spark, "statuses").crossJoin(F.broadcast(flags)).withColumn("confidence", F.lit(0.9))
+    rows = derived(spark, sf_dir, "statuses").crossJoin(F.broadcast(flags)).withColumn("confidence", F.lit(0.9))
     return G.guarded(rows)
 
 
 def recent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, "candidates")
+    rows = derived(spark, sf_dir, "candidates")
     return rows.select("cid", G.recent(rows, "issued_date", "document_number", "2026-07-21").alias("recent"))
 
 
@@ -58,13 +58,13 @@ _files = "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is No
 _at = lambda c: f"epoch(TRY_CAST({c} AS TIMESTAMP))"
 ORACLE = {
     "enriched_questions": f"""
-WITH {_PLANS}, q AS (SELECT p.*, query, list_distinct(regexp_extract_all(normalised, '\\b(20\\d{{2}})\\b', 1)) AS years FROM plans p JOIN {values('queries')} USING (qid))
+WITH {_PLANS}, q AS (SELECT p.*, query, list_distinct(regexp_extract_all(normalised, '\\b(20\\d{{2}})\\b', 1)) AS years FROM plans p JOIN {derived_values('queries')} USING (qid))
 SELECT qid, CASE WHEN NOT asks OR cites THEN trim(query) ELSE trim(left(trim(query) || {_Q(_HEAD)} || concat_ws('; ', {_part('lĩnh vực', 'areas')}, {_part('đối tượng', 'subjects')}, {_part('nghiệp vụ', 'intents')}, coalesce({_part('thời kỳ người dùng nêu', 'years')}, 'áp dụng tại ngày 21/07/2026')) || {_Q(_TAIL)}, 490)) END AS question FROM q""",
     "guarded_responses": f"""
-WITH r AS (SELECT *, status IN ('expired', 'repealed') OR relevance < 1.4 AS blocked, conflict AND NOT verified AS open FROM {values('statuses')}, (VALUES (true), (false)) s(shell), (VALUES (true), (false)) c(conflict), (VALUES (true), (false)) v(verified), (VALUES (1.0::DOUBLE), (2.0::DOUBLE)) r(relevance))
+WITH r AS (SELECT *, status IN ('expired', 'repealed') OR relevance < 1.4 AS blocked, conflict AND NOT verified AS open FROM {derived_values('statuses')}, (VALUES (true), (false)) s(shell), (VALUES (true), (false)) c(conflict), (VALUES (true), (false)) v(verified), (VALUES (1.0::DOUBLE), (2.0::DOUBLE)) r(relevance))
 SELECT doc, status, shell, conflict, verified, relevance, CASE WHEN status IN ('expired', 'repealed') THEN status WHEN relevance < 1.4 THEN 'irrelevant' WHEN shell THEN 'shell' WHEN open THEN 'conflict' END AS reason,
   NOT blocked AND NOT shell AS shown, CASE WHEN blocked OR open THEN 0.38::DOUBLE WHEN shell THEN 0.55::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM r""",
-    "recent_candidates": f"SELECT cid, coalesce(CAST(issued_date AS DATE) BETWEEN DATE '2026-07-21' - 120 AND DATE '2026-07-21', contains(document_number, '/2026/'), false) AS recent FROM {values('candidates')}",
+    "recent_candidates": f"SELECT cid, coalesce(CAST(issued_date AS DATE) BETWEEN DATE '2026-07-21' - 120 AND DATE '2026-07-21', contains(document_number, '/2026/'), false) AS recent FROM {derived_values('candidates')}",
     "scheduled_files": f"""
 SELECT name, CASE WHEN NOT (contains(content_type, 'pdf') OR ends_with(lower(name), '.pdf')) OR status IN ('ready', 'unsupported') THEN false WHEN {_at('next_try')} > epoch(TIMESTAMP '2026-07-20 12:00:00') THEN false
   WHEN status = 'processing' THEN coalesce(epoch(TIMESTAMP '2026-07-20 12:00:00') - {_at('updated_at')} >= 270, true)

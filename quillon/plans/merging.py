@@ -10,7 +10,7 @@ from quillon.functions import text as T
 from quillon.operators import merging as M
 from quillon.operators import policies as P
 from quillon.operators import retrieval as R
-from quillon.plans.fixtures import frame, values
+from quillon.plans.fixtures import derived, derived_values, frame, values
 from quillon.plans.policies import ORACLE as POLICIES
 from quillon.plans.retrieval import ORACLE as KNOWN
 from quillon.plans.retrieval import table
@@ -18,7 +18,7 @@ from quillon.plans.retrieval import table
 
 def relevant_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query's sources, merged by URL after disqualification."""
-    asked, held = frame(spark, "queries"), frame(spark, "candidates").withColumn("body", F.concat_ws(" ", "document_number", "title", "snippet"))
+    asked, held = frame(spark, "queries"), derived(spark, sf_dir, "candidates").withColumn("body", F.concat_ws(" ", "document_number", "title", "snippet"))
     pairs = R.source_relevance(asked, held).join(held, "cid").join(asked, "qid")
     out = P.disqualified(T.normalise_plain(F.col("query")), T.normalise_plain(F.col("body")))
     return M.merge_relevant(pairs, ["qid", "url"], out, F.round("relevance", 6), "cid").select("qid", "url", "cid", F.round("score", 6).alias("score"))
@@ -26,15 +26,15 @@ def relevant_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_by_issuer(spark: SparkSession, sf_dir: str) -> DataFrame:
     issuer = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    return M.first_candidates(frame(spark, "candidates"), "cid", F.col("document_number"), issuer).select("unique_key", "cid")
+    return M.first_candidates(derived(spark, sf_dir, "candidates"), "cid", F.col("document_number"), issuer).select("unique_key", "cid")
 
 
 def first_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.first_candidates(frame(spark, "candidates"), "cid", F.col("document_number")).select("unique_key", "cid")
+    return M.first_candidates(derived(spark, sf_dir, "candidates"), "cid", F.col("document_number")).select("unique_key", "cid")
 
 
 def broad_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = frame(spark, "candidates")
+    every = derived(spark, sf_dir, "candidates", True)
     topical = every.where(M.recent_topical(every, "2026-04-01", 2026))
     return M.precedence_union(every.where("cid = 7"), every.where("cid IN (1, 3)"), topical, "cid").select("merge_key", "precedence", "cid")
 
@@ -60,12 +60,12 @@ _issuer = D.normalise_query("regexp_extract(url, '^https?://([^/]+)', 1)")
 ORACLE = {
     "relevant_sources": f"""
 WITH r AS ({KNOWN['source_relevance']}), o AS ({_BODY}), s AS (
-  SELECT qid, url, cid, c.score + greatest(0, r.relevance) AS score FROM r JOIN o USING (qid, cid) JOIN {values('candidates')} c USING (cid) WHERE NOT o.out)
+  SELECT qid, url, cid, c.score + greatest(0, r.relevance) AS score FROM r JOIN o USING (qid, cid) JOIN {derived_values('candidates')} c USING (cid) WHERE NOT o.out)
 SELECT qid, url, cid, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, url ORDER BY score DESC, cid) AS nth FROM s) WHERE nth = 1""",
-    "first_by_issuer": f"SELECT unique_key, min(cid) AS cid FROM (SELECT cid, {_number} || ':' || {_issuer} AS unique_key FROM {values('candidates')}) GROUP BY ALL",
-    "first_by_number": f"SELECT unique_key, min(cid) AS cid FROM (SELECT cid, {_number} AS unique_key FROM {values('candidates')}) WHERE unique_key <> '' GROUP BY ALL",
+    "first_by_issuer": f"SELECT unique_key, min(cid) AS cid FROM (SELECT cid, {_number} || ':' || {_issuer} AS unique_key FROM {derived_values('candidates')}) GROUP BY ALL",
+    "first_by_number": f"SELECT unique_key, min(cid) AS cid FROM (SELECT cid, {_number} AS unique_key FROM {derived_values('candidates')}) WHERE unique_key <> '' GROUP BY ALL",
     "broad_discovery": f"""
-WITH c AS (SELECT *, {D.number_key("coalesce(document_number, '')")} AS merge_key FROM {values('candidates')}), u AS (
+WITH c AS (SELECT *, {D.number_key("coalesce(document_number, '')")} AS merge_key FROM {derived_values('candidates', True)}), u AS (
   SELECT merge_key, 0 AS precedence, cid, 0.0 AS s, cid AS o FROM c WHERE cid = 7 UNION ALL SELECT merge_key, 1, cid, 0.0, -cid FROM c WHERE cid IN (1, 3)
   UNION ALL SELECT merge_key, 2, cid, score, cid FROM c WHERE trim(coalesce(document_number, '')) <> '' AND coalesce(url, '') <> '' AND CASE WHEN issued_date IS NULL THEN contains(document_number, '/2026/') ELSE issued_date >= '2026-04-01' END)
 SELECT merge_key, precedence, cid FROM (SELECT *, row_number() OVER (PARTITION BY merge_key ORDER BY precedence, s DESC, o) AS nth FROM u) WHERE nth = 1""",

@@ -9,7 +9,7 @@ from quillon.functions import duck as D
 from quillon.functions import text as T
 from quillon.operators import policies as P
 from quillon.operators import retrieval as R
-from quillon.plans.fixtures import frame, values
+from quillon.plans.fixtures import derived, derived_values, frame, values
 from quillon.plans.retrieval import ORACLE as HINTS
 from quillon.plans.retrieval import table
 from quillon.sources import readers as S
@@ -31,33 +31,33 @@ def _sql(rows: list, names: str) -> str:
 
 
 def backbone_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, "queries").select("qid", F.array_join(P.backbone(T.normalise_query(F.col("query"))), ",").alias("numbers"))
+    return derived(spark, sf_dir, "queries").select("qid", F.array_join(P.backbone(T.normalise_query(F.col("query"))), ",").alias("numbers"))
 
 
 def resolved_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hints = R.search_hints(frame(spark, "queries").withColumn("query", T.clean_user_query(F.col("query"))))
+    hints = R.search_hints(derived(spark, sf_dir, "queries").withColumn("query", T.clean_user_query(F.col("query"))))
     return P.unique_alias(hints, _named(spark, [(c,) for c in CURRENT], "current STRING"))
 
 
 def verified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = frame(spark, "queries").select("qid", T.normalise_query(F.col("query")).alias("n"))
+    asked = derived(spark, sf_dir, "queries").select("qid", T.normalise_query(F.col("query")).alias("n"))
     return P.first_rule(asked, "qid", "n", _named(spark, RULES, "ordinal INT, answer STRING, patterns ARRAY<STRING>"))
 
 
 def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = frame(spark, "queries").unionByName(_named(spark, [(90, "Tờ khai 01/GTGT chỉ tiêu [37] và [38] năm 2025"), (91, "kê khai ô 22, 23, 22 theo 80/2021/TT-BTC")], "qid INT, query STRING"))
+    extra = derived(spark, sf_dir, "queries").unionByName(_named(spark, [(90, "Tờ khai 01/GTGT chỉ tiêu [37] và [38] năm 2025"), (91, "kê khai ô 22, 23, 22 theo 80/2021/TT-BTC")], "qid INT, query STRING"))
     return extra.select("qid", F.array_join(P.field_numbers(T.normalise_query(F.col("query"))).cast("array<string>"), ",").alias("fields"))
 
 
 def disqualified_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = frame(spark, "queries").select("qid", T.normalise_plain(F.col("query")).alias("q"))
-    held = frame(spark, "candidates").select("cid", T.normalise_plain(F.concat_ws(" ", "title", "snippet")).alias("c"))
+    held = derived(spark, sf_dir, "candidates").select("cid", T.normalise_plain(F.concat_ws(" ", "title", "snippet")).alias("c"))
     return held.crossJoin(F.broadcast(asked)).select("qid", "cid", P.disqualified(F.col("q"), F.col("c")).alias("out"))
 
 
 def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = frame(spark, "queries").select("qid", T.normalise_plain(F.col("query")).alias("q"))
-    return frame(spark, "answers").crossJoin(F.broadcast(asked)).select("qid", "aid", P.binary_guard(F.col("q"), F.col("answer"), F.lit(0.8)).alias("confidence"))
+    return derived(spark, sf_dir, "answers").crossJoin(F.broadcast(asked)).select("qid", "aid", P.binary_guard(F.col("q"), F.col("answer"), F.lit(0.8)).alias("confidence"))
 
 
 def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,7 @@ _MARK = lambda x: f"(regexp_matches({x}, '^(?:trang|page)\\s*\\d{{1,4}}(?:\\s*(?
 
 ORACLE = {
     "backbone_queries": f"""
-WITH a AS (SELECT qid, {_N} AS n FROM {values('queries')}),
+WITH a AS (SELECT qid, {_N} AS n FROM {derived_values('queries')}),
 b AS (SELECT qid, u, row_number() OVER (PARTITION BY qid ORDER BY nth) AS r FROM (SELECT qid, u, min(nth) AS nth FROM (SELECT qid, unnest(l) AS u, generate_subscripts(l, 1) AS nth FROM (SELECT qid, list_concat({', '.join(f"CASE WHEN {_has('n', p)} THEN {numbers!r} ELSE [] END" for p, numbers in P.BACKBONE)}) AS l FROM a)) GROUP BY qid, u))
 SELECT a.qid, coalesce(string_agg(u, ',' ORDER BY r), '') AS numbers FROM a LEFT JOIN b ON a.qid = b.qid AND r <= 4 GROUP BY a.qid""",
     "resolved_aliases": f"""
@@ -122,22 +122,22 @@ WITH h AS ({HINTS['query_hints']}), c AS (SELECT current, split_part(current, '/
 f AS (SELECT qid, count(*) AS fitting, min(current) AS one FROM h JOIN c ON h.number = c.n AND (h.year IS NULL OR h.year = c.y) AND (h.type IS NULL OR h.type = c.k) GROUP BY qid)
 SELECT qid, coalesce(fitting, 0) AS fitting, CASE WHEN fitting = 1 THEN one END AS resolved FROM h LEFT JOIN f USING (qid)""",
     "verified_rules": f"""
-WITH a AS (SELECT qid, {_N} AS n FROM {values('queries')}), r AS (SELECT * FROM (VALUES {', '.join(f"({o}, {_Q(a)}, [{', '.join(map(_Q, p))}])" for o, a, p in RULES)}) r(ordinal, answer, patterns))
+WITH a AS (SELECT qid, {_N} AS n FROM {derived_values('queries')}), r AS (SELECT * FROM (VALUES {', '.join(f"({o}, {_Q(a)}, [{', '.join(map(_Q, p))}])" for o, a, p in RULES)}) r(ordinal, answer, patterns))
 SELECT qid, arg_min(answer, ordinal) AS answer, count(*) AS rules FROM a, r WHERE len(list_filter(patterns, lambda x: NOT regexp_matches(n, x))) = 0 GROUP BY qid""",
     "form_fields": f"""
-WITH q AS (SELECT * FROM {values('queries')} UNION ALL SELECT * FROM {_sql([(90, 'Tờ khai 01/GTGT chỉ tiêu [37] và [38] năm 2025'), (91, 'kê khai ô 22, 23, 22 theo 80/2021/TT-BTC')], 'qid, query')}),
+WITH q AS (SELECT * FROM {derived_values('queries')} UNION ALL SELECT * FROM {_sql([(90, 'Tờ khai 01/GTGT chỉ tiêu [37] và [38] năm 2025'), (91, 'kê khai ô 22, 23, 22 theo 80/2021/TT-BTC')], 'qid, query')}),
 a AS (SELECT qid, {_BARE} AS b FROM q), l AS (SELECT qid, CASE WHEN regexp_matches(b, '\\b(?:chi tieu|to khai|mau|bieu mau|ke khai|khau tru)\\b') THEN regexp_extract_all(b, '\\b(\\d{{1,3}})\\b', 1) ELSE [] END AS x FROM a),
 e AS (SELECT qid, v, min(nth) AS nth FROM (SELECT qid, CAST(unnest(x) AS INTEGER) AS v, generate_subscripts(x, 1) AS nth FROM l) WHERE v > 0 AND v < 1000 GROUP BY qid, v)
 SELECT q.qid, coalesce(string_agg(CAST(v AS VARCHAR), ',' ORDER BY nth), '') AS fields FROM q LEFT JOIN e ON q.qid = e.qid GROUP BY q.qid""",
     "disqualified_sources": f"""
-WITH a AS (SELECT qid, {D.normalise_plain('query')} AS q FROM {values('queries')}), b AS (SELECT cid, {D.normalise_plain("concat_ws(' ', title, snippet)")} AS c FROM {values('candidates')}),
+WITH a AS (SELECT qid, {D.normalise_plain('query')} AS q FROM {values('queries')}), b AS (SELECT cid, {D.normalise_plain("concat_ws(' ', title, snippet)")} AS c FROM {derived_values('candidates')}),
 m AS (SELECT qid, cid, q, c, regexp_matches(q, '\\b(?:sua doi|bo sung|thay the|bai bo|het hieu luc|doi chieu|diem moi|van ban nao bai bo)\\b') AS amends FROM a, b)
 SELECT qid, cid, (regexp_matches(c, '\\b(?:bai bo toan bo|bai bo thong tu|bai bo quyet dinh|quy dinh viec bai bo|het hieu luc toan bo)\\b') AND NOT amends)
   OR (regexp_matches(c, '\\b86\\s*/\\s*2024\\s*/\\s*tt-btc\\b') AND NOT regexp_matches(q, '\\b(?:2024|2025|86\\s*/\\s*2024|thong tu\\s+(?:so\\s+)?86)\\b') AND NOT amends)
   OR (regexp_matches(q, '\\b(?:doanh nghiep|cong ty|to chuc|hop tac xa)\\b') AND regexp_matches(c, '\\b(?:ho kinh doanh|ca nhan kinh doanh)\\b') AND NOT regexp_matches(c, '\\b(?:doanh nghiep|cong ty|to chuc|nguoi nop thue)\\b')) AS out FROM m""",
     "guarded_answers": f"""
 SELECT qid, aid, CASE WHEN regexp_matches(q, '\\b(?:co can|co phai|co duoc|co .* khong|phai khong|duoc khong)\\b') AND NOT (regexp_matches(h, '^(?:co|khong|co the|khong nhat thiet|chua the ket luan|chua du can cu)\\b') OR regexp_matches(h, '\\bket luan\\s*(?:co|khong|chua the ket luan)\\b')) THEN 0.45::DOUBLE ELSE 0.8::DOUBLE END AS confidence
-FROM (SELECT qid, {D.normalise_plain('query')} AS q FROM {values('queries')}), (SELECT aid, {D.normalise_plain('left(answer, 320)')} AS h FROM {values('answers')})""",
+FROM (SELECT qid, {D.normalise_plain('query')} AS q FROM {values('queries')}), (SELECT aid, {D.normalise_plain('left(answer, 320)')} AS h FROM {derived_values('answers')})""",
     "retry_delays": f"SELECT nid, CAST(greatest(5000, least(65000, CASE WHEN len(s) > 0 THEN ceil(list_max(s) * 1000) + 1500 ELSE 5000 END)) AS BIGINT) AS delay_ms FROM (SELECT nid, list_transform(regexp_extract_all(notice, 'retry in\\s+(\\d+(?:\\.\\d+)?)s', 1, 'i'), lambda x: CAST(x AS DOUBLE)) AS s FROM {_sql(NOTICES, 'nid, notice')})",
     "grouped_relations": f"""
 WITH a AS (SELECT number, regexp_split_to_array(text, '[\\n;]+') AS l FROM {_sql(RELATED, 'number, text')}), b AS (SELECT number, unnest(l) AS clause, generate_subscripts(l, 1) AS pos FROM a),

@@ -7,18 +7,12 @@ from pyspark.sql import functions as F
 
 from quillon.functions import duck as D
 from quillon.functions import text as T
-from quillon.functions.session import sound_unions
 from quillon.operators import index as I
 from quillon.operators import retrieval as R
-from quillon.plans.fixtures import frame, values
+from quillon.plans.fixtures import derived, derived_values, frame, table, values
 from quillon.sources.shared import shared_folder
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sound_unions(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def text_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded_md5"), F.md5(T.normalise_query(F.col("text"))).alias("query_md5"), F.md5(T.tidy(F.col("text"))).alias("tidy_md5"))
@@ -32,7 +26,7 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, "candidates")
+    rows = derived(spark, sf_dir, "candidates")
     n = F.coalesce("document_number", "title")
     return rows.select("cid", T.number_key(n).alias("number_key"), T.storage_key(n).alias("storage_key"), T.slug(F.col("title")).alias("slug"), T.canonical_number(F.concat_ws(" ", "document_number", "title")).alias("canonical"))
 
@@ -56,32 +50,32 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.search_hints(frame(spark, "queries").withColumn("query", T.clean_user_query(F.col("query")))).select("qid", "normalised", "type", "number", "year", "asks_question", "injection")
+    return R.search_hints(derived(spark, sf_dir, "queries").withColumn("query", T.clean_user_query(F.col("query")))).select("qid", "normalised", "type", "number", "year", "asks_question", "injection")
 
 
 def query_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.mentions(frame(spark, "queries"))
+    return R.mentions(derived(spark, sf_dir, "queries"))
 
 
 def query_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.references(frame(spark, "queries"))
+    return R.references(derived(spark, sf_dir, "queries"))
 
 
 def question_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = R.clarification(R.question_plans(frame(spark, "queries")))
+    plans = R.clarification(R.question_plans(derived(spark, sf_dir, "queries")))
     return plans.select("qid", "asks", "cites", F.array_join("areas", "; ").alias("areas"), F.array_join("subjects", "; ").alias("subjects"), F.array_join("intents", "; ").alias("intents"), "clarify")
 
 
-def _candidates(spark: SparkSession) -> DataFrame:
-    return frame(spark, "candidates").withColumn("body", F.concat_ws(" ", "document_number", "title", "snippet"))
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "candidates").withColumn("body", F.concat_ws(" ", "document_number", "title", "snippet"))
 
 
 def source_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.source_relevance(frame(spark, "queries"), _candidates(spark)).withColumn("relevance", F.round("relevance", 6))
+    return R.source_relevance(frame(spark, "queries"), _candidates(spark, sf_dir)).withColumn("relevance", F.round("relevance", 6))
 
 
 def lexical_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lexical_relevance(frame(spark, "queries"), _candidates(spark)).withColumn("relevance", F.round("relevance", 6))
+    return R.lexical_relevance(frame(spark, "queries"), _candidates(spark, sf_dir)).withColumn("relevance", F.round("relevance", 6))
 
 
 #: A stated query set in the words of the synthetic documents.
@@ -98,29 +92,29 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def law_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = frame(spark, "queries").select("qid", R.time_intent(T.normalise_query(F.col("query")), 2026).alias("intent"))
-    return R.law_decision(frame(spark, "statuses").crossJoin(F.broadcast(asked))).select("qid", "doc", "intent", "reason", "allowed")
+    return R.law_decision(derived(spark, sf_dir, "statuses").crossJoin(F.broadcast(asked))).select("qid", "doc", "intent", "reason", "allowed")
 
 
 def answer_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.grounding_issues(frame(spark, "answers")).select("aid", F.array_join("unsupported", " ").alias("unsupported"), "missing_reference")
+    return R.grounding_issues(derived(spark, sf_dir, "answers")).select("aid", F.array_join("unsupported", " ").alias("unsupported"), "missing_reference")
 
 
 def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = frame(spark, "candidates")
+    every = derived(spark, sf_dir, "candidates", True)
     return R.merge_best([every.where("cid <= 4"), every.where("cid >= 3")]).select("merge_key", "cid", "score")
 
 
 def cross_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.cross_check(frame(spark, "candidates"), frame(spark, "grounded"))
+    return R.cross_check(derived(spark, sf_dir, "candidates", True), derived(spark, sf_dir, "grounded"))
 
 
 def update_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest candidate that replaces, amends or repeals each cited number."""
     targets = spark.createDataFrame([("86/2024/NĐ-CP", "2024-07-01"), ("123/2020/NĐ-CP", "2020-10-19"), ("90/2026/NĐ-CP", "2026-04-01")], "target STRING, target_issued STRING")
-    rows = frame(spark, "candidates").crossJoin(F.broadcast(targets))
+    rows = derived(spark, sf_dir, "candidates", True).crossJoin(F.broadcast(targets))
     rows = rows.withColumn("kind", R.relation_kind(F.col("target"), F.concat_ws(" ", "title", "snippet")))
     newer = rows.where(F.col("kind").isNotNull() & (F.col("issued_date") > F.col("target_issued")) & (T.number_key(F.coalesce("document_number", F.lit(""))) != T.number_key(F.col("target"))))
-    return newer.groupBy("target").agg(F.max_by(F.struct("cid", "kind"), F.struct("issued_date", "score")).alias("best")).select("target", "best.cid", "best.kind")
+    return newer.groupBy("target").agg(F.max_by(F.struct("cid", "kind"), F.struct("issued_date", "score", (-F.col("cid")).alias("first"))).alias("best")).select("target", "best.cid", "best.kind")
 
 
 QUERIES = {f.__name__: f for f in (text_fold, text_tokens, document_keys, url_canonical, html_text, html_links, query_hints, query_mentions, query_references, question_plan, source_relevance, lexical_relevance, search_documents, law_admission, answer_grounding, merged_candidates, cross_checked, update_relations)}
@@ -144,14 +138,14 @@ _HIT = "CASE " + " ".join(f"WHEN regexp_matches(n, {_Q(p)}) THEN struct_pack(num
 _RULES = "(SELECT * FROM (VALUES " + ", ".join(f"({_Q(k)}, {n}, {_Q(label)}, {_Q(p)})" for k, n, label, p in R.RULES) + ") r(kind, ordinal, label, pattern))"
 _SOURCE_RULES = "(SELECT * FROM (VALUES " + ", ".join(f"({_Q(k)}, {n}, {_Q(label)}, {_Q(p)})" for k, n, label, p in R.SOURCE_RULES) + ") r(kind, ordinal, label, pattern))"
 _PLANS = f"""
-base AS (SELECT qid, {D.normalise_plain('query')} AS normalised FROM {values('queries')}),
+base AS (SELECT qid, {D.normalise_plain('query')} AS normalised FROM {derived_values('queries')}),
 hits AS (SELECT qid, kind, label, row_number() OVER (PARTITION BY qid, kind ORDER BY ordinal) AS nth FROM base JOIN {_RULES} r ON regexp_matches(normalised, pattern)),
 plans AS (
   SELECT b.*, regexp_matches(normalised, {_Q(R.ASKS)}) AS asks, regexp_matches(normalised, {_Q(R.HAS_REFERENCE)}) AS cites,
     {', '.join(f"(SELECT coalesce(list(label ORDER BY nth), []) FROM hits h WHERE h.qid = b.qid AND kind = '{k}' AND nth <= {cap}) AS {k}s" for k, cap in R.CAPS.items())}
   FROM base b
 )"""
-_BODY = f"(SELECT cid, concat_ws(' ', document_number, title, snippet) AS body FROM {values('candidates')})"
+_BODY = f"(SELECT cid, concat_ws(' ', document_number, title, snippet) AS body FROM {derived_values('candidates')})"
 _ASKED = "(SELECT * FROM (VALUES " + ", ".join(f"({n}, {_Q(q)})" for n, q in ASKED) + ") a(qid, query))"
 
 
@@ -199,14 +193,14 @@ _INTENT_YEARS = "list_transform(regexp_extract_all(n, {p}, 1), lambda y: CAST(y
 ORACLE = {
     "text_fold": f"SELECT doc_id, md5({D.fold('text')}) AS folded_md5, md5({D.normalise_query('text')}) AS query_md5, md5({D.tidy('text')}) AS tidy_md5 FROM documents",
     "text_tokens": f"SELECT doc_id, CAST(len({D.retrieval_tokens('text')}) AS BIGINT) AS n_tokens, CAST(len({D.significant_tokens('text')}) AS BIGINT) AS n_distinct, md5(array_to_string(list_sort({D.significant_tokens('text')}), ' ')) AS tokens_md5 FROM documents",
-    "document_keys": f"SELECT cid, {D.number_key('coalesce(document_number, title)')} AS number_key, {D.storage_key('coalesce(document_number, title)')} AS storage_key, {D.slug('title')} AS slug, {D.canonical_number(chr(99) + 'oncat_ws(' + _Q(' ') + ', document_number, title)')} AS canonical FROM {values('candidates')}",
+    "document_keys": f"SELECT cid, {D.number_key('coalesce(document_number, title)')} AS number_key, {D.storage_key('coalesce(document_number, title)')} AS storage_key, {D.slug('title')} AS slug, {D.canonical_number(chr(99) + 'oncat_ws(' + _Q(' ') + ', document_number, title)')} AS canonical FROM {derived_values('candidates')}",
     "url_canonical": f"SELECT page_id, {_url('url')} AS canonical, coalesce(lower(regexp_extract(url, '^https://([^/?#:]+)', 1, 'i')) IN ('m.ththth.example.net', 'example.org') OR ends_with(lower(regexp_extract(url, '^https://([^/?#:]+)', 1, 'i')), '.example.org'), false) AS allowed FROM pages",
     "html_text": f"SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {D.html_to_text('html')} AS t FROM pages)",
     "html_links": r"""
 SELECT page_id, count(*) AS n_links, arg_min(link, CASE WHEN regexp_matches(link, '\.docx(?:$|\?)', 'i') THEN 0 WHEN regexp_matches(link, '\.doc(?:$|\?)', 'i') THEN 1 WHEN regexp_matches(link, '\.pdf(?:$|\?)', 'i') THEN 2 ELSE 3 END * 1000000 + pos) AS best
 FROM (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?:href|src)=["'']([^"'']+)["'']', 1, 'i') AS l FROM pages)) GROUP BY page_id""",
     "query_hints": f"""
-WITH a AS (SELECT qid, {D.normalise_query(D.squeeze(f"regexp_replace(coalesce(query, ''), '[{chr(92)}x00-{chr(92)}x1f{chr(92)}x7f]', ' ', 'g')"))} AS n FROM {values('queries')}),
+WITH a AS (SELECT qid, {D.normalise_query(D.squeeze(f"regexp_replace(coalesce(query, ''), '[{chr(92)}x00-{chr(92)}x1f{chr(92)}x7f]', ' ', 'g')"))} AS n FROM {derived_values('queries')}),
 b AS (SELECT *, {_first(R.TYPES, 'n')} AS type, {_HIT} AS hit FROM a),
 c AS (SELECT *, CASE WHEN type IS NOT NULL THEN {_found('n', R.TRAILING, 1)} END AS t FROM b),
 d AS (SELECT *, CASE WHEN NOT regexp_matches(t, '^(?:19|20)\\d{{2}}$') THEN t END AS trail FROM c),
@@ -214,11 +208,11 @@ e AS (SELECT *, coalesce(CASE WHEN NOT regexp_matches(hit.number, '^(?:19|20)\\d
 SELECT qid, n AS normalised, type, number, coalesce(hit.year, CASE WHEN trail IS NOT NULL THEN {_found('n', R.TRAILING, 2)} END, CASE WHEN number IS NOT NULL THEN {_found('n', chr(92) + 'bnam' + chr(92) + 's+(20' + chr(92) + 'd{2})' + chr(92) + 'b', 1)} END) AS year,
   asks OR (NOT (type IS NOT NULL AND (number IS NOT NULL OR (NOT asks AND words <= 18))) AND words >= 4) AS asks_question, regexp_matches(n, {_Q(R.INJECTION)}) AS injection FROM e""",
     "query_mentions": f"""
-WITH a AS (SELECT qid, {D.normalise_query('query')} AS n FROM {values('queries')}),
+WITH a AS (SELECT qid, {D.normalise_query('query')} AS n FROM {derived_values('queries')}),
 b AS (SELECT qid, unnest(regexp_extract_all(n, {_Q(R.MENTION)}, 1)) AS word, unnest(regexp_extract_all(n, {_Q(R.MENTION)}, 2)) AS number, unnest(regexp_extract_all(n, {_Q(R.MENTION)}, 3)) AS year, generate_subscripts(regexp_extract_all(n, {_Q(R.MENTION)}, 1), 1) - 1 AS pos FROM a)
 SELECT qid, {_types()} AS type, number, nullif(year, '') AS year, CAST(min(pos) AS INTEGER) AS "at" FROM b GROUP BY ALL""",
     "query_references": f"""
-WITH a AS (SELECT qid, {D.normalise_plain('query', 'a-z0-9/_.-')} AS n FROM {values('queries')}),
+WITH a AS (SELECT qid, {D.normalise_plain('query', 'a-z0-9/_.-')} AS n FROM {derived_values('queries')}),
 b AS (SELECT qid, contains(n, 'bo tai chinh') AS finance, {', '.join(f"unnest(regexp_extract_all(n, {_Q(R.REFERENCE)}, {g})) AS {c}" for g, c in ((1, 'word'), (2, 'number'), (3, 'year'), (4, 'suffix')))}, generate_subscripts(regexp_extract_all(n, {_Q(R.REFERENCE)}, 1), 1) - 1 AS pos FROM a),
 c AS (SELECT *, {_types()} AS type, regexp_replace(suffix, '^[-/]+', '') AS raw FROM b),
 d AS (SELECT *, CASE WHEN type = 'Thông tư' AND (raw IN ('btc', 'tt-btc') OR finance) THEN 'TT-BTC' WHEN type = 'Nghị định' THEN 'NĐ-CP' WHEN raw <> '' THEN upper(raw) END AS s FROM c)
@@ -252,26 +246,26 @@ c AS (SELECT qid, CASE WHEN regexp_matches(n, {_Q(R.RELATION)}) THEN 'relationsh
   WHEN regexp_matches(n, {_Q(R.FUTURE)}) OR len(list_filter(years, lambda y: y > 2026)) > 0 THEN 'future' ELSE 'current' END AS intent FROM b)
 SELECT qid, doc, intent, CASE WHEN status IN ('upcoming', 'expired', 'repealed', 'unknown') THEN status ELSE 'eligible' END AS reason,
   CASE WHEN intent IN ('historical', 'relationship') THEN true WHEN intent = 'future' THEN status IN ('effective', 'partially_effective', 'upcoming') ELSE status IN ('effective', 'partially_effective') END AS allowed
-FROM {values('statuses')}, c""",
+FROM {derived_values('statuses')}, c""",
     "answer_grounding": f"""
 SELECT aid, array_to_string(list_sort(list_filter({_claims('answer')}, lambda x: NOT list_contains(e, x))), ' ') AS unsupported,
   len(w) > 0 AND len(list_filter(w, lambda n: length(n) >= 3 AND contains({_compact('answer')}, n))) = 0 AS missing_reference
-FROM (SELECT *, {_claims('evidence')} AS e, list_filter(list_transform(string_split(numbers, ';'), lambda x: {_compact('x')}), lambda n: n <> '') AS w FROM {values('answers')})""",
+FROM (SELECT *, {_claims('evidence')} AS e, list_filter(list_transform(string_split(numbers, ';'), lambda x: {_compact('x')}), lambda n: n <> '') AS w FROM {derived_values('answers')})""",
     "merged_candidates": f"""
 SELECT merge_key, cid, score FROM (SELECT *, row_number() OVER (PARTITION BY merge_key ORDER BY score DESC, list, cid) AS nth FROM (
-  SELECT *, coalesce(nullif({D.number_key('document_number')}, ''), lower(url)) AS merge_key FROM (SELECT *, 0 AS list FROM {values('candidates')} WHERE cid <= 4 UNION ALL SELECT *, 1 FROM {values('candidates')} WHERE cid >= 3))) WHERE nth = 1""",
+  SELECT *, coalesce(nullif({D.number_key('document_number')}, ''), lower(url)) AS merge_key FROM (SELECT *, 0 AS list FROM {derived_values('candidates', True)} WHERE cid <= 4 UNION ALL SELECT *, 1 FROM {derived_values('candidates', True)} WHERE cid >= 3))) WHERE nth = 1""",
     "cross_checked": f"""
-WITH d AS (SELECT cid, score, nullif({_url('url')}, '') AS u, nullif({D.canonical_number(chr(99) + 'oncat_ws(' + _Q(' ') + ', document_number, title, url)')}, '') AS n FROM {values('candidates')}),
-g AS (SELECT gid, nullif({_url('url')}, '') AS gu, nullif({D.canonical_number(chr(99) + 'oncat_ws(' + _Q(' ') + ', document_number, title, url)')}, '') AS gn FROM {values('grounded')}),
+WITH d AS (SELECT cid, score, nullif({_url('url')}, '') AS u, nullif({D.canonical_number(chr(99) + 'oncat_ws(' + _Q(' ') + ', document_number, title, url)')}, '') AS n FROM {derived_values('candidates', True)}),
+g AS (SELECT gid, nullif({_url('url')}, '') AS gu, nullif({D.canonical_number(chr(99) + 'oncat_ws(' + _Q(' ') + ', document_number, title, url)')}, '') AS gn FROM {derived_values('grounded')}),
 m AS (SELECT g.*, (SELECT min(cid) FROM d WHERE u = gu) AS uc, (SELECT arg_min(n, cid) FROM d WHERE u = gu) AS un, (SELECT min(cid) FROM d WHERE n = gn) AS nc FROM g),
 o AS (SELECT *, CASE WHEN uc IS NOT NULL AND un <> gn THEN 'conflict' WHEN uc IS NOT NULL OR nc IS NOT NULL THEN 'match' WHEN gu IS NULL THEN 'ignored' ELSE 'new' END AS outcome FROM m),
 c AS (SELECT *, CASE outcome WHEN 'match' THEN coalesce(uc, nc) WHEN 'conflict' THEN uc END AS cid FROM o)
 SELECT gid, outcome, c.cid, round(d.score + CASE WHEN outcome = 'match' THEN (SELECT count(*) FROM c x WHERE x.cid = c.cid AND x.outcome = 'match') * 1.15::DOUBLE ELSE 0 END, 6) AS score FROM c LEFT JOIN d USING (cid)""",
     "update_relations": f"""
 WITH t AS (SELECT * FROM (VALUES ('86/2024/NĐ-CP', '2024-07-01'), ('123/2020/NĐ-CP', '2020-10-19'), ('90/2026/NĐ-CP', '2026-04-01')) t(target, target_issued)),
-a AS (SELECT *, {_compact('concat_ws(' + _Q(' ') + ', title, snippet)', 'a-z0-9/_.-')} AS body, {_compact('target', 'a-z0-9/_.-')} AS n FROM {values('candidates')}, t),
+a AS (SELECT *, {_compact('concat_ws(' + _Q(' ') + ', title, snippet)', 'a-z0-9/_.-')} AS body, {_compact('target', 'a-z0-9/_.-')} AS n FROM {derived_values('candidates', True)}, t),
 b AS (SELECT *, CASE WHEN instr(body, n) > 0 THEN substr(body, greatest(1, instr(body, n) - 260), length(n) + 260 + least(260, instr(body, n) - 1)) END AS w FROM a),
 c AS (SELECT *, CASE WHEN regexp_matches(w, 'thaythe') THEN 'replacement' WHEN regexp_matches(w, 'suadoi|bosung|dinhchinh') THEN 'amendment' WHEN regexp_matches(w, 'baibo|hethieuluc') THEN 'repeal' END AS kind FROM b)
-SELECT target, cid, kind FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY issued_date DESC, score DESC) AS nth FROM c
+SELECT target, cid, kind FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY issued_date DESC, score DESC, cid) AS nth FROM c
   WHERE kind IS NOT NULL AND issued_date > target_issued AND {D.number_key("coalesce(document_number, '')")} <> {D.number_key('target')}) WHERE nth = 1""",
 }

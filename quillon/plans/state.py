@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import duck as D
 from quillon.operators import state as S
 from quillon.operators import tables as B
-from quillon.plans.fixtures import frame, values
+from quillon.plans.fixtures import derived, derived_values, frame, values
 from quillon.plans.retrieval import table
 
 NOW = "2024-03-01 00:00:00"
@@ -34,7 +34,7 @@ def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingestion_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.ingestion_decision(frame(spark, "states"), "2026-07-21 00:00:00").select("number", "reason", "start")
+    return S.ingestion_decision(derived(spark, sf_dir, "states"), "2026-07-21 00:00:00").select("number", "reason", "start")
 
 
 def hourly_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def store_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.upload_sessions(frame(spark, "upload_chunks"))
+    return S.upload_sessions(derived(spark, sf_dir, "upload_chunks"))
 
 
 def last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,11 +117,11 @@ def appended_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invoice_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, "invoices").select("rid", B.duplicate_key([F.col(c) for c in ("seller", "symbol", "number", "day")]).alias("dup_key"))
+    return derived(spark, sf_dir, "invoices").select("rid", B.duplicate_key([F.col(c) for c in ("seller", "symbol", "number", "day")]).alias("dup_key"))
 
 
 def conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, "deltas").select("rid", B.conclusion(F.col("days"), F.col("amount")).alias("conclusion"))
+    return derived(spark, sf_dir, "deltas").select("rid", B.conclusion(F.col("days"), F.col("amount")).alias("conclusion"))
 
 
 def next_number(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ SELECT coalesce(i.key, b.key) AS key, coalesce(f, TIMESTAMP '2024-12-31') AS fir
     "daily_quota": "SELECT day, key, ord, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ord, key) AS rank FROM (SELECT CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS key, min(event_id) AS ord FROM events GROUP BY ALL)) WHERE rank <= 2",
     "ingestion_decisions": f"""
 SELECT number, reason, reason IN ('forced', 'new', 'retry_due') AS start FROM (SELECT number, CASE WHEN forced THEN 'forced' WHEN status IS NULL THEN 'new' WHEN status = 'ready' THEN 'ready' WHEN status = 'processing' THEN 'processing'
-  WHEN TRY_CAST(updated_at AS TIMESTAMPTZ) IS NULL OR epoch(TIMESTAMPTZ '2026-07-21 00:00:00+00') - epoch(TRY_CAST(updated_at AS TIMESTAMPTZ)) >= 43200 THEN 'retry_due' ELSE 'retry_wait' END AS reason FROM {values('states')})""",
+  WHEN TRY_CAST(updated_at AS TIMESTAMPTZ) IS NULL OR epoch(TIMESTAMPTZ '2026-07-21 00:00:00+00') - epoch(TRY_CAST(updated_at AS TIMESTAMPTZ)) >= 43200 THEN 'retry_due' ELSE 'retry_wait' END AS reason FROM {derived_values('states')})""",
     "hourly_claim": "SELECT user_id, date_trunc('hour', ts) AS hour, min(ts) AS claimed, count(*) AS asked FROM events GROUP BY ALL",
     "rate_limit": """
 WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
@@ -163,7 +163,7 @@ SELECT user_id, event_id, window_us, place, place <= 3 AS allowed, greatest(0, 3
     "deliveries": "SELECT s_suppkey AS notice, count(*) AS due FROM supplier JOIN customer ON s_nationkey = c_nationkey AND c_acctbal <= s_acctbal WHERE NOT c_acctbal < 0 GROUP BY s_suppkey",
     "store_union": "SELECT doc_id, CAST(min(store) AS INTEGER) AS store FROM (SELECT doc_id, 0 AS store FROM labels UNION ALL SELECT doc_id, 1 FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY doc_id",
     "uploads": f"""
-WITH a AS (SELECT file, max(total) AS total, max(size) AS size, CAST(sum(bytes) AS BIGINT) AS received, list(DISTINCT idx) AS have FROM {values('upload_chunks')} GROUP BY file), b AS (SELECT *, list_filter(range(0, total), lambda x: NOT list_contains(have, x)) AS missing FROM a)
+WITH a AS (SELECT file, max(total) AS total, max(size) AS size, CAST(sum(bytes) AS BIGINT) AS received, list(DISTINCT idx) AS have FROM {derived_values('upload_chunks')} GROUP BY file), b AS (SELECT *, list_filter(range(0, total), lambda x: NOT list_contains(have, x)) AS missing FROM a)
 SELECT file, received, array_to_string(missing, ',') AS missing, len(missing) = 0 AND received = size AS complete FROM b""",
     "last_event": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "sticky_orders": "SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'P' ELSE arg_max(o_orderstatus, (o_orderdate, o_orderkey)) END AS status FROM orders GROUP BY o_custkey",
@@ -181,10 +181,10 @@ SELECT c_custkey, count(*) FILTER (WHERE {_kind('value')} <> 'blank') AS filled,
 WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 50 <> 0 THEN o_custkey END AS c, o_orderstatus AS s, o_orderpriority AS p FROM orders)
 SELECT min(o_orderkey) AS o_orderkey FROM o WHERE p >= '3' AND c IS NOT NULL AND s IS NOT NULL AND NOT EXISTS (SELECT 1 FROM o t WHERE t.p < '3' AND t.c = o.c AND t.s = o.s) GROUP BY c, s
 UNION ALL SELECT o_orderkey FROM o WHERE p >= '3' AND (c IS NULL OR s IS NULL)""",
-    "invoice_keys": f"SELECT rid, CASE WHEN {' + '.join(f'({p} <> {D.quote(str())})::INTEGER' for p in _PARTS)} >= 2 THEN concat_ws('|', {', '.join(_PARTS)}) END AS dup_key FROM {values('invoices')}",
+    "invoice_keys": f"SELECT rid, CASE WHEN {' + '.join(f'({p} <> {D.quote(str())})::INTEGER' for p in _PARTS)} >= 2 THEN concat_ws('|', {', '.join(_PARTS)}) END AS dup_key FROM {derived_values('invoices')}",
     "conclusions": f"""
 SELECT rid, CASE WHEN coalesce(days, '') = '' AND coalesce(amount, '') = '' THEN 'MISSING' WHEN d AND a THEN 'BOTH' WHEN d THEN 'DATE' WHEN a THEN 'AMOUNT' ELSE 'MATCH' END AS conclusion
-FROM (SELECT *, abs(coalesce(TRY_CAST(days AS DOUBLE), 0)) > 1e-6 AS d, abs(coalesce(TRY_CAST(amount AS DOUBLE), 0)) > 0.5 AS a FROM {values('deltas')})""",
+FROM (SELECT *, abs(coalesce(TRY_CAST(days AS DOUBLE), 0)) > 1e-6 AS d, abs(coalesce(TRY_CAST(amount AS DOUBLE), 0)) > 0.5 AS a FROM {derived_values('deltas')})""",
     "next_number": "SELECT CAST(coalesce(max(floor(TRY_CAST(regexp_replace(trim(c_name), '[^0-9.-]', '', 'g') AS DOUBLE))), 0) + 1 AS BIGINT) AS next FROM customer",
     "customer_fingerprints": "SELECT o_custkey, sha256(array_to_string(list_sort(list_distinct(list(sha256(CAST(o_orderkey AS VARCHAR))))), ',')) AS fingerprint FROM orders GROUP BY o_custkey",
     "pipe_tables": f"""

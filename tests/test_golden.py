@@ -2,12 +2,19 @@
 
 import pytest
 
+from quillon.operators import retrieval as R
 from quillon.plans import catalog
+from quillon.plans.fixtures import frame
+
+
+def own(key):
+    """Whether a key is that of a case as it stands, not dealt to a row of a given table."""
+    return key < 1000 if isinstance(key, int) else "~" not in str(key)
 
 
 @pytest.fixture(scope="module")
 def rows(spark, sf_dir):
-    return lambda name, key: {r[key]: r for r in catalog.queries()[name](spark, sf_dir).collect()}
+    return lambda name, key: {r[key]: r for r in catalog.queries()[name](spark, sf_dir).collect() if own(r[key])}
 
 
 def test_hints(rows):
@@ -40,8 +47,8 @@ def test_grounding(rows):
     assert got[1]["unsupported"] and not got[2]["unsupported"] and not got[3]["unsupported"] and got[4]["missing_reference"]
 
 
-def test_cross_check(rows):
-    got = rows("cross_checked", "gid")
+def test_cross_check(spark):
+    got = {r["gid"]: r for r in R.cross_check(frame(spark, "candidates"), frame(spark, "grounded")).collect()}
     assert [got[n]["outcome"] for n in range(1, 6)] == ["match", "match", "new", "conflict", "ignored"] and got[1]["score"] == pytest.approx(2.5 + 1.15)
 
 
@@ -88,7 +95,7 @@ def test_validated_texts(rows):
 
 
 def test_legal_blocks(spark, sf_dir):
-    got = {(r["doc"], r["first_line"]): (r["kind"], r["text"]) for r in catalog.queries()["clause_blocks"](spark, sf_dir).collect()}
+    got = {(r["doc"], r["first_line"]): (r["kind"], r["text"]) for r in catalog.queries()["clause_blocks"](spark, sf_dir).collect() if own(r["doc"])}
     assert got[1, 0] == ("heading", "Chương I QUY ĐỊNH CHUNG") and got[1, 2] == ("clause", "1. Phạm vi điều chỉnh")
     assert got[1, 4] == ("point", "a) 2. Người nộp thuế") and got[1, 6] == ("point", "đ) điểm đ tiếp theo") and got[1, 9] == ("paragraph", "đoạn văn") and got[1, 10] == ("paragraph", "chương ii")
     assert got[2, 0] == ("point", "- một gạch") and got[2, 4] == ("heading", "Mục 2 Tên") and len(got) == 8
