@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import etl, guards, ingestion, layout, listings, merging, pages, policies, presentation, publishing, retrieval, search, segments, selection, state
+from quillon.plans import etl, guards, ingestion, layout, listings, merging, pages, policies, presentation, publishing, retrieval, search, segments, selection, sheets, state
 
-PARTS = (retrieval, search, ingestion, pages, presentation, etl, guards, layout, policies, segments, selection, state, merging, publishing, listings)
+PARTS = (retrieval, search, ingestion, pages, presentation, sheets, etl, guards, layout, policies, segments, selection, state, merging, publishing, listings)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
