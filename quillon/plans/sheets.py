@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.operators import sheets as S
 from quillon.plans.retrieval import table
+from quillon.sources.shared import shared_folder
+from quillon.sources.spreadsheets import Workbooks
 
 #: The header rows of each sheet; equal neighbours in the first one are a merged cell. The last column only continues the one before.
 TOP, BELOW = ["Đơn hàng", "Đơn hàng", "Giá trị", "Giá trị", "Giá trị"], ["Số đơn", "Ngày lập", "Tổng tiền", "Ghi chú", "Ghi chú"]
@@ -35,11 +37,23 @@ def merged_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sheet", "header_start", "header_end", "data_start", "data_end", joined("columns").alias("columns"), joined("headers").alias("headers"), joined("preamble").alias("preamble"))
 
 
-QUERIES = {"merged_sheets": merged_sheets}
+def exported_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, written as workbooks and read back cell by cell."""
+    spark.dataSource.register(Workbooks)
+    orders = table(spark, sf_dir, "orders")
+    folder = shared_folder(spark, "workbooks")
+    orders.write.format("workbook").mode("append").save(folder)
+    cells = spark.read.format("workbook").load(folder).where("row > 0")
+    rows = cells.groupBy("file", "sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("cells"))
+    return rows.select(*[F.element_at("cells", F.lit(n)).cast(kind).alias(c) for n, (c, kind) in enumerate(orders.dtypes)])
+
+
+QUERIES = {f.__name__: f for f in (merged_sheets, exported_orders)}
 
 ORACLE = {
     "merged_sheets": """
 SELECT CAST(o_custkey AS VARCHAR) AS sheet, 1 AS header_start, 2 AS header_end, 3 AS data_start, CAST(count(*) * 3 + 2 AS INTEGER) AS data_end, '0|1|2|3' AS columns,
   'Đơn hàng · Số đơn|Đơn hàng · Ngày lập|Giá trị · Tổng tiền|Giá trị · Ghi chú' AS headers, 'Khách hàng ' || o_custkey AS preamble
 FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey""",
+    "exported_orders": "SELECT * FROM orders",
 }
