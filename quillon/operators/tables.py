@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
 from quillon.functions import text as T
 
@@ -80,20 +77,6 @@ def next_in_sequence(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg((F.coalesce(F.max(F.floor(number)), F.lit(0)) + 1).cast("bigint").alias("next"))
 
 
-def shift_formula(formula: Column, rows: Column) -> Column:
-    """Cell references moved by some rows; absolute rows stay. References are rewritten one by one, which SQL functions can't."""
-    cell = re.compile(r"(\$?[A-Z]{1,3})(\$?)(\d+)")
-
-    @pandas_udf("string")
-    def shift(formulas: pd.Series, by: pd.Series) -> pd.Series:
-        def one(text: str | None, n: int) -> str | None:
-            return text if text is None or not n else cell.sub(lambda m: m[0] if m[2] else f"{m[1]}{max(1, int(m[3]) + int(n))}", text)
-
-        return pd.Series([one(f, n) for f, n in zip(formulas, by, strict=True)], dtype=object)
-
-    return shift(formula, rows)
-
-
 def fingerprint(rows: DataFrame, group: str, value: str) -> DataFrame:
     """SHA-256 of the sorted distinct values of each group; values are hashed first, so that a group's state is small."""
     return rows.groupBy(group).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.sha2(F.col(value).cast("string"), 256))), ","), 256).alias("fingerprint"))

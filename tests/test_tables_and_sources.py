@@ -4,6 +4,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quillon.operators import policies as P
+from quillon.operators import formulas as X
 from quillon.operators import tables as B
 from quillon.plans import layout
 from quillon.sources import readers as S
@@ -18,7 +19,7 @@ def test_layouts_of_golden_sheets(spark):
 
 def test_formula_shift_keeps_absolute_rows(spark):
     rows = spark.createDataFrame([("IF(A7=$B$2,C7-D7,0)", 3), (None, 1), ("A1", 0), ("A2", -5)], "f STRING, n INT")
-    assert [r[0] for r in rows.select(B.shift_formula(F.col("f"), F.col("n"))).collect()] == ["IF(A10=$B$2,C10-D10,0)", None, "A1", "A1"]
+    assert [r[0] for r in rows.select(X.moved(F.col("f"), F.col("n"))).collect()] == ["IF(A10=$B$2,C10-D10,0)", None, "A1", "A1"]
 
 
 def test_delimited_files_become_cells(spark, tmp_path):
