@@ -58,7 +58,7 @@ def imported_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where("o_custkey IS NOT NULL")
     rows = orders.select(F.col("o_custkey").alias("book"), (F.col("o_orderkey") % len(SHEETS)).cast("int").alias("at"), F.col("o_orderkey").alias("row"))
     n = F.col("row").cast("string")
-    formula = F.concat(F.lit("SUM(Sheet1!A"), n, F.lit(":$B$2)+'Dữ liệu'!C$1*'It''s'!D"), n, F.lit("+LOG10(E"), n, F.lit(')&"Sheet1!A1 ""F'), n, F.lit('"""&x!G1'))
+    formula = F.concat(F.lit("SUM(Sheet1!A"), n, F.lit(":$B$2)+'Dữ liệu'!C$1*'It''s'!D"), n, F.lit("+LOG10(E"), n, F.lit(')&"Sheet1!A1 ""F'), n, F.lit(3 * '"' + "&x!G1"))
     cells = rows.select("book", F.get(F.array(*map(F.lit, SHEETS)), F.col("at")).alias("sheet"), "row", F.lit(0).alias("col"), formula.alias("formula"))
     books = rows.select("book").distinct().select("book", F.posexplode(F.array(*map(F.lit, SHEETS))).alias("position", "sheet"))
     out = X.imported(books, cells, F.array(*map(F.lit, TAKEN)))
@@ -73,8 +73,8 @@ SELECT CAST(o_custkey AS VARCHAR) AS sheet, 1 AS header_start, 2 AS header_end,
   'Đơn hàng · Số đơn|Đơn hàng · Ngày lập|Giá trị · Tổng tiền|Giá trị · Ghi chú' AS headers, 'Khách hàng ' || o_custkey AS preamble
 FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey""",
     "exported_orders": "SELECT * FROM orders",
-    "imported_formulas": '''
+    "imported_formulas": """
 SELECT o_custkey AS book, o_orderkey AS row, CASE o_orderkey % 5 WHEN 0 THEN 'Sheet1 (2)' WHEN 1 THEN 'Dữ liệu (2)' WHEN 2 THEN 'sheet1 (2) (2)' WHEN 3 THEN 'It''s' ELSE repeat('x', 31) END AS new_sheet,
-  'SUM(''Sheet1 (2)''!A' || (o_orderkey + 2) || ':$B$2)+''Dữ liệu (2)''!C$1*''It''''s''!D' || (o_orderkey + 2) || '+LOG10(E' || (o_orderkey + 2) || ')&"Sheet1!A1 ""F' || o_orderkey || '"""&x!G3' AS formula
-FROM orders WHERE o_custkey IS NOT NULL''',
+  'SUM(''Sheet1 (2)''!A' || (o_orderkey + 2) || ':$B$2)+''Dữ liệu (2)''!C$1*''It''''s''!D' || (o_orderkey + 2) || '+LOG10(E' || (o_orderkey + 2) || ')&"Sheet1!A1 ""F' || o_orderkey || repeat(chr(34), 3) || '&x!G3' AS formula
+FROM orders WHERE o_custkey IS NOT NULL""",
 }
