@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import anchored, etl, guards, harvest, ingestion, layout, listings, merging, pages, policies, presentation, publishing, retrieval, search, segments, selection, sheets, state
+from quillon.plans import anchored, etl, guards, harvest, ingestion, layout, listings, merging, pages, policies, presentation, publishing, retrieval, search, segments, selection, sheets, state, storyboard
 
-PARTS = (retrieval, search, anchored, ingestion, pages, presentation, sheets, harvest, etl, guards, layout, policies, segments, selection, state, merging, publishing, listings)
+PARTS = (retrieval, search, anchored, ingestion, pages, presentation, sheets, harvest, storyboard, etl, guards, layout, policies, segments, selection, state, merging, publishing, listings)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
