@@ -4,7 +4,7 @@
 from the executors into a shared folder, each task its own files, and returns a manifest of the files that its successful
 attempts wrote, so a lost executor's leftovers are never read; ``read_archives`` reads archives in sequence: it inflates
 bit by bit, frames blocks by Content-Length and verifies the block and payload digests. Memory is bounded by the largest
-record on both sides.
+record on both sides, and when reading by the records that are returned together: 500 of them and 32 MB of payloads at most, but for a single larger one.
 
 Null payloads are empty. Payloads shorter than ``least`` bytes are always responses. Of equal payloads, all rows with the
 smallest page id are responses (repeated rows); a row without a page id revisits if another row has one, else it is a
@@ -196,7 +196,7 @@ class Reader:
                     return
 
 
-def read_archives(manifest: DataFrame, payloads: bool = True, rows: int = 500) -> DataFrame:
+def read_archives(manifest: DataFrame, payloads: bool = True, rows: int = 500, size: int = 32 << 20) -> DataFrame:
     """The records of the archives in ``manifest.path``; without ``payloads``, only what describes them."""
     kind = RECORD.replace("page_id bigint", "page_id string").replace("refers_to bigint", "refers_to string")
 
@@ -207,11 +207,14 @@ def read_archives(manifest: DataFrame, payloads: bool = True, rows: int = 500) -
                 store, at = _place(path)
                 with store.open_input_stream(at) as source:
                     held: list[dict] = []
+                    held_bytes = 0
                     for found in Reader(source):
-                        held.append(found if payloads else found | {"payload": None})
-                        if len(held) >= rows:
+                        more = len(found["payload"] or b"") if payloads else 0
+                        if held and (len(held) >= rows or held_bytes + more > size):
                             yield pd.DataFrame(held, columns=names).astype({"payload_bytes": "Int64"})
-                            held = []
+                            held, held_bytes = [], 0
+                        held.append(found if payloads else found | {"payload": None})
+                        held_bytes += more
                     if held:
                         yield pd.DataFrame(held, columns=names).astype({"payload_bytes": "Int64"})
 
