@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -62,4 +62,4 @@ def best_match(sheets: DataFrame, target: DataFrame) -> DataFrame:
     size = wanted.agg(F.count(F.lit(1)).alias("n"))
     enough = F.greatest(F.lit(2), F.ceil(F.least(F.col("n"), F.lit(8)) * 0.4))
     ranked = shared.crossJoin(F.broadcast(size)).where(F.col("shared") >= enough)
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("shared").desc(), "sheet"))).where("rank = 1").select("sheet", "shared")
+    return ranked.orderBy(F.col("shared").desc(), "sheet").limit(1).select("sheet", "shared")

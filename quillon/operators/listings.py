@@ -38,6 +38,7 @@ ARTICLE_TAILS = r"(?iu)\n(?:Nội dung này, đã nhận được|Góp ý, hiế
 COMPLETENESS = [(r"(?imu)^\s*Điều\s+\d+[a-zA-Z]?\b", 1_000_000), (r"(?imu)^\s*Chương\s+[IVXLC\d]+\b", 100_000), (r"(?m)^\s*\d+\.\s+", 1_000)]
 ARTICLE_SPACE_RULES = [("\r\n?", "\n"), ("[\t\xa0]+", " "), (" {2,}", " "), ("\n +", "\n"), ("\n{3,}", "\n\n")]
 
+#: References of HTML, and the named ones.
 _REFERENCE = r"&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z]+);"
 _NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 

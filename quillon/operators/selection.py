@@ -19,6 +19,7 @@ HIGH_RISK_INTENTS = [
     "xử phạt, tiền chậm nộp và cưỡng chế",
     "sửa đổi, bổ sung, thay thế và đối chiếu",
 ]
+#: Fixed value: words and suffixes of document types.
 TYPE_WORDS = r"\b(?:nghi dinh|thong tu|nghi quyet|quyet dinh|luat|nd-cp|tt-btc|nd|tt|nq|qd)\b"
 
 
