@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions.segments import _let as let
 from quillon.functions.session import sound_unions
+from quillon.sources.shared import written
 
 #: Lines that are titles, and lines that open headings of either level.
 TITLES = r"(?iu)^(?:CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM|Độc lập\s*[-–—]\s*Tự do\s*[-–—]\s*Hạnh phúc|THÔNG TƯ|NGHỊ ĐỊNH|NGHỊ QUYẾT|QUYẾT ĐỊNH|LUẬT|THÔNG BÁO)$"
@@ -239,10 +240,15 @@ def _paragraphs(units: DataFrame) -> DataFrame:
     return chains.select("key", "at", F.posexplode(whole).alias("nth", "text"), F.lit("paragraph").alias("kind"))
 
 
-def build_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, place, kind, text, mark, value, level, checked, rows, header_rows, columns, first_column``: the blocks of each text, ``place`` from 1 in their order."""
+def build_blocks(docs: DataFrame, key: str, text: str, folder: str | None = None) -> DataFrame:
+    """``key, place, kind, text, mark, value, level, checked, rows, header_rows, columns, first_column``: the blocks of each text, ``place`` from 1 in their order.
+
+    Tables, forms, single lines and paragraphs come from the same lines, which are written to ``folder`` once if there is one, and found anew for each otherwise.
+    """
     sound_unions(docs.sparkSession)
     lines = _regions(lines_of(docs, key, text))
+    if folder is not None:
+        lines = written(lines, f"{folder}/lines")
     tables = _tables(lines.where("run IS NOT NULL")).unionByName(_forms(lines.where("form IS NOT NULL")))
     single = lines.where("run IS NULL AND form IS NULL").select("key", "at", let(line_kind(F.col("line")), lambda k: k).alias("k")).where("k IS NOT NULL").select("key", "at", "k.*")
     units = single.select("key", "at", "kind", "text").unionByName(tables.select("key", "at", "kind", F.lit(None).cast("string").alias("text")))

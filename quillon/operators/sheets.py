@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import layout as L
 from quillon.operators import tables as B
+from quillon.sources.shared import written
 
 #: Rows of a band of the range join.
 BAND = 64
@@ -45,9 +46,11 @@ def column_name(col: Column) -> Column:
     return F.when(n < 26, letter(n)).when(n < 702, F.concat(letter(F.floor(n / 26) - 1), letter(n % 26))).otherwise(F.concat(letter(F.floor((n - 26) / 676) - 1), letter(F.floor((n - 26) / 26) % 26), letter(n % 26)))
 
 
-def analysis(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """One row for each sheet: ``header_start, header_end, data_start, data_end, columns, headers, preamble``."""
+def analysis(cells: DataFrame, merges: DataFrame, folder: str | None = None) -> DataFrame:
+    """One row for each sheet: ``header_start, header_end, data_start, data_end, columns, headers, preamble``. What the cells show is written to ``folder`` once, if there is one."""
     shown = merged_values(cells, merges)
+    if folder is not None:
+        shown = written(shown, f"{folder}/shown")
     own = shown.where(F.trim("value") != "")
     layouts = L.sheet_layouts(own.select("sheet", "row", "col", "value"), B.value_kind(F.col("value"))).drop("confidence")
     rows = shown.withColumn("sheet", F.col("sheet").cast("string")).join(layouts, "sheet")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import blocks as B
+from quillon.sources.shared import written
 
 #: Headers of columns for running numbers, contents, yes and no; openings that never go on from a page before.
 INDEX_COLUMN, CONTENT_COLUMN, YES_COLUMN, NO_COLUMN = r"^stt$|^so thu tu$", r"noi dung|ho va ten|ten mau|tieu chi", r"^dat$", r"^khong dat$"
@@ -60,11 +61,12 @@ def _fitted(row: Column, of: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), of["columns"] - 1), lambda i: F.when(made(i) == "", own(i)).otherwise(made(i)))
 
 
-def page_blocks(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
-    """Blocks of pages with ``doc, page`` and ``seq``, their order in the document."""
+def page_blocks(pages: DataFrame, doc: str, page: str, text: str, folder: str | None = None) -> DataFrame:
+    """Blocks of pages with ``doc, page`` and ``seq``, their order in the document; written to ``folder`` if there is one, because what is stitched reads them several times."""
     named = pages.select(F.struct(F.col(doc).alias("doc"), F.col(page).cast("long").alias("page"), F.xxhash64(text).alias("copy")).alias("id"), F.col(text).alias("text"))
-    blocks = B.build_blocks(named, "id", "text").select("id.doc", "id.page", "id.copy", "*").drop("id")
-    return blocks.withColumn("seq", F.row_number().over(Window.partitionBy("doc").orderBy("page", "copy", "place")))
+    blocks = B.build_blocks(named, "id", "text", folder).select("id.doc", "id.page", "id.copy", "*").drop("id")
+    blocks = blocks.withColumn("seq", F.row_number().over(Window.partitionBy("doc").orderBy("page", "copy", "place")))
+    return written(blocks, f"{folder}/blocks") if folder is not None else blocks
 
 
 def linked_tables(blocks: DataFrame) -> DataFrame:

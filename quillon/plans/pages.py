@@ -10,6 +10,7 @@ from quillon.functions import text as T
 from quillon.operators import blocks as B
 from quillon.operators import stitching as S
 from quillon.plans.retrieval import table
+from quillon.sources.shared import shared_folder
 
 #: Rows of a page; how a page begins that goes on with the last row of the page before.
 ROWS_A_PAGE, REST = 4, "và phần còn lại của hàng trước"
@@ -38,7 +39,7 @@ def decorated(docs: DataFrame) -> DataFrame:
 
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of all documents, whose lines take turns as articles, boxes, notes, tables, fields, lists and paragraphs."""
-    blocks = B.build_blocks(decorated(table(spark, sf_dir, "documents")), "doc_id", "text")
+    blocks = B.build_blocks(decorated(table(spark, sf_dir, "documents")), "doc_id", "text", shared_folder(spark, "blocks"))
     cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n")
     said = F.concat_ws("#", F.col("text"), F.col("mark"), F.col("value"), F.col("checked").cast("string"), cells, "first_column", F.col("header_rows").cast("string"))
     return blocks.select("doc_id", "place", "kind", F.md5(said).alias("said_md5"))
@@ -68,7 +69,7 @@ def order_pages(orders: DataFrame) -> DataFrame:
 
 def stitched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of each customer's orders, whole again."""
-    blocks = S.page_blocks(order_pages(table(spark, sf_dir, "orders")), "doc", "page", "text")
+    blocks = S.page_blocks(order_pages(table(spark, sf_dir, "orders")), "doc", "page", "text", shared_folder(spark, "pages"))
     cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n")
     return S.stitched_tables(blocks).select("doc", "table", "first_page", "last_page", "parts", "header_rows", "columns", F.md5(cells).alias("rows_md5"), "cut_rows", "unclear_rows")
 

@@ -33,7 +33,7 @@ def order_sheets(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def merged_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header, columns, titles and data of each customer's sheet."""
-    found = S.analysis(*order_sheets(table(spark, sf_dir, "orders")))
+    found = S.analysis(*order_sheets(table(spark, sf_dir, "orders")), shared_folder(spark, "sheets"))
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), "|")
     return found.select("sheet", "header_start", "header_end", "data_start", "data_end", joined("columns").alias("columns"), joined("headers").alias("headers"), joined("preamble").alias("preamble"))
 
