@@ -68,7 +68,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Keep Arrow batches of long texts small, so that a Python worker's memory is bounded by ``rows`` texts and, but for a single longer text, by ``size`` bytes. Set for the session, where smaller values stay."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = int(spark.conf.get(name).rstrip("b"))
