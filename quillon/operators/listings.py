@@ -108,15 +108,41 @@ def _by_suffix(number: Column, cases: list[tuple[str, str]], other: str) -> Colu
     return F.coalesce(*[F.when(number.rlike(f"(?iu){p}$"), label) for p, label in cases], F.lit(other))
 
 
+#: What stands behind a title in a listing, and its dates.
+BEHIND_TITLE = r"(?iu)Ngày ban hành|Ngày có hiệu lực|Ngày hiệu lực|Tài liệu đính kèm"
+DAY = r"\b(\d{1,2})[/.\-](\d{1,2})[/.\-](20\d{2})\b"
+
+
+def listed_title(anchor: Column, around: Column, number: Column) -> Column:
+    """The anchor's text, unless it is empty or names the number itself; then what follows the number, up to the listing's other fields."""
+    rest = F.regexp_replace(around, F.concat(F.lit(r"(?isu)^.*?"), number, F.lit(r"\s*")), F.lit(""))
+    rest = F.trim(F.get(F.split(rest, BEHIND_TITLE, 2), F.lit(0)))
+    return F.when((anchor != "") & ~F.contains(anchor, number), anchor).when(rest != "", rest).otherwise(F.concat(F.lit("Văn bản số "), number))
+
+
+def listed_day(text: Column, label: str = "") -> Column:
+    """The first day of a text, behind a label if one is given; null if there is none or it doesn't exist."""
+    pattern = f"(?isu){label}{DAY}" if label else DAY
+    part = lambda n: F.regexp_extract(text, pattern, n)
+    day = F.try_to_date(F.concat_ws("-", part(3), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
+    return F.when(text.rlike(pattern), F.date_format(day, "yyyy-MM-dd"))
+
+
+#: Labels of the days of issue and of effect, and how far behind them the day may stand.
+ISSUED, EFFECTIVE = r"Ngày ban hành[^0-9]{0,20}", r"(?:Ngày có hiệu lực|Ngày hiệu lực)[^0-9]{0,20}"
+
+
 def listed_documents(pages: DataFrame, key: str, html: str, base: str, cap: int = 20) -> DataFrame:
-    """The first ``cap`` documents of a listing on the topic, one for a number, with type and issuer by their number."""
+    """The first ``cap`` documents of a listing on the topic, one for a number, with title and days, type and issuer by their number."""
     rows = document_links(pages, key, html, base, 500, 1_500)
     both = F.concat_ws(" ", "anchor", "around")
-    rows = rows.select(key, "at", "url", "anchor", both.alias("both"), F.regexp_replace(F.regexp_extract(both, LISTED_NUMBER, 0), r"\s+", "").alias("number"))
+    rows = rows.select(key, "at", "url", "anchor", "around", both.alias("both"), F.regexp_replace(F.regexp_extract(both, LISTED_NUMBER, 0), r"\s+", "").alias("number"))
     rows = rows.where((F.col("number") != "") & F.col("both").rlike(LISTED_TOPIC))
     first = F.row_number().over(Window.partitionBy(key, F.lower("number")).orderBy("at"))
     rows = rows.withColumn("nth", first).where("nth = 1").withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("at"))).where(F.col("rank") <= cap)
-    return rows.select(key, "rank", "number", "url", "anchor", _by_suffix(F.col("number"), TYPE_BY_SUFFIX, "Văn bản pháp luật").alias("type"), _by_suffix(F.col("number"), ISSUER_BY_SUFFIX, "").alias("issuer"))
+    rows = rows.withColumn("title", listed_title(F.col("anchor"), F.col("around"), F.col("number")))
+    rows = rows.withColumn("issued", F.coalesce(listed_day(F.col("both"), ISSUED), listed_day(F.col("both")))).withColumn("effective", listed_day(F.col("both"), EFFECTIVE))
+    return rows.select(key, "rank", "number", "url", "anchor", "title", "issued", "effective", _by_suffix(F.col("number"), TYPE_BY_SUFFIX, "Văn bản pháp luật").alias("type"), _by_suffix(F.col("number"), ISSUER_BY_SUFFIX, "").alias("issuer"))
 
 
 def found_documents(pages: DataFrame, key: str, html: str, hint: str, base: str, cap: int = 18) -> DataFrame:

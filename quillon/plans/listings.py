@@ -118,13 +118,24 @@ def _normalised(x: str) -> str:
     return _strip(f"regexp_replace(array_to_string({lines}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
+_REST = f"trim(regexp_split_to_array(regexp_replace(around, '^.*?' || number || '\\s*', '', 'is'), '(?i){L.BEHIND_TITLE[5:]}')[1])"
+
+
+def _day(x: str, label: str) -> str:
+    """The first day behind a label, as ISO text; null if there is none."""
+    p = _Q(f"(?is){label}{L.DAY}" if label else L.DAY)
+    return f"CASE WHEN regexp_matches({x}, {p}) THEN CAST(TRY_CAST(regexp_extract({x}, {p}, 3) || '-' || lpad(regexp_extract({x}, {p}, 2), 2, '0') || '-' || lpad(regexp_extract({x}, {p}, 1), 2, '0') AS DATE) AS VARCHAR) END"
+
+
 ORACLE = {
     "decoded_references": f"SELECT page_id, md5({_decoded('t')}) AS html_md5 FROM (SELECT page_id, coalesce(html, '') AS t FROM pages)",
     "reference_cases": f"SELECT rid, {_decoded('text')} AS decoded FROM {derived_values('references')}",
     "listed_documents": f"""{_links(500, 1500)},
 g AS (SELECT *, anchor || ' ' || around AS whole FROM f), h AS (SELECT *, regexp_replace(regexp_extract(whole, {_Q(_re(L.LISTED_NUMBER).replace('(?iu)', '(?i)'))}, 0), '\\s+', '', 'g') AS number FROM g),
 i AS (SELECT *, row_number() OVER (PARTITION BY page, lower(number) ORDER BY pos) AS nth FROM h WHERE number <> '' AND regexp_matches(whole, {_Q(_re(L.LISTED_TOPIC))}))
-SELECT * FROM (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY pos) AS INTEGER) AS rank, number, url, anchor, {_suffix(L.TYPE_BY_SUFFIX, 'Văn bản pháp luật')} AS type, {_suffix(L.ISSUER_BY_SUFFIX, '')} AS issuer FROM i WHERE nth = 1) WHERE rank <= 20""",
+SELECT * FROM (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY pos) AS INTEGER) AS rank, number, url, anchor,
+  CASE WHEN anchor <> '' AND NOT contains(anchor, number) THEN anchor WHEN {_REST} <> '' THEN {_REST} ELSE 'Văn bản số ' || number END AS title,
+  coalesce({_day('whole', L.ISSUED)}, {_day('whole', '')}) AS issued, {_day('whole', L.EFFECTIVE)} AS effective, {_suffix(L.TYPE_BY_SUFFIX, 'Văn bản pháp luật')} AS type, {_suffix(L.ISSUER_BY_SUFFIX, '')} AS issuer FROM i WHERE nth = 1) WHERE rank <= 20""",
     "found_documents": f"""{_links(450, 1100)},
 g AS (SELECT page, pos, url, anchor, left(around, 1400) AS snippet, {D.number_key('hint')} AS k FROM f WHERE anchor <> ''),
 h AS (SELECT *, regexp_replace(regexp_extract(anchor || ' ' || snippet, {_Q('(?i)' + T.FULL_NUMBER[5:])}, 0), '\\s+', '', 'g') AS number, row_number() OVER (PARTITION BY page, url ORDER BY pos) AS nth FROM g),

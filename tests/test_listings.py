@@ -55,3 +55,18 @@ def test_transcripts_and_texts(rows):
     texts = {k[0]: r["text"] for k, r in rows("legal_markdown", "mid").items()}
     assert texts[1] == "Điều 3. Giải thích từ ngữ\nTrong Nghị định này\nChương I\nĐiều 4. Phạm vi" and texts[3] == "MỤC II: Tên mục" and texts[5] is None
     assert [rows("best_by_method", "number")[k,]["did"] for k in "ABC"] == [3, 5, 7]
+
+
+def test_titles_and_days(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.operators import listings as L
+
+    rows = [
+        ("Thông tư hướng dẫn hóa đơn", "x 89/2026/TT-BTC y", "89/2026/TT-BTC"), ("Thông tư 89/2026/TT-BTC", "Số 89/2026/TT-BTC Hướng dẫn thuế Ngày ban hành: 30/06/2026 Ngày có hiệu lực 01.07.2026", "89/2026/TT-BTC"),
+        ("", "12/2026/QH15 Ngày ban hành 31/02/2026", "12/2026/QH15"), ("", "trước 5/1/2026 12/2026/QH15", "12/2026/QH15"),
+    ]
+    df = spark.createDataFrame(rows, "a STRING, t STRING, n STRING")
+    got = df.select(L.listed_title(F.col("a"), F.col("t"), F.col("n")).alias("title"), L.listed_day(F.col("t"), L.ISSUED).alias("issued"), L.listed_day(F.col("t"), L.EFFECTIVE).alias("effective"), L.listed_day(F.col("t")).alias("first")).collect()
+    assert [r["title"] for r in got] == ["Thông tư hướng dẫn hóa đơn", "Hướng dẫn thuế", "Văn bản số 12/2026/QH15", "Văn bản số 12/2026/QH15"]
+    assert [(r["issued"], r["effective"], r["first"]) for r in got] == [(None, None, None), ("2026-06-30", "2026-07-01", "2026-06-30"), (None, None, None), (None, None, "2026-01-05")]
