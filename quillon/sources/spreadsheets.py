@@ -216,6 +216,8 @@ class _Writer(DataSourceWriter):
     def __init__(self, options: dict[str, str], names: list[str], overwrite: bool):
         self.path, self.names, self.overwrite, self.run = options["path"], names, overwrite, uuid.uuid4().hex
         self.full = int(options.get("sheetRows", FULL))
+        # made here once: a task that still runs when the others are aborted finds no folder to write to
+        file_system(self.path)[0].create_dir(self._staging(), recursive=True)
 
     def _staging(self) -> str:
         return f"{file_system(self.path)[1].rstrip('/')}/_writing-{self.run}"
@@ -224,7 +226,6 @@ class _Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         system, _ = file_system(self.path)
-        system.create_dir(self._staging(), recursive=True)
         context = TaskContext.get()
         name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{self.run[:8]}.xlsx"
         rows = 0
