@@ -65,7 +65,7 @@ def test_roles_of_blocks(spark):
 def test_layouts_of_sheets(spark):
     from quillon.plans import layout
 
-    got = {r["sheet"]: (r["header_start"], r["header_end"], r["data_start"]) for r in layout.sheet_layouts(spark, "").collect()}
+    got = {r["sheet"]: (r["header_start"], r["header_end"], r["data_start"]) for r in layout.cases(spark).collect()}
     assert got == {"report": (2, 2, 3), "grouped": (0, 1, 2)}
 
 

@@ -11,7 +11,7 @@ from quillon.sources import readers as S
 
 
 def test_layouts_of_golden_sheets(spark):
-    rows = {r["sheet"]: r for r in layout.sheet_layouts(spark, "").collect()}
+    rows = {r["sheet"]: r for r in layout.cases(spark).collect()}
     report, grouped = rows["report"], rows["grouped"]
     assert (report["header_start"], report["header_end"], report["data_start"]) == (2, 2, 3) and report["confidence"] == 1
     assert (grouped["header_start"], grouped["header_end"], grouped["data_start"]) == (0, 1, 2)
