@@ -186,22 +186,37 @@ def _matcher(pattern: str):
     return lambda s: s.rlike(pattern)
 
 
+#: Lines of certification, of scanners, of decoration, page numbers, and words of logos inside lines.
+STAMP, STAMP_DAY, STAMP_TIME = r"(?iu)^\s*SAO\s+Y\s*;", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b", r"\b\d{1,2}:\d{2}(?::\d{2})?\b"
+SIGNED_BY = r"(?iu)^(?:digitally signed by|signed by|ký bởi|người ký|thời gian ký)\s*:"
+SCANNED_BY, DECORATION = r"(?i)^(?:scanned by|scan by|camscanner|adobe scan|microsoft lens)\b", r"^[\s_─━—–\-=*·•.]{5,}$"
+EDGE_NUMBER = r"(?i)^(?:(?:trang|page)\s*)?\d{1,4}(?:\s*[/|]\s*\d{1,4})?\.?$"
+LOGO, WATERMARK = r"(?iu)(?:^|[\s(\[{:;,-])LOGO(?=$|[\s)\]}:;,.!?-])", r"(?iu)\bWATERMARK\b"
+
+
+def without_logos(line: Column) -> Column:
+    """A line without the words of logos and watermarks."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, LOGO.replace(r"(?:^|[\s(\[{:;,-])", " "), " "), LOGO, ""), WATERMARK, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, " {2,}", " "), r"\s+([,.;:!?])", "$1"))
+
+
 def artifact_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines of certification, scanners, decoration and edge page numbers dropped; counts and flags of what went."""
+    """Lines of certification, scanners, decoration and edge page numbers dropped, words of logos taken out; counts and flags of what went."""
     lines = F.transform(F.split(T.tidy(F.col(text)), "\n"), lambda x: F.trim(x))
     rows = docs.select(key, lines.alias("lines")).withColumn("n", F.size("lines")).select(key, "n", F.posexplode("lines").alias("at", "line"))
     line, edge = F.col("line"), (F.col("at") <= 2) | (F.col("at") >= F.col("n") - 3)
+    certified = (line.rlike(STAMP) & line.rlike(STAMP_DAY) & line.rlike(STAMP_TIME)) | line.rlike(SIGNED_BY)
     flag = (
-        F.when(line.rlike(r"(?i)^(?:digitally signed by|signed by)\s*:"), "certification_metadata")
-        .when(line.rlike(r"(?i)^(?:scanned by|scan by|camscanner|adobe scan|microsoft lens)\b"), "scanner_metadata")
-        .when(line.rlike(r"^[\s_─━—–\-=*·•.]{5,}$"), "decorative_lines")
-        .when(edge & line.rlike(r"(?i)^(?:(?:trang|page)\s*)?\d{1,4}(?:\s*[/|]\s*\d{1,4})?\.?$"), "page_numbers")
-    )
-    rows = rows.withColumn("flag", flag)
+        F.when(certified, "certification_metadata").when(line.rlike(SCANNED_BY), "scanner_metadata").when(line.rlike(DECORATION), "decorative_lines")
+        .when(edge & line.rlike(EDGE_NUMBER), "page_numbers")
+    )
+    rows = rows.withColumn("flag", flag).withColumn("tokens", F.when(F.col("flag").isNull(), F.regexp_count(line, F.lit(LOGO)) + F.regexp_count(line, F.lit(WATERMARK))).otherwise(0))
+    rows = rows.withColumn("left", F.when(F.col("flag").isNull(), without_logos(line)))
+    flags = F.array_sort(F.array_union(F.collect_set("flag"), F.when(F.sum("tokens") > 0, F.array(F.lit("logo_or_watermark"))).otherwise(F.array().cast("array<string>"))))
     return rows.groupBy(key).agg(
-        F.count("flag").alias("removed"), F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("flags"),
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("flag").isNull() & (line != ""), F.struct("at", "line")))), lambda p: p["line"]), "\n")).alias("kept_md5"),
-    )
+        F.count("flag").alias("removed"), F.sum("tokens").cast("long").alias("tokens"), F.array_join(flags, ",").alias("flags"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("left") != "", F.struct("at", "left")))), lambda p: p["left"]), "\n")).alias("kept_md5"),
+    )
 
 
 def validate_pages(pages: DataFrame, doc: str, page: str, text: str, score: str, least: int = 40, floor: float = 0.62) -> DataFrame:

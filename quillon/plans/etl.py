@@ -75,7 +75,11 @@ def category_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.artifact_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """All documents, among which some got a stamp, a signature's label, the words of a logo or a page number."""
+    k = F.col("doc_id")
+    head = F.when(k % 3 == 0, "SAO Y; Bộ Tài chính; 02/04/2026; 17:08:02; +07:00\n").when(k % 3 == 1, "Người ký: Nguyễn Văn A\n").otherwise("SAO Y; không có ngày giờ\n")
+    tail = F.when(k % 4 == 0, "\ncuối trang LOGO").when(k % 4 == 1, "\n(LOGO) cuối WATERMARK trang , hết").when(k % 4 == 2, F.concat(F.lit("\ntrang "), (1 + k % 99).cast("string"))).otherwise("\nLOGOS và logo-type")
+    return E.artifact_lines(table(spark, sf_dir, "documents").withColumn("text", F.concat(head, F.coalesce("text", F.lit("")), tail)), "doc_id", "text")
 
 
 def validated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +172,17 @@ b AS (SELECT doc_id, f, list_filter(regexp_split_to_array(f, '[.\\n]'), lambda s
 c AS (SELECT doc_id, list_filter([{', '.join(f"CASE WHEN regexp_matches(f, {_Q(p)}) THEN {_Q(n)} END" for n, p in CATEGORIES.items())}], lambda x: x IS NOT NULL) AS shown, list_filter([{', '.join(f"CASE WHEN len(list_filter(l, lambda s: regexp_matches(s, {_Q(p)}))) > 0 THEN {_Q(n)} END" for n, p in CATEGORIES.items())}], lambda x: x IS NOT NULL) AS held FROM b)
 SELECT doc_id, array_to_string(shown, ',') AS shown, array_to_string(list_filter(shown, lambda x: NOT list_contains(held, x)), ',') AS missing, CASE WHEN len(shown) = 0 THEN 1.0::DOUBLE ELSE round(len(list_filter(shown, lambda x: list_contains(held, x)))::DOUBLE / len(shown), 3) END AS score FROM c""",
     "cleaned_artifacts": f"""
-WITH a AS (SELECT doc_id, list_transform(string_split({D.tidy('text')}, chr(10)), lambda x: trim(x)) AS l FROM documents),
+WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'SAO Y; Bộ Tài chính; 02/04/2026; 17:08:02; +07:00' WHEN 1 THEN 'Người ký: Nguyễn Văn A' ELSE 'SAO Y; không có ngày giờ' END || chr(10) || coalesce(text, '')
+  || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'cuối trang LOGO' WHEN 1 THEN chr(10) || '(LOGO) cuối WATERMARK trang , hết' WHEN 2 THEN chr(10) || 'trang ' || (1 + doc_id % 99) ELSE chr(10) || 'LOGOS và logo-type' END AS text FROM documents),
+a AS (SELECT doc_id, list_transform(string_split({D.tidy('text')}, chr(10)), lambda x: trim(x)) AS l FROM t),
 b AS (SELECT doc_id, len(l) AS n, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM a),
-c AS (SELECT *, CASE WHEN regexp_matches(line, '^(?:digitally signed by|signed by)\\s*:', 'i') THEN 'certification_metadata' WHEN regexp_matches(line, '^(?:scanned by|scan by|camscanner|adobe scan|microsoft lens)\\b', 'i') THEN 'scanner_metadata'
-  WHEN regexp_matches(line, '^[\\s_─━—–\\-=*·•.]{{5,}}$') THEN 'decorative_lines' WHEN (pos <= 2 OR pos >= n - 3) AND regexp_matches(line, '^(?:(?:trang|page)\\s*)?\\d{{1,4}}(?:\\s*[/|]\\s*\\d{{1,4}})?\\.?$', 'i') THEN 'page_numbers' END AS flag FROM b)
-SELECT doc_id, count(flag) AS removed, coalesce(array_to_string(list_sort(list(DISTINCT flag) FILTER (WHERE flag IS NOT NULL)), ','), '') AS flags, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE flag IS NULL AND line <> ''), '')) AS kept_md5 FROM c GROUP BY doc_id""",
+c AS (SELECT *, CASE WHEN regexp_matches(line, {_Q(E.STAMP.replace('(?iu)', '(?i)'))}) AND regexp_matches(line, {_Q(E.STAMP_DAY)}) AND regexp_matches(line, {_Q(E.STAMP_TIME)}) OR regexp_matches(line, {_Q(E.SIGNED_BY.replace('(?iu)', '(?i)'))}) THEN 'certification_metadata'
+  WHEN regexp_matches(line, '^(?:scanned by|scan by|camscanner|adobe scan|microsoft lens)\\b', 'i') THEN 'scanner_metadata'
+  WHEN regexp_matches(line, '^[\\s_─━—–\\-=*·•.]{{5,}}$') THEN 'decorative_lines' WHEN (pos <= 2 OR pos >= n - 3) AND regexp_matches(line, '^(?:(?:trang|page)\\s*)?\\d{{1,4}}(?:\\s*[/|]\\s*\\d{{1,4}})?\\.?$', 'i') THEN 'page_numbers' END AS flag FROM b),
+d AS (SELECT *, CASE WHEN flag IS NULL THEN len(regexp_extract_all(line, '(?i)(?:^|[\\s(\\[{{:;,-])LOGO(?:$|[\\s)\\]}}:;,.!?-])')) + len(regexp_extract_all(line, '(?i)\\bWATERMARK\\b')) ELSE 0 END AS tokens,
+  CASE WHEN flag IS NULL THEN trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '(?i) LOGO($|[\\s)\\]}}:;,.!?-])', ' \\1', 'g'), '(?i)(?:^|[\\s(\\[{{:;,-])LOGO($|[\\s)\\]}}:;,.!?-])', '\\1', 'g'), '(?i)\\bWATERMARK\\b', '', 'g'), ' {{2,}}', ' ', 'g'), '\\s+([,.;:!?])', '\\1', 'g')) END AS rest FROM c)
+SELECT doc_id, count(flag) AS removed, CAST(sum(tokens) AS BIGINT) AS tokens, array_to_string(list_sort(list_concat(coalesce(list(DISTINCT flag) FILTER (WHERE flag IS NOT NULL), []), CASE WHEN sum(tokens) > 0 THEN ['logo_or_watermark'] ELSE [] END)), ',') AS flags,
+  md5(coalesce(string_agg(rest, chr(10) ORDER BY pos) FILTER (WHERE rest <> ''), '')) AS kept_md5 FROM d GROUP BY doc_id""",
     "validated_pages": """
 WITH a AS (SELECT conv_id, turn + 1 AS page, text, least(1.0::DOUBLE, length(text) / 400.0::DOUBLE) AS score FROM conversations),
 b AS (SELECT conv_id, max(page) AS total, coalesce(list(DISTINCT page) FILTER (WHERE length(trim(text)) >= 40), []) AS covered, min(score) AS lowest FROM a GROUP BY conv_id),

@@ -126,3 +126,16 @@ def test_ranges_across_spans(spark):
     numbers = [0, 1, 2, 3, 4, 7, 8, 9, 12, 15, 16, 17, -1, -2, -6]
     got = etl.ranges(spark.createDataFrame([("g", n) for n in numbers] + [("g", 3), ("g", None), (None, 5)], "g STRING, n INT"), "g", "n", 4).collect()
     assert sorted((r["first"], r["last"]) for r in got if r["g"]) == [(-6, -6), (-2, 4), (7, 9), (12, 12), (15, 17)] and [(r["first"], r["last"]) for r in got if r["g"] is None] == [(5, 5)]
+
+
+def test_artifacts(spark):
+    from quillon.operators import etl as E
+
+    text = "SAO Y; Bộ Khoa học và Công nghệ; 02/04/2026; 17:08:02; +07:00\n5. NỘI DUNG HÓA ĐƠN LOGO\nNội dung pháp lý cần giữ.\nlogo LOGO, (LOGO) và WATERMARK mờ\nthời gian ký: 5\nSAO Y; không ngày\nCamScanner\n-----\n21"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "Ghi chú:\n4 Lựa chọn một (01)\n☐ Trách nhiệm")], "id INT, text STRING")
+    got = {r["id"]: r for r in E.artifact_lines(df, "id", "text").collect()}
+    assert got[1]["removed"] == 5 and got[1]["tokens"] == 5 and got[1]["flags"] == "certification_metadata,decorative_lines,logo_or_watermark,page_numbers,scanner_metadata"
+    assert got[3]["removed"] == 0 and got[3]["tokens"] == 0 and got[3]["flags"] == ""
+    lines = ["5. NỘI DUNG HÓA ĐƠN LOGO", "logo LOGO, (LOGO) và WATERMARK mờ", "LOGO", "logotype", "a -LOGO b"]
+    cleaned = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "x STRING").select(E.without_logos(E.F.col("x"))).collect()]
+    assert cleaned == ["5. NỘI DUNG HÓA ĐƠN", ", ) và mờ", "", "logotype", "a b"]
