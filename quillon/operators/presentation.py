@@ -27,6 +27,7 @@ SIGNATURES = [rf"(?iu)(?<=\.\s{{0,9}}/\.\s{{0,9}})(?=(?:{DEPUTY})?(?:{OFFICES})\
 APPENDICES = [r"(?idmu)^(?=(?:PHỤ\s+LỤC|MẪU\s+SỐ|DANH\s+MỤC)\b)", r"(?iu)(?<=\s)(?=PHỤ\s+LỤC\s*\(\s*Kèm\s+theo\b)"]
 #: Fixed value: words that a heading doesn't have.
 SENTENCE = r"(?iu)[.;:]$|\b(?:là|được|quy định|bao gồm|thực hiện|có trách nhiệm|áp dụng|phải|không được)\b"
+CONTINUED = "Nội dung tiếp theo · Trang "
 SIGNED, APPENDED, OPENING = "Phần ký và nơi nhận", "Phụ lục", "Phần mở đầu"
 
 
@@ -85,6 +86,18 @@ def parts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col("key").alias(key), F.inline(F.filter(every, lambda p: (p["text"] != "") | (p["kind"] == "article"))))
 
 
+def main_provisions(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+    """``parts`` of documents that are given as pages, with ``first_page``: their pages are joined in order; what stands before the first article is a preamble only
+    if the first page is there, else it goes on from pages that aren't."""
+    piece = F.struct(F.col(page).alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = pages.groupBy(doc).agg(F.min(page).alias("first_page"), F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), "\n").alias("whole"))
+    found = parts(whole, doc, "whole").withColumnRenamed(doc, "of").join(whole.select(doc, "first_page"), F.col("of").eqNullSafe(F.col(doc)))
+    later = (F.col("kind") == "preamble") & (F.col("first_page") > 1)
+    title = F.concat(F.lit(CONTINUED), F.col("first_page").cast("string"))
+    return found.select(
+        doc, F.when(later, "continuation").otherwise(F.col("kind")).alias("kind"), F.when(later, title).otherwise(F.col("identifier")).alias("identifier"), "heading", "text", "order_index", "first_page")
+
+
 # preambles
 
 #: Lines of every document, types of documents and what their numbers say, authorities in their order.

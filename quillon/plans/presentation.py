@@ -37,6 +37,20 @@ def presented_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", "order_index", "kind", "identifier", "heading", F.md5("text").alias("text_md5"))
 
 
+#: Lines of a page, and the first page of every third document.
+LINES, LATER = 5, 7
+
+
+def provisions_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of all documents out of pages of five lines; every third document lacks its first pages."""
+    texts = articles_of(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    first = F.when(F.col("doc_id") % 3 == 0, LATER).otherwise(1)
+    pages = texts.withColumn("page", (F.floor(F.col("at") / LINES) + first).cast("int")).groupBy("doc_id", "page")
+    pages = pages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    found = P.main_provisions(pages, "doc_id", "page", "text")
+    return found.select("doc_id", "first_page", "order_index", "kind", "identifier", "heading", F.md5("text").alias("text_md5"))
+
+
 def preambles_of(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: a preamble for each document, whose fields stand in lines or run together, and whose type may be missing."""
     k = F.col("doc_id")
@@ -56,7 +70,7 @@ def preamble_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "authority", "number", "dateline", "type", F.md5("title").alias("title_md5"), F.array_join("grounds", "|").alias("grounds"))
 
 
-QUERIES = {f.__name__: f for f in (presented_parts, preamble_fields)}
+QUERIES = {f.__name__: f for f in (presented_parts, provisions_of_pages, preamble_fields)}
 
 _Q = D.quote
 _PLAIN = D.squeeze("regexp_replace(lower(x), '[*#_]', ' ', 'g')")
@@ -80,3 +94,7 @@ SELECT doc_id, {_OF(2)} AS authority, 'Số: ' || (1 + doc_id % 900) || '/2026/'
   md5(l[1]) AS title_md5, 'Căn cứ Luật số ' || doc_id || ';' || CASE WHEN doc_id % 2 = 0 THEN '|Theo đề nghị của Bộ trưởng;' ELSE '' END AS grounds
 FROM d WHERE len(l) >= 1""",
 }
+ORACLE["provisions_of_pages"] = f"""
+WITH p AS ({ORACLE['presented_parts']})
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {LATER} ELSE 1 END AS first_page, order_index, CASE WHEN kind = 'preamble' AND doc_id % 3 = 0 THEN 'continuation' ELSE kind END AS kind,
+  CASE WHEN kind = 'preamble' AND doc_id % 3 = 0 THEN '{P.CONTINUED}{LATER}' ELSE identifier END AS identifier, heading, text_md5 FROM p"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import formulas as X
 from quillon.operators import sheets as S
+from quillon.operators import speech as A
 from quillon.plans.retrieval import table
 from quillon.sources.shared import shared_folder
 from quillon.sources.spreadsheets import Workbooks
@@ -65,7 +66,34 @@ def imported_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("book", "row", "new_sheet", X.moved(F.col("formula"), F.lit(2)).alias("formula"))
 
 
-QUERIES = {f.__name__: f for f in (merged_sheets, exported_orders, imported_formulas)}
+#: The header of a table of orders that is read aloud.
+READ = ["STT", "Nội dung", "Đạt", "Không đạt"]
+
+
+def _read_rows(orders: DataFrame) -> DataFrame:
+    """``doc, n, cells``: a header, a row of column numbers and each customer's orders."""
+    rows = orders.where("o_custkey IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    done = F.col("o_orderstatus") == "F"
+    boxes = [F.when(done, "☑").otherwise("□"), F.when(done, "□").otherwise(F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("☑"))]
+    data = rows.select(F.col("o_custkey").alias("doc"), "n", "o_orderkey", F.array(F.col("n").cast("string"), F.concat(F.lit("đơn hàng "), F.col("o_orderkey").cast("string")), *boxes).alias("cells"))
+    top = [(-1, READ), (0, [f"({n})" for n in range(1, 5)])]
+    heads = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(None).cast("bigint").alias("o_orderkey"), F.array(*map(F.lit, cells)).alias("cells")) for n, cells in top])
+    return data.unionByName(rows.select(F.col("o_custkey").alias("doc")).distinct().select("doc", F.inline(heads)))
+
+
+def spoken_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said for each order's row, for listening and for checking."""
+    rows = _read_rows(table(spark, sf_dir, "orders")).where("n > 0")
+    header = F.array(*map(F.lit, READ))
+    return rows.select("o_orderkey", A.told_row(header, F.col("cells")).alias("told"), A.checked_row(header, F.col("cells")).alias("checked"))
+
+
+def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows head each customer's table."""
+    return A.header_counts(_read_rows(table(spark, sf_dir, "orders")), "doc", "n", "cells")
+
+
+QUERIES = {f.__name__: f for f in (merged_sheets, exported_orders, imported_formulas, spoken_rows, header_rows)}
 
 ORACLE = {
     "merged_sheets": """
@@ -73,6 +101,11 @@ SELECT CAST(o_custkey AS VARCHAR) AS sheet, 1 AS header_start, 2 AS header_end,
   'Đơn hàng · Số đơn|Đơn hàng · Ngày lập|Giá trị · Tổng tiền|Giá trị · Ghi chú' AS headers, 'Khách hàng ' || o_custkey AS preamble
 FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey""",
     "exported_orders": "SELECT * FROM orders",
+    "header_rows": "SELECT DISTINCT o_custkey AS doc, 2 AS header_rows FROM orders WHERE o_custkey IS NOT NULL",
+    "spoken_rows": """
+SELECT o_orderkey, 'Mục ' || n || '. đơn hàng ' || o_orderkey || CASE WHEN o_orderstatus = 'F' THEN '. Đã chọn Đạt' WHEN o_orderkey % 3 <> 0 THEN '. Đã chọn Không đạt' ELSE '' END || '.' AS told,
+  'STT: ' || n || '. Nội dung: đơn hàng ' || o_orderkey || '. Đạt: ' || CASE WHEN o_orderstatus = 'F' THEN 'đã' ELSE 'chưa' END || ' đánh dấu. Không đạt: ' || CASE WHEN o_orderstatus = 'F' THEN 'chưa đánh dấu' WHEN o_orderkey % 3 = 0 THEN 'để trống' ELSE 'đã đánh dấu' END || '.' AS checked
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey IS NOT NULL)""",
     "imported_formulas": """
 SELECT o_custkey AS book, o_orderkey AS row, CASE o_orderkey % 5 WHEN 0 THEN 'Sheet1 (2)' WHEN 1 THEN 'Dữ liệu (2)' WHEN 2 THEN 'sheet1 (2) (2)' WHEN 3 THEN 'It''s' ELSE repeat('x', 31) END AS new_sheet,
   'SUM(''Sheet1 (2)''!A' || (o_orderkey + 2) || ':$B$2)+''Dữ liệu (2)''!C$1*''It''''s''!D' || (o_orderkey + 2) || '+LOG10(E' || (o_orderkey + 2) || ')&"Sheet1!A1 ""F' || o_orderkey || repeat(chr(34), 3) || '&x!G3' AS formula

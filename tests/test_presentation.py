@@ -60,3 +60,12 @@ def test_preambles(spark):
 def test_blocks_are_in_order(spark):
     rows = P.preamble_blocks(spark.createDataFrame([(1, PREAMBLES[1])], "id INT, text STRING"), "id", "text").orderBy("place").collect()
     assert [r["kind"] for r in rows] == [*[f"preamble-{k}" for k in ("authority", "nation", "motto", "number", "dateline", "type", "title")], "paragraph", "paragraph", "paragraph"]
+
+
+def test_pages_of_the_middle_have_no_preamble(spark):
+    pages = spark.createDataFrame([(1, 8, "tiếp.\nĐiều 5. Năm\nsau"), (1, 7, "của điều trước\nĐiều 4. Bốn\nnội dung"), (2, 1, "BỘ TÀI CHÍNH\nĐiều 1. Một\nx"), (3, 2, None), (4, 3, "không có điều")], "d INT, p INT, t STRING")
+    got = {(r["d"], r["order_index"]): (r["kind"], r["identifier"], r["text"]) for r in P.main_provisions(pages, "d", "p", "t").collect()}
+    assert got == {
+        (1, 0): ("continuation", "Nội dung tiếp theo · Trang 7", "của điều trước"), (1, 100): ("article", "Điều 4", "nội dung\ntiếp."), (1, 200): ("article", "Điều 5", "sau"),
+        (2, 0): ("preamble", "Phần mở đầu", "BỘ TÀI CHÍNH"), (2, 100): ("article", "Điều 1", "x"), (4, 0): ("other", None, "không có điều"),
+    }
