@@ -9,6 +9,7 @@ from quillon.functions import duck as D
 from quillon.functions import text as T
 from quillon.operators import presentation as P
 from quillon.plans.retrieval import table
+from quillon.sources.shared import shared_folder
 
 SIGNATURE, RECEIVERS, APPENDIX = "KT. BỘ TRƯỞNG\nTHỨ TRƯỞNG", "Nơi nhận:\n- Như trên", "PHỤ LỤC I\nBiểu mẫu"
 #: Types, number suffixes and authorities of preambles, by the document's id.
@@ -51,6 +52,20 @@ def provisions_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "first_page", "order_index", "kind", "identifier", "heading", F.md5("text").alias("text_md5"))
 
 
+def reader_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees of all documents, each line of which is an article with a table and a paragraph."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.once(_lines(F.col("text"))).alias("l")).where("size(l) >= 1")
+
+    def article(x: Column, i: Column) -> Column:
+        n, cell = (i + 1).cast("string"), F.regexp_replace(x, r"\|", " ")
+        return F.concat(F.lit("Điều "), n, F.lit(". Tên của điều "), n, F.lit("\n| STT | Nội dung | Ghi chú |\n| 1 | "), cell, F.lit(" | có |\n| 2 | không | |\nđoạn văn "), n, F.lit(" kết thúc."))
+
+    texts = docs.select("doc_id", F.array_join(F.transform("l", article), "\n").alias("text"))
+    items = P.reader_items(texts, "doc_id", "text", shared_folder(spark, "reader"))
+    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n")
+    return items.select("doc_id", "order_index", "identifier", "heading", "place", "kind", F.md5(F.coalesce(cells, F.col("text"))).alias("said_md5"))
+
+
 def preambles_of(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: a preamble for each document, whose fields stand in lines or run together, and whose type may be missing."""
     k = F.col("doc_id")
@@ -70,7 +85,7 @@ def preamble_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "authority", "number", "dateline", "type", F.md5("title").alias("title_md5"), F.array_join("grounds", "|").alias("grounds"))
 
 
-QUERIES = {f.__name__: f for f in (presented_parts, provisions_of_pages, preamble_fields)}
+QUERIES = {f.__name__: f for f in (presented_parts, provisions_of_pages, reader_items, preamble_fields)}
 
 _Q = D.quote
 _PLAIN = D.squeeze("regexp_replace(lower(x), '[*#_]', ' ', 'g')")
@@ -98,3 +113,9 @@ ORACLE["provisions_of_pages"] = f"""
 WITH p AS ({ORACLE['presented_parts']})
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {LATER} ELSE 1 END AS first_page, order_index, CASE WHEN kind = 'preamble' AND doc_id % 3 = 0 THEN 'continuation' ELSE kind END AS kind,
   CASE WHEN kind = 'preamble' AND doc_id % 3 = 0 THEN '{P.CONTINUED}{LATER}' ELSE identifier END AS identifier, heading, text_md5 FROM p"""
+ORACLE["reader_items"] = f"""
+WITH d AS (SELECT doc_id, {_L} AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM d),
+c AS (SELECT doc_id, n, {D.squeeze("replace(x, '|', ' ')")} AS cell FROM e)
+SELECT doc_id, CAST(n * 100 AS INTEGER) AS order_index, 'Điều ' || n AS identifier, 'Tên của điều ' || n AS heading, p AS place, CASE p WHEN 1 THEN 'table' ELSE 'paragraph' END AS kind,
+  md5(CASE p WHEN 1 THEN 'STT|Nội dung|Ghi chú' || chr(10) || '1|' || cell || '|có' || chr(10) || '2|không|' ELSE 'đoạn văn ' || n || ' kết thúc.' END) AS said_md5
+FROM c, (SELECT unnest([1, 2])::INTEGER AS p)"""
