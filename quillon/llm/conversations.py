@@ -160,7 +160,8 @@ def _count(faults: Column, kind: str) -> Column:
 def _collected(turns: DataFrame) -> DataFrame:
     """One row for each conversation of bounded length: one shuffle by conversation, then windows, the collected turns and their fold."""
     whole = Window.partitionBy("conv", "alive").orderBy(*_order())
-    same = Window.partitionBy("conv", "alive", "role", "text").orderBy(*_order())
+    # by place, so that of equal rows the same one is the first in both windows
+    same = Window.partitionBy("conv", "alive", "role", "text").orderBy("at")
     marked = turns.repartition("conv").withColumn("at", F.row_number().over(whole)).withColumn("nth", F.row_number().over(same))
     marked = marked.withColumns(_marks(F.col("role"), F.col("text"), F.col("nth") > 1))
     odd = ~F.concat(F.lag("initial").over(whole), F.col("initial")).isin(*PAIRS)
@@ -274,3 +275,60 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     none = apart.groupBy("conv").agg(F.max("alive").alias("any")).where("NOT any").select("conv")
     rest = after.join(long, named, "left_anti").unionByName(apart.join(none.withColumnRenamed("conv", "none"), F.col("conv").eqNullSafe(F.col("none")), "left_semi"))
     return _collected(rest).unionByName(_in_blocks(apart))
+
+
+def _best(*edits: str) -> str:
+    return f"list_min([{', '.join(edits)}])"
+
+
+def _plus(state: str, cost: str | int, letter: str) -> str:
+    return f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || {letter}}}"
+
+
+#: DuckDB's form of ``repair`` over conversations: CRC-32 by its polynomial, a recursion over turns that carries the four (cost, audit) structs, and lines out of the audit.
+REPAIR_SQL = f"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), coded AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ord(c)::BIGINT)),
+    lambda x, b: list_reduce(list_prepend(xor(x, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::BIGINT) % 20 AS code FROM src
+), turns AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE code WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM coded WHERE code <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, left(role, 1) AS initial FROM turns)
+), marked AS (
+  SELECT *, CASE WHEN core = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial NOT IN ('su', 'ua', 'au') AS odd FROM ordered
+), convs AS (
+  SELECT DISTINCT conv_id FROM conversations
+), counts AS (
+  SELECT c.conv_id, count(m.n) AS total, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE odd) AS illegal FROM convs c LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS n, {{'cost': 0::BIGINT, 'audit': ''}} AS e, {{'cost': {NEVER}::BIGINT, 'audit': ''}} AS s, {{'cost': {NEVER}::BIGINT, 'audit': ''}} AS u, {{'cost': {NEVER}::BIGINT, 'audit': ''}} AS a FROM convs
+  UNION ALL
+  SELECT conv_id, n, {_plus('e', DELETE, "'D'")}, CASE WHEN must OR initial <> 's' THEN {_plus('s', DELETE, "'D'")} ELSE {_best(_plus('s', DELETE, "'D'"), _plus('e', 'late', "'K'"))} END,
+    CASE WHEN must THEN {_plus('u1', DELETE, "'D'")} ELSE {_best(_plus('u1', DELETE, "'D'"), *[_plus(b, f"CASE initial WHEN 'u' THEN 0 ELSE {REROLE} END + late", "CASE initial WHEN 'u' THEN 'K' ELSE 'R' END") for b in ('e', 's', 'a1')])} END,
+    CASE WHEN must THEN {_plus('a1', DELETE, "'D'")} ELSE {_best(_plus('a1', DELETE, "'D'"), _plus('u1', f"CASE initial WHEN 'a' THEN 0 ELSE {REROLE} END + late", "CASE initial WHEN 'a' THEN 'K' ELSE 'R' END"))} END
+  FROM (SELECT *, {_best('a', _plus('u1', INSERT, "'I'"))} AS a1 FROM (
+    SELECT w.conv_id, m.n, w.e, w.s, w.a, {_best('w.u', *[_plus(f'w.{b}', INSERT, "'I'") for b in 'esa'])} AS u1, m.initial, coalesce(m.fault IN ('blank', 'duplicate'), false) AS must, CASE m.fault WHEN 'truncated' THEN {TRUNCATED} ELSE 0 END AS late
+    FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.n = w.n + 1))
+), ends AS (
+  SELECT c.*, {_best('e', 'a', *[_plus(_plus(f'w.{b}', INSERT, "'I'").join(('(', ')')), INSERT, "'I'") for b in 's'], _plus('w.u', INSERT, "'I'"))} AS best
+  FROM counts c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.n = c.total
+), letters AS (
+  SELECT conv_id, unnest(string_split(best.audit, '')) AS letter, generate_subscripts(string_split(best.audit, ''), 1) AS p, best.audit AS audit FROM ends WHERE best.audit <> ''
+), placed AS (
+  SELECT *, length(replace(left(audit, p), 'I', '')) AS row_, length(replace(left(audit, p), 'D', '')) AS place FROM letters
+), joined AS (
+  SELECT p.*, m.role, m.text, m.initial, coalesce(bool_or(p.place = 1 AND p.letter = 'K' AND m.initial = 's') OVER (PARTITION BY p.conv_id), false) AS system
+  FROM placed p LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.n = p.row_ AND p.letter <> 'I' WHERE p.letter <> 'D'
+), lines AS (
+  SELECT conv_id, string_agg(CASE letter WHEN 'K' THEN role || ':' || text ELSE CASE WHEN (place - CASE WHEN system THEN 1 ELSE 0 END) % 2 = 1 THEN 'user:' ELSE 'assistant:' END || CASE letter WHEN 'R' THEN text ELSE '' END END, chr(10) ORDER BY p) AS body
+  FROM joined GROUP BY conv_id
+)
+SELECT e.conv_id, gaps, blank, duplicate, truncated, illegal, best.cost AS cost, best.audit AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ends e LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

@@ -93,4 +93,4 @@ def op13_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_multi_index_hashing, op2_extendible_sharding, op3_systematic_mixing, op4_html_main_text, op5_warc_round_trip, op6_minhash_bayes, op7_licence_scan, op8_byte_bpe, op9_weak_supervision, op10_toxicity_grammar, op11_source_divergence, op12_conversation_repair, op13_first_fit_packing)}
-ORACLE = {"op1_multi_index_hashing": hamming.TOP_K_SQL, "op2_extendible_sharding": sharding.shards_sql(SHARD_BYTES), "op3_systematic_mixing": mixing.PLAN_SQL, "op5_warc_round_trip": warc.ROUND_TRIP_SQL, "op6_minhash_bayes": neardup.components_sql(NEAR), "op11_source_divergence": divergence.AUDIT_SQL}
+ORACLE = {"op1_multi_index_hashing": hamming.TOP_K_SQL, "op2_extendible_sharding": sharding.shards_sql(SHARD_BYTES), "op3_systematic_mixing": mixing.PLAN_SQL, "op5_warc_round_trip": warc.ROUND_TRIP_SQL, "op6_minhash_bayes": neardup.components_sql(NEAR), "op11_source_divergence": divergence.AUDIT_SQL, "op12_conversation_repair": conversations.REPAIR_SQL}

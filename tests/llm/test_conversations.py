@@ -166,3 +166,14 @@ def test_query_on_whole_tables(spark, sf):
     assert got.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
     assert got_of(got) == expected([tuple(r) for r in table.collect()])
     assert got.where(F.col("audit").contains("K")).count() > 0
+
+
+def test_sql_equals_shortest_paths(spark, tmp_path):
+    import duckdb
+
+    rows = [r for r in odd_rows(9, 120, 8) if r[2] != ""]
+    spark.createDataFrame(rows, SHAPE).drop("alive", "best").write.parquet(f"{tmp_path}/c")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    got = {r[0]: r[1:] for r in duck.execute(conversations.REPAIR_SQL).fetchall()}
+    assert got == expected(rows)
