@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import duck as D
 from quillon.functions import text as T
 from quillon.operators import etl as E
-from quillon.plans.fixtures import derived, derived_values, frame, values
+from quillon.plans.fixtures import derived, derived_values
 from quillon.plans.retrieval import table
 
 _Q = D.quote

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import duck as D
 from quillon.operators import guards as G
 from quillon.operators import retrieval as R
-from quillon.plans.fixtures import derived, derived_values, frame, values
+from quillon.plans.fixtures import derived, derived_values
 from quillon.plans.retrieval import _PLANS, table
 
 _Q = D.quote

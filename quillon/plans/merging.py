@@ -10,7 +10,7 @@ from quillon.functions import text as T
 from quillon.operators import merging as M
 from quillon.operators import policies as P
 from quillon.operators import retrieval as R
-from quillon.plans.fixtures import derived, derived_values, frame, values
+from quillon.plans.fixtures import derived, derived_values, frame
 from quillon.plans.policies import ORACLE as POLICIES
 from quillon.plans.retrieval import ORACLE as KNOWN
 from quillon.plans.retrieval import table
