@@ -43,7 +43,9 @@ def build(docs: DataFrame, path: str, key: str = "cid", body: str = "body", stop
     each = documents.select("cid", "flags", F.explode("tokens").alias("token"))
     # at most rows / heavy tokens: small against the postings, and left to Spark's own size check
     spread = each.groupBy("token").count().where(F.col("count") > heavy).select("token", F.ceil(F.col("count") / heavy).alias("parts"))
-    each = each.join(spread, "token", "left").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
+    # without a frequent token there is nothing to join
+    each = each.withColumn("parts", F.lit(None).cast("long")) if spread.isEmpty() else each.join(spread, "token", "left")
+    each = each.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
     each = each.withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("cid"), F.col("parts"))).otherwise(0).cast("int"))
     dealt = each.repartition("bucket", "part").sortWithinPartitions("bucket", "token", "cid").select("token", "cid", "flags", "part", "bucket")
     return Index(documents, written(dealt, f"{path}/postings", "bucket"))
