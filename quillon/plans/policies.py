@@ -50,9 +50,10 @@ def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def disqualified_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = frame(spark, "queries").select("qid", T.normalise_plain(F.col("query")).alias("q"))
-    held = derived(spark, sf_dir, "candidates").select("cid", T.normalise_plain(F.concat_ws(" ", "title", "snippet")).alias("c"))
-    return held.crossJoin(F.broadcast(asked)).select("qid", "cid", P.disqualified(F.col("q"), F.col("c")).alias("out"))
+    asked = frame(spark, "queries").select("qid", T.once(T.normalise_plain(F.col("query"))).alias("q")).select("qid", T.once(P.asked_of(F.col("q"))).alias("asked"))
+    held = derived(spark, sf_dir, "candidates")
+    held = held.select("cid", T.once(T.normalise_plain(F.concat_ws(" ", "title", "snippet"))).alias("c")).select("cid", T.once(P.held_by(F.col("c"))).alias("held"))
+    return held.crossJoin(F.broadcast(asked)).select("qid", "cid", P.unfit(F.col("asked"), F.col("held")).alias("out"))
 
 
 def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
