@@ -19,9 +19,11 @@ from quillon.plans.retrieval import table
 def relevant_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query's sources, merged by URL after disqualification."""
     asked, held = frame(spark, "queries"), derived(spark, sf_dir, "candidates").withColumn("body", F.concat_ws(" ", "document_number", "title", "snippet"))
-    pairs = R.source_relevance(asked, held).join(held, "cid").join(asked, "qid")
-    out = P.disqualified(T.normalise_plain(F.col("query")), T.normalise_plain(F.col("body")))
-    return M.merge_relevant(pairs, ["qid", "url"], out, F.round("relevance", 6), "cid").select("qid", "url", "cid", F.round("score", 6).alias("score"))
+    # each text is read once, not for each pair, and none is shuffled
+    told = held.select("cid", "url", "score", T.once(T.normalise_plain(F.col("body"))).alias("body")).select("cid", "url", "score", T.once(P.held_by(F.col("body"))).alias("held"))
+    questions = asked.select("qid", T.once(T.normalise_plain(F.col("query"))).alias("q")).select("qid", T.once(P.asked_of(F.col("q"))).alias("asked"))
+    pairs = R.source_relevance(asked, held).join(told, "cid").join(questions, "qid")
+    return M.merge_relevant(pairs, ["qid", "url"], P.unfit(F.col("asked"), F.col("held")), F.round("relevance", 6), "cid").select("qid", "url", "cid", F.round("score", 6).alias("score"))
 
 
 def first_by_issuer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,3 +28,20 @@ def test_phrases_are_words(spark):
     rows = spark.createDataFrame([("thue suat",), ("muc thue nao",), ("xthue suat",), ("thue suatx",), ("",), (None,), ("muc thuex muc thue",)], "t STRING")
     assert [tuple(r) for r in rows.select(T.says(F.col("t"), pattern), F.col("t").rlike(pattern)).collect()] == [(x, x) for x in (True, True, False, False, False, None, True)]
     assert "contains" in rows.select(T.says(F.col("t"), pattern))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_relevance_reads_no_text_for_a_pair(spark, sf_dir):
+    for query in (merging.relevant_sources, retrieval.source_relevance):
+        found = above_joins(query(spark, sf_dir))
+        assert "join " in found and "rlike" not in found and "regexp" not in found and "split" not in found
+    for query in (retrieval.lexical_relevance,):
+        assert "rlike(c#" not in above_joins(query(spark, sf_dir)).replace(" rlike", "rlike")
+
+
+def test_relevance_of_many_queries_equals_that_of_few(spark, monkeypatch):
+    asked = spark.createDataFrame([(1, "Thuế suất hoàn thuế bao nhiêu?"), (2, "Công ty nộp thuế thế nào"), (3, "")], "qid INT, query STRING")
+    held = spark.createDataFrame([(1, "thuế suất hoàn thuế"), (2, "hộ kinh doanh nộp thuế"), (3, ""), (4, None)], "cid INT, body STRING")
+    rows = lambda f: sorted(map(str, f(asked, held).collect()))
+    few = [rows(f) for f in (R.source_relevance, R.lexical_relevance)]
+    monkeypatch.setattr(R, "BLOCK", 1)
+    assert [rows(f) for f in (R.source_relevance, R.lexical_relevance)] == few and all(few)
