@@ -45,3 +45,13 @@ def test_relevance_of_many_queries_equals_that_of_few(spark, monkeypatch):
     few = [rows(f) for f in (R.source_relevance, R.lexical_relevance)]
     monkeypatch.setattr(R, "BLOCK", 1)
     assert [rows(f) for f in (R.source_relevance, R.lexical_relevance)] == few and all(few)
+
+
+def test_texts_are_compacted_once(spark, sf_dir):
+    found = above_joins(retrieval.update_relations(spark, sf_dir))
+    assert "join " in found and "translate" not in found
+    texts = ["86/2024/NĐ-CP", "thay thế 8 6 / 2 0 2 4 /\n n đ - c p", "86/2024", "8 7/2024", "86/1/2024/NĐ-CP", "８６/2024/NĐ-CP", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = rows.select(R.may_name(F.col("t"), ["86/2024/NĐ-CP", "1/2020/X"]), F.contains(R.compacted(F.col("t")), F.lit("86/2024/nd-cp")), R.relation_kind(F.lit("86/2024/NĐ-CP"), F.col("t"))).collect()
+    assert [r[0] for r in got] == [True, True, False, False, False, False, False, None] and [r[1] for r in got] == [True, True, False, False, False, False, False, None]
+    assert [r[2] for r in got] == [None, "replacement", *[None] * 6]
