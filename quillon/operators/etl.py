@@ -251,11 +251,16 @@ EXCLUDED = """phu hieu|cap hieu|trang phuc|bien hieu|chuc nang nhiem vu|chuc nan
 
 def classify_notifications(rows: DataFrame) -> DataFrame:
     """Exclusions before title signals before two distinct content signals; and whether the document is fresh or backfilled."""
-    title, body = T.normalise_plain(F.col("title"), "a-z0-9"), T.normalise_plain(F.coalesce("body", F.lit("")), "a-z0-9")
+    # titles and bodies are normalised once, not for each signal, and bodies only where they decide
+    rows = rows.select("*", T.once(T.normalise_plain(F.col("title"), "a-z0-9")).alias("_title"))
+    title, body = F.col("_title"), T.normalise_plain(F.coalesce("body", F.lit("")), "a-z0-9")
     found = lambda text, signals: F.filter(F.array(*map(F.lit, signals)), lambda s: F.contains(text, s))
-    out, named, inside = F.size(found(title, EXCLUDED)), F.size(found(title, TITLE_SIGNALS)), F.size(found(body, CONTENT_SIGNALS))
+    out, named = F.size(found(title, EXCLUDED)), F.size(found(title, TITLE_SIGNALS))
     legal = F.concat_ws(" ", T.normalise_plain(F.coalesce("kind", F.lit("")), "a-z0-9"), title).rlike("luat|nghi dinh|thong tu|nghi quyet|quyet dinh|van ban")
-    reason = F.when(out > 0, "excluded_topic").when((named > 0) | title.rlike(r"(?:^|\s)thue(?:\s|$)"), "tax_title").when(legal & (inside >= 2), "tax_content").otherwise("insufficient_tax_evidence")
+    by_title = F.when(out > 0, "excluded_topic").when((named > 0) | title.rlike(r"(?:^|\s)thue(?:\s|$)"), "tax_title")
+    rows = rows.select("*", T.once(by_title).alias("_by_title"))
+    rows = rows.select("*", T.once(F.when(F.col("_by_title").isNull() & legal, body)).alias("_body"))
+    reason = F.coalesce("_by_title", F.when(F.size(found(F.col("_body"), CONTENT_SIGNALS)) >= 2, "tax_content"), F.lit("insufficient_tax_evidence"))
     age = F.unix_timestamp(F.try_to_timestamp("published")) - F.unix_timestamp(F.try_to_timestamp(F.concat("issued", F.lit("T00:00:00Z"))))
     fresh = F.when(age <= 3 * 86_400, "fresh_document").otherwise("backfilled_full_text")
-    return rows.withColumn("reason", reason).withColumn("eligible", F.col("reason").isin("tax_title", "tax_content")).withColumn("freshness", fresh)
+    return rows.withColumn("reason", reason).withColumn("eligible", F.col("reason").isin("tax_title", "tax_content")).withColumn("freshness", fresh).drop("_title", "_by_title", "_body")

@@ -4,8 +4,12 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import policies as P
+from quillon.operators import publishing, state
 from quillon.operators import retrieval as R
-from quillon.plans import merging, policies, retrieval
+from quillon.operators.etl import classify_notifications as classify
+from quillon.plans import etl, listings, merging, policies, retrieval
+from quillon.plans import publishing as plans
+from quillon.plans import state as state_plans
 
 
 def above_joins(df):
@@ -55,3 +59,42 @@ def test_texts_are_compacted_once(spark, sf_dir):
     got = rows.select(R.may_name(F.col("t"), ["86/2024/NĐ-CP", "1/2020/X"]), F.contains(R.compacted(F.col("t")), F.lit("86/2024/nd-cp")), R.relation_kind(F.lit("86/2024/NĐ-CP"), F.col("t"))).collect()
     assert [r[0] for r in got] == [True, True, False, False, False, False, False, None] and [r[1] for r in got] == [True, True, False, False, False, False, False, None]
     assert [r[2] for r in got] == [None, "replacement", *[None] * 6]
+
+
+def test_long_texts_are_checked_by_their_folded_prefixes(spark):
+    texts = ["Điều Σ" * 9_000, "é" * 20_000 + " 89/2026", "á" * 25_000 + "89 / 2026", "x" * 12_001, "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", T.fold(F.left("t", F.lit(30_000))).alias("whole"))
+    for n in (12_000, 20_000):
+        got = rows.select(publishing.folded_prefix(F.col("t"), F.col("whole"), n).alias("a"), T.fold(F.left("t", F.lit(n))).alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got]
+
+
+def test_texts_are_checked_before_they_are_joined(spark, sf_dir):
+    found = above_joins(plans.validated_texts(spark, sf_dir))
+    assert "join " in found and "translate" not in found and "regexp" not in found
+    plan = plans.usable_drafts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("translate(") <= 4
+
+
+def test_due_counts_equal_the_pairs(spark, sf_dir):
+    notices = spark.createDataFrame([(1, 1, 5.0), (2, 1, 0.0), (3, 2, 9.0), (4, None, 9.0), (5, 1, None), (6, 1, 5.0), (6, 1, 7.0)], "notice INT, topic INT, published DOUBLE")
+    readers = spark.createDataFrame([(1, 1, 5.0), (2, 1, 4.0), (3, 1, 6.0), (4, 2, 9.5), (5, None, 1.0), (6, 1, None), (7, 1, 5.0)], "subscriber INT, topic INT, subscribed DOUBLE")
+    none = spark.createDataFrame([], "notice INT, subscriber INT")
+    pairs = state.pending_deliveries(notices, readers, none).groupBy("notice").agg(F.count(F.lit(1)).alias("due"))
+    rows = lambda df: sorted((r["notice"], r["due"]) for r in df.collect())
+    assert rows(state.due_counts(notices, readers)) == rows(pairs) == [(1, 3), (6, 7)]
+    assert "join" not in state_plans.deliveries(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_texts_are_measured_before_they_are_grouped(spark, sf_dir):
+    lines = listings.best_by_method(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower().split("\n")
+    assert "aggregate" in lines[0] and "text" not in lines[0] and "text" not in lines[1]
+
+
+def test_titles_and_bodies_are_normalised_once(spark, sf_dir):
+    for query in (plans.notify_window, etl.notification_classes):
+        plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert not [line for line in plan.split("\n") if "filter(" in line and "lambdafunction(contains(trim" in line]
+    rows = [("r1", "Biên chế thuế", "x"), ("r2", "Thuế", None), ("r3", "Nghị định", "hóa đơn; cơ quan thuế; nghĩa vụ thuế"), ("r4", None, None)]
+    docs = spark.createDataFrame([(*r, None, None, "bad") for r in rows], "revision STRING, title STRING, body STRING, kind STRING, issued STRING, published STRING")
+    assert [r["reason"] for r in classify(docs).orderBy("revision").collect()][1:2] == ["tax_title"]
