@@ -41,7 +41,8 @@ def gazette_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document the text by the best method, then the longest, then the first."""
     order = F.struct(L.method_rank(F.col("method")), -F.length("text"), F.col("did"))
-    return derived(spark, sf_dir, "method_texts").groupBy("number").agg(F.min_by("did", order).alias("did"))
+    rows = derived(spark, sf_dir, "method_texts").select("number", "did", T.once(order).alias("order"))  # else texts are sorted before they are aggregated
+    return rows.groupBy("number").agg(F.min_by("did", "order").alias("did"))
 
 
 def legal_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
