@@ -61,21 +61,42 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def portal_shell(text: Column, least: int = 4) -> Column:
-    """Whether the opening of a text holds at least ``least`` of nine signals of a portal's frame."""
+def shell_opening(text: Column) -> Column:
+    """The folded opening that ``portal_shell`` looks for phrases in."""
+    return T.squeeze(T.fold(F.left(text, F.lit(12_000))))
+
+
+#: What a prefix of a folded text can't be taken with: dropped marks move places, and a capital sigma's small letter hangs on what follows.
+MOVES = "[\u0300-\u036fΣ]"
+
+
+def folded_prefix(text: Column, folded: Column, n: int) -> Column:
+    """``fold`` of the first ``n`` characters, from the folded text where that is the same."""
+    return F.when(text.rlike(MOVES), T.fold(F.left(text, F.lit(n)))).otherwise(F.left(folded, F.lit(n)))
+
+
+def portal_shell(text: Column, folded: Column | None = None, least: int = 4) -> Column:
+    """Whether the opening of a text holds at least ``least`` of nine signals of a portal's frame. ``folded`` is its ``shell_opening``, if it was made once for all phrases."""
     opening = F.left(text, F.lit(12_000))
-    folded = T.squeeze(T.fold(opening))
+    folded = shell_opening(text) if folded is None else folded
     signals = [opening.rlike(p) for p in SHELL_WORDS] + [folded.contains(p) for p in SHELL_PHRASES]
     return sum((s.cast("int") for s in signals), F.lit(0)) >= least
 
 
-def usable_text(text: Column, expected: Column) -> Column:
+def usable_text(text: Column, expected: Column, folded: Column | None = None) -> Column:
     """A gate before a text is used: long enough, no shell, its number in the opening, and structure or length with a type word."""
     text = F.coalesce(text, F.lit(""))
-    opening = T.number_key(F.left(text, F.lit(20_000)))
     wanted = T.number_key(F.coalesce(expected, F.lit("")))
     structured = (count(text, GATE_MARKS) >= 2) | ((F.length(text) >= 5_000) & text.rlike(GATE_TYPES))
-    return (F.length(text) >= 800) & ~portal_shell(text) & ((wanted == "") | opening.contains(wanted)) & structured
+    named = (wanted == "") | T.number_key(F.left(text, F.lit(20_000))).contains(wanted)
+    return (F.length(text) >= 800) & structured & ~portal_shell(text, folded) & named
+
+
+def usable_texts(docs: DataFrame, key: str, text: Column, expected: str) -> DataFrame:
+    """``key, usable`` of each text, which is made once, as is its folded opening."""
+    rows = docs.select(key, expected, T.once(text).alias("text"))
+    rows = rows.select("*", T.once(F.when(F.length("text") >= 800, shell_opening(F.col("text")))).alias("folded"))
+    return rows.select(key, usable_text(F.col("text"), F.col(expected), F.col("folded")).alias("usable"))
 
 
 def date_signals(issued: Column) -> Column:
@@ -91,34 +112,42 @@ def validate_texts(docs: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     """All checks of a text before publication, as codes in a fixed order; a document without warnings is ready.
 
     ``docs`` has ``key, text, expected, issued, method, quality, total_pages``; ``pages`` has ``key, page, text, score, similarity``.
-    Pages are aggregated by document before they are joined, so one join and one shuffle of pages do.
+    Pages are aggregated by document before they are joined, and texts are checked before, so one join and one shuffle of pages do, and no text is shuffled.
     """
     total = F.greatest(F.lit(0), F.coalesce("total_pages", F.lit(0)))
     of = pages.groupBy(F.col(key).alias("of")).agg(
         F.collect_set(F.when(F.length(strip(F.col("text"))) >= 40, F.col("page"))).alias("good"), F.min(F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0))).alias("lowest"),
         F.max((F.col("similarity") > 0) & (F.col("similarity") < 0.72)).alias("apart"))
-    rows = docs.join(of, F.col(key) == F.col("of"), "left").select(key, "expected", "issued", "method", "quality", "good", "lowest", "apart", total.alias("total"), T.once(strip(F.coalesce("text", F.lit("")))).alias("text"))
-    text = F.col("text")
-    head = F.left(text, F.lit(20_000))
-    rows = rows.select("*", T.once(T.squeeze(T.fold(head))).alias("head"), T.number_key(F.left(text, F.lit(30_000))).alias("opening"), T.number_key(F.coalesce("expected", F.lit(""))).alias("wanted"), date_signals(F.col("issued")).alias("dates"),
-                       count(text, LEGAL_MARKS).alias("marks"), count(text, UNREADABLE).alias("unreadable"), F.regexp_extract_all(text, F.lit(ARTICLE_NUMBER), F.lit(1)).cast("array<int>").alias("numbers"),
-                       F.size(F.filter(F.coalesce("good", F.array().cast("array<int>")), lambda p: p.between(1, F.col("total")))).alias("covered"))
-    dated = F.exists("dates", lambda d: F.contains(F.col("head"), d))
+    text, small = F.col("text"), [key, "method", "quality", "total"]
+    rows = docs.select(key, "method", "quality", total.alias("total"), T.number_key(F.coalesce("expected", F.lit(""))).alias("wanted"), date_signals(F.col("issued")).alias("dates"), T.once(strip(F.coalesce("text", F.lit("")))).alias("text"))
+    rows = rows.select("*", T.once(T.fold(F.left(text, F.lit(30_000)))).alias("whole"))
+    whole = F.col("whole")
+    # what several checks need of a text is made once, and only where they need it
+    made = F.struct(
+        F.when(F.size("dates") > 0, T.squeeze(folded_prefix(text, whole, 20_000))).alias("head"), F.when(F.col("wanted") != "", T.unspaced(whole)).alias("opening"), T.squeeze(folded_prefix(text, whole, 12_000)).alias("folded"),
+        count(text, LEGAL_MARKS).alias("marks"), F.when(F.contains(text, F.lit("[")), count(text, UNREADABLE)).otherwise(0).alias("unreadable"), F.regexp_extract_all(text, F.lit(ARTICLE_NUMBER), F.lit(1)).cast("array<int>").alias("numbers"))
+    rows = rows.select(*small, "wanted", "dates", "text", T.once(made).alias("made")).select(*small, "wanted", "dates", "text", "made.*")
+    of_text = F.struct(
+        F.length(text).alias("n_chars"), "marks", "unreadable", portal_shell(text, F.col("folded")).alias("shell"), ((F.col("wanted") != "") & ~F.contains("opening", F.col("wanted"))).alias("number"),
+        ((F.size("dates") > 0) & ~F.exists("dates", lambda d: F.contains(F.col("head"), d))).alias("date"), ((F.col("marks") < 2) & ~((F.length(text) >= 5_000) & text.rlike(LEGAL_TYPES))).alias("structure"),
+        (F.array_sort("numbers") != F.col("numbers")).alias("order"))
+    rows = rows.select(*small, T.once(of_text).alias("found")).select(*small, "found.*").join(of, F.col(key) == F.col("of"), "left")
+    rows = rows.withColumn("covered", F.size(F.filter(F.coalesce("good", F.array().cast("array<int>")), lambda p: p.between(1, F.col("total")))))
     checks = {
-        "short": F.length(text) < 800,
-        "shell": portal_shell(text),
-        "number": (F.col("wanted") != "") & ~F.contains("opening", F.col("wanted")),
-        "date": (F.size("dates") > 0) & ~dated,
-        "structure": (F.col("marks") < 2) & ~((F.length(text) >= 5_000) & text.rlike(LEGAL_TYPES)),
+        "short": F.col("n_chars") < 800,
+        "shell": F.col("shell"),
+        "number": F.col("number"),
+        "date": F.col("date"),
+        "structure": F.col("structure"),
         "quality": F.col("quality") < F.when(F.col("method") == "ocr", 0.68).otherwise(0.54),
         "pages": F.col("covered") < F.col("total"),
         "page_score": F.col("lowest") < 0.62,
         "unreadable": F.col("unreadable") > F.greatest(F.lit(2), F.ceil(F.greatest(F.lit(1), F.col("total")) * 0.15)),
         "disagreement": F.col("apart"),
-        "order": F.array_sort("numbers") != F.col("numbers"),
+        "order": F.col("order"),
     }
     rows = rows.withColumn("warnings", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items()))))
-    return rows.select(key, F.array_join("warnings", ",").alias("warnings"), F.when(F.size("warnings") == 0, "ready").otherwise("needs_review").alias("status"), F.length(text).alias("n_chars"), "marks", "covered", "lowest")
+    return rows.select(key, F.array_join("warnings", ",").alias("warnings"), F.when(F.size("warnings") == 0, "ready").otherwise("needs_review").alias("status"), "n_chars", "marks", "covered", "lowest")
 
 
 #: Lines that open a block, and lines that are a marker alone.

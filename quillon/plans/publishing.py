@@ -34,7 +34,7 @@ def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usable_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drafts(spark, sf_dir).select("case_id", P.usable_text(P.strip(F.col("text")), F.col("expected")).alias("usable"))
+    return P.usable_texts(_drafts(spark, sf_dir), "case_id", P.strip(F.col("text")), "expected")
 
 
 def validated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
