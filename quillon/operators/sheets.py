@@ -23,20 +23,47 @@ BAND = 64
 SAMPLE, CONTINUED = 36, 0.6
 
 
+def _firsts(entries: Column) -> Column:
+    """Of sorted entries the first one of each column."""
+    return F.filter(entries, lambda x, i: (i == 0) | (F.get(entries, i - 1)["col"] != x["col"]))
+
+
+def shown_rows(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """``sheet, row, cells``: each row with a filled cell, once, with what ``merged_values`` says of its cells in the order of their columns.
+
+    Cells are shuffled once, by their row; what lies under rectangles is put into the row's array.
+    """
+    lines = cells.where(F.trim("value") != "").groupBy("sheet", "row").agg(F.sort_array(F.collect_list(F.struct("col", F.col("value").alias("own")))).alias("all"))
+    lines = lines.select("sheet", "row", _firsts(F.col("all")).alias("own"))
+    boxes = merges.where("r2 >= r1 AND c2 >= c1").select("sheet", "r1", "c1", "r2", "c2")
+    top = F.get(F.filter("own", lambda x: x["col"] == F.col("c1")), F.lit(0))["own"]
+    tops = boxes.join(lines.select("sheet", F.col("row").alias("r1"), "own"), ["sheet", "r1"], "left").select("sheet", "r1", "r2", F.struct("r1", "c1", "c2", top.alias("top")).alias("box"))
+    # rectangles of one row stand in it; rows of taller ones are met by bands
+    flat = tops.where("r1 = r2").select("sheet", F.col("r1").alias("row"), "box")
+    banded = tops.where("r2 > r1").withColumn("band", F.explode(F.sequence(F.floor(F.col("r1") / BAND), F.floor(F.col("r2") / BAND))))
+    tall = lines.select("sheet", "row", F.floor(F.col("row") / BAND).alias("band")).join(banded, ["sheet", "band"]).where("row BETWEEN r1 AND r2").select("sheet", "row", "box")
+    under = flat.unionByName(tall).groupBy("sheet", "row").agg(F.collect_list("box").alias("boxes"))
+    spot = lambda b: F.transform(F.sequence(b["c1"], b["c2"]), lambda c: F.struct(c.alias("col"), b["r1"].alias("r1"), b["c1"].alias("c1"), b["top"].alias("top")))
+    rows = lines.join(under, ["sheet", "row"], "left").withColumn("spots", F.sort_array(F.flatten(F.transform("boxes", spot))))
+    none = F.lit(None).cast(dict(merges.dtypes)["r1"])
+    covered = F.transform(_firsts(F.col("spots")), lambda s: F.struct(s["col"].alias("col"), F.lit(0).alias("kind"), s["top"].alias("text"), s["r1"].alias("r1"), s["c1"].alias("c1")))
+    owned = F.transform("own", lambda x: F.struct(x["col"].alias("col"), F.lit(1).alias("kind"), x["own"].alias("text"), none.alias("r1"), none.alias("c1")))
+    rows = rows.withColumn("both", F.when(F.col("boxes").isNotNull(), F.sort_array(F.concat(covered, owned))).otherwise(owned))
+    # a covered cell stands before its own value
+    near = lambda i: F.get("both", i)
+    kept = F.filter(
+        F.transform("both", lambda x, i: F.struct(
+            x["col"].alias("col"), x["text"].alias("value"), F.when(x["kind"] == 1, x["text"]).when(near(i + 1)["col"] == x["col"], near(i + 1)["text"]).alias("own"),
+            ((x["kind"] == 0) & ((x["r1"] != F.col("row")) | (x["c1"] != x["col"]))).alias("inner"), ((x["kind"] == 0) | (i == 0) | (near(i - 1)["col"] != x["col"])).alias("kept"))),
+        lambda x: x["kept"],
+    )
+    return rows.select("sheet", "row", kept.alias("cells"))
+
+
 def merged_values(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """``sheet, row, col, value, own, inner``: every cell and every cell under a rectangle within the rows that ``cells`` reach, with the value that it shows;
     ``own`` is its own value, ``inner`` tells whether it continues a rectangle."""
-    filled = cells.where(F.trim("value") != "").groupBy("sheet", "row", "col").agg(F.min("value").alias("own"))
-    boxes = merges.where("r2 >= r1 AND c2 >= c1").select("sheet", "r1", "c1", "r2", "c2")
-    tops = boxes.join(filled.select("sheet", F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("own").alias("top")), ["sheet", "r1", "c1"], "left")
-    # columns of a rectangle are few; its rows are met by bands
-    lines = filled.select("sheet", "row").distinct().withColumn("band", F.floor(F.col("row") / BAND))
-    banded = tops.withColumn("band", F.explode(F.sequence(F.floor(F.col("r1") / BAND), F.floor(F.col("r2") / BAND))))
-    under = lines.join(banded, ["sheet", "band"]).where("row BETWEEN r1 AND r2").select("sheet", "row", F.explode(F.sequence("c1", "c2")).alias("col"), "r1", "c1", "top")
-    first = under.groupBy("sheet", "row", "col").agg(F.min(F.struct("r1", "c1", "top")).alias("box"))
-    both = filled.join(first, ["sheet", "row", "col"], "full")
-    inner = F.coalesce((F.col("box.r1") != F.col("row")) | (F.col("box.c1") != F.col("col")), F.lit(False))
-    return both.select("sheet", "row", "col", F.when(F.col("box").isNotNull(), F.col("box.top")).otherwise(F.col("own")).alias("value"), "own", inner.alias("inner"))
+    return shown_rows(cells, merges).select("sheet", "row", F.explode("cells").alias("c")).select("sheet", "row", "c.col", "c.value", "c.own", "c.inner")
 
 
 def column_name(col: Column) -> Column:
@@ -47,40 +74,42 @@ def column_name(col: Column) -> Column:
 
 
 def analysis(cells: DataFrame, merges: DataFrame, folder: str | None = None) -> DataFrame:
-    """One row for each sheet: ``header_start, header_end, data_start, data_end, columns, headers, preamble``. What the cells show is written to ``folder`` once, if there is one."""
-    shown = merged_values(cells, merges)
+    """One row for each sheet: ``header_start, header_end, data_start, data_end, columns, headers, preamble``. What the rows show and the sheets' layouts are written to ``folder`` once, if there is one."""
+    shown = shown_rows(cells, merges)
     if folder is not None:
         shown = written(shown, f"{folder}/shown")
-    own = shown.where(F.trim("value") != "")
-    layouts = L.sheet_layouts(own.select("sheet", "row", "col", "value"), B.value_kind(F.col("value"))).drop("confidence")
-    rows = shown.withColumn("sheet", F.col("sheet").cast("string")).join(layouts, "sheet")
-    last = F.max(F.when(F.trim("value") != "", F.col("row"))).over(Window.partitionBy("sheet"))
-    rows = rows.withColumn("last", last)
+    shown = shown.withColumn("sheet", F.col("sheet").cast("string"))
+    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    lasts = shown.where(F.exists("cells", lambda c: filled(c["value"]))).groupBy("sheet").agg(F.max("row").alias("last"))
+    layouts = L.row_layouts(shown, lambda c: B.value_kind(c["value"])).drop("confidence").join(lasts, "sheet")
+    if folder is not None:
+        layouts = written(layouts, f"{folder}/layouts")
+    rows = shown.select("sheet", "row", F.explode("cells").alias("c")).select("sheet", "row", "c.*").join(layouts, "sheet")
     # columns: those that continue rectangles in most of the first data rows carry nothing of their own
-    sampled = F.col("row").between(F.col("data_start"), F.least(F.col("last"), F.col("data_start") + SAMPLE - 1))
-    heads = F.col("row").between(F.col("header_start"), F.col("header_end"))
-    filled = F.trim(F.coalesce("value", F.lit(""))) != ""
+    end = F.least(F.col("last"), F.col("data_start") + SAMPLE - 1)
+    sampled = F.col("row").between(F.col("data_start"), end)
+    heads, shows, owns = F.col("row").between(F.col("header_start"), F.col("header_end")), filled(F.col("value")), filled(F.col("own"))
     columns = rows.groupBy("sheet", "col").agg(
-        F.sum((sampled & F.col("inner")).cast("int")).alias("continued"), F.max((heads & filled) | (sampled & (F.trim(F.coalesce("own", F.lit(""))) != ""))).alias("used"),
-        F.max(F.least(F.col("last"), F.col("data_start") + SAMPLE - 1) - F.col("data_start") + 1).alias("n"),
+        F.sum((sampled & F.col("inner")).cast("int")).alias("continued"), F.max((heads & shows) | (sampled & owns)).alias("used"), F.max(end - F.col("data_start") + 1).alias("n"),
+        F.max(F.when((F.col("row") >= F.col("data_start")) & owns, F.col("row"))).alias("end"),
     )
-    columns = columns.where(F.col("used") & ~((F.col("n") > 0) & (F.col("continued") / F.col("n") >= CONTINUED))).select("sheet", "col")
-    kept = rows.join(columns, ["sheet", "col"])
-    # headers: the distinct texts of a column's header rows, from above; names that come again are numbered
-    texts = kept.where(heads & filled).select("sheet", "col", "row", F.trim("value").alias("text"), T.header_key(F.col("value")).alias("name"))
-    first = F.row_number().over(Window.partitionBy("sheet", "col", "name").orderBy("row"))
-    parts = texts.withColumn("nth", first).where("nth = 1").groupBy("sheet", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]).alias("parts"))
-    named = columns.join(parts, ["sheet", "col"], "left").withColumn("raw", F.when(F.size("parts") > 0, F.array_join("parts", " · ")).otherwise(column_name(F.col("col"))))
-    named = named.withColumn("key", F.when(T.header_key(F.col("raw")) == "", F.concat(F.lit("column-"), F.col("col").cast("string"))).otherwise(T.header_key(F.col("raw"))))
+    columns = columns.where(F.col("used") & ~((F.col("n") > 0) & (F.col("continued") / F.col("n") >= CONTINUED))).select("sheet", "col", "end")
+    # headers: the distinct texts of a column's header rows, from above; names that come again are numbered. Titles: what stands above. Both lie within the scanned rows
+    top = rows.where((F.col("row") < L.SCAN) & (F.col("row") <= F.col("header_end")) & shows)
+    text = F.struct("row", F.trim("value").alias("text"), F.when(heads, T.header_key(F.col("value"))).alias("name"))
+    top = top.groupBy("sheet", "col").agg(F.sort_array(F.collect_list(F.when(heads, text))).alias("heads"), F.collect_list(F.when(F.col("row") < F.col("header_start"), F.struct("row", "col", F.trim("value").alias("text")))).alias("above"))
+    named = columns.join(top, ["sheet", "col"], "left")
+    names = F.transform("heads", lambda x: x["name"])
+    parts = F.transform(F.filter("heads", lambda x, i: F.array_position(names, x["name"]) == i + 1), lambda x: x["text"])
+    named = named.withColumn("raw", F.when(F.size("heads") > 0, F.array_join(parts, " · ")).otherwise(column_name(F.col("col"))))
+    named = named.withColumn("key", T.once(T.header_key(F.col("raw")))).withColumn("key", F.when(F.col("key") == "", F.concat(F.lit("column-"), F.col("col").cast("string"))).otherwise(F.col("key")))
     again = F.row_number().over(Window.partitionBy("sheet", "key").orderBy("col"))
     named = named.withColumn("header", F.when(again == 1, F.col("raw")).otherwise(F.concat("raw", F.lit(" ("), again.cast("string"), F.lit(")"))))
-    listed = named.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("col", "header"))).alias("named"))
+    listed = named.groupBy("sheet").agg(F.sort_array(F.collect_list(F.struct("col", "header"))).alias("named"), F.sort_array(F.flatten(F.collect_list("above"))).alias("above"), F.max("end").alias("data_end"))
     # titles above the header: the distinct texts of each row
-    above = kept.where((F.col("row") < F.col("header_start")) & filled).groupBy("sheet", "row").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("col", F.trim("value").alias("text")))), lambda x: x["text"])).alias("texts"))
-    above = above.groupBy("sheet").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", F.array_join("texts", " · ").alias("text")))), lambda x: x["text"]).alias("preamble"))
-    ends = kept.where((F.col("row") >= F.col("data_start")) & (F.trim(F.coalesce("own", F.lit(""))) != "")).groupBy("sheet").agg(F.max("row").alias("data_end"))
-    out = layouts.join(listed, "sheet").join(above, "sheet", "left").join(ends, "sheet", "left")
-    return out.select(
+    of_row = lambda r: F.array_distinct(F.transform(F.filter("above", lambda x: x["row"] == r), lambda x: x["text"]))
+    preamble = F.transform(F.array_distinct(F.transform("above", lambda x: x["row"])), lambda r: F.array_join(of_row(r), " · "))
+    return layouts.join(listed, "sheet").select(
         "sheet", "header_start", "header_end", "data_start", F.coalesce("data_end", F.col("data_start") - 1).cast("int").alias("data_end"), F.transform("named", lambda x: x["col"]).alias("columns"),
-        F.transform("named", lambda x: x["header"]).alias("headers"), F.coalesce("preamble", F.array().cast("array<string>")).alias("preamble"),
+        F.transform("named", lambda x: x["header"]).alias("headers"), preamble.alias("preamble"),
     )

@@ -27,8 +27,7 @@ def cases(spark: SparkSession) -> DataFrame:
 def sheet_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where header and data lie in each customer's sheet of orders, under whose merged titles and headers cells are empty."""
     cells, merges = order_sheets(table(spark, sf_dir, "orders"))
-    shown = S.merged_values(cells, merges).where("value IS NOT NULL").select("sheet", "row", "col", "value")
-    return L.sheet_layouts(shown, B.value_kind(F.col("value"))).drop("confidence")
+    return L.row_layouts(S.shown_rows(cells, merges), lambda c: B.value_kind(c["value"])).drop("confidence")
 
 
 def evidence_points(spark: SparkSession, sf_dir: str) -> DataFrame:

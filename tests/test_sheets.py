@@ -44,3 +44,15 @@ def test_column_names(spark):
     want = ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "AAB", "XFD"]
     got = spark.createDataFrame([(n,) for n in (0, 25, 26, 51, 52, 701, 702, 703, 16383)], "n INT").select(S.column_name(S.F.col("n")).alias("c")).collect()
     assert [r["c"] for r in got] == want
+
+
+def test_layouts_are_found_once(spark, tmp_path):
+    rows = [["STT", "Tên", "Ngày"], *[[str(n), f"An {n}", "01/02/2026"] for n in range(6)]]
+    cells = spark.createDataFrame([("s", r, c, v) for r, row in enumerate(rows) for c, v in enumerate(row)] + [("s", 1, 1, "An 9")], CELLS)
+    merges = spark.createDataFrame([("s", 2, 1, 2, 2)], MERGES)
+    found = S.analysis(cells, merges, f"file://{tmp_path}")
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("window [") == 1
+    assert found.collect() == S.analysis(cells, merges).collect()
+    shown = S.merged_values(cells, merges).where("value IS NOT NULL")
+    kind = lambda c: S.B.value_kind(c)
+    assert S.L.sheet_layouts(shown, kind(S.F.col("value"))).collect() == S.L.row_layouts(S.shown_rows(cells, merges), lambda c: kind(c["value"])).collect()
