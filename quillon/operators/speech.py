@@ -42,9 +42,8 @@ def _padded(headers: Column, cells: Column) -> Column:
 def checked_row(headers: Column, cells: Column) -> Column:
     """Every cell behind its header, empty ones too, for checking."""
     def one(c: Column) -> Column:
-        state = box_state(c["cell"])
-        alone = (state != "") & (F.trim(F.regexp_replace(c["cell"], BOX, "")) == "")
-        return F.concat(c["header"], F.lit(": "), F.when(c["cell"] == "", EMPTY).when(alone, state).otherwise(said(c["cell"])))
+        alone = lambda state: (state != "") & (F.trim(F.regexp_replace(c["cell"], BOX, "")) == "")
+        return F.concat(c["header"], F.lit(": "), F.when(c["cell"] == "", EMPTY).otherwise(let(box_state(c["cell"]), lambda state: F.when(alone(state), state).otherwise(said(c["cell"])))))
 
     return F.concat(F.array_join(F.transform(_padded(headers, cells), one), ". "), F.lit("."))
 
@@ -53,15 +52,23 @@ def told_row(headers: Column, cells: Column) -> Column:
     """What a row says: its number, its content, what is ticked, and the rest; empty cells and open boxes aren't read."""
     def row(cols: Column) -> Column:
         find = lambda p: F.get(F.filter(cols, lambda c: c["header"].rlike(p)), F.lit(0))["at"]
-        index, named = find(INDEX), find(CONTENT)
-        other = F.filter(cols, lambda c: ~F.coalesce(c["at"] == index, F.lit(False)) & (box_state(c["cell"]) == ""))
-        content = F.when(named.isNotNull(), said(F.get(F.transform(F.filter(cols, lambda c: c["at"] == named), lambda c: c["cell"]), F.lit(0)))).otherwise(said(F.get(F.transform(other, lambda c: c["cell"]), F.lit(0))))
-        number = F.when(index.isNotNull(), said(F.get(F.transform(F.filter(cols, lambda c: c["at"] == index), lambda c: c["cell"]), F.lit(0)))).otherwise("")
-        ticked = F.transform(F.filter(cols, lambda c: box_state(c["cell"]) == IS_TICKED), lambda c: c["header"])
+        marked = F.transform(cols, lambda c: F.struct(c["header"].alias("header"), c["cell"].alias("cell"), c["at"].alias("at"), box_state(c["cell"]).alias("state")))
+        return let(F.struct(find(INDEX).alias("index"), find(CONTENT).alias("named"), marked.alias("cols")), told)
+
+    def told(r: Column) -> Column:
+        cols, index, named = r["cols"], r["index"], r["named"]
+        cell = lambda at: F.get(cols, at)["cell"]
+        other = F.filter(cols, lambda c: ~F.coalesce(c["at"] == index, F.lit(False)) & (c["state"] == ""))
+        content = said(F.when(named.isNotNull(), cell(named)).otherwise(F.get(other, F.lit(0))["cell"]))
+        number = F.when(index.isNotNull(), said(cell(index))).otherwise("")
+        ticked = F.transform(F.filter(cols, lambda c: c["state"] == IS_TICKED), lambda c: c["header"])
         rest = F.filter(F.transform(F.filter(other, lambda c: (c["cell"] != "") & ~F.coalesce(c["at"] == named, F.lit(False))), lambda c: said(c["cell"])), lambda x: x != "")
+        return let(F.struct(number.alias("number"), content.alias("content"), ticked.alias("ticked"), rest.alias("rest")), spoken)
+
+    def spoken(r: Column) -> Column:
         parts = F.array_compact(F.array(
-            F.when(number != "", F.concat(F.lit("Mục "), number)), F.when(content != "", content), F.when(F.size(ticked) > 0, F.concat(F.lit("Đã chọn "), F.array_join(ticked, ", "))), F.when(F.size(rest) > 0, F.array_join(rest, ". "))))
-        return F.when(F.size(parts) > 0, F.concat(F.array_join(parts, ". "), F.lit("."))).otherwise("")
+            F.when(r["number"] != "", F.concat(F.lit("Mục "), r["number"])), F.when(r["content"] != "", r["content"]), F.when(F.size(r["ticked"]) > 0, F.concat(F.lit("Đã chọn "), F.array_join(r["ticked"], ", "))), F.when(F.size(r["rest"]) > 0, F.array_join(r["rest"], ". "))))
+        return let(parts, lambda p: F.when(F.size(p) > 0, F.concat(F.array_join(p, ". "), F.lit("."))).otherwise(""))
 
     return let(_padded(headers, cells), row)
 

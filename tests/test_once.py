@@ -98,3 +98,14 @@ def test_titles_and_bodies_are_normalised_once(spark, sf_dir):
     rows = [("r1", "Biên chế thuế", "x"), ("r2", "Thuế", None), ("r3", "Nghị định", "hóa đơn; cơ quan thuế; nghĩa vụ thuế"), ("r4", None, None)]
     docs = spark.createDataFrame([(*r, None, None, "bad") for r in rows], "revision STRING, title STRING, body STRING, kind STRING, issued STRING, published STRING")
     assert [r["reason"] for r in classify(docs).orderBy("revision").collect()][1:2] == ["tax_title"]
+
+
+def test_rows_are_told_with_few_searches(spark):
+    from quillon.operators import speech as A
+
+    header = F.array(*map(F.lit, ["STT", "Nội dung", "Đạt", "Khác"]))
+    rows = spark.createDataFrame([(1, ["1", "đơn , a", "☑", "x"]), (2, ["", None, "□", ""]), (3, []), (4, ["2", "b", "", "", "thừa"])], "id INT, cells ARRAY<STRING>")
+    told = rows.select(A.told_row(header, F.col("cells")).alias("t"))
+    assert [r["t"] for r in told.collect()] == ["Mục 1. đơn, a. Đã chọn Đạt. x.", "", "", "Mục 2. b. thừa."]
+    # what is said of number, content and rest: three chains of rules, not one for each place that reads them
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("ô đã đánh dấu") == 3
