@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.functions.segments import _let as let
 from quillon.operators.pairs import with_queries
-from quillon.operators.etl import jaccard, token_set
+from quillon.operators.etl import token_set
 
 #: Terms of questions whose answers need a second source.
 HIGH_RISK = r"\b(?:dieu kien|ap dung|hien hanh|con hieu luc|het hieu luc|mien|khong chiu|khong phai nop|bao nhieu|muc phat|thoi han|han nop|thue suat|nguong)\b"
@@ -63,8 +64,13 @@ def greedy_distinct(items: Column, similar: float, cap: int | None = None) -> Co
     pairs = F.transform(items, lambda x: F.struct(x.alias("item"), token_set(x, 3).alias("tokens")))
     start = F.filter(pairs, lambda x: F.lit(False))
 
+    def like(a: Column, b: Column) -> Column:
+        """``jaccard`` of two sets above ``similar``; sizes alone rule most pairs out, and the size of a union follows from that of what is shared."""
+        n, m, shared = F.size(a), F.size(b), F.size(F.array_intersect(a, b))
+        return F.when((n == 0) & (m == 0), F.lit(1.0 > similar)).when(F.least(n, m) / F.greatest(n, m) <= similar, False).otherwise(let(shared, lambda x: x / (n + m - x) > similar))
+
     def step(kept: Column, now: Column) -> Column:
-        drop = F.exists(kept, lambda k: jaccard(k["tokens"], now["tokens"]) > similar)
+        drop = F.exists(kept, lambda k: like(k["tokens"], now["tokens"]))
         if cap is not None:
             drop = drop | (F.size(kept) >= cap)
         return F.when(drop, kept).otherwise(F.concat(kept, F.array(now)))

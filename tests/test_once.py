@@ -109,3 +109,12 @@ def test_rows_are_told_with_few_searches(spark):
     assert [r["t"] for r in told.collect()] == ["Mục 1. đơn, a. Đã chọn Đạt. x.", "", "", "Mục 2. b. thừa."]
     # what is said of number, content and rest: three chains of rules, not one for each place that reads them
     assert told._jdf.queryExecution().optimizedPlan().toString().count("ô đã đánh dấu") == 3
+
+
+def test_unlike_sizes_need_no_comparison(spark):
+    from quillon.operators import selection as C
+
+    lines = spark.createDataFrame([(["một hai ba bốn", "một hai ba bốn năm", "một", "x", "y z", "MỘT hai ba bon", "một hai sáu bảy"],), ([],)], "l ARRAY<STRING>")
+    kept = lines.select(C.greedy_distinct(F.col("l"), 0.72).alias("k"))
+    assert [r["k"] for r in kept.collect()] == [["một hai ba bốn", "một", "x", "một hai sáu bảy"], []]
+    assert "array_union" not in kept._jdf.queryExecution().optimizedPlan().toString().lower()
