@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.functions.segments import _let as let
 from quillon.functions.session import sound_unions
 from quillon.sources.shared import written
 
@@ -243,14 +242,18 @@ def _paragraphs(units: DataFrame) -> DataFrame:
 def build_blocks(docs: DataFrame, key: str, text: str, folder: str | None = None) -> DataFrame:
     """``key, place, kind, text, mark, value, level, checked, rows, header_rows, columns, first_column``: the blocks of each text, ``place`` from 1 in their order.
 
-    Tables, forms, single lines and paragraphs come from the same lines, which are written to ``folder`` once if there is one, and found anew for each otherwise.
+    Tables, forms, single lines and paragraphs come from the same lines, which are written to ``folder`` once, with the tables, if there is one, and found anew for each otherwise.
     """
     sound_unions(docs.sparkSession)
-    lines = _regions(lines_of(docs, key, text))
+    # a line's kind is found once, while lines are written; exploding it keeps the filter behind it from finding it again
+    kind = F.when(F.col("run").isNull() & F.col("form").isNull(), line_kind(F.col("line")))
+    lines = _regions(lines_of(docs, key, text)).withColumn("k", T.once(kind))
     if folder is not None:
         lines = written(lines, f"{folder}/lines")
-    tables = _tables(lines.where("run IS NOT NULL")).unionByName(_forms(lines.where("form IS NOT NULL")))
-    single = lines.where("run IS NULL AND form IS NULL").select("key", "at", let(line_kind(F.col("line")), lambda k: k).alias("k")).where("k IS NOT NULL").select("key", "at", "k.*")
+    tables = _tables(lines.where("run IS NOT NULL").drop("k")).unionByName(_forms(lines.where("form IS NOT NULL").drop("k")))
+    if folder is not None:
+        tables = written(tables, f"{folder}/tables")
+    single = lines.where("run IS NULL AND form IS NULL AND k IS NOT NULL").select("key", "at", "k.*")
     units = single.select("key", "at", "kind", "text").unionByName(tables.select("key", "at", "kind", F.lit(None).cast("string").alias("text")))
     every = single.where("kind <> 'paragraph'").withColumn("nth", F.lit(0)).unionByName(_paragraphs(units), allowMissingColumns=True).unionByName(tables.withColumn("nth", F.lit(0)), allowMissingColumns=True)
     place = F.row_number().over(Window.partitionBy("key").orderBy("at", "nth"))

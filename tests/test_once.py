@@ -118,3 +118,13 @@ def test_unlike_sizes_need_no_comparison(spark):
     kept = lines.select(C.greedy_distinct(F.col("l"), 0.72).alias("k"))
     assert [r["k"] for r in kept.collect()] == [["một hai ba bốn", "một", "x", "một hai sáu bảy"], []]
     assert "array_union" not in kept._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_kinds_of_lines_are_found_once(spark, tmp_path):
+    from quillon.operators import blocks as B
+
+    docs = spark.createDataFrame([(1, "Điều 1. A\n| a | b |\n| c | d |\nđoạn\nvăn."), (2, None)], "id INT, text STRING")
+    found = B.build_blocks(docs, "id", "text", f"file://{tmp_path}")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "THÔNG TƯ" not in plan and "regexp_extract" not in plan  # kinds and tables are read, not found again
+    assert sorted(map(str, found.collect())) == sorted(map(str, B.build_blocks(docs, "id", "text").collect()))
