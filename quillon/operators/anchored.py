@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import policies as P
 from quillon.operators import retrieval as R
+from quillon.operators.pairs import BLOCK
 
 #: How documents are named in a question, and other words that say nothing about its matter.
 NAMED = [
@@ -55,6 +56,8 @@ def scored(segments: DataFrame, queries: DataFrame) -> DataFrame:
     """``segments`` with ``hits`` and ``score``; ``queries`` (``qid, query``) is a stated set."""
     asked = queries.select("qid", T.once(T.normalise_query(F.col("query"))).alias("n")).select("qid", T.once(matter(F.col("n"))).alias("q"), fields_of(F.col("n")).alias("fields"))
     asked = asked.withColumn("q_tokens", T.distinct_tokens(T.tokens_of(F.col("q"))))
+    # a stated set meets the segments where they are: shuffled by question, each question's segments would be one task's
+    asked = F.broadcast(asked) if queries.count() <= BLOCK else asked
     rows = segments.withColumn("text", F.coalesce("text", F.lit(""))).join(asked, "qid")
     rows = rows.withColumn("c", T.once(T.normalise_query(F.concat_ws(" ", "label", "text")))).withColumn("plain", T.once(T.normalise_query(F.col("text"))))
     rows = rows.withColumn("c_tokens", T.once(T.distinct_tokens(T.tokens_of(F.col("c"))))).withColumn("hits", field_hits(F.col("text"), F.col("fields")))

@@ -59,3 +59,9 @@ def test_answers_take_texts_once(spark):
     rows = [(1, c, 0, k, f"Điều {c}", t, h, s) for c, k, t, h, s in [(1, 0, "một", 1, 5.0), (2, 0, "một", 1, 5.0), (1, 1, "hai", 0, 2.0), (1, 2, "không", 0, 0.0), (3, 0, "ba", 2, 1.0)]]
     chosen = A.evidence(spark.createDataFrame(rows, SHAPE))
     assert A.answers(chosen).first()["excerpts"] == ["Điều 3\nba", "Điều 1\nmột", "Điều 1\nhai"] and A.answers(chosen.limit(0)).count() == 0
+
+
+def test_segments_arent_shuffled_by_question(spark, sf_dir):
+    from quillon.plans import anchored as P
+
+    assert "BroadcastHashJoin" in P.anchored_answers(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
