@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.functions.text import let as _let
 
 
 def sentences(text: Column, ends: str = ".!?;:") -> Column:
@@ -79,11 +78,6 @@ def evidence_chunks(text: Column, most: int = 3600, overlap_lines: int = 4, over
     return _windows(F.flatten(F.transform(lines, pieces)), most, overlap_lines)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once for the row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _windows(lines: Column, most: int, overlap_lines: int) -> Column:
     def over(lines: Column) -> Column:
         sums = F.aggregate(lines, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))

@@ -26,6 +26,10 @@ LEGAL_TEXT_RULES = [
     (r"(?imu)(^|\n)\s*(Điều|Chương|Mục|Phần)\s*\n\s*([0-9IVXLC]+[a-zA-Z]?\s*[.:]?)", "$1$2 $3"),
 ]
 LEGAL_LINE_RULES = [(r"^\s*#{1,6}\s*", ""), (r"(?:\*\*|__)([^*_\n]+)(?:\*\*|__)", "$1"), (r"^\s*(?:\*\*|__)\s*", ""), (r"\s*(?:\*\*|__)\s*$", ""), (" {2,}", " ")]
+#: What a text must hold for the rules to change it: marks, blanks or other white space where lines begin and end.
+BOLD = ["**", "__"]
+LEGAL_TEXT_MARKS = [["\t", "\xa0", "\u2007", "\u202f"], BOLD, ["\n"]]
+LEGAL_LINE_MARKS = [*BOLD, "#", "  ", " \n", "\n ", "\x0b", "\f", "\r", "\xa0", "\ufeff", "\x85", "\u2028", "\u2029"]
 #: Marks of pages and unread places in transcripts, broken ends. Word boundaries know ASCII alone: before Điều one is a letter or digit.
 PAGE_MARK = r"(?imu)^\s*(?:---\s*)?(?:TRANG|PAGE)\s+(\d+)(?:\s*/\s*\d+)?(?:\s*---)?\s*$"
 PROVISION_MARK = r"(?iu)(?:[A-Za-z0-9_]Điều|(?:^|[^A-Za-z0-9_])(?:Chương|Mục|Khoản))\s+[0-9IVXLC]+"
@@ -44,7 +48,7 @@ _NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{T.JS_SPACE}+|{T.JS_SPACE}+$", "")
+    return T.strip(text)
 
 
 def _utf8(hexadecimal: Column) -> Column:
@@ -175,8 +179,13 @@ def method_rank(method: Column) -> Column:
 
 def normalise_legal(text: Column) -> Column:
     """Bold and numbered headings freed of markdown, structure words joined to their numbers, lines and blank lines cleaned."""
-    lines = F.transform(F.split(T.replace_all(text, LEGAL_TEXT_RULES), "\n"), lambda x: _strip(T.replace_all(x, LEGAL_LINE_RULES)))
-    return _strip(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
+    def cleaned(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, "\n"), lambda x: _strip(T.replace_all(x, LEGAL_LINE_RULES))), "\n")
+
+    text = T.unix_lines(text)
+    for marks, (pattern, by) in zip(LEGAL_TEXT_MARKS, LEGAL_TEXT_RULES[1:], strict=True):
+        text = T.replaced_where(text, marks, pattern, by)
+    return _strip(T.replaced_where(T.where_has(text, LEGAL_LINE_MARKS, cleaned), ["\n\n\n"], "\n{3,}", "\n\n"))
 
 
 def accept_transcripts(rows: DataFrame, key: str) -> DataFrame:

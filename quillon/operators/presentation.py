@@ -35,8 +35,7 @@ SIGNED, APPENDED, OPENING = "Phần ký và nơi nhận", "Phụ lục", "Phần
 
 def _at(text: Column, patterns: list[str]) -> Column:
     """Characters before the first place, behind the beginning, where one of the patterns holds; null if none does. The patterns match places, not characters."""
-    pieces = [F.split(text, p, 2) for p in patterns]
-    return F.array_min(F.array(*[F.when(F.size(p) > 1, F.length(F.get(p, F.lit(0)))) for p in pieces]))
+    return let(F.split(text, "|".join(f"(?:{p})" for p in patterns), 2), lambda p: F.when(F.size(p) > 1, F.length(F.get(p, F.lit(0)))))
 
 
 def _cut(text: Column, at: Column) -> tuple[Column, Column]:
@@ -45,23 +44,27 @@ def _cut(text: Column, at: Column) -> tuple[Column, Column]:
 
 def _headed(heading: Column, body: Column) -> Column:
     """struct<heading, body>: an article without a heading takes its first line, if that looks like one."""
-    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    first = F.get(lines, F.lit(0))
-    words = F.size(F.filter(F.split(first, r"\s+"), lambda w: w != ""))
-    fits = (F.size(lines) >= 2) & (F.length(first) <= 160) & words.between(2, 14) & ~first.rlike(SENTENCE)
-    rest = normalise_legal(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n"))
     made = lambda h, b: F.struct(h.alias("heading"), b.alias("body"))
-    return F.when(heading != "", made(heading, body)).when(fits, made(first, rest)).otherwise(made(F.lit(None).cast("string"), body))
+
+    def own(lines: Column) -> Column:
+        first = F.get(lines, F.lit(0))
+        words = F.size(F.filter(F.split(first, r"\s+"), lambda w: w != ""))
+        fits = (F.size(lines) >= 2) & (F.length(first) <= 160) & words.between(2, 14) & ~first.rlike(SENTENCE)
+        rest = normalise_legal(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n"))
+        return F.when(fits, made(first, rest)).otherwise(made(F.lit(None).cast("string"), body))
+
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(heading != "", made(heading, body)).otherwise(let(lines, own))
 
 
-def parts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, kind, identifier, heading, text, order_index``: preamble, articles by hundreds, signature and appendix behind them."""
-    docs = docs.select(F.col(key).alias("key"), T.once(normalise_legal(F.coalesce(F.col(text), F.lit("")))).alias("text")).where("text <> ''")
+def parts(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """``key, kind, identifier, heading, text, order_index``, and the columns in ``more`` of the document: preamble, articles by hundreds, signature and appendix behind them."""
+    docs = docs.select(F.col(key).alias("key"), F.struct(F.lit(0), *more).alias("more"), T.once(normalise_legal(F.coalesce(F.col(text), F.lit("")))).alias("text")).where("text <> ''")
     rows = docs.withColumn("marked", T.once(F.split(F.regexp_replace("text", ARTICLE, "\x01$1\x02$2\x01"), "\x01")))
     # what stands before the first article, and the rest
     head = F.get("marked", F.lit(0))
     rows = rows.withColumn("body", T.once(F.when(F.size("marked") > 1, F.substring("text", F.length(head) + 1, F.length("text"))).otherwise("")))
-    rows = rows.withColumn("tail_at", T.once(F.array_min(F.array(_at(F.col("body"), SIGNATURES), _at(F.col("body"), APPENDICES)))))
+    rows = rows.withColumn("tail_at", T.once(_at(F.col("body"), SIGNATURES + APPENDICES)))
     rows = rows.withColumn("tail", F.when(F.col("tail_at").isNotNull(), normalise_legal(_cut(F.col("body"), F.col("tail_at"))[1])).otherwise(""))
     main = F.when(F.col("tail_at").isNotNull(), normalise_legal(F.concat(head, _cut(F.col("body"), F.col("tail_at"))[0]))).otherwise(F.col("text"))
     rows = rows.withColumn("pieces", T.once(F.split(F.regexp_replace(main, ARTICLE, "\x01$1\x02$2\x01"), "\x01")))
@@ -73,8 +76,8 @@ def parts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def article(i: Column) -> Column:
         mark = F.split(F.get("pieces", i * 2 - 1), "\x02")
-        body = normalise_legal(F.get("pieces", i * 2))
-        return let(_headed(F.trim(F.get(mark, F.lit(1))), body), lambda h: made("article", F.concat(F.lit("Điều "), F.get(mark, F.lit(0))), h["heading"], h["body"], i * 100))
+        given = F.struct(F.get(mark, F.lit(0)).alias("number"), F.trim(F.get(mark, F.lit(1))).alias("heading"), normalise_legal(F.get("pieces", i * 2)).alias("body"))
+        return let(given, lambda g: let(_headed(g["heading"], g["body"]), lambda h: made("article", F.concat(F.lit("Điều "), g["number"]), h["heading"], h["body"], i * 100)))
 
     opening = normalise_legal(F.get("pieces", F.lit(0)))
     begins = F.col("tail").rlike(r"(?iu)^(?:PHỤ\s+LỤC|MẪU\s+SỐ|DANH\s+MỤC)\b")
@@ -85,7 +88,7 @@ def parts(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.array(made("preamble", F.lit(OPENING), none, opening, F.lit(0))), F.transform(F.sequence(F.lit(1), n), article),
         F.array(made("other", F.lit(SIGNED), none, signed, (n + 1) * 100), made("other", F.lit(APPENDED), none, F.coalesce(normalise_legal(appended), F.lit("")), (n + 2) * 100)),
     ))
-    return rows.select(F.col("key").alias(key), F.inline(F.filter(every, lambda p: (p["text"] != "") | (p["kind"] == "article"))))
+    return rows.select(F.col("key").alias(key), F.inline(F.filter(every, lambda p: (p["text"] != "") | (p["kind"] == "article"))), *[F.col("more")[c].alias(c) for c in more])
 
 
 def main_provisions(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:

@@ -54,7 +54,7 @@ UPDATE_RANK = {"replacement": 3, "amendment": 2, "repeal": 1}
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{T.JS_SPACE}+|{T.JS_SPACE}+$", "")
+    return T.strip(text)
 
 
 def count(text: Column, pattern: str) -> Column:

@@ -128,3 +128,32 @@ def test_kinds_of_lines_are_found_once(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "THÔNG TƯ" not in plan and "regexp_extract" not in plan  # kinds and tables are read, not found again
     assert sorted(map(str, found.collect())) == sorted(map(str, B.build_blocks(docs, "id", "text").collect()))
+
+
+def test_parts_are_found_with_few_searches(spark, sf_dir):
+    from quillon.operators import presentation as A
+    from quillon.plans import presentation
+
+    plan = presentation.presented_parts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("DANH\\s+MỤC") == 3  # where the tail begins, whether it begins with an appendix, where that begins else
+    docs = spark.createDataFrame([(1, "Điều 1. A\nx ./. BỘ TRƯỞNG\nPHỤ LỤC I\ny"), (2, "m\nĐiều 1.\nĐầu đề ngắn\nnội dung\nNơi nhận: z"), (3, "PHỤ LỤC\nĐiều 2. B\nPHỤ LỤC (Kèm theo"), (4, None)], "id INT, text STRING")
+    got = A.parts(docs, "id", "text").orderBy("id", "order_index").collect()
+    assert [(r["id"], r["heading"] or r["identifier"], r["text"]) for r in got] == [
+        (1, "A", "x ./."), (1, A.SIGNED, "BỘ TRƯỞNG"), (1, A.APPENDED, "PHỤ LỤC I\ny"), (2, A.OPENING, "m"), (2, "Đầu đề ngắn", "nội dung"), (2, A.SIGNED, "Nơi nhận: z"),
+        (3, A.OPENING, "PHỤ LỤC"), (3, "B", ""), (3, A.APPENDED, "PHỤ LỤC (Kèm theo")]
+
+
+def test_texts_without_marks_are_not_searched(spark):
+    from quillon.operators.listings import normalise_legal
+
+    texts = ["a\r\n\r\n\r\n\rb\t\xa0 c", "  ", "x \x85", "nghi  didnh nd - cp  tt btc", "Ả̀é đĐ", "**Điều 1. A** b\n # c", "Điều\n 4. x", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    edges = f"^{T.JS_SPACE}+|{T.JS_SPACE}+$"
+    fold = lambda c: F.lower(F.translate(F.regexp_replace(c, "[̀-ͯ]", ""), T.FOLD_FROM, T.FOLD_TO))
+    plain = F.trim(T.replace_all(fold(F.regexp_replace("t", "\xa0", " ")), T.QUERY_RULES))
+    found = rows.select(T.normalise_query(F.col("t")), plain, T.tidy(F.col("t")), F.regexp_replace(T.replace_all(F.col("t"), T.SPACE_RULES), edges, ""), T.squeeze(F.col("t")), F.trim(F.regexp_replace("t", r"[\s\xa0]+", " ")))
+    assert [(r[0], r[2], r[4]) for r in found.collect()] == [(r[1], r[3], r[5]) for r in found.collect()]
+    assert [r[0] for r in rows.select(normalise_legal(F.col("t"))).collect()][5:7] == ["Điều 1. A\nb\nc", "Điều 4. x"]
+    for made in (T.normalise_query, T.tidy, T.squeeze, normalise_legal):
+        plan = rows.select(made(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("case when") >= 1 and plan.count("contains(") >= 1
