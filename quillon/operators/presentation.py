@@ -96,7 +96,7 @@ def main_provisions(pages: DataFrame, doc: str, page: str, text: str) -> DataFra
     if the first page is there, else it goes on from pages that aren't."""
     piece = F.struct(F.col(page).alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     whole = pages.groupBy(doc).agg(F.min(page).alias("first_page"), F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), "\n").alias("whole"))
-    found = parts(whole, doc, "whole").withColumnRenamed(doc, "of").join(whole.select(doc, "first_page"), F.col("of").eqNullSafe(F.col(doc)))
+    found = parts(whole, doc, "whole", "first_page")
     later = (F.col("kind") == "preamble") & (F.col("first_page") > 1)
     title = F.concat(F.lit(CONTINUED), F.col("first_page").cast("string"))
     return found.select(

@@ -157,3 +157,9 @@ def test_texts_without_marks_are_not_searched(spark):
     for made in (T.normalise_query, T.tidy, T.squeeze, normalise_legal):
         plan = rows.select(made(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().lower()
         assert plan.count("case when") >= 1 and plan.count("contains(") >= 1
+
+
+def test_pages_are_joined_once(spark, sf_dir):
+    from quillon.plans import presentation
+
+    assert "join " not in presentation.provisions_of_pages(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
