@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions.segments import _let as let
 from quillon.functions.segments import pack
+from quillon.sources.shared import written
 
 #: Words that a phrase doesn't end with, phrases that say nothing to a reader, and where clauses begin.
 OPEN_ENDS = r"(?iu)(?<![\p{L}\d])(?:và|hoặc|đồng thời|tại|trong|của|với|theo|để|do|bởi|từ|quản|trụ)$"
@@ -70,7 +71,8 @@ def repaired(docs: DataFrame, points: DataFrame, key: str, text: str, categories
     shown = F.array_compact(F.array(*[F.when(body.rlike(p), F.lit(name)) for name, p in categories]))
     parts = F.split(F.regexp_replace(T.squeeze(body), r"([.!?;:])\s+", "$1\x01"), "\x01")
     sentences = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda s: F.length(s) >= least)
-    first = F.array_compact(F.array(*[let(F.get(F.filter(sentences, _matches(p)), F.lit(0)), _named(name)) for name, p in categories]))
+    # sentences are cut once, and searched only for what the document shows
+    first = let(F.struct(sentences.alias("sentences"), shown.alias("shown")), lambda d: F.array_compact(F.array(*[_first(d, name, p) for name, p in categories])))
     have = points.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("covers"))).alias("have"), F.max("nth").alias("last"))
     rows = docs.select(F.col(key).alias("key"), shown.alias("shown"), first.alias("first")).join(have.withColumnRenamed("key", "of"), F.col("key").eqNullSafe(F.col("of")), "left")
     lost = F.array_except("shown", F.coalesce("have", F.array().cast("array<string>")))
@@ -79,12 +81,10 @@ def repaired(docs: DataFrame, points: DataFrame, key: str, text: str, categories
     return points.unionByName(extra)
 
 
-def _matches(pattern: str):
-    return lambda s: s.rlike(pattern)
-
-
-def _named(name: str):
-    return lambda s: F.when(s.isNotNull(), F.struct(F.lit(name).alias("name"), s.alias("claim")))
+def _first(document: Column, name: str, pattern: str) -> Column:
+    """struct<name, claim>: the first of a document's sentences that shows a category; null if none does."""
+    claim = F.get(F.filter(F.when(F.array_contains(document["shown"], name), document["sentences"]), lambda s: s.rlike(pattern)), F.lit(0))
+    return let(claim, lambda s: F.when(s.isNotNull(), F.struct(F.lit(name).alias("name"), s.alias("claim"))))
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -93,6 +93,12 @@ def _similar(a: Column, b: Column) -> Column:
     return F.when(most > 0, F.size(F.array_intersect(a, b)) / most).otherwise(0.0)
 
 
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two claims are nearly the same; those of unlike sizes need no comparison."""
+    least, most = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    return F.when(most > 0, (least / most > SIMILAR) & (_similar(a, b) > SIMILAR)).otherwise(False)
+
+
 def chosen_points(points: DataFrame, most: int, budget: int) -> DataFrame:
     """``key, place, nth, claim, covers, importance, cost``: the points of each document chosen within ``budget`` characters, in the order of choice."""
     rows = points.withColumn("same", T.normalise_plain(F.concat_ws(" ", F.array_join("covers", " "), "claim"), "a-z0-9"))
@@ -105,32 +111,43 @@ def chosen_points(points: DataFrame, most: int, budget: int) -> DataFrame:
     rows = rows.join(best.toDF("of", "at", "lead"), F.col("key").eqNullSafe(F.col("of")) & (F.col("nth") == F.col("at")), "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("lead"), F.desc("importance"), "nth"))).where(F.col("r") <= most)
     tokens = F.array_distinct(F.filter(F.split(T.normalise_plain(F.col("claim"), "a-z0-9%"), " "), lambda t: F.length(t) > 2))
-    point = F.struct("nth", "claim", "covers", "importance", F.length("claim").alias("cost"), tokens.alias("tokens"))
+    fields = ["nth", "claim", "covers", "importance", "cost", "tokens"]
+    point = F.struct("nth", "claim", "covers", "importance", F.length("claim").alias("cost"), tokens.alias("tokens"), F.lit(False).alias("near"))
     per = rows.groupBy("key").agg(F.array_sort(F.collect_list(point)).alias("points"))
-    start = F.struct(F.array().cast(per.schema["points"].dataType).alias("out"), F.array().cast("array<string>").alias("have"), F.lit(0).alias("spent"))
+    start = F.struct(
+        F.array().cast(per.schema["points"].dataType).alias("out"), F.filter("points", lambda p: p["cost"] <= budget).alias("left"), F.array().cast("array<string>").alias("have"), F.lit(0).alias("spent"))
 
-    def step(state: Column, _: Column) -> Column:
-        def gain(p: Column) -> Column:
-            return F.size(F.array_except(p["covers"], state["have"]))
+    def gain(p: Column, have: Column) -> Column:
+        return F.size(F.array_except(p["covers"], have))
+
+    # points that are left know whether they are like a chosen one, so that a step compares them with the last choice alone; those that can't be chosen any more
+    # are left out for good, as gains only fall and what is spent only grows
+    def onward(state: Column, best: Column) -> Column:
+        def kept(now: Column) -> Column:
+            fits = F.filter(state["left"], lambda p: (p["nth"] != best["nth"]) & (now["spent"] + p["cost"] <= budget))
+            marked = F.transform(fits, lambda p: F.struct(*[p[f].alias(f) for f in fields], (p["near"] | _alike(best["p"]["tokens"], p["tokens"])).alias("near")))
+            return F.filter(marked, lambda p: ~p["near"] | (gain(p, now["have"]) > 0))
 
-        def open_(p: Column) -> Column:
-            taken = F.exists(state["out"], lambda o: o["nth"] == p["nth"])
-            near = F.exists(state["out"], lambda o: _similar(o["tokens"], p["tokens"]) > SIMILAR)
-            return ~taken & (state["spent"] + p["cost"] <= budget) & ((gain(p) > 0) | ~near)
+        now = F.struct(F.array_union(state["have"], best["p"]["covers"]).alias("have"), (state["spent"] + best["cost"]).alias("spent"))
+        return let(now, lambda n: F.struct(F.array_append(state["out"], best["p"]).alias("out"), kept(n).alias("left"), n["have"].alias("have"), n["spent"].alias("spent")))
 
-        ranked = F.transform(F.filter("points", open_), lambda p: F.struct((-gain(p)).alias("gain"), (-p["importance"]).alias("importance"), p["cost"].alias("cost"), p["nth"].alias("nth"), p.alias("p")))
-        return let(F.array_min(ranked), lambda best: F.when(best.isNull(), state).otherwise(F.struct(
-            F.array_append(state["out"], best["p"]).alias("out"), F.array_union(state["have"], best["p"]["covers"]).alias("have"), (state["spent"] + best["cost"]).alias("spent"))))
+    def step(state: Column, _: Column) -> Column:
+        ranked = F.transform(state["left"], lambda p: F.struct((-gain(p, state["have"])).alias("gain"), (-p["importance"]).alias("importance"), p["cost"].alias("cost"), p["nth"].alias("nth"), p.alias("p")))
+        return let(F.array_min(ranked), lambda best: F.when(best.isNull(), state).otherwise(onward(state, best)))
 
     out = F.aggregate(F.sequence(F.lit(1), F.size("points")), start, step, lambda s: s["out"])
     return per.select("key", F.posexplode(out).alias("place", "p")).select("key", (F.col("place") + 1).alias("place"), "p.nth", "p.claim", "p.covers", "p.importance", "p.cost")
 
 
-def storyboards(docs: DataFrame, key: str, text: str, title: str, categories: list[tuple[str, str]], length: str = "standard", marked: bool = True) -> DataFrame:
-    """``key, scene, kind, category, title, points, narration``: an opening, scenes of up to three points of a category in the order of choice, and a closing one."""
+def storyboards(docs: DataFrame, key: str, text: str, title: str, categories: list[tuple[str, str]], length: str = "standard", marked: bool = True, folder: str | None = None) -> DataFrame:
+    """``key, scene, kind, category, title, points, narration``: an opening, scenes of up to three points of a category in the order of choice, and a closing one.
+
+    Points and the chosen ones have several readers: they are written to ``folder`` once, if there is one, and found anew for each otherwise.
+    """
+    kept = (lambda df, name: written(df, f"{folder}/{name}")) if folder is not None else lambda df, name: df
     seconds, _, scenes, most = LENGTHS[length]
-    points = repaired(docs, sentence_points(docs, key, text, categories), key, text, categories)
-    chosen = chosen_points(points, most, seconds * SPEED)
+    points = kept(repaired(docs, sentence_points(docs, key, text, categories), key, text, categories), "points")
+    chosen = kept(chosen_points(points, most, seconds * SPEED), "chosen")
     rows = chosen.withColumn("category", F.coalesce(F.get("covers", F.lit(0)), F.lit("overview")))
     # a category's points, three to a scene, in the order in which the first of them was chosen
     nth = F.floor((F.row_number().over(Window.partitionBy("key", "category").orderBy("place")) - 1) / IN_SCENE)

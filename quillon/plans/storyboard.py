@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import duck as D
 from quillon.operators import storyboard as S
 from quillon.plans.retrieval import table
+from quillon.sources.shared import shared_folder
 
 #: Categories in the words of the documents.
 CATEGORIES = [("numbers", r"\d"), ("table", r"\|"), ("licence", r"[Ll]icen[cs]e"), ("english", r"(?:^|\s)the\s"), ("french", r"(?:^|\s)(?:les|une)\s"), ("german", r"(?:^|\s)(?:und|der)\s")]
@@ -27,7 +28,7 @@ def repaired_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def storyboards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scenes of all documents; held against loops in the tests."""
-    board = S.storyboards(titled(table(spark, sf_dir, "documents")), "doc_id", "text", "title", CATEGORIES, "standard", False)
+    board = S.storyboards(titled(table(spark, sf_dir, "documents")), "doc_id", "text", "title", CATEGORIES, "standard", False, shared_folder(spark, "storyboards"))
     return board.select("doc_id", "scene", "kind", "category", F.size("points").alias("n_points"), F.md5("title").alias("title_md5"), F.md5("narration").alias("narration_md5"))
 
 

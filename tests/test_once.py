@@ -163,3 +163,20 @@ def test_pages_are_joined_once(spark, sf_dir):
     from quillon.plans import presentation
 
     assert "join " not in presentation.provisions_of_pages(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_sentences_are_cut_and_points_are_chosen_once(spark, tmp_path):
+    from quillon.operators import storyboard as S
+    from quillon.plans.storyboard import CATEGORIES, titled
+
+    texts = ["The one sentence has 12 words and is long enough to stand here. Une phrase avec les mots | et encore. kurz und gut 7.", "Nothing the least; the end 5. the the", "", None]
+    docs = titled(spark.createDataFrame([(n, t, "web") for n, t in enumerate(texts)], "doc_id INT, text STRING, source STRING"))
+    first = S.repaired(docs, spark.createDataFrame([], "key INT, nth INT, claim STRING, covers ARRAY<STRING>, importance INT"), "doc_id", "text", CATEGORIES)
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[.!?;:]") == 1  # sentences, for all categories
+    got = {(r["key"], r["covers"][0]): r["claim"] for r in first.collect()}
+    assert got[0, "french"] == "Une phrase avec les mots | et encore." == got[0, "table"] and got[0, "german"] == "kurz und gut 7." and {key for key, _ in got} == {0, 1}
+    plain = S.storyboards(docs, "doc_id", "text", "title", CATEGORIES, "standard", False)
+    board = S.storyboards(docs, "doc_id", "text", "title", CATEGORIES, "standard", False, f"file://{tmp_path}")
+    assert sorted(map(str, board.collect())) == sorted(map(str, plain.collect()))
+    assert "array_except" not in board._jdf.queryExecution().optimizedPlan().toString()  # the choice is read, not made again
