@@ -49,23 +49,30 @@ def field_hits(text: Column, fields: Column) -> Column:
     def said(n: Column) -> Column:
         return F.rlike(text, F.concat(F.lit(r"(?iu)(?:\[\s*"), n, F.lit(r"\s*\]|\bchỉ\s*tiêu\s*\[?\s*"), n, F.lit(r"\s*\]?\b|(?:^|\n|\|)\s*"), n, F.lit(r"\s*(?:\||[.)]|$))")))
 
-    return F.size(F.filter(F.transform(fields, lambda n: said(n.cast("string"))), lambda hit: hit))
+    # a text without a field's digits doesn't explain it: no pattern is made for it
+    return F.size(F.filter(F.transform(fields, lambda n: n.cast("string")), lambda n: F.contains(text, n) & said(n)))
 
 
 def scored(segments: DataFrame, queries: DataFrame) -> DataFrame:
     """``segments`` with ``hits`` and ``score``; ``queries`` (``qid, query``) is a stated set."""
     asked = queries.select("qid", T.once(T.normalise_query(F.col("query"))).alias("n")).select("qid", T.once(matter(F.col("n"))).alias("q"), fields_of(F.col("n")).alias("fields"))
     asked = asked.withColumn("q_tokens", T.distinct_tokens(T.tokens_of(F.col("q"))))
+    # what a question asks for is found once, not for each of its segments
+    for name, pattern in (("asks_form", ASKS_FORM), ("asks_change", CHANGES), ("asks_scope", ANALYSIS)):
+        asked = asked.withColumn(name, T.once(F.col("q").rlike(pattern)))
     # a stated set meets the segments where they are: shuffled by question, each question's segments would be one task's
     asked = F.broadcast(asked) if queries.count() <= BLOCK else asked
     rows = segments.withColumn("text", F.coalesce("text", F.lit(""))).join(asked, "qid")
-    rows = rows.withColumn("c", T.once(T.normalise_query(F.concat_ws(" ", "label", "text")))).withColumn("plain", T.once(T.normalise_query(F.col("text"))))
-    rows = rows.withColumn("c_tokens", T.once(T.distinct_tokens(T.tokens_of(F.col("c"))))).withColumn("hits", field_hits(F.col("text"), F.col("fields")))
-    q, c, shared = F.col("q"), F.col("c"), F.size(F.array_intersect("q_tokens", "c_tokens"))
+    rows = rows.withColumn("c", T.once(T.normalise_query(F.concat_ws(" ", "label", "text"))))
+    # a text without any of the question's tokens in it is not cut into its own
+    held = F.array_contains("q_tokens", T.SYNONYM) | F.exists("q_tokens", lambda t: F.contains("c", t))
+    shared = F.when(held, F.size(F.array_intersect("q_tokens", T.distinct_tokens(T.tokens_of(F.col("c")))))).otherwise(0)
+    rows = rows.withColumn("shared", T.once(shared)).withColumn("hits", T.once(field_hits(F.col("text"), F.col("fields"))))
+    q, c, shared = F.col("q"), F.col("c"), F.col("shared")
     words = F.when(shared > 0, R.relevance_score(q, F.size("q_tokens"), shared, (F.length(q) > 3) & F.contains(c, q), R.flags_of(c))).otherwise(0.0)
     bonus = lambda test, x: F.when(test, x).otherwise(0.0)
-    form = bonus(q.rlike(ASKS_FORM), bonus(F.col("plain").rlike(FORM), 1.1) + bonus(F.col("text").rlike(FIELD), 0.9))
-    score = words + bonus(q.rlike(CHANGES) & c.rlike(CHANGED), 2.4) + bonus(q.rlike(ANALYSIS) & c.rlike(SCOPE), 0.9) + form + F.col("hits") * POINTS
+    form = bonus(F.col("asks_form"), bonus(T.normalise_query(F.col("text")).rlike(FORM), 1.1) + bonus(F.col("text").rlike(FIELD), 0.9))
+    score = words + bonus(F.col("asks_change") & c.rlike(CHANGED), 2.4) + bonus(F.col("asks_scope") & c.rlike(SCOPE), 0.9) + form + F.col("hits") * POINTS
     return rows.withColumn("score", F.round(score, 6)).select(*segments.columns, "hits", "score")
 
 

@@ -180,3 +180,17 @@ def test_sentences_are_cut_and_points_are_chosen_once(spark, tmp_path):
     board = S.storyboards(docs, "doc_id", "text", "title", CATEGORIES, "standard", False, f"file://{tmp_path}")
     assert sorted(map(str, board.collect())) == sorted(map(str, plain.collect()))
     assert "array_except" not in board._jdf.queryExecution().optimizedPlan().toString()  # the choice is read, not made again
+
+
+def test_segments_are_normalised_once(spark):
+    from quillon.operators import anchored as A
+    from quillon.plans.anchored import ASKED
+
+    texts = [(q, q, 0, 1, "Điều 1", t) for q in range(5) for t in ("| 2 | sửa đổi tờ khai the and", "[7] mẫu số", "heitü phạm vi điều chỉnh 3.", "", None)]
+    rows = spark.createDataFrame(texts, "qid INT, cid INT, provision INT, chunk INT, label STRING, text STRING")
+    found = A.scored(rows, spark.createDataFrame(ASKED, "qid INT, query STRING"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") >= 3 and "AS plain" not in plan  # the text alone is normalised for questions on forms only
+    got = {(r["qid"], r["text"]): (r["hits"], r["score"]) for r in found.collect()}
+    assert [got[q, "| 2 | sửa đổi tờ khai the and"][0] for q in range(5)] == [1, 0, 0, 0, 0] and got[2, "heitü phạm vi điều chỉnh 3."][0] == 1 and got[1, "heitü phạm vi điều chỉnh 3."][1] == 0.9
+    assert got[1, "| 2 | sửa đổi tờ khai the and"][1] == 2.4 and got[4, ""] == (0, 0.0)
