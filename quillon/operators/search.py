@@ -19,6 +19,8 @@ from quillon.functions import text as T
 from quillon.operators import index as I
 from quillon.operators import publishing as P
 from quillon.operators import retrieval as R
+from quillon.operators.pairs import BLOCK
+from quillon.sources.shared import written
 
 #: Sources that a look-up and a question may open, how many they do, and the least characters of a text that opens.
 OPENS, OPENED, LEAST = {False: 7, True: 12}, {False: 1, True: 4}, 800
@@ -126,17 +128,21 @@ def evidence(documents: DataFrame, this_year: int, each: int = 10, answers: int
     return best, first.select("qid", "place", line.alias("excerpt"))
 
 
-def search(queries: DataFrame, sources: DataFrame, index: I.Index, this_year: int, conflicts: DataFrame | None = None, found: int = 30) -> DataFrame:
+def search(queries: DataFrame, sources: DataFrame, index: I.Index, this_year: int, conflicts: DataFrame | None = None, found: int = 30, folder: str | None = None) -> DataFrame:
     """One response for each query: ``qid, kind, response, document, n_found, n_opened, choices, excerpts, confidence``.
 
-    ``conflicts`` names queries (``qid``) whose sources contradict each other; without an opened document they cap the confidence.
+    ``conflicts`` names queries (``qid``) whose sources contradict each other; without an opened document they cap the confidence. Scored sources and opened documents
+    have several readers: they are written to ``folder`` once, if there is one, and found anew, with their texts, for each otherwise.
     """
     hints = R.search_hints(queries.withColumn("query", T.clean_user_query(F.col("query")))).select("qid", "normalised", "type", "number", "year", "asks_question")
     held = sources.select("cid", F.col("number").alias("source_number"), F.col("type").alias("source_type"), "title", "issuer", "issued", "url", "body")
-    hits = I.search(index, queries, found).join(hints, "qid").join(held, "cid")
-    scored = source_scores(hits, this_year)
+    kept = (lambda df, name: written(df, f"{folder}/{name}")) if folder is not None else lambda df, name: df
+    hits = I.search(index, queries, found).join(hints, "qid")
+    # at most ``found`` for each of a stated set's queries: they meet the texts where these are, and no text is shuffled
+    hits = held.join(F.broadcast(hits), "cid") if queries.count() <= BLOCK else hits.join(held, "cid")
+    scored = kept(source_scores(hits, this_year), "scored")
     several = ambiguous(scored)
-    documents = opened(scored, this_year)
+    documents = kept(opened(scored, this_year), "opened")
     _, excerpts = evidence(documents, this_year)
     again = _ranked(documents.withColumn("rest", F.col("nth") > 1).withColumn("same", same_document()), F.col("nth"), group=("qid", "rest", "same"), name="copy")
     others = F.when(F.col("rest") & (F.col("copy") == 1), F.struct("nth", "cid"))

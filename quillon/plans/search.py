@@ -45,8 +45,9 @@ def answered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One response for each query, over all documents."""
     asked = spark.createDataFrame(ASKED, "qid INT, query STRING")
     held = sources(spark, sf_dir)
-    index = I.build(held.select("cid", F.concat_ws(" ", "title", "body").alias("body")), shared_folder(spark, "index"))
-    return S.search(asked, held, index, THIS_YEAR, spark.createDataFrame([(n,) for n in CONFLICTS], "qid INT"))
+    folder = shared_folder(spark, "index")
+    index = I.build(held.select("cid", F.concat_ws(" ", "title", "body").alias("body")), folder)
+    return S.search(asked, held, index, THIS_YEAR, spark.createDataFrame([(n,) for n in CONFLICTS], "qid INT"), folder=f"{folder}/found")
 
 
 QUERIES = {"answered_queries": answered_queries}

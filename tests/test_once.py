@@ -194,3 +194,10 @@ def test_segments_are_normalised_once(spark):
     got = {(r["qid"], r["text"]): (r["hits"], r["score"]) for r in found.collect()}
     assert [got[q, "| 2 | sửa đổi tờ khai the and"][0] for q in range(5)] == [1, 0, 0, 0, 0] and got[2, "heitü phạm vi điều chỉnh 3."][0] == 1 and got[1, "heitü phạm vi điều chỉnh 3."][1] == 0.9
     assert got[1, "| 2 | sửa đổi tờ khai the and"][1] == 2.4 and got[4, ""] == (0, 0.0)
+
+
+def test_scored_sources_are_read_not_found_again(spark, sf_dir):
+    from quillon.plans import search
+
+    plan = search.answered_queries(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "translate(source_number" not in plan and "https://example.org/" not in plan  # sources are described where they are scored, and read behind it
