@@ -24,8 +24,8 @@ from quillon.sources.shared import written
 
 #: Files' hash buckets, and documents of a token from which its postings are spread.
 BUCKETS, HEAVY = 64, 1_000_000
-#: What a phrase adds to a score.
-PHRASE = 0.25
+#: What a phrase adds to a score, and what sums of the same terms in another order differ by at most.
+PHRASE, ROUNDING = 0.25, 1e-9
 
 
 class Index(NamedTuple):
@@ -81,7 +81,7 @@ def search(index: Index, queries: DataFrame, k: int, query: str = "query", stop:
     best = rows.select("qid", "cid", "relevance", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
     least = best.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("relevance")).alias("least"))
     # a phrase holds all its tokens but for the first and the last, which may be parts of longer words; its bonus can't exceed PHRASE
-    maybe = rows.join(least, "qid").where((F.length(q) > 3) & (matched >= n - 2) & (F.col("least").isNull() | (F.col("relevance") + PHRASE >= F.col("least"))))
+    maybe = rows.join(least, "qid").where((F.length(q) > 3) & (matched >= n - 2) & (F.col("least").isNull() | (F.col("relevance") + PHRASE + ROUNDING >= F.col("least"))))
     maybe = maybe.join(index.documents.select("cid", "c"), "cid").where(F.contains("c", q)).select("qid", "cid", score(F.lit(True)).alias("relevance"))
     every = best.select("qid", "cid", "relevance").unionByName(maybe).groupBy("qid", "cid").agg(F.max("relevance").alias("relevance"))
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

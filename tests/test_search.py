@@ -101,3 +101,18 @@ def test_numbers_match_whole(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t STRING").select(S.number_match(F.col("t"), F.lit("89")).alias("m")).collect()
     assert [r["m"] for r in got] == [True, False, False, True, True, True]
     assert all(a is not b for a, b in itertools.pairwise(texts))
+
+
+def test_a_phrase_that_ties_wins_by_its_key(spark):
+    words = "ho kinh doanh aa bb cc dd ee"
+    docs = spark.createDataFrame([(1, f"x{words}x"), (2, " ".join(reversed(words.split()))), (3, "aa")], "cid INT, body STRING")
+    queries = spark.createDataFrame([(1, words)], "qid INT, query STRING")
+    assert by_index(spark, docs, queries, 1) == all_pairs(spark, docs, queries, 1) and by_index(spark, docs, queries, 1)[1, 1][0] == 1
+
+
+def test_excerpts_end_behind_a_sentence_of_the_stated_least(spark):
+    from quillon.functions import text as T
+
+    texts = ["a" * n + ". " + "b" * 900 for n in (420, 421, 430, 450)]
+    got = spark.createDataFrame([(t,) for t in texts], "t STRING").select(T.compact_excerpt(F.col("t"), 900, 421), T.compact_excerpt(F.col("t"), 900)).collect()
+    assert [len(r[0]) for r in got] == [901, 422, 431, 451] and [len(r[1]) for r in got] == [901, 901, 901, 451]
