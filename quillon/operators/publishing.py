@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ LEGAL_MARKS = r"(?imu)^\s*(?:Điều|Chương|Mục|Khoản)\s+[0-9IVXLC]+"
 ARTICLE_NUMBER = r"(?imu)^\s*Điều\s+(\d+)[a-zA-Z]?\s*[.:]\s*(?=\S)"
 #: Type words as the patterns find them, whose word boundaries know ASCII alone: behind THÔNG TƯ a boundary is a letter or digit.
 _TYPES = r"(?:^|[^A-Za-z0-9_])(?:THÔNG TƯ[A-Za-z0-9_]|(?:{})(?:$|[^A-Za-z0-9_]))"
-GATE_TYPES = _TYPES.format("NGHỊ ĐỊNH|LUẬT|NGHỊ QUYẾT")
-LEGAL_TYPES = _TYPES.format("NGHỊ ĐỊNH|LUẬT|NGHỊ QUYẾT|QUYẾT ĐỊNH")
+GATE_WORDS = ["NGHỊ ĐỊNH", "LUẬT", "NGHỊ QUYẾT"]
+LEGAL_WORDS = [*GATE_WORDS, "QUYẾT ĐỊNH"]
+GATE_TYPES, LEGAL_TYPES = _TYPES.format("|".join(GATE_WORDS)), _TYPES.format("|".join(LEGAL_WORDS))
 UNREADABLE = r"(?iu)\[không đọc rõ\]"
 #: Word-processor control characters, in order.
 CONTROL_RULES = [("\r\x07", "\n"), ("\x07(\r?\n)", "\n$1"), ("\x07\\z", "\n"), ("\x07", "\t"), ("\x0b", "\n"), ("\r\n?", "\n"), ("\xa0", " ")]
@@ -61,6 +64,13 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def has_type(text: Column, words: list[str]) -> Column:
+    """``rlike`` of the pattern ``_TYPES`` of ``words``, a word at a time: a plain search first, then a pattern that begins with the word, since one that begins with
+    alternatives tries them at each character, which takes thirty times as long."""
+    whole = lambda w, end: F.contains(text, F.lit(w)) & text.rlike(f"{w}(?<![A-Za-z0-9_]{w}){end}")
+    return reduce(Column.__or__, [whole("THÔNG TƯ", "[A-Za-z0-9_]"), *(whole(w, "(?![A-Za-z0-9_])") for w in words)])
+
+
 def shell_opening(text: Column) -> Column:
     """The folded opening that ``portal_shell`` looks for phrases in."""
     return T.squeeze(T.fold(F.left(text, F.lit(12_000))))
@@ -70,9 +80,9 @@ def shell_opening(text: Column) -> Column:
 MOVES = "[\u0300-\u036fΣ]"
 
 
-def folded_prefix(text: Column, folded: Column, n: int) -> Column:
-    """``fold`` of the first ``n`` characters, from the folded text where that is the same."""
-    return F.when(text.rlike(MOVES), T.fold(F.left(text, F.lit(n)))).otherwise(F.left(folded, F.lit(n)))
+def folded_prefix(text: Column, folded: Column, n: int, length: Column | None = None) -> Column:
+    """``fold`` of the first ``n`` characters, from the folded text where that is the same; ``folded`` has them all. ``length`` is that of the text, if it was found once."""
+    return F.when((F.length(text) if length is None else length) <= n, folded).when(text.rlike(MOVES), T.fold(F.left(text, F.lit(n)))).otherwise(F.left(folded, F.lit(n)))
 
 
 def portal_shell(text: Column, folded: Column | None = None, least: int = 4) -> Column:
@@ -83,11 +93,34 @@ def portal_shell(text: Column, folded: Column | None = None, least: int = 4) ->
     return sum((s.cast("int") for s in signals), F.lit(0)) >= least
 
 
+def shell_in(text: Column, whole: Column, length: Column) -> Column:
+    """``portal_shell`` of a text whose folded opening, not squeezed, is in ``whole``: only where that has all words of enough phrases, phrases are looked for."""
+    words = [reduce(Column.__and__, [F.contains(whole, F.lit(w)) for w in sorted(p.split(), key=len, reverse=True)]) for p in SHELL_PHRASES]
+    maybe = sum((w.cast("int") for w in words), F.lit(0)) >= 4 - len(SHELL_WORDS)
+    return F.when(maybe, T.let(T.squeeze(folded_prefix(text, whole, 12_000, length)), lambda f: portal_shell(text, f))).otherwise(False)
+
+
+def names(whole: Column, wanted: Column) -> Column:
+    """Whether a folded text names a folded number, white space aside; where it stands as it is, white space needn't be taken out."""
+    return F.contains(whole, wanted) | F.contains(T.unspaced(whole), wanted)
+
+
+def dated(head: Column, dates: Column) -> Column:
+    """Whether a folded text holds one of the spellings of a date, runs of white space aside: as it stands, or squeezed if it has the year at all. No spelling has two blanks together, so one that is found as it stands is found squeezed."""
+    said = lambda text: F.exists(dates, lambda d: F.contains(text, d))
+    return said(head) | (F.contains(head, F.right(F.get(dates, F.lit(0)), F.lit(4))) & T.let(T.squeeze(head), said))
+
+
+def opening(text: Column, length: Column, n: int) -> Column:
+    """The first ``n`` characters of a text, which isn't copied if it has no more."""
+    return F.when(length <= n, text).otherwise(F.left(text, F.lit(n)))
+
+
 def usable_text(text: Column, expected: Column, folded: Column | None = None) -> Column:
     """A gate before a text is used: long enough, no shell, its number in the opening, and structure or length with a type word."""
     text = F.coalesce(text, F.lit(""))
     wanted = T.number_key(F.coalesce(expected, F.lit("")))
-    structured = (count(text, GATE_MARKS) >= 2) | ((F.length(text) >= 5_000) & text.rlike(GATE_TYPES))
+    structured = (count(text, GATE_MARKS) >= 2) | ((F.length(text) >= 5_000) & has_type(text, GATE_WORDS))
     named = (wanted == "") | T.number_key(F.left(text, F.lit(20_000))).contains(wanted)
     return (F.length(text) >= 800) & structured & ~portal_shell(text, folded) & named
 
@@ -120,18 +153,17 @@ def validate_texts(docs: DataFrame, pages: DataFrame, key: str) -> DataFrame:
         F.max((F.col("similarity") > 0) & (F.col("similarity") < 0.72)).alias("apart"))
     text, small = F.col("text"), [key, "method", "quality", "total"]
     rows = docs.select(key, "method", "quality", total.alias("total"), T.number_key(F.coalesce("expected", F.lit(""))).alias("wanted"), date_signals(F.col("issued")).alias("dates"), T.once(strip(F.coalesce("text", F.lit("")))).alias("text"))
-    rows = rows.select("*", T.once(T.fold(F.left(text, F.lit(30_000)))).alias("whole"))
-    whole = F.col("whole")
-    # what several checks need of a text is made once, and only where they need it
-    made = F.struct(
-        F.when(F.size("dates") > 0, T.squeeze(folded_prefix(text, whole, 20_000))).alias("head"), F.when(F.col("wanted") != "", T.unspaced(whole)).alias("opening"), T.squeeze(folded_prefix(text, whole, 12_000)).alias("folded"),
-        count(text, LEGAL_MARKS).alias("marks"), F.when(F.contains(text, F.lit("[")), count(text, UNREADABLE)).otherwise(0).alias("unreadable"), F.regexp_extract_all(text, F.lit(ARTICLE_NUMBER), F.lit(1)).cast("array<int>").alias("numbers"))
-    rows = rows.select(*small, "wanted", "dates", "text", T.once(made).alias("made")).select(*small, "wanted", "dates", "text", "made.*")
+    rows = rows.select("*", T.once(F.length(text)).alias("n_chars"))
+    rows = rows.select("*", T.once(T.fold(opening(text, F.col("n_chars"), 30_000))).alias("whole"))
+    # what is asked of a text is searched only where it may be found: a numbered article is a mark
+    whole, n, wanted, dates = F.col("whole"), F.col("n_chars"), F.col("wanted"), F.col("dates")
+    numbers = F.regexp_extract_all(text, F.lit(ARTICLE_NUMBER), F.lit(1)).cast("array<int>")
+    of_marks = lambda m: F.struct(
+        m.alias("marks"), ((m < 2) & ~((n >= 5_000) & has_type(text, LEGAL_WORDS))).alias("structure"), F.when(m > 1, T.let(numbers, lambda x: F.array_sort(x) != x)).otherwise(False).alias("order"))
     of_text = F.struct(
-        F.length(text).alias("n_chars"), "marks", "unreadable", portal_shell(text, F.col("folded")).alias("shell"), ((F.col("wanted") != "") & ~F.contains("opening", F.col("wanted"))).alias("number"),
-        ((F.size("dates") > 0) & ~F.exists("dates", lambda d: F.contains(F.col("head"), d))).alias("date"), ((F.col("marks") < 2) & ~((F.length(text) >= 5_000) & text.rlike(LEGAL_TYPES))).alias("structure"),
-        (F.array_sort("numbers") != F.col("numbers")).alias("order"))
-    rows = rows.select(*small, T.once(of_text).alias("found")).select(*small, "found.*").join(of, F.col(key) == F.col("of"), "left")
+        F.when(F.contains(text, F.lit("[")), count(text, UNREADABLE)).otherwise(0).alias("unreadable"), shell_in(text, whole, n).alias("shell"), ((wanted != "") & ~names(whole, wanted)).alias("number"),
+        T.let(count(text, LEGAL_MARKS), of_marks).alias("of_marks"), F.when(F.size(dates) > 0, T.let(folded_prefix(text, whole, 20_000, n), lambda head: ~dated(head, dates))).otherwise(False).alias("date"))
+    rows = rows.select(*small, "n_chars", T.once(of_text).alias("found")).select(*small, "n_chars", "found.*", "found.of_marks.*").join(of, F.col(key) == F.col("of"), "left")
     rows = rows.withColumn("covered", F.size(F.filter(F.coalesce("good", F.array().cast("array<int>")), lambda p: p.between(1, F.col("total")))))
     checks = {
         "short": F.col("n_chars") < 800,

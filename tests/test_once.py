@@ -76,6 +76,27 @@ def test_texts_are_checked_before_they_are_joined(spark, sf_dir):
     assert plan.count("translate(") <= 4
 
 
+def test_type_words_are_searched_one_by_one(spark, sf_dir):
+    for query in (plans.validated_texts, plans.usable_drafts):
+        assert "(?:^|[^A-Za-z0-9_])" not in query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    texts = ["LUẬT", "xLUẬT", "LUẬT_", "a LUẬT\n", "xLUẬT LUẬT.", "THÔNG TƯ", "THÔNG TƯ số", "THÔNG TƯ1", "ÔTHÔNG TƯs", "xTHÔNG TƯs", "QUYẾT ĐỊNH", "NGHỊ ĐỊNHĐ", "😀LUẬT😀", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    for words, pattern in ((publishing.GATE_WORDS, publishing.GATE_TYPES), (publishing.LEGAL_WORDS, publishing.LEGAL_TYPES)):
+        got = rows.select(publishing.has_type(F.col("t"), words).alias("a"), F.col("t").rlike(pattern).alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got] and any(r["a"] for r in got)
+
+
+def test_white_space_is_taken_off_without_searching_the_text(spark):
+    texts = [a + b + c for a in ("", " ", "\n\xa0", "\x85", "\ufeff \u2028") for b in ("", "x", "x  y\t\nz \r\n w\xa0 \u2003v", "\x85") for c in ("", " ", " \x85", "\r\n", "\xa0\x0b\u2029", " \x85 ", "\u2003")]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t STRING")
+    ends, space = f"^{T.JS_SPACE}+|{T.JS_SPACE}+$", r"[\s\xa0]+"
+    got = rows.select(T.strip(F.col("t")), F.regexp_replace("t", ends, ""), T.squeeze(F.col("t")), F.trim(F.regexp_replace("t", space, " ")), T.unspaced(F.col("t")), F.regexp_replace("t", space, "")).collect()
+    assert [(r[0], r[2], r[4]) for r in got] == [(r[1], r[3], r[5]) for r in got]
+    for made, pattern in ((T.squeeze, "\\s"), (T.unspaced, "\\s")):
+        assert pattern not in rows.select(made(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "btrim(" in rows.select(T.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_due_counts_equal_the_pairs(spark, sf_dir):
     notices = spark.createDataFrame([(1, 1, 5.0), (2, 1, 0.0), (3, 2, 9.0), (4, None, 9.0), (5, 1, None), (6, 1, 5.0), (6, 1, 7.0)], "notice INT, topic INT, published DOUBLE")
     readers = spark.createDataFrame([(1, 1, 5.0), (2, 1, 4.0), (3, 1, 6.0), (4, 2, 9.5), (5, None, 1.0), (6, 1, None), (7, 1, 5.0)], "subscriber INT, topic INT, subscribed DOUBLE")
