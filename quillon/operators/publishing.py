@@ -116,20 +116,27 @@ def opening(text: Column, length: Column, n: int) -> Column:
     return F.when(length <= n, text).otherwise(F.left(text, F.lit(n)))
 
 
-def usable_text(text: Column, expected: Column, folded: Column | None = None) -> Column:
+def structured(text: Column, length: Column) -> Column:
+    """Whether a text has structure, or length with a type word."""
+    return (count(text, GATE_MARKS) >= 2) | ((length >= 5_000) & has_type(text, GATE_WORDS))
+
+
+def usable_text(text: Column, expected: Column) -> Column:
     """A gate before a text is used: long enough, no shell, its number in the opening, and structure or length with a type word."""
     text = F.coalesce(text, F.lit(""))
     wanted = T.number_key(F.coalesce(expected, F.lit("")))
-    structured = (count(text, GATE_MARKS) >= 2) | ((F.length(text) >= 5_000) & has_type(text, GATE_WORDS))
     named = (wanted == "") | T.number_key(F.left(text, F.lit(20_000))).contains(wanted)
-    return (F.length(text) >= 800) & structured & ~portal_shell(text, folded) & named
+    return (F.length(text) >= 800) & structured(text, F.length(text)) & ~portal_shell(text) & named
 
 
 def usable_texts(docs: DataFrame, key: str, text: Column, expected: str) -> DataFrame:
-    """``key, usable`` of each text, which is made once, as is its folded opening."""
-    rows = docs.select(key, expected, T.once(text).alias("text"))
-    rows = rows.select("*", T.once(F.when(F.length("text") >= 800, shell_opening(F.col("text")))).alias("folded"))
-    return rows.select(key, usable_text(F.col("text"), F.col(expected), F.col("folded")).alias("usable"))
+    """``key, usable`` of each text, which is made once; only long ones with structure are folded, and once."""
+    rows = docs.select(key, T.number_key(F.coalesce(expected, F.lit(""))).alias("wanted"), T.once(text).alias("text"))
+    text, whole, wanted, n = F.col("text"), F.col("whole"), F.col("wanted"), F.col("n")
+    rows = rows.select("*", T.once(F.length(text)).alias("n"))
+    rows = rows.select("*", T.once(F.when((n >= 800) & structured(text, n), T.fold(opening(text, n, 20_000)))).alias("whole"))
+    named = (wanted == "") | names(whole, wanted)
+    return rows.select(key, F.when(whole.isNull(), False).otherwise(named & ~shell_in(text, whole, n)).alias("usable"))
 
 
 def date_signals(issued: Column) -> Column:

@@ -97,6 +97,19 @@ def test_white_space_is_taken_off_without_searching_the_text(spark):
     assert "btrim(" in rows.select(T.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_texts_without_structure_are_not_folded(spark, sf_dir):
+    portal = "English 中文 Trang  chủ\nChính phủ Lai\tChâu Điện Biên "
+    heads = ["Điều 1. A\nĐiều 2. B\n89 / 2026\n", portal + "\nĐiều 1. A\nMục 2\n", "Σ\u0301" + portal + "\nĐiều 1. A\nMục 2\n89/2026", "89/2026", "LUẬT 8 9/2026 ", "LUẬT Trang Chu Chinh Phu Lai Chau Dien Bien Tuyen Quang nuoc chxhcn viet nam 89/2026"]
+    cases = [(h + body * n, e) for h in heads for body, n in (("x ", 100), ("x ", 500), ("é  y\n", 1500), ("z" * 13_000 + " " + portal, 1)) for e in ("89/2026", "", None)] + [(None, "89/2026"), ("", None)]
+    rows = spark.createDataFrame([(n, *c) for n, c in enumerate(cases)], "id INT, text STRING, expected STRING")
+    got = {r["id"]: r["usable"] for r in publishing.usable_texts(rows, "id", F.col("text"), "expected").collect()}
+    want = {r["id"]: r["usable"] for r in rows.select("id", publishing.usable_text(F.col("text"), F.col("expected")).alias("usable")).collect()}
+    assert got == want and len(set(got.values())) == 2
+    lines = plans.usable_drafts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    folded = [line for line in lines if "Generate explode" in line and "translate(" in line]
+    assert folded and all("CASE WHEN" in line and "Chương" in line for line in folded)
+
+
 def test_due_counts_equal_the_pairs(spark, sf_dir):
     notices = spark.createDataFrame([(1, 1, 5.0), (2, 1, 0.0), (3, 2, 9.0), (4, None, 9.0), (5, 1, None), (6, 1, 5.0), (6, 1, 7.0)], "notice INT, topic INT, published DOUBLE")
     readers = spark.createDataFrame([(1, 1, 5.0), (2, 1, 4.0), (3, 1, 6.0), (4, 2, 9.5), (5, None, 1.0), (6, 1, None), (7, 1, 5.0)], "subscriber INT, topic INT, subscribed DOUBLE")
