@@ -64,10 +64,11 @@ def joined(base: Column, more: Column) -> Column:
     return F.when(more == "", base).when(base == "", more).when(comparable(base) == comparable(more), base).otherwise(whole)
 
 
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, at, line``: the lines of each text that aren't blank."""
+def lines_of(docs: DataFrame, key: str, text: str, about: str | None = None) -> DataFrame:
+    """``key, at, line``: the lines of each text that aren't blank; ``about``, a column of the text, goes with its first line."""
     lines = F.filter(F.transform(F.split(T.tidy(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return docs.select(F.col(key).alias("key"), F.posexplode(lines).alias("at", "line"))
+    rows = docs.select(F.col(key).alias("key"), *([F.col(about).alias("about")] if about else []), F.posexplode(lines).alias("at", "line"))
+    return rows.withColumn("about", F.when(F.col("at") == 0, F.col("about"))) if about else rows
 
 
 def _order(*more: str, key: tuple[str, ...] = ("key",)) -> Window:
@@ -75,11 +76,15 @@ def _order(*more: str, key: tuple[str, ...] = ("key",)) -> Window:
 
 
 def _regions(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``cells``, ``run`` (the table that a line belongs to) and ``form`` (the run of form rows); at most one of both isn't null."""
+    """``lines`` with ``run`` (the table that a line belongs to), where it ``begins``, and ``form`` (the run of form rows); at most one of ``run`` and ``form`` isn't null.
+
+    Lines are shuffled with the numbers of their cells, not with these.
+    """
     line = F.col("line")
     before, every = _order().rowsBetween(Window.unboundedPreceding, -1), _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opens, closes = line.rlike(OPEN_TAG), line.rlike(CLOSE_TAG)
-    rows = lines.withColumn("cells", cells_of(line)).withColumn("tag", F.when(opens, True).when(closes, False))
+    numbers = T.let(cells_of(line), lambda c: F.when(c.isNotNull(), F.struct(F.size(c).alias("n"), F.size(F.filter(c, lambda x: x.rlike(r"^:?-{3,}:?$"))).alias("separators"))))
+    rows = lines.withColumn("celled", T.once(numbers)).withColumn("tag", F.when(opens, True).when(closes, False))
     rows = rows.withColumn("tagged", F.coalesce(F.last("tag", ignorenulls=True).over(before), F.lit(False)))
     rows = rows.withColumn("like", F.col("tagged") | F.col("tag").isNotNull() | (F.regexp_count(line, F.lit(r"\|")) >= 2) | line.rlike(r"^\|(?:.*\|)?$"))
     # form rows stand together; if the first of them could be part of a table, the table takes it
@@ -91,12 +96,13 @@ def _regions(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("like", F.col("like") & F.col("form").isNull())
     opens_run = F.col("like") & (~F.coalesce(F.lag("like").over(_order()), F.lit(False)) | F.coalesce(~F.lag("tag").over(_order()), F.lit(False)))
     rows = rows.withColumn("run", F.when(F.col("like"), F.sum(opens_run.cast("int")).over(every)))
-    began = F.max(F.col("tag").isNotNull() | F.col("cells").isNotNull()).over(_order("run").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    separators = F.size(F.filter("cells", lambda c: c.rlike(r"^:?-{3,}:?$")))
-    rows = rows.withColumn("began", began).withColumn("separators", F.when(F.col("cells").isNotNull(), separators))
-    rows = rows.withColumn("is_row", F.col("began") & F.col("cells").isNotNull() & (F.col("separators") < F.size("cells")) & (F.col("separators") < 2))
-    n_rows = F.sum(F.col("is_row").cast("int")).over(Window.partitionBy("key", "run"))
-    return rows.withColumn("run", F.when(F.col("began") & (n_rows >= 2), F.col("run"))).select("key", "at", "line", "cells", "tagged", "tag", "separators", "is_row", "run", "form")
+    began = F.max(F.col("tag").isNotNull() | F.col("celled").isNotNull()).over(_order("run").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("began", began).withColumn("separators", F.col("celled.separators"))
+    rows = rows.withColumn("is_row", F.col("began") & F.col("celled").isNotNull() & (F.col("separators") < F.col("celled.n")) & (F.col("separators") < 2))
+    of_run = Window.partitionBy("key", "run")
+    n_rows = F.sum(F.col("is_row").cast("int")).over(of_run)
+    rows = rows.withColumn("begins", F.min(F.when(F.col("began"), F.col("at"))).over(of_run))
+    return rows.withColumn("run", F.when(F.col("began") & (n_rows >= 2), F.col("run"))).select(*lines.columns, "tagged", "tag", "separators", "is_row", "run", "begins", "form")
 
 
 def _width(cells: Column, columns: Column) -> Column:
@@ -107,7 +113,7 @@ def _width(cells: Column, columns: Column) -> Column:
 
 
 def _table_rows(lines: DataFrame) -> DataFrame:
-    """``key, run, at, cells, columns``: the rows of tables, wrapped cells put back, all of one width."""
+    """``key, run, begins, at, cells, columns``: the rows of tables, wrapped cells put back, all of one width."""
     line = F.col("line")
     # wrapped header cells stand before separators; tagged text goes on in the last cell
     more = F.when(F.col("cells").isNotNull() & ~F.col("is_row") & (F.col("separators") < F.size("cells")), F.filter("cells", lambda c: (c != "") & ~c.rlike(r"^:?-{3,}:?$")))
@@ -116,7 +122,7 @@ def _table_rows(lines: DataFrame) -> DataFrame:
     wide = F.max(F.when(~F.col("is_row"), F.col("separators"))).over(Window.partitionBy("key", "run"))
     rows = rows.withColumn("wide", F.coalesce(wide, F.lit(0))).where(F.col("group") > 0)
     parts = F.array_sort(F.collect_list(F.when(~F.col("is_row") & (F.col("more").isNotNull() | F.col("said").isNotNull()), F.struct("at", "more", "said"))))
-    each = rows.groupBy("key", "run", "group").agg(F.min("at").alias("at"), F.min_by("cells", "at").alias("cells"), F.max("wide").alias("wide"), parts.alias("parts"))
+    each = rows.groupBy("key", "run", "group").agg(F.min("at").alias("at"), F.min_by("cells", "at").alias("cells"), F.max("wide").alias("wide"), F.min("begins").alias("begins"), parts.alias("parts"))
 
     def onward(cells: Column, part: Column) -> Column:
         n = F.size(cells)
@@ -126,7 +132,7 @@ def _table_rows(lines: DataFrame) -> DataFrame:
     longest = F.max(F.size("cells")).over(Window.partitionBy("key", "run"))
     columns = F.when(F.col("wide") >= 2, F.least(F.lit(MOST_COLUMNS), F.col("wide"))).otherwise(F.greatest(F.lit(2), F.least(F.lit(MOST_COLUMNS), longest)))
     each = each.withColumn("columns", columns)
-    return each.select("key", "run", "at", _width(F.col("cells"), F.col("columns")).alias("cells"), "columns")
+    return each.select("key", "run", "begins", "at", _width(F.col("cells"), F.col("columns")).alias("cells"), "columns")
 
 
 def _merged_rows(rows: DataFrame) -> DataFrame:
@@ -136,9 +142,9 @@ def _merged_rows(rows: DataFrame) -> DataFrame:
     last = F.last(F.nullif("first", F.lit("")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = (F.row_number().over(order) == 1) | ((F.col("first") != "") & (last.isNull() | (F.col("first") != last)))
     rows = rows.withColumn("opens", opens).withColumn("group", F.sum(F.col("opens").cast("int")).over(order))
-    each = rows.groupBy("key", "run", "group").agg(F.min("at").alias("at"), F.max("columns").alias("columns"), F.array_sort(F.collect_list(F.struct("at", "cells"))).alias("parts"))
+    each = rows.groupBy("key", "run", "group").agg(F.min("at").alias("at"), F.min("begins").alias("begins"), F.max("columns").alias("columns"), F.array_sort(F.collect_list(F.struct("at", "cells"))).alias("parts"))
     fold = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.get("parts", F.lit(0))["cells"], lambda base, part: F.zip_with(base, part["cells"], joined))
-    return each.select("key", "run", "at", "columns", fold.alias("cells"))
+    return each.select("key", "run", "begins", "at", "columns", fold.alias("cells"))
 
 
 def header_rows(rows: Column) -> Column:
@@ -172,13 +178,12 @@ def _boxes_moved(row: Column, head: Column) -> Column:
 def _tables(lines: DataFrame) -> DataFrame:
     """One row for each table."""
     rows = _merged_rows(_table_rows(lines))
-    tables = rows.groupBy("key", "run").agg(F.max("columns").alias("columns"), F.transform(F.array_sort(F.collect_list(F.struct("at", "cells"))), lambda r: r["cells"]).alias("rows"))
+    tables = rows.groupBy("key", "run").agg(F.min("begins").alias("at"), F.max("columns").alias("columns"), F.transform(F.array_sort(F.collect_list(F.struct("at", "cells"))), lambda r: r["cells"]).alias("rows"))
     tables = tables.withColumn("header_rows", header_rows(F.col("rows")))
     head = F.get("rows", F.lit(0))
     tables = tables.withColumn("rows", F.transform("rows", lambda r, i: F.when((F.col("header_rows") > 0) & (i >= 1), _boxes_moved(r, head)).otherwise(r)))
     tables = tables.withColumn("first_column", first_column(F.col("rows"), F.col("header_rows")))
-    places = lines.groupBy("key", "run").agg(F.min("at").alias("at"))
-    return tables.join(places, ["key", "run"]).select("key", "at", F.lit("table").alias("kind"), "rows", "header_rows", "columns", "first_column")
+    return tables.select("key", "at", F.lit("table").alias("kind"), "rows", "header_rows", "columns", "first_column")
 
 
 def _forms(lines: DataFrame) -> DataFrame:
@@ -239,22 +244,28 @@ def _paragraphs(units: DataFrame) -> DataFrame:
     return chains.select("key", "at", F.posexplode(whole).alias("nth", "text"), F.lit("paragraph").alias("kind"))
 
 
-def build_blocks(docs: DataFrame, key: str, text: str, folder: str | None = None) -> DataFrame:
+def build_blocks(docs: DataFrame, key: str, text: str, folder: str | None = None, about: str | None = None) -> DataFrame:
     """``key, place, kind, text, mark, value, level, checked, rows, header_rows, columns, first_column``: the blocks of each text, ``place`` from 1 in their order.
 
     Tables, forms, single lines and paragraphs come from the same lines, which are written to ``folder`` once, with the tables, if there is one, and found anew for each otherwise.
+    ``about`` is a column of ``docs`` that comes with each block; texts whose key is null have no blocks then.
     """
     sound_unions(docs.sparkSession)
-    # a line's kind is found once, while lines are written; exploding it keeps the filter behind it from finding it again
+    # a line's kind and its cells are found once, while lines are written; exploding them keeps the filter behind from finding them again
     kind = F.when(F.col("run").isNull() & F.col("form").isNull(), line_kind(F.col("line")))
-    lines = _regions(lines_of(docs, key, text)).withColumn("k", T.once(kind))
+    lines = _regions(lines_of(docs, key, text, about)).withColumn("k", T.once(kind)).withColumn("cells", T.once(F.when(F.col("run").isNotNull(), cells_of(F.col("line")))))
+    # what a line says is held once: by its kind, by its cells, or by itself
+    lines = lines.withColumn("line", F.when(F.col("form").isNotNull() | (F.col("run").isNotNull() & F.col("cells").isNull()), F.col("line")))
     if folder is not None:
-        lines = written(lines, f"{folder}/lines")
-    tables = _tables(lines.where("run IS NOT NULL").drop("k")).unionByName(_forms(lines.where("form IS NOT NULL").drop("k")))
+        lines = written(lines, f"{folder}/lines", codec="zstd")
+    tables = _tables(lines.where("run IS NOT NULL").drop("k", "about")).unionByName(_forms(lines.where("form IS NOT NULL").drop("k", "about")))
     if folder is not None:
-        tables = written(tables, f"{folder}/tables")
+        tables = written(tables, f"{folder}/tables", codec="zstd")
     single = lines.where("run IS NULL AND form IS NULL AND k IS NOT NULL").select("key", "at", "k.*")
     units = single.select("key", "at", "kind", "text").unionByName(tables.select("key", "at", "kind", F.lit(None).cast("string").alias("text")))
     every = single.where("kind <> 'paragraph'").withColumn("nth", F.lit(0)).unionByName(_paragraphs(units), allowMissingColumns=True).unionByName(tables.withColumn("nth", F.lit(0)), allowMissingColumns=True)
     place = F.row_number().over(Window.partitionBy("key").orderBy("at", "nth"))
-    return every.select(F.col("key").alias(key), place.alias("place"), "kind", "text", "mark", "value", "level", "checked", "rows", "header_rows", "columns", "first_column")
+    blocks = every.select("key", place.alias("place"), "kind", "text", "mark", "value", "level", "checked", "rows", "header_rows", "columns", "first_column")
+    if about:  # places have dealt blocks by key already, so that the join moves what is said of texts alone
+        blocks = blocks.join(lines.where("at = 0").select("key", F.col("about").alias(about)), "key")
+    return blocks.withColumnRenamed("key", key)

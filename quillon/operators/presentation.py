@@ -20,7 +20,6 @@ from quillon.functions.segments import _let as let
 from quillon.operators import blocks as B
 from quillon.operators.etl import ARTICLE
 from quillon.operators.listings import normalise_legal
-from quillon.sources.shared import written
 
 #: Offices that sign, and how appendices begin.
 OFFICES = "BỘ TRƯỞNG|THỦ TƯỚNG(?: CHÍNH PHỦ)?|CHỦ TỊCH|PHÓ CHỦ TỊCH|TỔNG CỤC TRƯỞNG|CỤC TRƯỞNG|TỔNG KIỂM TOÁN NHÀ NƯỚC|CHÁNH ÁN|VIỆN TRƯỞNG"
@@ -105,13 +104,10 @@ def main_provisions(pages: DataFrame, doc: str, page: str, text: str) -> DataFra
 
 def reader_items(docs: DataFrame, key: str, text: str, folder: str | None = None) -> DataFrame:
     """``key, order_index, part, identifier, heading, place`` and the columns of ``blocks.build_blocks``: what a reader sees of each part, block by block, tables as rows."""
-    found = parts(docs, key, text)
-    if folder is not None:
-        found = written(found, f"{folder}/parts")
-    named = found.select(F.struct(F.col(key).alias("of"), F.col("order_index").alias("nth")).alias("id"), "text")
-    blocks = B.build_blocks(named, "id", "text", folder).select("id.of", "id.nth", "place", F.col("kind").alias("block"), F.col("text").alias("said"), "mark", "value", "level", "checked", "rows", "header_rows", "columns", "first_column")
-    both = found.join(blocks, F.col(key).eqNullSafe(F.col("of")) & (F.col("order_index") == F.col("nth")))
-    return both.select(key, "order_index", F.col("kind").alias("part"), "identifier", "heading", "place", F.col("block").alias("kind"), F.col("said").alias("text"), "mark", "value", "level", "checked", "rows", "header_rows", "columns", "first_column")
+    part = F.struct(F.col("kind").alias("part"), "identifier", "heading").alias("about")
+    named = parts(docs, key, text).select(F.struct(F.col(key).alias("of"), F.col("order_index").alias("nth")).alias("id"), "text", part)
+    blocks = B.build_blocks(named, "id", "text", folder, "about")
+    return blocks.select(F.col("id.of").alias(key), F.col("id.nth").alias("order_index"), "about.part", "about.identifier", "about.heading", "place", "kind", "text", "mark", "value", "level", "checked", "rows", "header_rows", "columns", "first_column")
 
 
 # preambles

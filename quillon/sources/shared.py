@@ -20,7 +20,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/quillon-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str, *partitions: str) -> DataFrame:
+def written(df: DataFrame, path: str, *partitions: str, codec: str = "snappy") -> DataFrame:
     """``df`` as Parquet under ``path``, read again: later readers prune columns and files, and a lost executor costs no recomputation."""
-    df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
+    to = df.write.option("compression", codec)
+    to.partitionBy(*partitions).parquet(path) if partitions else to.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

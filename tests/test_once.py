@@ -164,6 +164,28 @@ def test_kinds_of_lines_are_found_once(spark, tmp_path):
     assert sorted(map(str, found.collect())) == sorted(map(str, B.build_blocks(docs, "id", "text").collect()))
 
 
+def test_blocks_are_written_and_shuffled_once(spark, tmp_path):
+    from quillon.operators import presentation as A
+
+    text = "m\nĐiều 1. A\n| a | b |\n| c | d |\nđoạn\nvăn.\nMẫu số 1: x\nMẫu số 2: y\nĐiều 2. B\n[TABLE]\n| a | b |\n| c | d |\nthêm\n[/TABLE]"
+    docs = spark.createDataFrame([(1, text), (None, text), (3, None)], "id INT, text STRING")
+    found = A.reader_items(docs, "id", "text", f"file://{tmp_path}/x")
+    assert not (tmp_path / "x" / "parts").exists() and all("zstd" in f.name for f in (tmp_path / "x").rglob("*.parquet"))
+    lines = spark.read.parquet(f"file://{tmp_path}/x/lines").collect()
+    said = [(r["line"] is not None) + (r["cells"] is not None) + (r["k"] is not None) for r in lines]
+    assert max(said) == 1 and {r["line"] for r in lines if r["line"]} == {"Mẫu số 1: x", "Mẫu số 2: y", "thêm", "[TABLE]", "[/TABLE]"}
+    assert sorted(map(str, found.collect())) == sorted(map(str, A.reader_items(docs, "id", "text").collect()))
+    got = {(r["order_index"], r["place"]): (r["identifier"], r["kind"], r["rows"]) for r in found.where("id IS NULL").collect()}
+    assert got[100, 1] == ("Điều 1", "table", [["a", "b"], ["c", "d"]]) and got[300, 3] == (A.APPENDED, "table", [["a", "b"], ["c", "d thêm"]]) and got[0, 1][1] == "paragraph" and len(got) == 6
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = A.reader_items(docs, "id", "text", f"file://{tmp_path}/y")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert plan.count("Exchange hashpartitioning") == 3  # of paragraphs, of all blocks, of what is said of parts
+
+
 def test_parts_are_found_with_few_searches(spark, sf_dir):
     from quillon.operators import presentation as A
     from quillon.plans import presentation
